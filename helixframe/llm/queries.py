@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op5_packing
+from .simhash import op2_simhash
 from .substring_dedup import op4_substring_dedup
 from .suffix_dedup import op1_suffix_dedup
+from .token_files import op6_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_simhash": op2_simhash,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_packing": op5_packing,
+    "op6_token_files": op6_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
