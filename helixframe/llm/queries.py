@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op10_decontamination
 from .packing import op5_packing
+from .secrets import op9_secrets
 from .simhash import op2_simhash
 from .substring_dedup import op4_substring_dedup
 from .suffix_dedup import op1_suffix_dedup
 from .token_files import op6_token_files
+from .toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
@@ -18,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
     "op6_token_files": op6_token_files,
+    "op7_toxicity": op7_toxicity,
+    "op9_secrets": op9_secrets,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
