@@ -15,11 +15,14 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 import numpy as np  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
+#: Chunks of one generation of the cache; two are held.
 CACHE = 500_000
+#: Unseen chunks encoded as one text.
+JOINED = 2000
 #: Longer texts are handled in parts, so that memory follows the part.
 PART = 1 << 20
 #: White space other than space and newline.
-_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_OTHER_SPACE = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]")
 
 
 def default_path() -> str:
@@ -28,16 +31,31 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _gather(store: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Slices of ``store``, one after the other."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return store[np.repeat(start - (ends - size), size) + np.arange(total)]
+
+
 class _Lookup(dict):
-    """Chunk to its number; unseen chunks are queued for encoding."""
+    """Chunk to its number; unseen chunks are queued, as what their ids come from."""
 
-    def __init__(self, owner: Encoder, raw: bool):
+    def __init__(self, owner: Encoder, raw: bool, older: dict):
         super().__init__()
-        self.owner, self.raw = owner, raw
+        self.owner, self.raw, self.older = owner, raw, older
 
     def __missing__(self, chunk: str) -> int:
-        self[chunk] = n = self.owner.known + len(self.owner.queued)
-        self.owner.queued.append(chunk if self.raw or chunk[:1] == "\n" else " " + chunk)
+        queue = self.owner.queued
+        if chunk in self.older:
+            source = self.older[chunk]
+        elif len(chunk) > 1 and chunk[-1] in ".,;:!?" and chunk[-2].isalpha():
+            # a letter and a sign are parted before any merge
+            source = self[chunk[:-1]], self.owner.raw[chunk[-1]]
+        else:
+            source = chunk if self.raw or chunk[:1] == "\n" else " " + chunk
+        self[chunk] = n = self.owner.known + len(queue)
+        queue.append(source)
         return n
 
 
@@ -47,11 +65,20 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, n in vocabulary.items():
+            self.token_bytes[n] = len(token)  # byte-level tokens have a character for each byte
         self.reset()
 
     def reset(self) -> None:
-        self.raw, self.inner = _Lookup(self, True), _Lookup(self, False)
-        self.queued: list[str] = []
+        """Start a generation; chunks of the last one are copied over when they are seen again."""
+        older = {}, {}
+        if hasattr(self, "raw"):
+            older = dict(self.raw), dict(self.inner)
+            self.old_start, self.old_size, self.old_ids = self.start, self.size, self.ids
+        self.raw, self.inner = _Lookup(self, True, older[0]), _Lookup(self, False, older[1])
+        self.queued: list = []
         self.known = 0
         self.start = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
@@ -93,21 +120,63 @@ class Encoder:
             inner = True
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
+    def _encode_strings(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks in one array, and how many each has.
+
+        Chunks that start at a place where texts may be cut, and end before one, are encoded
+        joined; each token's bytes tell where a chunk ends.
+        """
+        joinable = [len(c) > 1 and c[0] in " \n" and not c[1].isspace() and not c[-1].isspace() for c in chunks]
+        size, ids = np.zeros(len(chunks), np.int64), []
+        own = np.flatnonzero(joinable)
+        groups = [own[i : i + JOINED] for i in range(0, len(own), JOINED)]
+        texts = ["".join([chunks[i] for i in g]) for g in groups]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            found = np.array(found.ids, np.uint32)
+            ends = np.cumsum([len(chunks[i].encode()) for i in group])
+            reached = np.cumsum(self.token_bytes[found])
+            last = np.searchsorted(reached, ends)
+            if not np.array_equal(reached[last], ends):
+                raise ValueError("a token crosses a place where texts were cut")
+            size[group] = np.diff(last, prepend=-1)
+            ids.append(found)
+        rest = [i for i, x in enumerate(joinable) if not x]
+        if rest:
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False)]
+            size[rest] = [len(x) for x in found]
+            ids += found
+        order = np.concatenate([own, np.array(rest, np.int64)])
+        joined = np.concatenate(ids)
+        starts = np.empty_like(size)
+        starts[order] = np.cumsum(size[order]) - size[order]
+        return _gather(joined, starts, size), size
+
+    def _append(self, which: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Store the ids of the queue's entries ``which``."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.size[self.known + which] = size
+        self.start[self.known + which] = self.used + np.cumsum(size) - size
+        self.used += len(ids)
+
     def _encode_queued(self) -> None:
-        for i in range(0, len(self.queued), 20_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(self.queued[i : i + 20_000], add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter((x for e in found for x in e), np.uint32, int(size.sum()))
-            while self.known + len(found) > len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.size[self.known : self.known + len(found)] = size
-            self.start[self.known : self.known + len(found)] = self.used + np.cumsum(size) - size
-            self.known += len(found)
-            self.used += len(ids)
-        self.queued = []
+        queue, self.queued = self.queued, []
+        while self.known + len(queue) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        kinds = np.array([0 if isinstance(x, str) else 1 if isinstance(x, int) else 2 for x in queue], np.int8)
+        fresh, old, pairs = (np.flatnonzero(kinds == k) for k in range(3))
+        if len(fresh):
+            self._append(fresh, *self._encode_strings([queue[i] for i in fresh]))
+        if len(old):
+            source = np.array([queue[i] for i in old])
+            size = self.old_size[source]
+            self._append(old, _gather(self.old_ids, self.old_start[source], size), size)
+        if len(pairs):
+            source = np.array([queue[i] for i in pairs]).ravel()
+            size = self.size[source]
+            self._append(pairs, _gather(self.ids, self.start[source], size), size[::2] + size[1::2])
+        self.known += len(queue)
 
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """Ids of each text with ``end`` after them, as unsigned 32-bit integers; null is empty."""
@@ -118,10 +187,8 @@ class Encoder:
         out = []
         for n in numbers:
             size = self.size[n]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(n) else 0
-            ids = np.empty(total + 1, np.uint32)
-            ids[:-1] = self.ids[np.repeat(self.start[n] - (ends - size), size) + np.arange(total)]
+            ids = np.empty(int(size.sum()) + 1, np.uint32)
+            ids[:-1] = _gather(self.ids, self.start[n], size)
             ids[-1] = end
             out.append(ids)
         return out

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op10_decontamination
+from .dual_tree import op3_dual_tree
 from .packing import op5_packing
 from .secrets import op9_secrets
 from .simhash import op2_simhash
@@ -18,6 +19,7 @@ from .toxicity import op7_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
+    "op3_dual_tree": op3_dual_tree,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
     "op6_token_files": op6_token_files,

@@ -152,6 +152,31 @@ def _bucket_links(keyed: DataFrame, radius: int, last: bool) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long, late boolean")
 
 
+def bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
+    """``u, v``: links within ``radius`` that join the members of each bucket of ``(bucket, fp)``.
+
+    Buckets above ``BUCKET`` are compared in pairs of blocks.
+    """
+    found = materialise(_bucket_links(keyed, radius, False), "links")
+    links = found.where("not late").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    rows = found.where("late").select(F.col("b").alias("fp"), F.col("a").alias("of"))
+    if not rows.isEmpty():
+        links = links.unionByName(_wide_links(rows, radius))
+    return links
+
+
+def _wide_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Exact way for a large bucket: its members in blocks, each pair of blocks compared once."""
+    blocks = rows.groupBy("of").agg(F.ceil(F.count("*") / (BUCKET // 2)).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "of").withColumn("block", F.pmod(F.xxhash64("fp", F.lit(5)), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = dealt.select("of", "fp", "block", other.alias("other")).select(
+        F.xxhash64("of", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"), "fp"
+    )
+    found = materialise(_bucket_links(pairs, radius, True), "links")
+    return found.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
 def covering_links(different: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``u, v``: links that join all of ``different (fp)`` within the radius, and none beyond it."""
     links, rows = None, different.select("fp", F.lit(0).cast("long").alias("of"))

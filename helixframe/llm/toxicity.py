@@ -35,9 +35,12 @@ GRAMS = (3, 4, 5)
 DIM = 8
 PER_CLASS = (4000, 2000)
 EPOCHS = 6
+#: Small samples are gone through more often, for at least so many batches.
+LEAST_BATCHES = 800
 RATE = 0.3
-#: n-grams of fewer sampled texts are not learned; they say more about one text than about its class.
-MIN_TEXTS = 8
+#: n-grams of a smaller share of sampled texts (or of one text) are not learned; they say more
+#: about one text than about its class.
+MIN_SHARE = 1 / 800
 BATCH = 64
 CACHE = 500_000
 FOLDS = 5
@@ -95,7 +98,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets
     rng = np.random.default_rng(seed)
     ids = np.concatenate([b[0] for b in bags]) if bags else np.zeros(0, np.int64)
     texts = np.bincount(ids, minlength=buckets)
-    bags = [(b[0][keep], b[1][keep]) for b in bags for keep in [texts[b[0]] >= MIN_TEXTS]]
+    bags = [(b[0][keep], b[1][keep]) for b in bags for keep in [texts[b[0]] >= max(2, MIN_SHARE * len(bags))]]
     ids = np.concatenate([b[0] for b in bags]) if bags else ids
     known, ids = np.unique(ids, return_inverse=True)
     share = np.concatenate([b[1] for b in bags]).astype(np.float32) if bags else np.zeros(0, np.float32)
@@ -105,9 +108,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets
     weight, bias = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     seen = np.full(len(known), 1e-6, np.float32)
     seen_w, seen_b = np.full_like(weight, 1e-6), np.full_like(bias, 1e-6)
-    for _ in range(EPOCHS):
+    batches = max(1, len(bags) // BATCH)
+    for _ in range(max(EPOCHS, -(-LEAST_BATCHES // batches))):
         order = rng.permutation(len(bags))
-        for some in np.array_split(order, max(1, len(order) // BATCH)):
+        for some in np.array_split(order, batches):
             at = np.concatenate([np.arange(starts[i], ends[i]) for i in some])
             text = np.repeat(np.arange(len(some)), ends[some] - starts[some])
             own, part = ids[at], share[at]
@@ -195,6 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tup
 def score(docs: DataFrame, model: SubwordModel, *keep: str) -> DataFrame:
     """``doc_id`` and the columns of ``keep``, with ``score`` of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    source = "text" if "text" in keep else "body"
     body = F.coalesce("text", F.lit("")).cast("binary").alias("body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,12 +207,12 @@ def score(docs: DataFrame, model: SubwordModel, *keep: str) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                found = scorer.scores([b.tobytes() for b in as_bytes(batch.column("body"))])
-                own = [batch.column(c) for c in batch.schema.names if c != "body"]
+                found = scorer.scores([b.tobytes() for b in as_bytes(batch.column(source))])
                 names = [c for c in batch.schema.names if c != "body"]
+                own = [batch.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(found)], names=[*names, "score"])
 
-    chosen = docs.select("doc_id", *keep, body)
+    chosen = docs.select("doc_id", *keep, *([body] if source == "body" else []))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "body")
     return chosen.mapInArrow(run, f"{ddl}, score double")
 
