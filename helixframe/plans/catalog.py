@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sequences
+from . import measures, sequences
 
-_MODULES = (sequences,)
+_MODULES = (sequences, measures)
+flagship = measures.flagship
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
