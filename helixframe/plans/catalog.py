@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import measures, sequences
+from . import genomes, measures, sequences
 
-_MODULES = (sequences, measures)
+_MODULES = (sequences, measures, genomes)
 flagship = measures.flagship
 
 
