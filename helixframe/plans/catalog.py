@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import genomes, measures, sequences
+from . import genomes, measures, sequences, tables
 
-_MODULES = (sequences, measures, genomes)
+_MODULES = (sequences, measures, genomes, tables)
 flagship = measures.flagship
 
 
