@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import genomes, measures, sequences, tables
+from . import genomes, io, measures, sequences, tables
 
-_MODULES = (sequences, measures, genomes, tables)
+_MODULES = (sequences, measures, genomes, tables, io)
 flagship = measures.flagship
 
 
