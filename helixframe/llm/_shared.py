@@ -51,6 +51,9 @@ def keyed(docs: DataFrame, *more: Column) -> DataFrame:
 
 def as_bytes(column: pa.Array) -> Iterator[np.ndarray]:
     """Each value of a binary column as a view of its bytes."""
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]

@@ -16,7 +16,7 @@ import numpy as np  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Chunks of one generation of the cache; two are held.
-CACHE = 500_000
+CACHE = 600_000
 #: Unseen chunks encoded as one text.
 JOINED = 2000
 #: Longer texts are handled in parts, so that memory follows the part.
@@ -75,7 +75,8 @@ class Encoder:
         """Start a generation; chunks of the last one are copied over when they are seen again."""
         older = {}, {}
         if hasattr(self, "raw"):
-            older = dict(self.raw), dict(self.inner)
+            older = self.raw, self.inner
+            self.raw.older, self.inner.older = {}, {}
             self.old_start, self.old_size, self.old_ids = self.start, self.size, self.ids
         self.raw, self.inner = _Lookup(self, True, older[0]), _Lookup(self, False, older[1])
         self.queued: list = []

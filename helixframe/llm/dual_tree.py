@@ -31,7 +31,7 @@ SCALE = 1024
 PIVOTS = 64
 CHUNK = 4096
 QUERY_BLOCK = 2048
-LEAF = 64
+LEAF = 512
 
 
 class CoverTree:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import batch_of, new_table_path
+from ._shared import batch_of, materialise, new_table_path
 from ._tokens import default_path, encoder
 
 END_ID = 2
@@ -80,10 +80,11 @@ def token_index(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield batch_of(schema, [*(batch.column(x) for x in ("part", "row", "doc_id")), np.diff(offsets).astype(np.int64), crc])
 
-    measured = tokens.mapInArrow(run, "part int, row long, doc_id long, n_tokens long, ids_crc32 long")
+    # read once; what is kept of a document is a row of five numbers
+    measured = materialise(tokens.mapInArrow(run, "part int, row long, doc_id long, n_tokens long, ids_crc32 long"), "measured")
     before = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     within = measured.withColumn("within", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    files = tokens.groupBy("part").agg(F.sum(F.size("ids")).alias("total"))
+    files = measured.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
     return within.join(bases, "part").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")

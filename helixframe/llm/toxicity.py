@@ -28,12 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._runs import BYTE_SYMBOLS, Hasher
-from ._shared import as_bytes, batch_of
+from ._shared import as_bytes, as_numpy, batch_of
 
 BUCKETS = 1 << 19
 GRAMS = (3, 4, 5)
 DIM = 8
-PER_CLASS = (4000, 2000)
+PER_CLASS = (3000, 1500)
 EPOCHS = 6
 #: Small samples are gone through more often, for at least so many batches.
 LEAST_BATCHES = 800
@@ -96,11 +96,14 @@ class SubwordModel:
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets: int, seed: int = 7) -> SubwordModel:
     """Joint AdaGrad training of n-gram vectors and the softmax."""
     rng = np.random.default_rng(seed)
-    ids = np.concatenate([b[0] for b in bags]) if bags else np.zeros(0, np.int64)
-    texts = np.bincount(ids, minlength=buckets)
-    bags = [(b[0][keep], b[1][keep]) for b in bags for keep in [texts[b[0]] >= max(2, MIN_SHARE * len(bags))]]
-    ids = np.concatenate([b[0] for b in bags]) if bags else ids
-    known, ids = np.unique(ids, return_inverse=True)
+    texts = np.zeros(buckets, np.int32)
+    for found, _ in bags:
+        texts[found] += 1  # a bag has each bucket once
+    learned = texts >= max(2, MIN_SHARE * len(bags))
+    known = np.flatnonzero(learned)
+    place = np.cumsum(learned, dtype=np.int32) - 1
+    bags = [(place[b[0][keep]], b[1][keep]) for b in bags for keep in [learned[b[0]]]]
+    ids = np.concatenate([b[0] for b in bags]) if bags else np.zeros(0, np.int32)
     share = np.concatenate([b[1] for b in bags]).astype(np.float32) if bags else np.zeros(0, np.float32)
     ends = np.cumsum([len(b[0]) for b in bags])
     starts = ends - [len(b[0]) for b in bags]
@@ -191,9 +194,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tup
 
     bodies = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     chosen = bodies.join(sample, "doc_id").mapInArrow(run, "doc_id long, label int, ids binary, share binary")
-    rows = sorted(chosen.collect(), key=lambda r: (r.doc_id, r.ids))
-    bags = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.share, np.float32)) for r in rows]
-    return train(bags, np.array([r.label for r in rows], np.int64), buckets)
+    rows = chosen.toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending")]).combine_chunks()
+    views = zip(*(as_bytes(rows.column(c).combine_chunks()) for c in ("ids", "share")), strict=True)
+    bags = [(ids.view(np.int32), share.view(np.float32)) for ids, share in views]
+    return train(bags, as_numpy(rows.column("label")).astype(np.int64), buckets)
 
 
 def score(docs: DataFrame, model: SubwordModel, *keep: str) -> DataFrame:
