@@ -164,14 +164,15 @@ def fisher_p(a: int, b: int, c: int, d: int) -> tuple[float, float, float]:
         while x < y:
             mid = (x + y + 1) // 2
             x, y = (mid, y) if term(mid) <= limit else (x, mid - 1)
-        other = tail(x, -1) if term(x) <= limit and x < a else 0.0
+        x = min(x, a - 1)
+        other = tail(x, -1) if x >= lo and term(x) <= limit else 0.0
         two = greater + other
     else:
         x, y = mode, hi
         while x < y:
             mid = (x + y) // 2
             x, y = (x, mid) if term(mid) <= limit else (mid + 1, y)
-        other = tail(x, 1) if term(x) <= limit and x > a else 0.0
+        other = tail(x, 1) if term(x) <= limit else 0.0
         two = less + other
     return min(1.0, two), min(1.0, greater), min(1.0, less)
 
