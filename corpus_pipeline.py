@@ -14,11 +14,21 @@ from helixframe.llm._shared import materialise
 MASK = "<secret>"
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and all other columns in ``__row``, where no name can clash."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("__"), *rest).alias("__row"))
+
+
+def unpacked(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*(c if c in ("doc_id", "text") else F.col("__row").getField(c).alias(c) for c in names))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores under one half."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    names = docs.columns
-    return toxicity.score(docs, model, *(c for c in names if c != "doc_id")).where("score < 0.5").select(*names)
+    scored = toxicity.score(packed(docs), model, "text", "__row")
+    return unpacked(scored.where("score < 0.5"), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,18 +39,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    tagged = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    found = decontamination.matches(tagged.select(F.col("__row").alias("doc_id"), "text"), benchmark)
-    hit = found.where(F.size("hits") > 0).select(F.col("doc_id").alias("__row")).distinct()
-    return tagged.join(hit, "__row", "left_anti").select(*docs.columns)
+    tagged = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = decontamination.matches(tagged.select(F.col("__key").alias("doc_id"), "text"), benchmark)
+    hit = found.where(F.size("hits") > 0).select(F.col("doc_id").alias("__key")).distinct()
+    return tagged.join(hit, "__key", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with found secrets masked and ``n_chars`` counted again where any was."""
     ledger = secrets.new_ledger(spark)
     secrets.scan_unseen(docs, ledger)
-    names = docs.columns
-    found = secrets.findings(docs, ledger, secrets.RULES, *(c for c in names if c != "doc_id"))
+    found = secrets.findings(packed(docs), ledger, secrets.RULES, "text", "__row")
+    kept = ["doc_id", "text", "__row", "masked"]
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,15 +63,17 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
                             out += [texts[i][at : s["start"]], MASK]
                         at = max(at, s["end"])
                     texts[i] = "".join([*out, texts[i][at:]])
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in [*names, "masked"]]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "masked"])
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    masked = found.withColumn("masked", F.size("spans") > 0).mapInArrow(mask, f"{ddl}, masked boolean")
-    if "n_chars" in names:
-        n_chars = F.when(F.col("masked"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-        masked = masked.withColumn("n_chars", n_chars)
-    return masked.select(*names)
+            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in kept]
+            yield pa.RecordBatch.from_arrays(columns, names=kept)
+
+    with_flag = found.withColumn("masked", F.size("spans") > 0)
+    ddl = ", ".join(f"`{c}` {with_flag.schema[c].dataType.simpleString()}" for c in kept)
+    masked = with_flag.mapInArrow(mask, ddl)
+    out = unpacked(masked, docs.columns)
+    if "n_chars" in docs.columns:
+        n_chars = F.when(F.col("masked"), F.length("text")).otherwise(F.col("__row.n_chars")).cast(docs.schema["n_chars"].dataType)
+        out = unpacked(masked.withColumn("__row", F.col("__row").withField("n_chars", n_chars)), docs.columns)
+    return out
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,9 +75,9 @@ def keep_one(docs: DataFrame, words_each: int = SHINGLE, similarity: float = SIM
     names = docs.columns
     found = groups(docs, words_each, similarity)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "dkey", "tkey")).alias("first"))
-    chosen = first.select("first.dkey", "first.tkey").distinct()
+    chosen = first.select(F.col("first.dkey").alias("__dkey"), F.col("first.tkey").alias("__tkey")).distinct()
     body = F.coalesce(F.col("text"), F.lit(""))
     dkey, tkey = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64(body)
     tagged = docs.withColumns({"__dkey": dkey, "__tkey": tkey})
-    kept = tagged.join(chosen, (F.col("__dkey") == F.col("dkey")) & (F.col("__tkey") == F.col("tkey")), "left_semi")
+    kept = tagged.join(chosen, ["__dkey", "__tkey"], "left_semi")
     return kept.dropDuplicates(["__dkey", "__tkey"]).select(*names)
