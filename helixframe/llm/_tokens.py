@@ -16,7 +16,7 @@ import numpy as np  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Chunks of one generation of the cache; two are held.
-CACHE = 600_000
+CACHE = 400_000
 #: Unseen chunks encoded as one text.
 JOINED = 2000
 #: Longer texts are handled in parts, so that memory follows the part.

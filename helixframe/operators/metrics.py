@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 EPS = 1e-7
 
 
-def confusion(df: DataFrame, by: Sequence[str], positive: Column, truth: str = "label") -> DataFrame:
+def confusion(df: DataFrame, by: Sequence[str], positive: Column, truth: str = "label", *more: Column) -> DataFrame:
     """``tp, tn, fp, fn`` and the undefined rows of both classes; a null ``positive`` is undefined."""
     true = F.col(truth) == 1
     return df.groupBy(*by).agg(
         F.count_if(positive & true).alias("tp"), F.count_if(~positive & ~true).alias("tn"),
         F.count_if(positive & ~true).alias("fp"), F.count_if(~positive & true).alias("fn"),
-        F.count_if(positive.isNull() & true).alias("undef_pos"), F.count_if(positive.isNull() & ~true).alias("undef_neg"),
+        F.count_if(positive.isNull() & true).alias("undef_pos"), F.count_if(positive.isNull() & ~true).alias("undef_neg"), *more,
     )
 
 
@@ -54,16 +54,22 @@ def curve(df: DataFrame, by: Sequence[str], p: str = "p", truth: str = "label")
     )
 
 
+_PAIRS = "sum(pos * (n_all - fp) + pos * neg / 2) / nullif(max(p_all) * max(n_all), 0)"
+_GAIN = "sum(pos * tp / (tp + fp)) / nullif(max(p_all), 0)"
+
+
 def auroc(df: DataFrame, by: Sequence[str], p: str = "p", truth: str = "label") -> DataFrame:
     """Mann-Whitney area with half ties; null for a group of one class."""
-    pairs = F.sum(F.col("pos") * (F.col("n_all") - F.col("fp")) + F.col("pos") * F.col("neg") / 2)
-    area = pairs / F.nullif(F.max("p_all") * F.max("n_all"), F.lit(0))
-    return curve(df, by, p, truth).groupBy(*by).agg(area.cast("double").alias("auroc"))
+    return curve(df, by, p, truth).groupBy(*by).agg(F.expr(_PAIRS).cast("double").alias("auroc"))
 
 
 def average_precision(df: DataFrame, by: Sequence[str], p: str = "p", truth: str = "label") -> DataFrame:
-    gain = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    return curve(df, by, p, truth).groupBy(*by).agg((gain / F.nullif(F.max("p_all"), F.lit(0))).cast("double").alias("aupr"))
+    return curve(df, by, p, truth).groupBy(*by).agg(F.expr(_GAIN).cast("double").alias("aupr"))
+
+
+def areas(df: DataFrame, by: Sequence[str], p: str = "p", truth: str = "label") -> DataFrame:
+    """Both areas from one curve."""
+    return curve(df, by, p, truth).groupBy(*by).agg(F.expr(_PAIRS).cast("double").alias("auroc"), F.expr(_GAIN).cast("double").alias("aupr"))
 
 
 def best_thresholds(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -76,10 +82,14 @@ def best_thresholds(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return long.withColumn("best", F.max("value").over(every)).where("value = best").drop("best")
 
 
-def log_loss(df: DataFrame, by: Sequence[str], p: str = "p", truth: str = "label") -> DataFrame:
+def _loss(p: str, truth: str) -> Column:
     clipped = F.greatest(F.least(F.col(p), F.lit(1 - EPS)), F.lit(EPS))
     loss = F.when(F.col(truth) == 1, -F.ln(clipped)).otherwise(-F.ln(1 - clipped))
-    return df.where(F.col(p).isNotNull()).groupBy(*by).agg(F.avg(loss).alias("log_loss"))
+    return F.avg(F.when(F.col(p).isNotNull(), loss)).alias("log_loss")
+
+
+def log_loss(df: DataFrame, by: Sequence[str], p: str = "p", truth: str = "label") -> DataFrame:
+    return df.where(F.col(p).isNotNull()).groupBy(*by).agg(_loss(p, truth))
 
 
 def performance(df: DataFrame, by: Sequence[str], t: float, conf: float | None = None) -> DataFrame:
@@ -90,15 +100,12 @@ def performance(df: DataFrame, by: Sequence[str], t: float, conf: float | None =
     d = 0.0 if conf is None else abs(conf - t)
     low = F.col("p") <= t if conf is None else F.col("p") < t - d
     positive = F.when(F.col("p") > t + d, True).when(low, False)
-    counted = rates(confusion(df, by, positive)).withColumns({
+    counted = rates(confusion(df, by, positive, "label", _loss("p", "label"))).withColumns({
         "total_acc": F.expr("(tp + tn) / (tp + tn + fp + fn + undef_pos + undef_neg)"),
         "total_tpr": F.expr("try_divide(tp, tp + fn + undef_pos)"), "total_tnr": F.expr("try_divide(tn, tn + fp + undef_neg)"),
         "prediction_rate": F.expr("(tp + tn + fp + fn) / (tp + tn + fp + fn + undef_pos + undef_neg)"),
     })
-    out = counted
-    for part in (log_loss(df, by), auroc(df, by), average_precision(df, by)):
-        out = out.join(part, list(by), "left")
-    return out
+    return counted.join(areas(df, by), list(by), "left")
 
 
 def one_vs_rest(df: DataFrame, key: str, p: str = "p", truth: str = "label") -> DataFrame:
@@ -118,7 +125,7 @@ def performance_multi(df: DataFrame, key: str) -> DataFrame:
         F.count_if((F.col("best") != F.col("class")) & (F.col("label") == F.col("class"))).alias("fn"),
     )
     rest = one_vs_rest(df, key)
-    per_class = cells.join(auroc(rest, ["class"]), "class").join(average_precision(rest, ["class"]), "class")
+    per_class = cells.join(areas(rest, ["class"]), "class")
     return per_class.agg(
         F.avg(F.expr("coalesce(try_divide(tp, tp + fp), 0)")).alias("precision"), F.avg(F.expr("coalesce(try_divide(tp, tp + fn), 0)")).alias("recall"),
         F.avg("auroc").alias("auroc"), F.avg("aupr").alias("aupr"), F.sum("tp").alias("correct"),
@@ -135,14 +142,13 @@ def compare_scores(df: DataFrame, by: Sequence[str], a: str, b: str, atol: float
     """Two scores of each row: KS statistic, Spearman, differences and whether all are close."""
     gap = F.abs(F.col(a) - F.col(b))
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    plain = both.groupBy(*by).agg(
-        F.max(gap).alias("max_diff"), F.avg(gap).alias("mean_diff"), F.percentile(gap, F.lit(0.5)).alias("median_diff"), F.stddev_pop(gap).alias("std_diff"),
+    ranked = both.withColumns({"ra": mid_rank(by, a), "rb": mid_rank(by, b)})
+    plain = ranked.groupBy(*by).agg(
+        F.corr("ra", "rb").alias("spearman"), F.max(gap).alias("max_diff"), F.avg(gap).alias("mean_diff"), F.percentile(gap, F.lit(0.5)).alias("median_diff"), F.stddev_pop(gap).alias("std_diff"),
         F.bool_and(gap <= atol + rtol * F.abs(F.col(b))).alias("all_close"),
     )
-    ranked = both.withColumns({"ra": mid_rank(by, a), "rb": mid_rank(by, b)})
-    spearman = ranked.groupBy(*by).agg(F.corr("ra", "rb").alias("spearman"))
     long = both.select(*by, F.expr(f"stack(2, 1, {a}, 0, {b}) as (first, v)")).groupBy(*by, "v").agg(F.sum("first").alias("na"), F.sum(1 - F.col("first")).alias("nb"))
     up, every = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
     steps = long.select(*by, F.abs(F.sum("na").over(up) / F.sum("na").over(every) - F.sum("nb").over(up) / F.sum("nb").over(every)).alias("step"))
     ks = steps.groupBy(*by).agg(F.max("step").alias("ks"))
-    return plain.join(spearman, list(by)).join(ks, list(by))
+    return plain.join(ks, list(by))

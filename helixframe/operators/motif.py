@@ -32,10 +32,10 @@ def motif_scan(reads: DataFrame, bank: dict[str, np.ndarray], bias: float, keys:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filters = [(name, strand, np.vstack([w if strand == "+" else w[::-1, ::-1]]).T) for name, w in bank.items() for strand in "+-"]
         for batch in batches:
-            parts = []
-            for row in batch.itertuples(index=False):
-                letters = code[np.frombuffer(row.seq.encode("latin-1", "replace"), np.uint8)]
-                for name, strand, weights in filters:
+            found: list[tuple] = []
+            for i, seq in enumerate(batch["seq"]):
+                letters = code[np.frombuffer((seq or "").encode("latin-1", "replace"), np.uint8)]
+                for f, (_, _, weights) in enumerate(filters):
                     m = weights.shape[1]
                     if len(letters) < m:
                         continue
@@ -44,11 +44,12 @@ def motif_scan(reads: DataFrame, bank: dict[str, np.ndarray], bias: float, keys:
                     for j in range(m):
                         value += padded[letters[j : j + len(value)], j]
                     at = np.flatnonzero(value > 0)
-                    if len(at):
-                        own = {k: [getattr(row, k)] * len(at) for k in keys}
-                        parts.append(pd.DataFrame(own | {"filter_id": name, "strand": strand, "pos": at, "activation": value[at]}))
-            if parts:
-                yield pd.concat(parts)
+                    found.append((np.full(len(at), i), np.full(len(at), f), at, value[at]))
+            if found:
+                row, of, at, value = (np.concatenate(x) for x in zip(*found, strict=True))
+                names, strands = np.array([x[0] for x in filters], object), np.array([x[1] for x in filters], object)
+                own = batch[list(keys)].iloc[row].reset_index(drop=True)
+                yield own.assign(filter_id=names[of], strand=strands[of], pos=at, activation=value)
 
     return reads.select(*keys, "seq").mapInPandas(scan, f"{fields}, filter_id string, strand string, pos long, activation double")
 
@@ -63,10 +64,12 @@ def center_weights(weights: DataFrame, bias: DataFrame) -> tuple[DataFrame, Data
 
 def motif_seqs(hits: DataFrame, reads: DataFrame, motif_len: int, on: Sequence[str]) -> DataFrame:
     """Sub-sequence of each hit, N beyond the read; reverse-strand hits reverse-complemented."""
-    pad = "N" * motif_len
-    padded = F.concat(F.lit(pad), F.col("seq"), F.lit(pad))
-    cut = F.substring(padded, (F.col("pos") + motif_len + 1).cast("int"), F.lit(motif_len))
-    both = hits.join(reads.select(*on, "seq"), list(on))
+    # cut first, then pad: the read itself is never copied for a hit
+    before = F.greatest(F.lit(0), -F.col("pos")).cast("int")
+    inside = F.substring("seq", (F.greatest(F.lit(0), F.col("pos")) + 1).cast("int"), F.greatest(F.lit(0), F.lit(motif_len) - before))
+    cut = F.rpad(F.concat(F.repeat(F.lit("N"), before), inside), motif_len, "N")
+    # dealt by key first: a sequence that is an expression would else be computed again for each hit
+    both = hits.join(reads.select(*on, "seq").repartition(*on), list(on))
     return both.withColumn("motif", F.when(F.col("strand") == "-", revcomp(cut)).otherwise(cut)).drop("seq")
 
 
@@ -87,9 +90,9 @@ def motif_matrix(seqs: DataFrame, weight: str | None = None) -> DataFrame:
 
 def to_pwm(matrix: DataFrame, bg: dict[str, float]) -> DataFrame:
     """Adds ``prob`` with background pseudocounts and ``logodds``; all four bases get a row."""
-    share = F.create_map(*(F.lit(x) for kv in bg.items() for x in kv))
-    places = matrix.select("filter_id", "pos").distinct().withColumn("base", F.explode(F.array(*map(F.lit, bg))))
-    full = places.join(matrix, ["filter_id", "pos", "base"], "left").withColumns({"cnt": F.coalesce("cnt", F.lit(0.0)), "bg": share[F.col("base")]})
+    wide = matrix.groupBy("filter_id", "pos").agg(*(F.coalesce(F.sum(F.when(F.col("base") == b, F.col("cnt"))), F.lit(0.0)).alias(b) for b in bg))
+    cells = F.array(*(F.struct(F.lit(b).alias("base"), F.col(b).alias("cnt"), F.lit(v).alias("bg")) for b, v in bg.items()))
+    full = wide.select("filter_id", "pos", F.inline(cells))
     total = F.sum("cnt").over(Window.partitionBy("filter_id", "pos")) + sum(bg.values())
     return full.withColumn("prob", (F.col("cnt") + F.col("bg")) / total).withColumn("logodds", F.log2(F.col("prob") / F.col("bg")))
 
