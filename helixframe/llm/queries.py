@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op10_decontamination
 from .dual_tree import op3_dual_tree
+from .language import op8_language
 from .packing import op5_packing
 from .secrets import op9_secrets
 from .simhash import op2_simhash
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_token_files": op6_token_files,
     "op7_toxicity": op7_toxicity,
+    "op8_language": op8_language,
     "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
 }
