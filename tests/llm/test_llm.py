@@ -15,7 +15,7 @@ os.environ["PYTHONPATH"] = f"{Path(__file__).parent}:{os.environ.get('PYTHONPATH
 import brute  # noqa: E402
 
 from helixframe.llm import (  # noqa: E402
-    _components, _repeats, _runs, _tokens, decontamination, dual_tree, near_dedup, packing, secrets, simhash, substring_dedup, suffix_dedup, token_files, toxicity,
+    _components, _repeats, _runs, _tokens, decontamination, dual_tree, language, near_dedup, packing, secrets, simhash, substring_dedup, suffix_dedup, token_files, toxicity,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -263,6 +263,49 @@ def test_op7(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def brute_language(rows, k, strength=5.0):
+    """``rows`` are (page_id, host, suffix, declared, ll, soft)."""
+    words = len({r[3] for r in rows})
+    out = {}
+    for page, host, suffix, declared, ll, soft in rows:
+        def share(field, value, i):
+            own = [r for r in rows if field is None or r[field] == value]
+            return sum(r[5][i] for r in own) - soft[i], len(own) - 1
+
+        total = []
+        for i in range(k):
+            n, of = share(None, None, i)
+            prior, said = (n + 1) / (of + k), n
+            for field, value in ((2, suffix), (1, host)):
+                m, of = share(field, value, i)
+                prior = (m + strength * prior) / (of + strength)
+            m, _ = share(3, declared, i)
+            total.append(ll[i] + math.log(max(prior, 1e-9)) + math.log(max((m + 1) / (said + words), 1e-9)))
+        best = max(total)
+        out[page] = total.index(best), 1 / sum(math.exp(t - best) for t in total)
+    return out
+
+
+def test_op8(spark):
+    docs, pages = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "pages"))
+    odd = [(-1, None, None), (-2, "", ""), (-3, "http://h.example.de:80/x?y", "<html LANG='DE-at'><body></body>"), (-4, "no address", "<p>the and of</p>")]
+    pages = pages.select("page_id", "url", "html").union(spark.createDataFrame(odd, "page_id long, url string, html string"))
+    languages, model = language.fit(docs)
+    assert languages == sorted(languages) and model.shape == (len(languages), language.BUCKETS)
+    rows = [tuple(r) for r in language.likelihoods(pages, languages, model).collect()]
+    assert {r[0]: r[1:4] for r in rows}[-3] == ("h.example.de", "de", "de")
+    want = brute_language(rows, len(languages))
+    found = language.identify(pages.withColumn("lang", F.lit("x")).withColumn("soft", F.lit(1)), languages, model).collect()
+    assert len(found) == len(rows) == len(want)
+    for r in found:
+        best, confidence = want[r.page_id]
+        assert r.lang == languages[best] and r.confidence == pytest.approx(confidence, rel=1e-6)
+    assert language.identify(pages.limit(0), languages, model).count() == 0
+    held = docs.where("lang is not null").selectExpr("doc_id as page_id", "cast(null as string) as url", "text as html", "lang as truth")
+    guess = language.identify(held, languages, model).join(held.select("page_id", "truth"), "page_id")
+    assert guess.where("text_lang = truth").count() / guess.count() > 0.95
+
+
 def test_op9_edges(spark, docs, texts, empty):
     ledger = secrets.new_ledger(spark)
     secrets.scan_unseen(docs, ledger)
@@ -356,5 +399,5 @@ def test_pipeline_stages(spark):
 def test_extra_columns_and_registration():
     from helixframe.llm import queries
 
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in (1, 2, 3, 4, 5, 6, 7, 9, 10)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
