@@ -1,13 +1,16 @@
-"""Near-dedup by SimHash similarity: fingerprints that agree in at least 80 % of their bits link.
+"""Near-dedup: texts that share at least 80 % of their five-word shingles link.
 
-Fingerprints are of five-word shingles.  Links within ``simhash.RADIUS`` bits come from the
-covering tables, which miss none.  A similarity of 0.8 allows 12 of 64 bits, for which covering
-tables would number 8191, so wider pairs are proposed by bands of shingle minima instead: texts
-that share 0.8 of their shingles meet in one of ``BANDS`` with a chance over 0.999.  Every link is
-checked on the fingerprints.
+Every link is decided on the exact sets of shingle hashes; fingerprints and bands only propose.
+Proposed are pairs whose fingerprints differ in ``simhash.RADIUS`` bits at most (the covering
+tables miss none) and pairs that meet in one of ``BANDS`` bands of shingle minima, as texts that
+share 0.8 of their shingles do with a chance over 0.999.
 
-Nulls and wordless texts form one group; repeated rows and copies share a fingerprint and so a
-group; an empty table gives an empty result; all columns of the input are kept as they are.
+Texts with equal sets are one node.  First each bucket's least node is compared with all others;
+then, in buckets that still hold several components, all pairs between these.  So copies of one
+text cost one comparison each, and no proposed pair that could join two components is left out.
+
+Nulls and wordless texts form one group; repeated rows and copies share a node and so a group; an
+empty table gives an empty result; all columns of the input are kept as they are.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash as S
@@ -32,42 +35,107 @@ BAND_ROWS = 4
 _RNG = np.random.default_rng(11)
 _FACTORS = _RNG.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RNG.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
+_EPS = 1e-9
 
 
-def describe(body: bytes, words_each: int) -> tuple[int, list[int]]:
-    """Fingerprint and band keys of one text."""
-    count, n = np.zeros(S.BITS, np.int64), 0
+def describe(body: bytes, words_each: int) -> tuple[np.ndarray, int, list[int]]:
+    """Sorted distinct shingle hashes of one text, and their fingerprint and band keys."""
+    shingles = np.unique(np.concatenate([np.zeros(0, np.uint64), *S.shingle_hashes(body, words_each)]))
+    count = np.zeros(S.BITS, np.int64)
     least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for h in S.shingle_hashes(body, words_each):
-        n += len(h)
+    for at in range(0, len(shingles), S.CHUNK):
+        h = shingles[at : at + S.CHUNK]
         count += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, S.BITS).sum(0, dtype=np.int64)
         for i, (a, b) in enumerate(zip(_FACTORS, _SHIFTS, strict=True)):
             least[i] = min(least[i], (h * a + b).min())
-    fp = int(np.packbits(2 * count > n, bitorder="little").view(np.int64)[0])
+    fp = int(np.packbits(2 * count > len(shingles), bitorder="little").view(np.int64)[0])
     bands = [xxhash.xxh3_64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
-    return fp, bands
+    return shingles, fp, bands
 
 
-def groups(docs: DataFrame, words_each: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``dkey, tkey, doc_id, root`` for every document (see ``keyed``); equal roots are a group."""
-    radius = int(S.BITS * (1 - similarity) + 1e-9)
-    schema = pa.schema([("dkey", pa.int64()), ("tkey", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+def described(docs: DataFrame, words_each: int) -> DataFrame:
+    """``dkey, tkey, doc_id, node, fp, bands, shingles, at``: ``at`` numbers the rows."""
+    fields = [(c, pa.int64()) for c in ("dkey", "tkey", "doc_id", "node", "fp")]
+    schema = pa.schema([*fields, ("bands", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [describe(b.tobytes(), words_each) for b in as_bytes(batch.column("body"))]
             own = [batch.column(c) for c in ("dkey", "tkey", "doc_id")]
-            yield batch_of(schema, [*own, [f for f, _ in found], [b for _, b in found]])
-
-    marked = materialise(
-        keyed(docs).mapInArrow(run, "dkey long, tkey long, doc_id long, fp long, bands array<long>"), "described"
-    )
-    different = marked.groupBy("fp").agg(F.first("bands").alias("bands"))
-    near = S.covering_links(different.select("fp"))
-    wide = different.select("fp", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "fp")
-    links = near.unionByName(S.bucket_links(wide, radius))
-    roots = connected_components(links).withColumnRenamed("u", "fp")
-    return marked.join(roots, "fp", "left").select("dkey", "tkey", "doc_id", F.coalesce("root", "fp").alias("root"))
+            nodes = [xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63) for h, *_ in found]
+            yield batch_of(schema, [*own, nodes, [f for _, f, _ in found], [b for *_, b in found], [h.view(np.int64) for h, *_ in found]])
+
+    ddl = "dkey long, tkey long, doc_id long, node long, fp long, bands array<long>, shingles array<long>"
+    return materialise(keyed(docs).mapInArrow(run, ddl).withColumn("at", F.monotonically_increasing_id()), "described")
+
+
+def buckets(nodes: DataFrame) -> DataFrame:
+    """``bucket, bits, member``: every node under its bands and covering tables (``bits``)."""
+    keys = lambda b, bits: F.struct(b.alias("bucket"), F.lit(bits).alias("bits"))
+    bands = F.transform("bands", lambda key, i: keys(F.xxhash64(i, key), False))
+    masks = S.covering_masks(S.RADIUS)
+    tables = [keys(F.xxhash64(F.lit(-1 - t), F.col("fp").bitwiseAND(F.lit(m))), True) for t, m in enumerate(masks)]
+    member = F.struct("node", "at", "n", "fp").alias("member")
+    return nodes.select(member, F.explode(F.concat(bands, F.array(*tables))).alias("key")).select("key.bucket", "key.bits", "member")
+
+
+def _proposed(a: Column, b: Column, bits: Column, similarity: float) -> Column:
+    """Whether sizes leave room for the similarity, and covering tables' members are near in fact."""
+    near = F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= S.RADIUS
+    return (F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]) - _EPS) & (~bits | near)
+
+
+def _ends(a: Column, b: Column) -> list[Column]:
+    return [a["node"].alias("u"), b["node"].alias("v"), a["at"].alias("at_u"), b["at"].alias("at_v")]
+
+
+def alike(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+    """``u, v`` of the pairs whose shingle sets have the similarity."""
+    used = pairs.select(F.col("at_u").alias("at")).unionByName(pairs.select(F.col("at_v").alias("at"))).distinct()
+    sets = materialise(marked.select("at", "shingles").join(used, "at", "left_semi"), "sets")
+    both = pairs.join(sets.select(F.col("at").alias("at_u"), F.col("shingles").alias("x")), "at_u")
+    both = both.join(sets.select(F.col("at").alias("at_v"), F.col("shingles").alias("y")), "at_v")
+    shared = F.size(F.array_intersect("x", "y"))
+    counted = both.select("u", "v", shared.alias("shared"), (F.size("x") + F.size("y")).alias("sizes"))
+    held = counted.where(F.col("shared") >= similarity * (F.col("sizes") - F.col("shared")) - _EPS)
+    return materialise(held.select("u", "v"), "links")
+
+
+def links_of(marked: DataFrame, similarity: float) -> DataFrame:
+    """``u, root`` of nodes linked by exact similarity; marked is ``described``'s."""
+    nodes = marked.select("node", "at", F.size("shingles").alias("n"), "fp", "bands").groupBy("node").agg(
+        F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("n", "fp", "bands"))
+    )
+    w = Window.partitionBy("bucket")
+    hubs = buckets(nodes).withColumns({"hub": F.min("member").over(w), "last": F.max("member.node").over(w)})
+    rows = materialise(hubs.where("hub.node < last and member.node > hub.node").drop("last"), "buckets")
+    member, hub = F.col("member"), F.col("hub")
+    stars = materialise(rows.where(_proposed(hub, member, F.col("bits"), similarity)).select(*_ends(hub, member)).distinct(), "pairs")
+    roots = connected_components(alike(stars, marked, similarity))
+
+    # hubs are done with; of the rest, only members of different components can still add a link
+    rest = rows.select("bucket", "bits", "member", F.col("member.node").alias("u")).join(roots, "u", "left")
+    rest = rest.select("bucket", "bits", "member", F.coalesce("root", "u").alias("root"))
+    parts = rest.groupBy("bucket", "root").agg(F.count("*").alias("size"))
+    mixed = parts.groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    rest = materialise(rest.join(mixed.drop("parts"), "bucket"), "mixed")
+    small = rest.where("root <> main").select("bucket", F.col("member").alias("a"), F.col("root").alias("of"))
+    a, b = F.col("a"), F.col("member")
+    across = small.join(rest, "bucket").where((F.col("of") != F.col("root")) & ((F.col("root") == F.col("main")) | (a["node"] < b["node"])))
+    across = across.where(_proposed(a, b, F.col("bits"), similarity))
+    first, second = F.when(a["node"] < b["node"], a).otherwise(b), F.when(a["node"] < b["node"], b).otherwise(a)
+    pairs = materialise(across.select(*_ends(first, second)).distinct().join(stars, ["u", "v"], "left_anti"), "pairs")
+    if pairs.isEmpty():
+        return roots
+    more = alike(pairs, marked, similarity)
+    return connected_components(more.unionByName(roots.select("u", F.col("root").alias("v"))))
+
+
+def groups(docs: DataFrame, words_each: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``dkey, tkey, doc_id, root`` for every document (see ``keyed``); equal roots are a group."""
+    marked = described(docs, words_each)
+    roots = links_of(marked, similarity).withColumnRenamed("u", "node")
+    return marked.join(roots, "node", "left").select("dkey", "tkey", "doc_id", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame, words_each: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -370,6 +370,44 @@ def test_near_dedup_keeps_one_of_each_group(spark, docs, texts):
     assert set(lone) <= set(ids)
 
 
+def passages(rng, n):
+    return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def resemblance_groups(texts):
+    """Brute force: five-word shingle sets of all pairs at 0.8."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for _, t in texts]
+    root = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    found = {}
+    for (d, _), r in zip(texts, root, strict=True):
+        found.setdefault(r, set()).add(d)
+    return {frozenset(g) for g in found.values()}
+
+
+def test_near_dedup_decides_on_exact_resemblance(spark):
+    rng = random.Random(6)
+    texts = []
+    for share in (0.5, 0.7, 0.76, 0.84, 0.9, 0.97):
+        for _ in range(6):  # a long passage shared by texts with ends of their own
+            base, n = passages(rng, 100), round(100 * (1 - share) / (2 * share))
+            texts += [" ".join([*passages(rng, n), *base, *passages(rng, n)]) for _ in range(3)]
+    base = passages(rng, 200)
+    texts += [" ".join(base[i : i + 120]) for i in range(0, 60, 4)]  # a chain of links
+    for _ in range(5):
+        base = passages(rng, 300)
+        texts += [" ".join("edit" if i in at else w for i, w in enumerate(base)) for at in ([], *(rng.sample(range(300), 8) for _ in range(12)))]
+    texts += ["", " ", "one two", "one two three", "One  two", *(" ".join(["same", "words"] * k) for k in (3, 4, 40))]
+    texts = list(enumerate(texts))
+    found = {}
+    for r in near_dedup.groups(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        found.setdefault(r.root, set()).add(r.doc_id)
+    assert {frozenset(g) for g in found.values()} == resemblance_groups(texts)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
