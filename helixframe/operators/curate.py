@@ -57,33 +57,33 @@ def extend_links(links: DataFrame, better: DataFrame, key: str, name: str, order
     return out.withColumn("assembly", F.coalesce("__new", "assembly")).drop("__new")
 
 
-def ancestors(nodes: DataFrame, max_depth: int = 100) -> DataFrame:
+def ancestors(nodes: DataFrame) -> DataFrame:
     """``taxid, ancestor, depth`` for every node, itself included, by doubling the climbed path.
 
     Each round joins the climbed pairs with themselves, so rounds grow with the logarithm of the
-    depth; a table of pairs replaces one walk for each id.
+    depth; a table of pairs replaces one walk for each id.  Paths are climbed to their end; a cycle
+    of parents raises ``ValueError``.
     """
     parents = nodes.where("parent <> taxid").select("taxid", F.col("parent").alias("ancestor"))
     own = nodes.select("taxid", F.col("taxid").alias("ancestor"), F.lit(0).alias("depth"))
     pairs = own.unionByName(parents.select("taxid", "ancestor", F.lit(1).alias("depth")))
     reach = 1
-    while reach < max_depth:
-        a, b = pairs.alias("a"), pairs.alias("b")
-        longest = pairs.where(F.col("depth") == reach)
+    while not (longest := pairs.where(F.col("depth") == reach)).isEmpty():
+        if not pairs.where("depth > 0 and ancestor = taxid").isEmpty():
+            raise ValueError("parents of nodes form a cycle")
+        b = pairs.alias("b")
         further = longest.alias("a").join(b, F.col("a.ancestor") == F.col("b.taxid")).where("b.depth > 0").select("a.taxid", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        grown = pairs.unionByName(further).checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else pairs.unionByName(further)
-        if longest.isEmpty():
-            break
-        pairs, reach = grown, reach * 2
+        grown = pairs.unionByName(further)
+        pairs, reach = grown.checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else grown, reach * 2
     return pairs.where(F.col("ancestor") != 0)
 
 
-def ancestor_at(ids: DataFrame, nodes: DataFrame, rank: str, merged: DataFrame | None = None, max_depth: int = 100) -> DataFrame:
+def ancestor_at(ids: DataFrame, nodes: DataFrame, rank: str, merged: DataFrame | None = None) -> DataFrame:
     """Nearest ancestor of each id with ``rank``; ids pass through ``merged (old, new)`` first."""
     if merged is not None:
         ids = ids.join(merged.select(F.col("old").alias("taxid"), "new"), "taxid", "left").select(F.coalesce("new", "taxid").alias("taxid"))
     ranks = nodes.where(F.col("rank") == rank).select(F.col("taxid").alias("ancestor"))
-    hits = ancestors(nodes, max_depth).join(ranks, "ancestor").groupBy("taxid").agg(F.min_by("ancestor", "depth").alias("at_rank"))
+    hits = ancestors(nodes).join(ranks, "ancestor").groupBy("taxid").agg(F.min_by("ancestor", "depth").alias("at_rank"))
     return ids.join(hits, "taxid", "left")
 
 

@@ -93,7 +93,7 @@ QUERIES = {
     "cur_match": lambda s, d: C.resolve_candidates(_events(s, d), "species", F.expr("o_orderstatus = 'F'"), [F.desc("o_orderdate"), "acc"]).select("species", "acc"),
     "cur_extend": lambda s, d: C.extend_links(
         _events(s, d).selectExpr("acc", "species", "acc as assembly"), _events(s, d).where("o_orderstatus = 'P'").selectExpr("species", "acc as assembly", "o_totalprice"), "acc", "species", [F.desc("o_totalprice"), "assembly"]).select("acc", "species", "assembly", "extended"),
-    "tax_ancestor": lambda s, d: C.ancestor_at(_nodes(s, d).select("taxid"), _nodes(s, d), "family", None, 16),
+    "tax_ancestor": lambda s, d: C.ancestor_at(_nodes(s, d).select("taxid"), _nodes(s, d), "family"),
     "tax_resolve": lambda s, d: C.resolve_names(_T(s, d, "part").selectExpr("p_brand as name").distinct(), _cands(s, d)).select("name", "taxid", "tier"),
     "lab_merge": lambda s, d: C.merge_evidence(_evidence(s, d), ["f", "o"]),
     "lab_tiers": lambda s, d: C.label_tiers(_T(s, d, "orders"), [("confirmed", "o_orderstatus = 'F' and o_totalprice > 200000"), ("plant", "o_orderpriority = '5-LOW'"), ("suspected", "o_orderstatus = 'P'")]).select("o_orderkey", "tier"),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import seq as S
-from helixframe.operators import assemble, classify, genome, metrics, motif, sample, score
+from helixframe.operators import assemble, classify, curate, genome, metrics, motif, sample, score
 from helixframe.sources import files
 
 
@@ -128,3 +128,24 @@ def test_one_base_contig_and_gap(spark):
     frags = spark.createDataFrame([("g", "a", -2, 3, 0.75), ("g", "b", 0, 4, 0.75), ("g", "b", 6, 12, 0.75)], "genome string, contig string, start long, end long, p double")
     got = genome.genome_map(frags, contigs).orderBy("contig", "start").collect()
     assert [(r.contig, r.start, r.end, r.score) for r in got] == [("a", 0, 1, 0.25), ("b", 0, 4, 0.25), ("b", 4, 6, None), ("b", 6, 10, 0.25)]
+
+
+def test_ancestors_climb_deep_trees_to_their_end(spark):
+    n = 300
+    nodes = spark.createDataFrame([(i, i - 1, "family" if i == 1 else "genus") for i in range(1, n + 1)], "taxid long, parent long, rank string")
+    got = rows(curate.ancestor_at(nodes.select("taxid"), nodes, "family"))
+    assert got == [(i, 1) for i in range(1, n + 1)]
+
+
+def test_tax_ancestor_has_no_cap_on_depth(spark, tmp_path):
+    from helixframe.plans import tables
+
+    chain = [1 << i for i in range(25)]
+    spark.createDataFrame([(k, 50 if k == 1 else 5) for k in chain], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    assert rows(tables.QUERIES["tax_ancestor"](spark, str(tmp_path)).select("taxid", "at_rank")) == [(k, 1) for k in chain]
+
+
+def test_cycle_of_parents_raises(spark):
+    nodes = spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 4)], "taxid long, parent long")
+    with pytest.raises(ValueError, match="cycle"):
+        curate.ancestors(nodes)
