@@ -408,6 +408,19 @@ def test_near_dedup_decides_on_exact_resemblance(spark):
     assert {frozenset(g) for g in found.values()} == resemblance_groups(texts)
 
 
+def test_near_dedup_uses_bands_of_every_text(spark):
+    rng = random.Random(8)
+    base, lone = passages(rng, 91), [" ".join(passages(rng, 60)) for _ in range(6)]
+    # repeats outweigh the ends, so all fingerprints of whole texts agree, but not their shingles
+    texts = [" ".join(base * 60 + [tail]) for tail in lone] + [" ".join([*base, *tail.split()]) for tail in lone]
+    texts = list(enumerate(texts))
+    assert len({simhash.fingerprint(t.encode(), near_dedup.SHINGLE) for _, t in texts[:6]}) == 1
+    found = {}
+    for r in near_dedup.groups(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        found.setdefault(r.root, set()).add(r.doc_id)
+    assert {frozenset(g) for g in found.values()} == resemblance_groups(texts)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
