@@ -36,6 +36,7 @@ _RNG = np.random.default_rng(11)
 _FACTORS = _RNG.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RNG.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
 _EPS = 1e-9
+SENT = 2_000_000
 
 
 def describe(body: bytes, words_each: int) -> tuple[np.ndarray, int, list[int]]:
@@ -89,10 +90,15 @@ def _ends(a: Column, b: Column) -> list[Column]:
     return [a["node"].alias("u"), b["node"].alias("v"), a["at"].alias("at_u"), b["at"].alias("at_v")]
 
 
-def alike(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+def sets_of(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """``at, shingles`` of all nodes in the buckets ``rows``; few enough nodes spare the sets a shuffle."""
+    used = materialise(rows.select(F.explode(F.array("hub.at", "member.at")).alias("at")).distinct(), "used")
+    used = F.broadcast(used) if used.count() <= SENT else used
+    return materialise(marked.select("at", "shingles").join(used, "at", "left_semi"), "sets")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``u, v`` of the pairs whose shingle sets have the similarity."""
-    used = pairs.select(F.col("at_u").alias("at")).unionByName(pairs.select(F.col("at_v").alias("at"))).distinct()
-    sets = materialise(marked.select("at", "shingles").join(used, "at", "left_semi"), "sets")
     both = pairs.join(sets.select(F.col("at").alias("at_u"), F.col("shingles").alias("x")), "at_u")
     both = both.join(sets.select(F.col("at").alias("at_v"), F.col("shingles").alias("y")), "at_v")
     shared = F.size(F.array_intersect("x", "y"))
@@ -111,7 +117,8 @@ def links_of(marked: DataFrame, similarity: float) -> DataFrame:
     rows = materialise(hubs.where("hub.node < last and member.node > hub.node").drop("last"), "buckets")
     member, hub = F.col("member"), F.col("hub")
     stars = materialise(rows.where(_proposed(hub, member, F.col("bits"), similarity)).select(*_ends(hub, member)).distinct(), "pairs")
-    roots = connected_components(alike(stars, marked, similarity))
+    sets = sets_of(rows, marked)
+    roots = connected_components(alike(stars, sets, similarity))
 
     # hubs are done with; of the rest, only members of different components can still add a link
     rest = rows.select("bucket", "bits", "member", F.col("member.node").alias("u")).join(roots, "u", "left")
@@ -127,7 +134,7 @@ def links_of(marked: DataFrame, similarity: float) -> DataFrame:
     pairs = materialise(across.select(*_ends(first, second)).distinct().join(stars, ["u", "v"], "left_anti"), "pairs")
     if pairs.isEmpty():
         return roots
-    more = alike(pairs, marked, similarity)
+    more = alike(pairs, sets, similarity)
     return connected_components(more.unionByName(roots.select("u", F.col("root").alias("v"))))
 
 
