@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from helixframe.llm import decontamination, near_dedup, packing, secrets, toxicity
 from helixframe.llm._shared import materialise
@@ -15,19 +16,19 @@ MASK = "<secret>"
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` and all other columns in ``__row``, where no name can clash."""
+    """``doc_id, text`` and all other columns in ``row``, where no name can clash."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("__"), *rest).alias("__row"))
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row") if rest else F.lit(0).alias("row"))
 
 
 def unpacked(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.select(*(c if c in ("doc_id", "text") else F.col("__row").getField(c).alias(c) for c in names))
+    return df.select(*(c if c in ("doc_id", "text") else F.col("row").getField(c).alias(c) for c in names))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores under one half."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(packed(docs), model, "text", "__row")
+    scored = toxicity.score(packed(docs), model, "text", "row")
     return unpacked(scored.where("score < 0.5"), docs.columns)
 
 
@@ -37,20 +38,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
+    """Documents without any benchmark window; a row is known by a hash of its id and text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    tagged = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    found = decontamination.matches(tagged.select(F.col("__key").alias("doc_id"), "text"), benchmark)
-    hit = found.where(F.size("hits") > 0).select(F.col("doc_id").alias("__key")).distinct()
-    return tagged.join(hit, "__key", "left_anti").select(*docs.columns)
+    key = F.xxhash64("doc_id", "text").alias("doc_id")
+    found = decontamination.matches(docs.select(key, "text"), benchmark)
+    hit = found.where(F.size("hits") > 0).select("doc_id").distinct()
+    return docs.select(key, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).join(hit, "doc_id", "left_anti").select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with found secrets masked and ``n_chars`` counted again where any was."""
     ledger = secrets.new_ledger(spark)
     secrets.scan_unseen(docs, ledger)
-    found = secrets.findings(packed(docs), ledger, secrets.RULES, "text", "__row")
-    kept = ["doc_id", "text", "__row", "masked"]
+    found = secrets.findings(packed(docs), ledger, secrets.RULES, "text", "row")
+    kept = ["doc_id", "text", "row", "masked"]
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,12 +68,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
             yield pa.RecordBatch.from_arrays(columns, names=kept)
 
     with_flag = found.withColumn("masked", F.size("spans") > 0)
-    ddl = ", ".join(f"`{c}` {with_flag.schema[c].dataType.simpleString()}" for c in kept)
-    masked = with_flag.mapInArrow(mask, ddl)
+    masked = with_flag.mapInArrow(mask, StructType([with_flag.schema[c] for c in kept]))
     out = unpacked(masked, docs.columns)
     if "n_chars" in docs.columns:
-        n_chars = F.when(F.col("masked"), F.length("text")).otherwise(F.col("__row.n_chars")).cast(docs.schema["n_chars"].dataType)
-        out = unpacked(masked.withColumn("__row", F.col("__row").withField("n_chars", n_chars)), docs.columns)
+        n_chars = F.when(F.col("masked"), F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+        out = unpacked(masked.withColumn("row", F.col("row").withField("n_chars", n_chars)), docs.columns)
     return out
 
 
