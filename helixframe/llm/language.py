@@ -9,7 +9,8 @@ the same way, as the share of each declared value among the pages of each langua
 
 Null pages have no text and keep the prior's language; null addresses share one empty host and
 suffix; a missing declaration is a value of its own; repeated rows are classified each; ties go to
-the language first in order; an empty table gives an empty result; other columns are ignored.
+the language first in order; an empty table gives an empty result; without documents of a known
+language every page's language is null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._runs import BYTE_SYMBOLS, Hasher
@@ -46,31 +47,33 @@ def grams(body: bytes) -> np.ndarray:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the log probability of each bucket in each."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    languages = [r[0] for r in known.select("lang").distinct().orderBy("lang").collect()]
-    order = F.xxhash64(F.lit("language"), "doc_id")
-    parts = [known.where(F.col("lang") == x).select("lang", "doc_id").orderBy(order, "doc_id").limit(per_language) for x in languages]
-    counts = np.full((len(languages), BUCKETS), 0.5)
-    if not languages:
-        return languages, counts
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen.unionByName(p)
-    schema = pa.schema([("lang", pa.string()), ("ids", pa.binary()), ("n", pa.binary())])
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("language"), "doc_id"), "doc_id")
+    # a window's rank filter is applied in each task before the shuffle, so no task sees a whole language
+    chosen = known.select("lang", "doc_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).drop("r")
+    schema = pa.schema([("lang", pa.string()), ("ids", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(grams(b.tobytes()), return_counts=True) for b in as_bytes(batch.column("body"))]
-            yield batch_of(schema, [batch.column("lang"), [i.astype(np.int32).tobytes() for i, _ in found], [n.astype(np.int32).tobytes() for _, n in found]])
+            yield batch_of(schema, [batch.column("lang"), [i.astype(np.int32) for i, _ in found], [n.astype(np.int32) for _, n in found]])
 
     sample = F.broadcast(chosen.distinct())  # per_language rows of each language at most
     texts = known.select("doc_id", "lang", F.col("text").cast("binary").alias("body")).join(sample, ["doc_id", "lang"])
-    for row in texts.select("lang", "body").mapInArrow(count, "lang string, ids binary, n binary").collect():
-        counts[languages.index(row.lang), np.frombuffer(row.ids, np.int32)] += np.frombuffer(row.n, np.int32)
+    one_each = texts.groupBy("doc_id", "lang").agg(F.min("body").alias("body"))
+    rows = one_each.mapInArrow(count, "lang string, ids array<int>, n array<int>").select("lang", F.inline(F.arrays_zip("ids", "n")))
+    counted = rows.groupBy("lang", "ids").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # BUCKETS rows a language at most
+    languages = sorted(set(counted["lang"]) | {r[0] for r in chosen.select("lang").distinct().collect()})
+    counts = np.full((len(languages), BUCKETS), 0.5)
+    place = {x: i for i, x in enumerate(languages)}
+    np.add.at(counts, (counted["lang"].map(place).to_numpy(np.int64), counted["ids"].to_numpy(np.int64)), counted["n"].to_numpy())
     return languages, np.log(counts / counts.sum(1, keepdims=True))
 
 
 def likelihoods(pages: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
-    """``page_id, host, suffix, declared, ll, soft``: text likelihoods and the posterior of text alone."""
+    """``page_id, host, suffix, declared, ll, soft``: text likelihoods and the posterior of text alone.
+
+    Without languages both lists are empty.
+    """
     shared = pages.sparkSession.sparkContext.broadcast(model)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]*)", 1), F.lit("")))
     declared = F.lower(F.coalesce(F.regexp_extract("html", r"""(?is)<html[^>]*\blang\s*=\s*["']?([a-zA-Z]{2,3})""", 1), F.lit("")))
@@ -90,8 +93,9 @@ def likelihoods(pages: DataFrame, languages: list[str], model: np.ndarray) -> Da
                 ids, n = np.unique(grams(_TAGS.sub(b" ", body.tobytes())), return_counts=True)
                 total = n.sum()
                 ll = logs[:, ids] @ n * (min(1.0, EVIDENCE / total) if total else 0.0)
-                raised = np.exp(ll - ll.max())
-                lls.append((ll - ll.max()).tolist())
+                best = ll.max(initial=-np.inf)
+                raised = np.exp(ll - best)
+                lls.append((ll - best).tolist())
                 softs.append((raised / raised.sum()).tolist())
             yield batch_of(schema, [*(batch.column(c) for c in names), lls, softs])
 
@@ -106,6 +110,9 @@ def _sums(df: DataFrame, by: list[str], k: int, name: str) -> DataFrame:
 def identify(pages: DataFrame, languages: list[str], model: np.ndarray, strength: float = STRENGTH) -> DataFrame:
     """``page_id, lang, confidence, text_lang, declared, host``."""
     k = len(languages)
+    if not k:
+        none = F.lit(None).cast("string")
+        return likelihoods(pages, languages, model).select("page_id", none.alias("lang"), F.lit(None).cast("double").alias("confidence"), none.alias("text_lang"), "declared", "host")
     found = materialise(likelihoods(pages, languages, model), "likelihoods")
     every = _sums(found, [], k, "a")  # one row of sums
     by_suffix, by_host, by_word = (_sums(found, [c], k, n) for c, n in (("suffix", "s"), ("host", "h"), ("declared", "d")))
