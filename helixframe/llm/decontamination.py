@@ -5,10 +5,15 @@ and holds, for each of its terms, the ascending list of places where it occurs (
 from the segment's start, with a gap between texts, so no phrase crosses two).  It is stored as a
 table, one row a term and segment.
 
-A benchmark window is looked up segment by segment: terms are taken from the rarest in that
-segment on, and each list, moved back by the term's offset in the window, is intersected with the
-candidates so far.  What is left are the exact places of the phrase.  ``slop`` also reports places
-where the two rarest terms stand within that many words of their offsets (proximity matches).
+A benchmark window is looked up segment by segment.  Windows are listed under the term of theirs
+that fewest windows have, so only those under a term that a segment holds are considered, and of
+these those whose every term it holds.  Then terms are taken from the rarest in that segment on, and
+each list, moved back by the term's offset in the window, is intersected with the candidates so far.
+What is left are the exact places of the phrase.  ``slop`` also reports places where the two rarest
+terms stand within that many words of their offsets (proximity matches).
+
+The benchmark is read in blocks of about ``BLOCK_BYTES`` of text, dealt by item; each block's windows
+are broadcast and looked up in the one index, and a document's matches are put together at the end.
 
 Words are lower-cased in A-Z and cut at ASCII characters that are no letters or digits.  Null
 texts and items have no words and match nothing; an item shorter than a window is one window;
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +39,8 @@ from .toxicity import words_of
 
 WINDOW = 10
 SEGMENT_WORDS = 1 << 21
-#: The longest benchmark that is sent to every task, in bytes of text.
-BENCHMARK_BYTES = 256 << 20
+#: Bytes of benchmark text whose windows are sent to every task at once.
+BLOCK_BYTES = 8 << 20
 INDEX = "segment long, term binary, n int, places binary"
 
 
@@ -108,40 +114,64 @@ def phrase_places(window: tuple[int, ...], lists: list[np.ndarray], slop: int =
     return found
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """``doc_id, n_words, hits array<struct<start, end>>, items array<long>, near array<long>``.
+class Phrases:
+    """Different windows of some items: their terms, owners, and a list of windows for each term."""
 
-    ``hits`` are maximal runs of covered words; ``items`` have exact windows in the document,
-    ``near`` those that only match by proximity (empty without ``slop``).
-    """
-    spark = docs.sparkSession
-    texts = benchmark.where("text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("binary").alias("body"))
-    size = texts.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
-    if size > BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes of text; split it into parts of {BENCHMARK_BYTES}")
-    owners: dict[tuple, set] = defaultdict(set)
-    for row in texts.collect():
-        for own in windows_of(bytes(row.body), window):
-            owners[own].add(row.item_id)
-    terms = {t: i for i, t in enumerate(sorted({t for own in owners for t in own}))}
-    phrases = [(tuple(terms[t] for t in own), sorted(items, key=str)) for own, items in owners.items()]
-    shared = spark.sparkContext.broadcast((terms, phrases))
+    def __init__(self, items: list[tuple[int, bytes]], window: int):
+        owners: dict[tuple, set] = defaultdict(set)
+        for item, body in items:
+            for own in windows_of(body, window):
+                owners[own].add(item)
+        self.terms = {t: i for i, t in enumerate(sorted({t for own in owners for t in own}))}
+        self.owners = [sorted(x, key=str) for x in owners.values()]
+        self.size = np.fromiter(map(len, owners), np.int32, len(owners))
+        self.term = np.fromiter((self.terms[t] for own in owners for t in own), np.int32, int(self.size.sum()))
+        self.start = np.cumsum(self.size) - self.size
+        used = np.bincount(self.term, minlength=len(self.terms))
+        least = [int(min(self.phrase(i), key=lambda t: (used[t], t))) for i in range(len(self.size))]
+        self.under = np.argsort(least, kind="stable")
+        self.under_start = np.searchsorted(np.sort(least), np.arange(len(self.terms) + 1))
+
+    def phrase(self, i: int) -> np.ndarray:
+        return self.term[self.start[i] : self.start[i] + self.size[i]]
+
+    def possible(self, held: np.ndarray) -> list[int]:
+        """Windows whose every term is among the sorted terms ``held``."""
+        found = [self.under[self.under_start[t] : self.under_start[t + 1]] for t in held]
+        listed = np.concatenate([np.zeros(0, np.int64), *found])
+        has = np.zeros(len(self.terms), bool)
+        has[held] = True
+        return [i for i in listed.tolist() if has[self.phrase(i)].all()]
+
+
+def _blocks(texts: DataFrame, size: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The benchmark's items in parts of about ``size`` bytes, one at a time in the driver."""
+    total = texts.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
+    n = max(1, -(-total // size))
+    for block in range(n):
+        own = texts.where(F.pmod(F.xxhash64("item_id", "body"), F.lit(n)) == block)
+        yield [(r.item_id, bytes(r.body)) for r in own.collect()]
+
+
+def _look_up(index: DataFrame, phrases: Phrases, window: int, slop: int) -> DataFrame:
+    """``segment, place, doc_id, n_words, hits, items, near`` of every document in the index."""
+    spark = index.sparkSession
+    shared = spark.sparkContext.broadcast(phrases)
     struct = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([
-        ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(struct)), ("items", pa.list_(pa.int64())), ("near", pa.list_(pa.int64())),
+        ("segment", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()),
+        ("hits", pa.list_(struct)), ("items", pa.list_(pa.int64())), ("near", pa.list_(pa.int64())),
     ])
-    ddl = "doc_id long, n_words long, hits array<struct<start: long, end: long>>, items array<long>, near array<long>"
 
-    def search(postings: dict[int, np.ndarray], table: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, phrases = shared.value
-        lists = defaultdict(lambda: np.zeros(0, np.int64), {k: np.cumsum(v, dtype=np.int64) for k, v in postings.items()})
+    def search(segment: int, postings: dict[int, np.ndarray], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        phrases = shared.value
+        lists = {k: np.cumsum(v, dtype=np.int64) for k, v in postings.items()}
         first, n_docs = table[:, 2], len(table) - 1
         hits: dict[int, list] = defaultdict(list)
         items: dict[int, set] = defaultdict(set)
         near: dict[int, set] = defaultdict(set)
-        for phrase, owner in phrases:
-            if any(t not in postings for t in phrase):
-                continue
+        for i in phrases.possible(np.array(sorted(lists), np.int64)):
+            phrase, owner = phrases.phrase(i).tolist(), phrases.owners[i]
             for into, places in ((items, phrase_places(phrase, lists)), *([(near, phrase_places(phrase, lists, slop))] if slop else [])):
                 at = np.searchsorted(first, places, "right") - 1
                 for doc, place in zip(at.tolist(), places.tolist(), strict=True):
@@ -156,28 +186,66 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
             a, b = cover(own[:, 0], own[:, 1], int(size[doc])) if own is not None else ((), ())
             spans.append([{"start": x, "end": y} for x, y in zip(a, b, strict=True)])
         ids = [None if null else d for d, null, _ in table[:-1].tolist()]
-        yield batch_of(schema, [ids, size, spans, [sorted(items[d]) if d in items else [] for d in range(n_docs)], [sorted(near[d] - items.get(d, set())) if d in near else [] for d in range(n_docs)]])
+        of = [[sorted(x[d]) if d in x else [] for d in range(n_docs)] for x in (items, near)]
+        yield batch_of(schema, [np.full(n_docs, segment), first[:-1], ids, size, spans, *of])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, current, postings, table = shared.value[0], None, {}, None
+        known, current, postings, table = shared.value.terms, None, {}, None
         for batch in batches:
             for segment, term, places in zip(batch.column("segment").to_pylist(), batch.column("term").to_pylist(), batch.column("places"), strict=True):
                 if segment != current:
                     if table is not None:
-                        yield from search(postings, table)
+                        yield from search(current, postings, table)
                     current, postings, table = segment, {}, None
                 if term is None:
                     table = np.frombuffer(places.as_py(), "<i8").reshape(-1, 3)
                 else:
                     postings[known[term]] = np.frombuffer(places.as_py(), "<i4")
         if table is not None:
-            yield from search(postings, table)
+            yield from search(current, postings, table)
 
-    index = build_index(docs, window)
-    wanted = spark.createDataFrame([(bytearray(t),) for t in terms], "term binary")
+    wanted = spark.createDataFrame([(bytearray(t),) for t in phrases.terms], "term binary")
     lists = index.where("term is not null").join(F.broadcast(wanted), "term", "left_semi").select("segment", "term", "places")
     own = lists.unionByName(index.where("term is null").select("segment", "term", "places"))
-    return own.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, ddl)
+    return own.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, f"segment long, place long, {FOUND}")
+
+
+FOUND = "doc_id long, n_words long, hits array<struct<start: long, end: long>>, items array<long>, near array<long>"
+
+
+def _together(found: DataFrame) -> DataFrame:
+    """One row a document of several blocks' matches."""
+    kinds = found.select("doc_id", "n_words", "hits", "items", "near").schema
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "items", "near")]  # a list for each block
+    merged = found.groupBy("segment", "place").agg(F.first("doc_id", True).alias("doc_id"), F.first("n_words").alias("n_words"), *lists)
+    items = F.array_sort(F.array_distinct("items"))
+    near = F.array_sort(F.array_except(F.array_distinct("near"), "items"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for own, n in zip(batch.column("hits").to_pylist(), batch.column("n_words").to_pylist(), strict=True):
+                a, b = cover(np.array([x["start"] for x in own], np.int64), np.array([x["end"] for x in own], np.int64), n) if own else ((), ())
+                spans.append([{"start": x, "end": y} for x, y in zip(a, b, strict=True)])
+            i = batch.schema.get_field_index("hits")
+            yield batch.set_column(i, batch.schema.field(i), pa.array(spans, batch.schema.field(i).type))
+
+    return merged.select("doc_id", "n_words", "hits", items.alias("items"), near.alias("near")).mapInArrow(join, kinds)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
+    """``doc_id, n_words, hits array<struct<start, end>>, items array<long>, near array<long>``.
+
+    ``hits`` are maximal runs of covered words; ``items`` have exact windows in the document,
+    ``near`` those that only match by proximity (empty without ``slop``).
+    """
+    texts = benchmark.where("text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("binary").alias("body"))
+    index = build_index(docs, window)
+    found = [_look_up(index, Phrases(items, window), window, slop) for items in _blocks(texts, BLOCK_BYTES)]
+    every = reduce(DataFrame.unionByName, found)
+    one = every if len(found) == 1 else _together(every)
+    tidy = F.array_except("near", "items")
+    return one.select("doc_id", "n_words", "hits", "items", tidy.alias("near"))
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
