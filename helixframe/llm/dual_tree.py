@@ -2,8 +2,9 @@
 
 The top level of the tree is shared: a bounded sample of pivots parts queries and data alike into
 cells with known covering radii.  A cell is split into chunks of bounded size, so a hot cell
-spreads over tasks.  Within a task one cover tree over the chunk and one over a block of queries
-are traversed together: a pair of nodes is skipped if its bound
+spreads over tasks.  Data stay in their chunk; queries are sent to the chunks that may still hold
+one of their best.  There one cover tree over the chunk, built once, and one over each block of
+arriving queries are traversed together: a pair of nodes is skipped if its bound
 
     <q, d> + |q| R_d + |d| R_q + R_q R_d        (centres q, d; covering radii R)
 
@@ -29,7 +30,7 @@ from ._shared import as_numpy, batch_of, materialise
 
 SCALE = 1024
 PIVOTS = 64
-CHUNK = 4096
+CHUNK = 1 << 15
 QUERY_BLOCK = 2048
 LEAF = 512
 
@@ -91,13 +92,13 @@ def _exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def search(queries: np.ndarray, own: np.ndarray, worst: np.ndarray, data: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+def search(queries: np.ndarray, own: np.ndarray, worst: np.ndarray, data: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, tree: CoverTree | None = None) -> list[tuple[int, int, int]]:
     """``(query, id, score)``: the best ``k`` of ``data`` for each query, from those not below ``worst``.
 
     ``own`` and ``rows`` are row numbers by which a query skips itself; ``worst`` is the kth score
-    that each query has so far, or minus infinity.
+    that each query has so far, or minus infinity.  ``tree`` is the data's, if there is one already.
     """
-    q_tree, d_tree = CoverTree(queries.astype(np.float64)), CoverTree(data.astype(np.float64))
+    q_tree, d_tree = CoverTree(queries.astype(np.float64)), tree or CoverTree(data.astype(np.float64))
     worst = worst.copy()
     best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries)
     q_norm = [float(np.linalg.norm(c)) for c in q_tree.centre]
@@ -146,27 +147,28 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & ~bad
 
 
-def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(vectors.to_pylist()), "<i8").reshape(-1, dim)
-
-
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = PIVOTS) -> DataFrame:
     """``query_id, rank, vec_id, score`` over ``vectors (vec_id long, v array<long>)``."""
     spark = vectors.sparkSession
     tagged = vectors.select("vec_id", "v", is_query.alias("q"))
-    dim = tagged.agg(F.max(F.size("v"))).first()[0] or 1
+    largest = F.max(F.array_max(F.transform("v", F.abs)))
+    dim, top = tagged.agg(F.max(F.size("v")), largest).first()
+    dim, kind = dim or 1, "<i4" if (top or 0) < 1 << 31 else "<i8"
     sample = tagged.select("v").orderBy(F.xxhash64("v"), "v").limit(pivots).collect()
     centres = np.array([r.v + [0] * (dim - len(r.v)) for r in sample], np.int64).reshape(-1, dim)
     centres = np.unique(centres, axis=0) if len(centres) else np.zeros((1, dim), np.int64)
     shared = spark.sparkContext.broadcast(centres)  # PIVOTS vectors
     placed_as = pa.schema([("vec_id", pa.int64()), ("q", pa.bool_()), ("cell", pa.int32()), ("away", pa.float64()), ("vec", pa.binary())])
 
+    def matrix(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim).astype(np.int64)
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot = shared.value.astype(np.float64)
         for batch in batches:
             if batch.num_rows:
                 rows = [x + [0] * (dim - len(x)) for x in batch.column("v").to_pylist()]
-                v = np.array(rows, "<i8").reshape(-1, dim)
+                v = np.array(rows, kind).reshape(-1, dim)
                 f = v.astype(np.float64)
                 cell = np.argmin((pivot**2).sum(1)[None, :] - 2 * f @ pivot.T, axis=1)
                 away = np.linalg.norm(f - pivot[cell], axis=1)
@@ -174,15 +176,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = PIVOT
 
     placed = tagged.mapInArrow(place, "vec_id long, q boolean, cell int, away double, vec binary")
     placed = materialise(placed.withColumn("row", F.monotonically_increasing_id()), "cells")
-    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.count_if("q").alias("queries")).collect()
+    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()  # PIVOTS rows
     parts = {r.cell: math.ceil(r.n / CHUNK) for r in stats}
     radii = {r.cell: r.radius * (1 + 1e-9) for r in stats}
-    blocks = max(1, math.ceil(sum(r.queries for r in stats) / QUERY_BLOCK))
     split = F.create_map(*(F.lit(x) for kv in parts.items() for x in kv)) if parts else F.create_map(F.lit(0), F.lit(1))
-    data = placed.select("cell", F.pmod(F.xxhash64("row"), split[F.col("cell")]).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "row", "vec")
-    queries = placed.where("q").select("cell", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "row", "vec")
-    keys, found_as = ["cell", "part", "block"], pa.schema([("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-    routed_as = pa.schema([("cell", pa.int32()), ("part", pa.int32()), ("block", pa.int32()), ("row", pa.int64()), ("vec", pa.binary()), ("worst", pa.float64())])
+    none = F.lit(float("-inf"))
+    # a data row's kth score is null; so it comes before the queries of its chunk
+    data = placed.select("cell", F.pmod(F.xxhash64("row"), split[F.col("cell")]).cast("int").alias("part"), "row", "vec_id", "vec", F.lit(None).cast("double").alias("worst"))
+    queries = placed.where("q").select("cell", "row", "vec_id", "vec")
+    names, ddl = ["cell", "part", "row", "vec_id", "vec", "worst"], "cell int, part int, row long, vec_id long, vec binary, worst double"
+    routed_as = pa.schema([("cell", pa.int32()), ("part", pa.int32()), ("row", pa.int64()), ("vec_id", pa.int64()), ("vec", pa.binary()), ("worst", pa.float64())])
+    found_as = pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def route(at_home: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +195,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = PIVOT
                 if not batch.num_rows:
                     continue
                 cells, worst = as_numpy(batch.column("cell")), as_numpy(batch.column("worst"))
-                f = _matrix(batch.column("vec"), dim).astype(np.float64)
+                f = matrix(batch.column("vec")).astype(np.float64)
                 norm = np.linalg.norm(f, axis=1)
                 for cell, n in parts.items():
                     limit = f @ pivot[cell] + norm * radii[cell]
@@ -199,30 +203,62 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = PIVOT
                     own = batch.filter(pa.array(go))
                     for part in range(n if own.num_rows else 0):
                         m = own.num_rows
-                        yield batch_of(routed_as, [np.full(m, cell, np.int32), np.full(m, part, np.int32), *(own.column(c) for c in ("block", "row", "vec", "worst"))])
+                        yield batch_of(routed_as, [np.full(m, cell, np.int32), np.full(m, part, np.int32), *(own.column(c) for c in names[2:])])
 
         return run
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return found_as.empty_table()
-        q, d = left.combine_chunks(), right.combine_chunks()
-        own = as_numpy(q.column("row"))
-        found = search(_matrix(q.column("vec"), dim), own, as_numpy(q.column("worst")), _matrix(d.column("vec"), dim), as_numpy(d.column("row")), as_numpy(d.column("vec_id")), k)
-        columns = list(zip(*found, strict=True)) or [(), (), ()]
-        return pa.table([own[np.array(columns[0], np.int64)], np.array(columns[1], np.int64), np.array(columns[2], np.int64)], schema=found_as)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by chunk, data first: a chunk is held, queries stream past it in blocks."""
+        current, tree = None, None
+        held: list[tuple] = []
+        rows, ids, vectors = None, None, None
+        waiting: list[tuple] = []
+
+        def ask() -> Iterator[pa.RecordBatch]:
+            nonlocal tree, rows, ids, vectors
+            if waiting and held and tree is None:
+                rows, ids, vectors = (np.concatenate([h[i] for h in held]) for i in range(3))
+                tree = CoverTree(vectors.astype(np.float64))
+            if waiting and tree is not None:
+                own, names_, q, worst = (np.concatenate([w[i] for w in waiting]) for i in range(4))
+                found = search(q, own, worst, vectors, rows, ids, k, tree)
+                of, hit, score = (np.array(c, np.int64) for c in (zip(*found, strict=True) if found else ((), (), ())))
+                yield batch_of(found_as, [own[of], names_[of], hit, score])
+            waiting.clear()
+
+        for batch in batches:
+            chunk = as_numpy(batch.column("cell")).astype(np.int64) << 32 | as_numpy(batch.column("part"))
+            row, vec_id, worst = (as_numpy(batch.column(c)) for c in ("row", "vec_id", "worst"))
+            is_data = np.array(batch.column("worst").is_null())
+            change = np.flatnonzero((chunk[1:] != chunk[:-1]) | (is_data[1:] != is_data[:-1])) + 1
+            for a, b in zip([0, *change], [*change, len(chunk)], strict=True):
+                if a == b:
+                    continue
+                if chunk[a] != current:
+                    yield from ask()
+                    current, tree, held = chunk[a], None, []
+                part = matrix(batch.column("vec").slice(a, b - a))
+                if is_data[a]:
+                    held.append((row[a:b], vec_id[a:b], part))
+                else:
+                    for i in range(0, b - a, QUERY_BLOCK):
+                        j = min(i + QUERY_BLOCK, b - a)
+                        waiting.append((row[a + i : a + j], vec_id[a + i : a + j], part[i:j], worst[a + i : a + j]))
+                        if sum(len(w[0]) for w in waiting) >= QUERY_BLOCK:
+                            yield from ask()
+        yield from ask()
 
     def compared(asked: DataFrame, at_home: bool) -> DataFrame:
-        sent = asked.select("cell", "block", "row", "vec", "worst").mapInArrow(route(at_home), "cell int, part int, block int, row long, vec binary, worst double")
-        return sent.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(meet, "row long, vec_id long, score long")
+        sent = asked.withColumn("part", F.lit(0)).select(*names).mapInArrow(route(at_home), ddl)
+        met = data.select(*names).unionByName(sent).repartition("cell", "part").sortWithinPartitions("cell", "part", F.asc_nulls_first("worst"))
+        return met.mapInArrow(meet, "row long, query_id long, vec_id long, score long")
 
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
-    home = materialise(compared(queries.withColumn("worst", F.lit(float("-inf"))), True), "home")
+    home = materialise(compared(queries.withColumn("worst", none), True), "home")
     kth = home.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("row", F.col("score").cast("double").alias("worst"))
-    asked = queries.join(kth, "row", "left").withColumn("worst", F.coalesce("worst", F.lit(float("-inf"))))
+    asked = queries.join(kth, "row", "left").withColumn("worst", F.coalesce("worst", none))
     every = home.unionByName(compared(asked, False)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    names = placed.where("q").select("row", F.col("vec_id").alias("query_id"))
-    return every.join(names, "row").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return every.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op3_dual_tree(spark, sf_dir: str) -> DataFrame:
