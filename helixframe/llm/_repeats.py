@@ -178,7 +178,7 @@ def classes(candidates: DataFrame) -> DataFrame:
 def whole_runs(candidates: DataFrame, found: DataFrame) -> DataFrame:
     """Runs ``dkey, tkey, start, n`` that are repeated as a whole."""
     copied = found.where("copies > 1").select("kh", "r1", "r2")
-    return candidates.join(copied, ["kh", "r1", "r2"], "left_semi").select("dkey", "tkey", "start", "n")
+    return candidates.join(copied, ["kh", "r1", "r2"], "left_semi").select("dkey", "tkey", "start", F.col("n").cast("long").alias("n"))
 
 
 def pieces(spread: DataFrame, found: DataFrame, symbols: Symbols, length: int, as_text: bool) -> DataFrame:
@@ -218,8 +218,8 @@ def pieces(spread: DataFrame, found: DataFrame, symbols: Symbols, length: int, a
                 yield batch_of(schema, list(zip(*rows, strict=True)))
 
     ddl = "kh long, hot boolean, weight int, dkey long, tkey long, start long, n int, data binary"
-    # one text per key: rows with equal keys have equal texts
-    texts = spread.join(by_text, ["dkey", "tkey"]).select("dkey", "tkey", "body", "runs")
+    # one text per key: rows with equal keys have equal texts, and lie in one sorted partition here
+    texts = spread.join(by_text, ["dkey", "tkey"]).select("dkey", "tkey", "body", "runs").dropDuplicates(["dkey", "tkey"])
     return texts.mapInArrow(cut, ddl)
 
 
@@ -290,10 +290,46 @@ def repeats_by_text(docs: DataFrame, symbols: Symbols, length: int, gram: int, r
     ranges = whole_runs(candidates, found).unionByName(by_anchor(parts, resolve, limit))
     if not found.where(F.col("different") > CLASS_LIMIT).isEmpty():
         ranges = ranges.unionByName(hot_windows(parts))
-    by_text = ranges.groupBy("dkey", "tkey").agg(F.collect_list(F.struct("start", "n")).alias("repeats"))
+    by_text = joined_ranges(ranges).groupBy("dkey", "tkey").agg(F.collect_list(F.struct("start", "n")).alias("repeats"))
     return spread.join(by_text, ["dkey", "tkey"], "left")
 
 
+def joined_ranges(ranges: DataFrame) -> DataFrame:
+    """Each text's ranges of starts ``dkey, tkey, start, n`` with those joined that touch or overlap.
+
+    Repeated rows give equal ranges and one letter's text gives one for each run; both come out as
+    few, so what is collected for a text is bounded by what it has apart.
+    """
+    names = ["dkey", "tkey", "start", "n"]
+    schema = pa.schema([(x, pa.int64()) for x in names])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((4, 0), np.int64)
+        for batch in batches:
+            rows = np.concatenate([held, np.stack([as_numpy(batch.column(x)) for x in names])], axis=1)
+            dkey, tkey, start, n = rows
+            if not len(dkey):
+                continue
+            text = np.flatnonzero(np.concatenate(([True], (dkey[1:] != dkey[:-1]) | (tkey[1:] != tkey[:-1]))))
+            # furthest end so far within each text: ends are raised by a text's number times a great stride
+            stride = np.int64(start.max() + n.max() + 2)
+            of = np.repeat(np.arange(len(text)), np.diff(np.append(text, len(dkey))))
+            reach = np.maximum.accumulate(start + n + of * stride)
+            fresh = np.concatenate(([True], start[1:] + of[1:] * stride > reach[:-1]))
+            head = np.flatnonzero(fresh)
+            last = np.append(head[1:], len(dkey)) - 1
+            out = np.stack([dkey[head], tkey[head], start[head], reach[last] - of[last] * stride - start[head]])
+            held = out[:, -1:]  # may go on in the next batch
+            if out.shape[1] > 1:
+                yield batch_of(schema, list(out[:, :-1]))
+        if held.shape[1]:
+            yield batch_of(schema, list(held))
+
+    ddl = ", ".join(f"{x} long" for x in names)
+    near = ranges.select("dkey", "tkey", "start", F.col("n").cast("long").alias("n")).distinct()
+    return near.repartition("dkey", "tkey").sortWithinPartitions("dkey", "tkey", "start").mapInArrow(join, ddl)
+
+
 def hashed_windows(rows: list[tuple]) -> list[tuple]:
     """Group a bundle's windows by both hashes; those of single runs that occur again."""
     n = np.array([r[5] for r in rows])
