@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op10_decontamination
 from .dual_tree import op3_dual_tree
 from .language import op8_language
+from .oracles import ORACLE_SQL
 from .packing import op5_packing
 from .secrets import op9_secrets
 from .simhash import op2_simhash
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
