@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = "8m"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where none is set."""
+    """The cluster's ``spark.checkpoint.dir``, which driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="helixframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return base.rstrip("/")
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, with the session's Arrow batches bounded by bytes, as texts may be very long."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return docs
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -40,7 +48,7 @@ def keyed(docs: DataFrame, *more: Column) -> DataFrame:
     ``tkey`` hashes the text, and what is joined back depends on the text alone.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
+    return small_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("dkey"),
         F.xxhash64(body).alias("tkey"),
@@ -62,6 +70,17 @@ def as_bytes(column: pa.Array) -> Iterator[np.ndarray]:
         yield data[offsets[i] : offsets[i + 1]]
 
 
+def slices(batch: pa.RecordBatch, column: str, rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``rows`` rows; one closes once its texts hold ``size`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        full = np.searchsorted(ends, (ends[at - 1] if at else 0) + size) + 1
+        n = min(rows, batch.num_rows - at, int(full) - at)
+        yield batch.slice(at, n)
+        at += n
+
+
 def as_numpy(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 

@@ -2,7 +2,8 @@
 
 A byte-level tokenizer splits text before any merge, and always between a non-space and a single
 space or newline that a non-space follows.  Texts are cut at such places only, chunks are looked
-up in a bounded cache, and unseen ones are encoded by the library in batches.
+up in a bounded cache, and unseen ones are encoded by the library in batches.  Texts that have
+single spaces and newlines only are cut by Arrow, and each different piece is looked up once.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import re
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np  # noqa: E402
+import pyarrow as pa  # noqa: E402
+import pyarrow.compute as pc  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Chunks of one generation of the cache; two are held.
@@ -22,7 +25,12 @@ JOINED = 2000
 #: Longer texts are handled in parts, so that memory follows the part.
 PART = 1 << 20
 #: White space other than space and newline.
-_OTHER_SPACE = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]")
+_OTHERS = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+_OTHER_SPACE = re.compile(f"[{_OTHERS}]")
+_JOINABLE = f"(?s)^[ \\n][^ \\n{_OTHERS}](.*[^ \\n{_OTHERS}])?$"
+_SIGNS = frozenset(".,;:!?")
+#: White space that is more than one space or newline between two pieces.
+_ODD = f"^[ \n]|[ \n][ \n]|[ \n]$|[{_OTHERS}]"
 
 
 def default_path() -> str:
@@ -39,32 +47,35 @@ def _gather(store: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
 
 
 class _Lookup(dict):
-    """Chunk to its number; unseen chunks are queued, as what their ids come from."""
+    """Chunk to its number; unseen chunks are numbered and queued, as what their ids come from."""
 
     def __init__(self, owner: Encoder, raw: bool, older: dict):
         super().__init__()
         self.owner, self.raw, self.older = owner, raw, older
 
     def __missing__(self, chunk: str) -> int:
-        queue = self.owner.queued
-        if chunk in self.older:
-            source = self.older[chunk]
-        elif len(chunk) > 1 and chunk[-1] in ".,;:!?" and chunk[-2].isalpha():
+        owner = self.owner
+        if (old := self.older.get(chunk)) is not None:
+            n = owner.number()
+            owner.seen_before.append((n, old))
+        elif chunk[-1:] in _SIGNS and chunk[-2:-1].isalpha():
             # a letter and a sign are parted before any merge
-            source = self[chunk[:-1]], self.owner.raw[chunk[-1]]
+            parts = self[chunk[:-1]], owner.raw[chunk[-1]]
+            n = owner.number()
+            owner.joins.append((n, *parts))
         else:
-            source = chunk if self.raw or chunk[:1] == "\n" else " " + chunk
-        self[chunk] = n = self.owner.known + len(queue)
-        queue.append(source)
+            n = owner.number()
+            owner.unseen.append(chunk if self.raw or chunk[:1] == "\n" else " " + chunk)
+            owner.unseen_at.append(n)
+        self[chunk] = n
         return n
 
 
 class Encoder:
-    """Token ids of texts; special tokens' strings in a text are ordinary text."""
+    """Token ids of texts, as the library's plain call gives them, special tokens included."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, n in vocabulary.items():
@@ -79,13 +90,23 @@ class Encoder:
             self.raw.older, self.inner.older = {}, {}
             self.old_start, self.old_size, self.old_ids = self.start, self.size, self.ids
         self.raw, self.inner = _Lookup(self, True, older[0]), _Lookup(self, False, older[1])
-        self.queued: list = []
+        self.clear_queue()
         self.known = 0
         self.start = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
+    def clear_queue(self) -> None:
+        self.unseen: list[str] = []
+        self.unseen_at: list[int] = []
+        self.seen_before: list[tuple[int, int]] = []
+        self.joins: list[tuple[int, int, int]] = []
+
+    def number(self) -> int:
+        self.known += 1
+        return self.known - 1
+
     def _merged(self, pieces: list[str], inner: bool) -> list[int]:
         """Numbers of chunks where white space other than single spaces and newlines occurs."""
         out, held, held_inner = [], pieces[0], inner
@@ -127,21 +148,23 @@ class Encoder:
         Chunks that start at a place where texts may be cut, and end before one, are encoded
         joined; each token's bytes tell where a chunk ends.
         """
-        joinable = [len(c) > 1 and c[0] in " \n" and not c[1].isspace() and not c[-1].isspace() for c in chunks]
+        every = pa.array(chunks, pa.large_string())
+        joinable = pc.match_substring_regex(every, _JOINABLE).to_numpy(zero_copy_only=False)
+        n_bytes = pc.binary_length(every).to_numpy()
         size, ids = np.zeros(len(chunks), np.int64), []
         own = np.flatnonzero(joinable)
         groups = [own[i : i + JOINED] for i in range(0, len(own), JOINED)]
         texts = ["".join([chunks[i] for i in g]) for g in groups]
         for group, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             found = np.array(found.ids, np.uint32)
-            ends = np.cumsum([len(chunks[i].encode()) for i in group])
+            ends = np.cumsum(n_bytes[group])
             reached = np.cumsum(self.token_bytes[found])
             last = np.searchsorted(reached, ends)
             if not np.array_equal(reached[last], ends):
                 raise ValueError("a token crosses a place where texts were cut")
             size[group] = np.diff(last, prepend=-1)
             ids.append(found)
-        rest = [i for i, x in enumerate(joinable) if not x]
+        rest = np.flatnonzero(~joinable).tolist()
         if rest:
             found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False)]
             size[rest] = [len(x) for x in found]
@@ -152,47 +175,74 @@ class Encoder:
         starts[order] = np.cumsum(size[order]) - size[order]
         return _gather(joined, starts, size), size
 
-    def _append(self, which: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
-        """Store the ids of the queue's entries ``which``."""
+    def _append(self, numbers: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Store the ids of the chunks ``numbers``."""
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids
-        self.size[self.known + which] = size
-        self.start[self.known + which] = self.used + np.cumsum(size) - size
+        self.size[numbers] = size
+        self.start[numbers] = self.used + np.cumsum(size) - size
         self.used += len(ids)
 
     def _encode_queued(self) -> None:
-        queue, self.queued = self.queued, []
-        while self.known + len(queue) > len(self.start):
+        while self.known > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        kinds = np.array([0 if isinstance(x, str) else 1 if isinstance(x, int) else 2 for x in queue], np.int8)
-        fresh, old, pairs = (np.flatnonzero(kinds == k) for k in range(3))
-        if len(fresh):
-            self._append(fresh, *self._encode_strings([queue[i] for i in fresh]))
-        if len(old):
-            source = np.array([queue[i] for i in old])
+        if self.unseen:
+            self._append(np.array(self.unseen_at), *self._encode_strings(self.unseen))
+        if self.seen_before:
+            numbers, source = np.array(self.seen_before).T
             size = self.old_size[source]
-            self._append(old, _gather(self.old_ids, self.old_start[source], size), size)
-        if len(pairs):
-            source = np.array([queue[i] for i in pairs]).ravel()
+            self._append(numbers, _gather(self.old_ids, self.old_start[source], size), size)
+        if self.joins:
+            numbers, *parts = np.array(self.joins).T
+            source = np.column_stack(parts).ravel()
             size = self.size[source]
-            self._append(pairs, _gather(self.ids, self.start[source], size), size[::2] + size[1::2])
-        self.known += len(queue)
-
-    def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
-        """Ids of each text with ``end`` after them, as unsigned 32-bit integers; null is empty."""
+            self._append(numbers, _gather(self.ids, self.start[source], size), size[::2] + size[1::2])
+        self.clear_queue()
+
+    def _even_numbers(self, texts: pa.Array) -> list[np.ndarray]:
+        """Numbers of chunks of texts without odd white space."""
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        edge = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+        every = pieces.flatten()
+        later = np.ones(len(every), bool)
+        later[edge[:-1]] = False
+        out = np.empty(len(every), np.int64)
+        out[edge[:-1]] = [self.raw[x] for x in every.take(pa.array(edge[:-1])).to_pylist()]
+        coded = every.filter(pa.array(later)).dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        out[later] = np.array([self.inner[x] for x in different], np.int64)[coded.indices.to_numpy()]
+        return np.split(out, edge[1:-1])
+
+    def encode_flat(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with ``end`` after it, and where texts start; null is empty."""
         if self.known > CACHE:
             self.reset()
-        numbers = [self._numbers(t or "") for t in texts]
+        texts = texts.cast(pa.large_string()).fill_null("")
+        odd = pc.or_(pc.match_substring_regex(texts, _ODD), pc.greater(pc.binary_length(texts), PART)).to_numpy(zero_copy_only=False)
+        numbers = np.empty(len(texts), object)
+        for i in np.flatnonzero(odd).tolist():
+            numbers[i] = self._numbers(texts[i].as_py())
+        even = np.flatnonzero(~odd)
+        if len(even):
+            for i, found in zip(even.tolist(), self._even_numbers(texts.take(pa.array(even))), strict=True):
+                numbers[i] = found
         self._encode_queued()
-        out = []
-        for n in numbers:
-            size = self.size[n]
-            ids = np.empty(int(size.sum()) + 1, np.uint32)
-            ids[:-1] = _gather(self.ids, self.start[n], size)
-            ids[-1] = end
-            out.append(ids)
-        return out
+        chunk = np.concatenate([np.zeros(0, np.int64), *numbers])
+        size = self.size[chunk]
+        of = np.repeat(np.arange(len(texts)), [len(x) for x in numbers])
+        total = np.bincount(of, size, len(texts)).astype(np.int64)
+        start = np.concatenate(([0], np.cumsum(total + 1)))
+        ids = np.full(start[-1], end, np.uint32)
+        inside = np.ones(len(ids), bool)
+        inside[start[1:] - 1] = False
+        ids[inside] = _gather(self.ids, self.start[chunk], size)
+        return ids, start
+
+    def encode(self, texts: list[str | None] | pa.Array, end: int) -> list[np.ndarray]:
+        """Ids of each text with ``end`` after them, as unsigned 32-bit integers."""
+        ids, start = self.encode_flat(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), end)
+        return np.split(ids, start[1:-1]) if len(start) > 1 else []
 
 
 _ENCODERS: dict[str, Encoder] = {}

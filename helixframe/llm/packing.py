@@ -19,13 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import batch_of
+from ._shared import batch_of, slices, small_batches
 from ._tokens import default_path, encoder
 
 CAPACITY = 2048
 OPEN_BINS = 1024
 END_ID = 0
-TEXTS_AT_ONCE = 256
 
 
 class OpenBins:
@@ -82,17 +81,16 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
         encode = encoder(path).encode
         bins = OpenBins(capacity, open_bins, TaskContext.get().partitionId() << 40)
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                batch = whole.slice(at, TEXTS_AT_ONCE)
+            for batch in slices(whole, "text"):
                 rows = []
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist(), end_id), strict=True):
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"), end_id), strict=True):
                     for piece, (start, n) in enumerate(cuts(len(ids), capacity)):
                         sequence, offset = bins.place(n)
                         rows.append((doc_id, piece, start, n, ids[start : start + n].astype("<u4").tobytes(), sequence, offset))
                 yield batch_of(schema, list(zip(*rows, strict=True)))
 
     ddl = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ddl)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ddl)
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:

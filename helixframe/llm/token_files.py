@@ -4,8 +4,10 @@ Documents are dealt by ranges of doc_id and sorted within them, so file order is
 ids are written as a list of integers, which ORC run-length encodes in stripes; row indexes and a
 Bloom filter on doc_id let readers skip stripes, and stripes are read in parallel.
 
+:func:`find_documents` reads the documents of a few ids through these indexes.
+
 Nulls count as empty texts, which are the end id alone; a null doc_id comes first; rows of equal
-doc_id are ordered by their texts' hash; an empty table gives an empty result; columns other than
+doc_id are ordered by their texts' hash, and may lie in several files; an empty table gives an empty result; columns other than
 doc_id, text are ignored.
 """
 
@@ -20,11 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import batch_of, materialise, new_table_path
+from ._shared import batch_of, materialise, new_table_path, slices, small_batches
 from ._tokens import default_path, encoder
 
 END_ID = 2
-TEXTS_AT_ONCE = 256
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -42,20 +43,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     schema = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, row = encoder(vocabulary).encode, TaskContext.get().partitionId(), 0
+        encode, part, row = encoder(vocabulary).encode_flat, TaskContext.get().partitionId(), 0
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                batch = whole.slice(at, TEXTS_AT_ONCE)
-                ids = encode(batch.column("text").to_pylist(), end_id)
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids).view(np.int32)))
-                n = len(ids)
+            for batch in slices(whole, "text"):
+                ids, start = encode(batch.column("text"), end_id)
+                lists = pa.ListArray.from_arrays(start.astype(np.int32), pa.array(ids.view(np.int32)))
+                n = batch.num_rows
                 yield batch_of(schema, [np.full(n, part, np.int32), np.arange(row, row + n), batch.column("doc_id"), lists])
                 row += n
 
     ordered = (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .repartitionByRange("doc_id")
+        small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        .repartitionByRange("doc_id", F.xxhash64("text"))
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
     )
     ordered.mapInArrow(run, SCHEMA).write.options(**ORC_OPTIONS).orc(path)
@@ -65,6 +64,15 @@ def read_tokens(spark, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).orc(path)
 
 
+def find_documents(spark, path: str, doc_ids: list[int]) -> DataFrame:
+    """``doc_id, ids`` of the given documents.
+
+    The filter reaches the scan, which skips stripes by their statistics and Bloom filters, and
+    groups of ``orc.row.index.stride`` rows by the row index.
+    """
+    return read_tokens(spark, path).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "ids")
+
+
 def token_index(tokens: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of what :func:`read_tokens` gives.
 
