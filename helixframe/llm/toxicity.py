@@ -5,7 +5,9 @@ A text is the bag of the character n-grams of its words; every n-gram has a vect
 sqrt(*n*), so that repeated lines do not drown the rest), and a linear softmax on it gives two classes.
 Vectors and softmax are trained jointly in numpy on a bounded sample of labelled texts, at most
 ``PER_CLASS`` clean and toxic ones, drawn by hash order.  Misspelled and inflected words share most
-n-grams with the words they derive from, and so their vectors.
+n-grams with the words they derive from, and so their vectors.  n-grams that the sample does not
+tie to either class (``ASSOCIATION``) have zero vectors: few labelled texts would only teach them
+by heart.  They are counted by Spark; the driver sees the others' parts of the sampled bags.
 
 Scoring needs one number per n-gram (the model is linear in the mean), which is what is
 broadcast: ``4 * BUCKETS`` bytes at any input.
@@ -13,7 +15,8 @@ broadcast: ``4 * BUCKETS`` bytes at any input.
 Null and wordless texts get the score of the bias alone; repeated rows get equal scores; an empty
 table gives an empty result; columns other than doc_id, text are ignored, so that labels, lang,
 source and doc_id never enter a score.  Null labels are not learned from; of several labels for
-one doc_id the highest counts.
+one doc_id the highest counts, of several texts the first in byte order.  Without toxic labels (or
+without any) every score is near zero, without clean ones near one.
 """
 
 from __future__ import annotations
@@ -26,9 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ._runs import BYTE_SYMBOLS, Hasher
-from ._shared import as_bytes, as_numpy, batch_of
+from ._shared import as_bytes, as_numpy, batch_of, materialise, small_batches
 
 BUCKETS = 1 << 19
 GRAMS = (3, 4, 5)
@@ -38,11 +42,14 @@ EPOCHS = 6
 #: Small samples are gone through more often, for at least so many batches.
 LEAST_BATCHES = 800
 RATE = 0.3
-#: n-grams of a smaller share of sampled texts (or of one text) are not learned; they say more
-#: about one text than about its class.
-MIN_SHARE = 1 / 800
+#: n-grams are learned whose share of toxic texts is this many standard errors off that of all
+#: texts; chosen, as ``SCALE``, on folds 1 to 3.
+ASSOCIATION = 4.0
+LEAST_TEXTS = 3
+#: Factor of the mean: few n-grams of a text have a vector, so means are short.
+SCALE = 20.0
 BATCH = 64
-CACHE = 500_000
+CACHE = 250_000
 FOLDS = 5
 
 #: Letters and digits of ASCII in lower case and all other bytes above it; the rest parts words.
@@ -93,18 +100,22 @@ class SubwordModel:
     bias: float
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets: int, seed: int = 7) -> SubwordModel:
-    """Joint AdaGrad training of n-gram vectors and the softmax."""
+def associated(texts: np.ndarray, toxic: np.ndarray, all_texts: int, all_toxic: int) -> np.ndarray:
+    """Which n-grams, in ``texts`` texts of which ``toxic`` are toxic, say something about the class."""
+    rate = all_toxic / max(all_texts, 1)
+    spread = np.sqrt(texts * rate * (1 - rate))
+    return (texts >= LEAST_TEXTS) & (np.abs(toxic - texts * rate) >= ASSOCIATION * spread) & (spread > 0)
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, known: np.ndarray, buckets: int, seed: int = 7) -> SubwordModel:
+    """Joint AdaGrad training of the vectors of the n-grams ``known`` (sorted) and the softmax."""
+    gram = np.zeros(buckets, np.float32)
+    if not 0 < labels.sum() < len(labels):
+        return SubwordModel(gram, 30.0 if len(labels) and labels.all() else -30.0)
     rng = np.random.default_rng(seed)
-    texts = np.zeros(buckets, np.int32)
-    for found, _ in bags:
-        texts[found] += 1  # a bag has each bucket once
-    learned = texts >= max(2, MIN_SHARE * len(bags))
-    known = np.flatnonzero(learned)
-    place = np.cumsum(learned, dtype=np.int32) - 1
-    bags = [(place[b[0][keep]], b[1][keep]) for b in bags for keep in [learned[b[0]]]]
-    ids = np.concatenate([b[0] for b in bags]) if bags else np.zeros(0, np.int32)
-    share = np.concatenate([b[1] for b in bags]).astype(np.float32) if bags else np.zeros(0, np.float32)
+    bags = [(np.searchsorted(known, b[0]), b[1]) for b in bags]
+    ids = np.concatenate([b[0] for b in bags])
+    share = np.concatenate([b[1] for b in bags]).astype(np.float32) * np.float32(SCALE)
     ends = np.cumsum([len(b[0]) for b in bags])
     starts = ends - [len(b[0]) for b in bags]
     vectors = rng.normal(0, 0.003, (len(known), DIM)).astype(np.float32)
@@ -139,8 +150,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets
             weight -= RATE * grad_w / np.sqrt(seen_w)
             seen_b += grad_b**2
             bias -= RATE * grad_b / np.sqrt(seen_b)
-    gram = np.zeros(buckets, np.float32)
-    gram[known] = vectors @ (weight[:, 1] - weight[:, 0])
+    gram[known] = SCALE * vectors @ (weight[:, 1] - weight[:, 0])
     return SubwordModel(gram, float(bias[1] - bias[0]))
 
 
@@ -185,19 +195,45 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tup
     parts = [one.where(F.col("label") == k).orderBy(order, "doc_id").limit(per_class[k]) for k in (0, 1)]
     sample = F.broadcast(parts[0].unionByName(parts[1]))  # sum(per_class) rows at most
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("ids", pa.binary()), ("share", pa.binary())])
+    bag_ddl = "doc_id long, label int, ids binary, share binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bags = [bag(b.tobytes(), buckets) for b in as_bytes(batch.column("body"))]
             ids, share = [b[0].astype(np.int32).tobytes() for b in bags], [b[1].astype(np.float32).tobytes() for b in bags]
             yield batch_of(schema, [batch.column("doc_id"), batch.column("label"), ids, share])
 
-    bodies = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    chosen = bodies.join(sample, "doc_id").mapInArrow(run, "doc_id long, label int, ids binary, share binary")
-    rows = chosen.toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending")]).combine_chunks()
+    counts = pa.schema([("bucket", pa.int32()), ("texts", pa.int64()), ("toxic", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        for batch in batches:
+            for own, label in zip(as_bytes(batch.column("ids")), as_numpy(batch.column("label")), strict=True):
+                texts[own.view(np.int32)] += 1  # a bag has each bucket once
+                toxic[own.view(np.int32)] += label
+        at = np.flatnonzero(texts)
+        yield batch_of(counts, [at.astype(np.int32), texts[at], toxic[at]])
+
+    bodies = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    chosen = bodies.join(sample, "doc_id").groupBy("doc_id", "label").agg(F.min("body").alias("body"))
+    bags = materialise(chosen.mapInArrow(spell, bag_ddl), "bags")
+    sizes = bags.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    by_gram = bags.mapInArrow(count, "bucket int, texts long, toxic long").groupBy("bucket").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic"))
+    found = by_gram.where(F.col("texts") >= LEAST_TEXTS).toArrow().sort_by("bucket")  # of at most ``buckets`` rows
+    bucket, texts, toxic = (as_numpy(found.column(c)) for c in ("bucket", "texts", "toxic"))
+    known = bucket[associated(texts, toxic, *sizes)]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for ids, share in zip(as_bytes(batch.column("ids")), as_bytes(batch.column("share")), strict=True):
+                kept = np.isin(ids.view(np.int32), known)
+                held.append((ids.view(np.int32)[kept].tobytes(), share.view(np.float32)[kept].tobytes()))
+            yield batch_of(schema, [batch.column("doc_id"), batch.column("label"), [a for a, _ in held], [b for _, b in held]])
+
+    rows = bags.mapInArrow(cut, bag_ddl).toArrow().sort_by("doc_id").combine_chunks()
     views = zip(*(as_bytes(rows.column(c).combine_chunks()) for c in ("ids", "share")), strict=True)
-    bags = [(ids.view(np.int32), share.view(np.float32)) for ids, share in views]
-    return train(bags, as_numpy(rows.column("label")).astype(np.int64), buckets)
+    return train([(a.view(np.int32), b.view(np.float32)) for a, b in views], as_numpy(rows.column("label")).astype(np.int64), known, buckets)
 
 
 def score(docs: DataFrame, model: SubwordModel, *keep: str) -> DataFrame:
@@ -216,9 +252,9 @@ def score(docs: DataFrame, model: SubwordModel, *keep: str) -> DataFrame:
                 own = [batch.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(found)], names=[*names, "score"])
 
-    chosen = docs.select("doc_id", *keep, *([body] if source == "body" else []))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "body")
-    return chosen.mapInArrow(run, f"{ddl}, score double")
+    chosen = small_batches(docs).select("doc_id", *keep, *([body] if source == "body" else []))
+    kinds = StructType([*(f for f in chosen.schema if f.name != "body"), StructField("score", DoubleType())])
+    return chosen.mapInArrow(run, kinds)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
