@@ -39,7 +39,7 @@ class _WordHashes(dict):
     """Word to 64-bit hash; refilled when it has grown too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -48,6 +48,12 @@ class _WordHashes(dict):
 _WORDS = _WordHashes()
 
 
+def forget_words() -> None:
+    """Free the words' hashes at a task's end, as workers outlive their tasks."""
+    _WORDS.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def word_symbols(body: np.ndarray) -> np.ndarray:
     """A symbol per word; ``bytes.split`` parts at the six ASCII white-space characters."""
     words = body.tobytes().split()

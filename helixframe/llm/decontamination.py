@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import as_bytes, batch_of, cover, materialise
+from ._shared import as_bytes, batch_of, cover, materialise, small_batches
 from .toxicity import words_of
 
 WINDOW = 10
@@ -90,7 +90,7 @@ def build_index(docs: DataFrame, gap: int = WINDOW) -> DataFrame:
         if docs_:
             yield from close()
 
-    bodies = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    bodies = small_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     return materialise(bodies.mapInArrow(run, INDEX), "postings")
 
 

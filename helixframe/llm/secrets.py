@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import batch_of, new_table_path
+from ._shared import batch_of, new_table_path, small_batches
 
 #: (kind, pattern, group whose length counts, least length).  The first three are the base kinds.
 RULES = (
@@ -59,7 +59,7 @@ def scan_unseen(docs: DataFrame, ledger: str, rules=RULES) -> None:
     spark, version = docs.sparkSession, rules_version(rules)
     text = F.coalesce("text", F.lit(""))
     # copies within a task meet before the shuffle, so a hot blob sends one text a task
-    blobs = docs.select(F.sha2(text, 256).alias("blob"), text.alias("body")).groupBy("blob").agg(F.first("body").alias("body"))
+    blobs = small_batches(docs).select(F.sha2(text, 256).alias("blob"), text.alias("body")).groupBy("blob").agg(F.first("body").alias("body"))
     seen = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rules") == version).select("blob")
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("blob", pa.string()), ("rules", pa.string()), ("spans", pa.list_(span))])
