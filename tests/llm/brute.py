@@ -87,7 +87,6 @@ def token_ids(docs, end):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return [(d, np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, end], "<u4")) for d, t in docs]
 
 

@@ -339,20 +339,24 @@ def test_op10_edges(spark, docs, texts, empty, monkeypatch):
     items = items_of(texts)
     bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
     want = sorted(((d, n, h, k) for d, n, h, k, _, _ in brute.op10(texts, items)), key=key)
-    for words in (decontamination.SEGMENT_WORDS, 200):
+    for words, block in ((decontamination.SEGMENT_WORDS, 1 << 20), (200, 1 << 20), (200, 40)):
         monkeypatch.setattr(decontamination, "SEGMENT_WORDS", words)
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
         got = [(r.doc_id, r.n_words, sum(h["end"] - h["start"] for h in r.hits), len(r["items"])) for r in decontamination.matches(docs, bench).collect()]
         assert sorted(got, key=key) == want
     assert decontamination.matches(empty, bench).count() == 0
     assert decontamination.matches(docs, bench.limit(0)).where(F.size("hits") > 0).count() == 0
 
 
-def test_op10_proximity(spark):
+def test_op10_proximity(spark, monkeypatch):
     words = [f"w{i}" for i in range(10)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([words[0], "gap", *words[1:]])), (3, "w0 " + "far " * 20 + "w1")], "doc_id long, text string")
     bench = spark.createDataFrame([(5, " ".join(words))], "item_id long, text string")
-    got = {r.doc_id: (r["items"], r.near) for r in decontamination.matches(docs, bench, slop=3).collect()}
-    assert got[1] == ([5], []) and got[2] == ([], [5]) and got[3] == ([], [])
+    bench = bench.union(spark.createDataFrame([(6, "other words here")], "item_id long, text string"))
+    for block in (decontamination.BLOCK_BYTES, 8):
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+        got = {r.doc_id: (r["items"], r.near) for r in decontamination.matches(docs, bench, slop=3).collect()}
+        assert got[1] == ([5], []) and got[2] == ([], [5]) and got[3] == ([], [])
 
 
 def test_op10_tables(spark, small):
@@ -421,6 +425,20 @@ def test_near_dedup_uses_bands_of_every_text(spark):
     assert {frozenset(g) for g in found.values()} == resemblance_groups(texts)
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    for t in ("labels", "benchmark"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    names = ["text", "row", "__row", "__", "dkey", "tkey", "__key", "body", "doc_id", "score", "spans", "masked", "n chars", "segment", "n_chars"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text", *(F.lit(c).alias(c) for c in names[1:8]), "doc_id", *(F.lit(c).alias(c) for c in names[9:14]), "n_chars")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == names
+        for row in docs.collect():
+            assert all(row[c] == c for c in names if c not in ("text", "doc_id", "n_chars")) and row.n_chars == len(row.text)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
@@ -452,3 +470,66 @@ def test_extra_columns_and_registration():
 
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op3_dual_tree", "op4_substring_dedup", "op9_secrets", "op10_decontamination"])
+def test_sql_gives_the_same_rows(spark, name):
+    import duckdb
+
+    from helixframe.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df, result = queries.QUERIES[name](spark, SF), con.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in result.description]
+    assert sorted(names) == sorted(df.columns)
+    same(df.select(*names), result.fetchall())
+
+
+def test_repeated_rows_and_one_letter_texts(spark):
+    """What is collected for a text does not grow with its copies or with runs that touch."""
+    rng = random.Random(12)
+    text = " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(300))
+    texts = [(1, text)] * 2000 + [(2, "a" * (1 << 20)), (3, "lone " + text[:90])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = suffix_dedup.digest(suffix_dedup.remove_repeats(docs, bits=16)).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()
+    assert sorted(tuple(r) for r in found) == [(1, len(text), len(text), 1)] * 2000 + [(2, 1 << 20, 1 << 20, 1), (3, 95, 0, 0)]
+    found = substring_dedup.digest(substring_dedup.remove_repeats(docs, bits=16)).select("doc_id", "n_words", "n_removed").collect()
+    assert sorted(tuple(r) for r in found) == [(1, 300, 300)] * 2000 + [(2, 1, 0), (3, 16, 0)]
+
+
+def test_op3_and_op5_tables(spark, small):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    same(dual_tree.op3_dual_tree(spark, SF), brute.op3(rows, lambda i: i % 100 == 0))
+    packed = packing.op5_packing(spark, SF).cache()
+    same(packed.select("doc_id", "piece", "start", "length", "ids_crc32"), brute.op5(small))
+    total = packed.agg(F.sum("length")).first()[0]
+    assert packed.select("sequence_id").distinct().count() <= 1.1 * -(-total // 2048) + 2
+
+
+def test_op6_table_and_pruned_reads(spark, small, tmp_path):
+    same(token_files.op6_token_files(spark, SF), brute.op6(small))
+    many = spark.range(0, 40_000, 2).selectExpr("id as doc_id", "concat('w ', id) as text").coalesce(1)
+    token_files.write_tokens(many, path := str(tmp_path / "many"))
+    for wanted, rows in ((20_000, 1), (20_001, 0)):  # within the ids' range, one of them absent
+        found = token_files.find_documents(spark, path, [wanted])
+        assert len(found.collect()) == rows
+        scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        read = scan.metrics().apply("numOutputRows").value()
+        assert read <= 2 * int(token_files.ORC_OPTIONS["orc.row.index.stride"])
+
+
+def test_op7_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    for labels, low in (([], True), ([(1, None)], True), ([(1, 0)], True), ([(1, 1)], False)):
+        model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+        assert all((r.score < 0.01) == low for r in toxicity.score(docs, model).collect())
+
+
+def test_op8_without_languages(spark):
+    docs = spark.createDataFrame([(1, None, "x")], "doc_id long, lang string, text string")
+    languages, model = language.fit(docs)
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    found = language.identify(pages, languages, model)
+    assert languages == [] and found.count() == pages.count() == found.where("lang is null").count()
