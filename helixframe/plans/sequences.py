@@ -9,11 +9,8 @@ from ..operators import classify as C
 from ..operators.fragment import fragment_id, parse_fragment_id
 from . import fixtures as X
 
-L, T, CONF = 60, X.T, X.CONF
-
-
-def _short(spark, d):
-    return X.reads(spark, d).withColumn("seq", F.substring("seq", 1, 40))
+#: Longer than a read, so that padding shows.
+L, T, CONF = 300, X.T, X.CONF
 
 
 def _gc(spark, d):
@@ -48,15 +45,15 @@ def _reps(spark, d):
 
 
 QUERIES = {
-    "seq_encode": lambda s, d: _short(s, d).select("read_id", F.to_json(S.one_hot(F.col("seq"), L)).alias("encoded")),
-    "seq_fit": lambda s, d: S.fit_length(_short(s, d), L).select("read_id", "seq"),
-    "seq_revcomp": lambda s, d: _short(s, d).select("read_id", S.revcomp(F.col("seq"), L).alias("rc")),
+    "seq_encode": lambda s, d: X.reads(s, d).select("read_id", F.to_json(S.one_hot(F.col("seq"), L)).alias("encoded")),
+    "seq_fit": lambda s, d: S.fit_length(X.reads(s, d), L).select("read_id", "seq"),
+    "seq_revcomp": lambda s, d: X.reads(s, d).select("read_id", S.revcomp(F.col("seq"), L).alias("rc")),
     "seq_subread": lambda s, d: S.subreads(X.reads(s, d), list(range(25, 251, 25))).groupBy("genome", "k").agg(
         F.count("*").alias("n"), F.max("seq").alias("largest")
     ),
     "seq_subread_rand": lambda s, d: S.random_subread(X.reads(s, d), 25, 250, 1).selectExpr("read_id", "k", "seq"),
     "seq_slice": lambda s, d: S.slice_reads(X.contigs(s, d), 100, 180, 200).select("contig", "seq"),
-    "seq_flatten": lambda s, d: _short(s, d).select("read_id", F.array_join(F.transform(S.flatten_one_hot(S.one_hot(F.col("seq"), L)), lambda x: x.cast("string")), "").alias("flat")),
+    "seq_flatten": lambda s, d: X.reads(s, d).select("read_id", F.array_join(F.transform(S.flatten_one_hot(S.one_hot(F.col("seq"), L)), lambda x: x.cast("string")), "").alias("flat")),
     "seq_fragment": lambda s, d: X.fragments(s, d),
     "frag_parse": lambda s, d: parse_fragment_id(
         X.fragments(s, d).join(X.contigs(s, d).select("contig", "len"), "contig").withColumn("id", fragment_id(F.col("contig"), F.col("start"), F.col("end"))), "id", "len"
@@ -78,13 +75,13 @@ QUERIES = {
     "cls_pair": lambda s, d: C.call_pairs(*_pairs(s, d), T, CONF).select("read_id", "mate", F.round("p", 9).alias("p"), "call"),
     "cls_uncert": lambda s, d: C.attach_std(
         _reps(s, d).groupBy("read_id").agg(F.avg("p").alias("p")).select("read_id", C.classify(F.col("p"), 0.2).alias("call")),
-        _reps(s, d).groupBy("read_id").agg(F.round(F.stddev_pop("p"), 9).alias("p_std")).where("read_id % 2 = 0"),
+        _reps(s, d).groupBy("read_id").agg(F.round(F.stddev_pop("p"), 9).alias("p_std"), F.count("*").alias("replicates")).where("replicates > 1").drop("replicates"),
     ),
     "jn_zip": lambda s, d: C.attach_scores(X.reads(s, d).select("read_id", "genome"), _gc(s, d).select("read_id", "p")),
 }
 
 _W = X.with_tables
-_SHORT = _W("reads") + ", short AS (SELECT read_id, left(seq, 40) AS seq FROM reads)"
+_READS = _W("reads")
 _GC = _W("scores") + ", gc AS (SELECT read_id, p FROM scores WHERE model = 'gc')"
 
 
@@ -97,14 +94,14 @@ def _call(t: str, conf: bool) -> str:
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(name, '\(nom\.[^)]*\)', '', 'g'), '[\[\]]', '', 'g'), ' +', ' ', 'g'))"
 
 SQL = {
-    "seq_encode": _SHORT + f""" SELECT read_id, '[' || array_to_string([CASE b WHEN 'A' THEN '[1,0,0,0]' WHEN 'C' THEN '[0,1,0,0]' WHEN 'G' THEN '[0,0,1,0]' WHEN 'T' THEN '[0,0,0,1]' ELSE '[0,0,0,0]' END
-        FOR b IN string_split(rpad(seq, {L}, 'N'), '')], ',') || ']' AS encoded FROM short""",
-    "seq_fit": _SHORT + f" SELECT read_id, rpad(seq, {L}, 'N') AS seq FROM short",
-    "seq_revcomp": _SHORT + f" SELECT read_id, translate(reverse(rpad(seq, {L}, 'N')), 'ACGT', 'TGCA') AS rc FROM short",
+    "seq_encode": _READS + f""" SELECT read_id, '[' || array_to_string([CASE b WHEN 'A' THEN '[1,0,0,0]' WHEN 'C' THEN '[0,1,0,0]' WHEN 'G' THEN '[0,0,1,0]' WHEN 'T' THEN '[0,0,0,1]' ELSE '[0,0,0,0]' END
+        FOR b IN string_split(rpad(seq, {L}, 'N'), '')], ',') || ']' AS encoded FROM reads""",
+    "seq_fit": _READS + f" SELECT read_id, rpad(seq, {L}, 'N') AS seq FROM reads",
+    "seq_revcomp": _READS + f" SELECT read_id, translate(reverse(rpad(seq, {L}, 'N')), 'ACGT', 'TGCA') AS rc FROM reads",
     "seq_subread": _W("reads") + " SELECT genome, k, count(*) AS n, max(left(seq, k)) AS largest FROM reads CROSS JOIN (SELECT unnest(range(25, 251, 25))::INT AS k) GROUP BY ALL",
     "seq_slice": _W("contigs") + " SELECT contig, substring(seq, 101, 80) AS seq FROM contigs WHERE len >= 200",
-    "seq_flatten": _SHORT + f""" SELECT read_id, array_to_string([CASE b WHEN 'A' THEN '1000' WHEN 'C' THEN '0100' WHEN 'G' THEN '0010' WHEN 'T' THEN '0001' ELSE '0000' END
-        FOR b IN string_split(rpad(seq, {L}, 'N'), '')], '') AS flat FROM short""",
+    "seq_flatten": _READS + f""" SELECT read_id, array_to_string([CASE b WHEN 'A' THEN '1000' WHEN 'C' THEN '0100' WHEN 'G' THEN '0010' WHEN 'T' THEN '0001' ELSE '0000' END
+        FOR b IN string_split(rpad(seq, {L}, 'N'), '')], '') AS flat FROM reads""",
     "seq_fragment": _W("fragments") + " SELECT * FROM fragments",
     "frag_parse": _W("fragments") + """ SELECT f.contig || ':' || start || '..' || "end" AS id, f.contig::VARCHAR AS p_contig, greatest(start, 0) AS p_start, least("end", len) AS p_end FROM fragments f JOIN contigs c USING (contig)""",
     "acc_extract": r"SELECT page_id, 'GCA_' || lpad(page_id::VARCHAR, 9, '0') || '.1' AS acc, nullif(regexp_extract(url, '(\d+)', 1), '') AS digits FROM pages",
@@ -120,6 +117,6 @@ SQL = {
     "cls_multi": f"WITH {_SOFT} SELECT vec_id, (list_position(p, list_max(p)) - 1)::INT AS best, CASE WHEN list_max(p) > 0.5 THEN (list_position(p, list_max(p)) - 1)::INT END AS best_conf FROM soft",
     "cls_route": f"WITH {_SOFT} SELECT label, CASE WHEN list_max(p) <= 0.5 THEN 'undefined' WHEN list_position(p, list_max(p)) - 1 IN (1, 3, 5) THEN 'positive' ELSE 'negative' END AS route, count(*) AS n FROM soft GROUP BY ALL",
     "cls_pair": _GC + f", m AS (SELECT a.read_id, (a.p + b.p) / 2 AS p FROM gc a JOIN gc b ON a.read_id = b.read_id - 1) SELECT read_id, mate, round(p, 9) AS p, {_call('t', True)} AS call FROM m CROSS JOIN (SELECT unnest([1, 2]) AS mate)",
-    "cls_uncert": "WITH r AS (SELECT user_id AS read_id, value / 491.0::DOUBLE AS p FROM events), m AS (SELECT read_id, avg(p) AS p, round(stddev_pop(p), 9) AS sd FROM r GROUP BY 1) SELECT read_id, CASE WHEN p > 0.2 THEN 'pos' WHEN p <= 0.2 THEN 'neg' ELSE 'undef' END AS call, CASE WHEN read_id % 2 = 0 THEN sd END AS p_std FROM m",
+    "cls_uncert": "WITH r AS (SELECT user_id AS read_id, value / 491.0::DOUBLE AS p FROM events), m AS (SELECT read_id, avg(p) AS p, round(stddev_pop(p), 9) AS sd, count(*) AS n FROM r GROUP BY 1) SELECT read_id, CASE WHEN p > 0.2 THEN 'pos' WHEN p <= 0.2 THEN 'neg' ELSE 'undef' END AS call, CASE WHEN n > 1 THEN sd END AS p_std FROM m",
     "jn_zip": _GC + " SELECT r.read_id, genome, p FROM reads r JOIN gc USING (read_id)",
 }
