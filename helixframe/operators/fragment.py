@@ -6,22 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Windows that are cut from one piece of a contig.
+PIECE = 1024
+
+
 def fragment(contigs: DataFrame, length: int = 250, shift: int = 50) -> DataFrame:
     """``genome, contig, frag_id, start, end, seq``: windows that cover each contig.
 
     The contig is padded with N on both sides to what the windows cover, so starts may be negative.
+    Contigs are handled as bytes and in pieces of ``PIECE`` windows, so that work is linear in them.
     """
     n = F.greatest(F.lit(1), F.floor((F.col("len") - length + 2 * shift - 1) / shift)).cast("long")
     sized = contigs.withColumn("n", n).withColumn("cov", F.lit(length) + shift * (F.col("n") - 1))
-    sized = sized.withColumn("lp", F.expr("(cov - len) div 2"))
-    each = sized.select("genome", "contig", "seq", "len", "cov", "lp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("frag_id"))
+    sized = sized.select("genome", "contig", F.col("seq").cast("binary").alias("seq"), "n", F.expr("(cov - len) div 2").alias("lp"))
+    step = F.lit(PIECE).cast("long")
+    pieces = sized.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step)))
+    low = F.greatest(F.lit(0), F.col("first") * shift - F.col("lp"))
+    cut = F.substring("seq", (low + 1).cast("int"), F.lit(PIECE * shift + length))
+    last = F.least(F.col("first") + step, F.col("n")) - 1
+    each = pieces.select("genome", "contig", "lp", low.alias("low"), cut.alias("piece"), F.explode(F.sequence("first", last)).alias("frag_id"))
     at = F.col("frag_id") * shift - F.col("lp")
-    # only the window is cut from the contig; padding is added to it, never to the contig
-    left = F.repeat(F.lit("N"), F.greatest(F.lit(0), -at).cast("int"))
-    inside = F.substring("seq", (F.greatest(F.lit(0), at) + 1).cast("int"), (F.lit(length) - F.greatest(F.lit(0), -at)).cast("int"))
+    before = F.greatest(F.lit(0), -at).cast("int")
+    inside = F.substring("piece", (F.greatest(F.lit(0), at) - F.col("low") + 1).cast("int"), F.lit(length) - before).cast("string")
     return each.select(
         "genome", "contig", "frag_id", at.alias("start"), (at + length).alias("end"),
-        F.rpad(F.concat(left, inside), length, "N").alias("seq"),
+        F.rpad(F.concat(F.repeat(F.lit("N"), before), inside), length, "N").alias("seq"),
     )
 
 
