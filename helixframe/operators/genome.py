@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seq import signif
 from .joins import overlap
+from .windows import running_sums, value_ranges
 
 DIGITS = 12
 
@@ -191,8 +192,18 @@ def fisher(table: DataFrame) -> DataFrame:
 
 
 def bh_adjust(df: DataFrame, by: Sequence[str], p: str = "p") -> DataFrame:
-    """Benjamini-Hochberg ``q`` within each group."""
-    up = Window.partitionBy(*by).orderBy(p)
-    ranked = df.withColumn("__i", F.rank().over(up) + F.count("*").over(Window.partitionBy(*by, p)) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*by)))
-    after = Window.partitionBy(*by).orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranked.withColumn("q", F.least(F.min(F.col(p) * F.col("__n") / F.col("__i")).over(after), F.lit(1.0))).drop("__i", "__n")
+    """Benjamini-Hochberg ``q`` within each group.
+
+    Worked out on distinct p: ranks from counts up to each, then the least ``p * n / rank`` at or
+    above each, within ranges of p and over the least of the ranges above.
+    """
+    counted = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("__c"))
+    ranked = running_sums(counted, by, p, {"__i": "__c"}).withColumn("__v", F.col(p) * F.col("__i_all") / F.col("__i"))
+    ranked = ranked.withColumn("__r", value_ranges(counted, p))
+    after = Window.partitionBy(*by, "__r").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+    higher = Window.partitionBy(*by).orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, -1)
+    least = ranked.groupBy(*by, "__r").agg(F.min("__v").alias("__m"))
+    least = least.select(*by, "__r", F.min("__m").over(higher).alias("__above"))
+    q = F.least(F.min("__v").over(after), F.col("__above"), F.lit(1.0))
+    adjusted = ranked.join(least, [*by, "__r"]).select(*by, p, q.alias("q"))
+    return df.join(adjusted, [*by, p], "left")

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import running_sums
+
 EPS = 1e-7
 
 
@@ -46,12 +48,8 @@ def score_counts(df: DataFrame, by: Sequence[str], p: str = "p", truth: str = "l
 
 def curve(df: DataFrame, by: Sequence[str], p: str = "p", truth: str = "label") -> DataFrame:
     """Cumulative positives and negatives at or above each distinct score, and the totals."""
-    down = Window.partitionBy(*by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*by)
-    return score_counts(df, by, p, truth).select(
-        "*", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"),
-        F.sum("pos").over(every).alias("p_all"), F.sum("neg").over(every).alias("n_all"),
-    )
+    found = running_sums(score_counts(df, by, p, truth), by, p, {"tp": "pos", "fp": "neg"}, desc=True)
+    return found.withColumnsRenamed({"tp_all": "p_all", "fp_all": "n_all"})
 
 
 _PAIRS = "sum(pos * (n_all - fp) + pos * neg / 2) / nullif(max(p_all) * max(n_all), 0)"
@@ -115,8 +113,16 @@ def one_vs_rest(df: DataFrame, key: str, p: str = "p", truth: str = "label") ->
     )
 
 
+#: From each class's called (tp + fp) and true (tp + fn) rows; null where one class has all of either.
+_CALLED, _TRUE = "cast(tp + fp as double)", "cast(tp + fn as double)"
+_MCC = (
+    f"(sum(tp) * sum({_TRUE}) - sum({_CALLED} * {_TRUE})) / "
+    f"nullif(sqrt((pow(sum({_TRUE}), 2) - sum(pow({_CALLED}, 2))) * (pow(sum({_TRUE}), 2) - sum(pow({_TRUE}, 2)))), 0)"
+)
+
+
 def performance_multi(df: DataFrame, key: str) -> DataFrame:
-    """Macro means of one-vs-rest precision, recall, AUROC and average precision."""
+    """Macro means of one-vs-rest precision, recall, AUROC and average precision, and multiclass MCC."""
     best = df.withColumn("best", F.array_position("p", F.array_max("p")).cast("int") - 1)
     called = best.select("label", "best", F.explode(F.sequence(F.lit(0), F.size("p") - 1)).alias("class"))
     cells = called.groupBy("class").agg(
@@ -128,7 +134,7 @@ def performance_multi(df: DataFrame, key: str) -> DataFrame:
     per_class = cells.join(areas(rest, ["class"]), "class")
     return per_class.agg(
         F.avg(F.expr("coalesce(try_divide(tp, tp + fp), 0)")).alias("precision"), F.avg(F.expr("coalesce(try_divide(tp, tp + fn), 0)")).alias("recall"),
-        F.avg("auroc").alias("auroc"), F.avg("aupr").alias("aupr"), F.sum("tp").alias("correct"),
+        F.avg("auroc").alias("auroc"), F.avg("aupr").alias("aupr"), F.sum("tp").alias("correct"), F.expr(_MCC).alias("mcc"),
     )
 
 
@@ -141,14 +147,20 @@ def mid_rank(by: Sequence[str], value: str) -> Column:
 def compare_scores(df: DataFrame, by: Sequence[str], a: str, b: str, atol: float = 1e-6, rtol: float = 1e-5) -> DataFrame:
     """Two scores of each row: KS statistic, Spearman, differences and whether all are close."""
     gap = F.abs(F.col(a) - F.col(b))
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = both.withColumns({"ra": mid_rank(by, a), "rb": mid_rank(by, b)})
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).alias("__a"), F.col(b).alias("__b"), gap.alias("__gap"))
+    ranked = both.join(_mid_ranks(both, by, "__a", "ra"), [*by, "__a"]).join(_mid_ranks(both, by, "__b", "rb"), [*by, "__b"])
+    gap = F.col("__gap")
     plain = ranked.groupBy(*by).agg(
         F.corr("ra", "rb").alias("spearman"), F.max(gap).alias("max_diff"), F.avg(gap).alias("mean_diff"), F.percentile(gap, F.lit(0.5)).alias("median_diff"), F.stddev_pop(gap).alias("std_diff"),
-        F.bool_and(gap <= atol + rtol * F.abs(F.col(b))).alias("all_close"),
+        F.bool_and(gap <= atol + rtol * F.abs(F.col("__b"))).alias("all_close"),
     )
-    long = both.select(*by, F.expr(f"stack(2, 1, {a}, 0, {b}) as (first, v)")).groupBy(*by, "v").agg(F.sum("first").alias("na"), F.sum(1 - F.col("first")).alias("nb"))
-    up, every = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    steps = long.select(*by, F.abs(F.sum("na").over(up) / F.sum("na").over(every) - F.sum("nb").over(up) / F.sum("nb").over(every)).alias("step"))
-    ks = steps.groupBy(*by).agg(F.max("step").alias("ks"))
-    return plain.join(ks, list(by))
+    long = both.select(*by, F.expr("stack(2, 1, __a, 0, __b) as (first, v)")).groupBy(*by, "v").agg(F.sum("first").alias("na"), F.sum(1 - F.col("first")).alias("nb"))
+    summed = running_sums(long, by, "v", {"up_a": "na", "up_b": "nb"})
+    step = F.abs(F.col("up_a") / F.col("up_a_all") - F.col("up_b") / F.col("up_b_all"))
+    return plain.join(summed.groupBy(*by).agg(F.max(step).alias("ks")), list(by))
+
+
+def _mid_ranks(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+    """Mean rank of each distinct value of a group."""
+    counted = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
+    return running_sums(counted, by, value, {"__up": "__n"}).select(*by, value, (F.col("__up") - (F.col("__n") - 1) / 2).alias(name))

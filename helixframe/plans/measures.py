@@ -106,7 +106,7 @@ SQL = {
         round(tn / nullif(tn + fp + undef_neg, 0), 9) AS total_tnr, round((tp + tn + fp + fn) / (tp + tn + fp + fn + undef_pos + undef_neg), 9) AS prediction_rate, round(ll, 9) AS log_loss, round(auroc, 9) AS auroc, round(aupr, 9) AS aupr FROM c JOIN au USING (model)""",
     "agg_perf_multi": f"WITH {_SOFT}, r AS (SELECT vec_id, label AS truth, list_position(list_transform(p, lambda x: round(x, 9)), list_max(list_transform(p, lambda x: round(x, 9)))) - 1 AS best, unnest(range(10)) AS class, unnest(list_transform(p, lambda x: round(x, 9))) AS p FROM soft), ovr AS (SELECT class, p, (truth = class)::INT AS label FROM r)"
     + _CURVE.format(by="class", src="ovr")
-    + ", cells AS (SELECT class, count(*) FILTER (best = class AND truth = class) AS tp, count(*) FILTER (best = class AND truth <> class) AS fp, count(*) FILTER (best <> class AND truth = class) AS fn FROM r GROUP BY 1) SELECT round(avg(coalesce(tp / nullif(tp + fp, 0), 0)), 9) AS precision, round(avg(coalesce(tp / nullif(tp + fn, 0), 0)), 9) AS recall, round(avg(auroc), 9) AS auroc, round(avg(aupr), 9) AS aupr, sum(tp)::BIGINT AS correct FROM cells JOIN au USING (class)",
+    + ", cells AS (SELECT class, count(*) FILTER (best = class AND truth = class) AS tp, count(*) FILTER (best = class AND truth <> class) AS fp, count(*) FILTER (best <> class AND truth = class) AS fn FROM r GROUP BY 1) SELECT round(avg(coalesce(tp / nullif(tp + fp, 0), 0)), 9) AS precision, round(avg(coalesce(tp / nullif(tp + fn, 0), 0)), 9) AS recall, round(avg(auroc), 9) AS auroc, round(avg(aupr), 9) AS aupr, sum(tp)::BIGINT AS correct, round((sum(tp) * sum(tp + fn)::DOUBLE - sum((tp + fp)::DOUBLE * (tp + fn))) / nullif(sqrt((pow(sum(tp + fn), 2) - sum(pow(tp + fp, 2))) * (pow(sum(tp + fn), 2) - sum(pow(tp + fn, 2)))), 0), 9) AS mcc FROM cells JOIN au USING (class)",
     "m_logloss": _W("labelled") + f" SELECT model, genome, round({_LOSS}, 9) AS log_loss FROM labelled WHERE p IS NOT NULL GROUP BY ALL",
     "m_auroc": _curve("model, genome") + " SELECT model, genome, round(auroc, 9) AS auroc FROM au",
     "m_aupr": _curve("model, genome") + " SELECT model, genome, round(aupr, 9) AS aupr FROM au",
