@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from ..operators import score as R
 from ..sources import files as I
 from ..streaming import live as L
 from . import fixtures as X
-from .genomes import _seqs
+from .genomes import _MM, _seqs
 from .measures import _round
 
 _T, _W = X.table, X.with_tables
@@ -21,11 +20,10 @@ WEIGHTS = {"A": -2.0, "C": 1.0, "G": 3.0, "T": -1.0}
 
 
 def scratch(spark, name: str) -> str:
-    """A new folder in the session's shared folder; a temporary one only where none is set."""
+    """A new folder in the cluster's ``spark.checkpoint.dir``, which driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="helixframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -34,7 +32,50 @@ def _fasta_trip(s, d):
     path = scratch(s, "fasta")
     gc = F.expr("(length(seq) - length(replace(seq, 'G', ''))) / 1000.0D")
     I.write_fasta(X.contigs(s, d).where("len > 0"), path, I.score_header(F.concat(F.lit("c"), F.col("contig")), gc))
-    return I.read_fasta(s, path, "all").select("title", F.length("seq").cast("long").alias("len"), F.md5("seq").alias("digest"))
+    title = F.regexp_extract("title", r"^c(\d+) \| pp=\d\.\d{3}$", 1)
+    return I.read_fasta(s, path, "all").select(title.cast("long").alias("contig"), F.length("seq").cast("long").alias("len"), F.md5("seq").alias("digest"))
+
+
+def _taxdump_trip(s, d):
+    """Names, nodes and merged ids written in the dump's form and read back."""
+    paths = [scratch(s, f"{x}-dmp") for x in ("nodes", "names", "merged")]
+    part, sep = _T(s, d, "part"), F.lit("\t|\t")
+    spelled = lambda *cs: F.concat(*[x for c in cs for x in (c.cast("string"), sep)][:-1], F.lit("\t|"))
+    part.select(spelled(F.col("p_size"), F.expr("p_size div 2"), F.lit("genus"))).distinct().write.text(paths[0])
+    kind = F.when(F.col("p_partkey") % 3 == 0, "scientific name").otherwise("synonym")
+    part.select(spelled(F.col("p_size"), F.col("p_name"), F.lit(""), kind)).write.text(paths[1])
+    part.select(spelled(F.col("p_partkey") + 1_000_000_000, F.col("p_size"))).write.text(paths[2])
+    nodes, names, merged = I.read_taxdump(s, *paths)
+    old = merged.groupBy(F.col("new").alias("taxid")).agg(F.count("*").alias("n_merged"))
+    return names.join(nodes, "taxid").join(old, "taxid").select("taxid", "name", "parent", "n_merged")
+
+
+def _hits_trip(s, d):
+    """Hits written in twelve columns, in order, and read back; the first line of each query."""
+    path = scratch(s, "hits")
+    spare = [F.lit(0).alias(f"c{i}") for i in range(8)]
+    hits = _T(s, d, "lineitem").select("l_orderkey", "l_partkey", *spare, "l_extendedprice", "l_linenumber")
+    hits.repartitionByRange("l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").write.csv(path, sep="\t")
+    return I.first_hit(I.read_hits6(s, path)).select(F.col("query").cast("long").alias("query"), F.col("subject").cast("long").alias("subject"), F.col("bitscore").cast("long").alias("line"))
+
+
+def _slices_trip(s, d):
+    path = scratch(s, "slices")
+    I.write_slices(X.reads(s, d).select("read_id"), path, 7, "read_id")
+    return s.read.parquet(path).select("read_id", F.col("slice").cast("int").alias("slice"))
+
+
+def _scored_fasta_trip(s, d):
+    path = scratch(s, "scored")
+    rows = _T(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.bround(x.cast("double"), 2)).alias("p"), F.translate(F.md5(F.col("vec_id").cast("string")), "0123456789abcdef", "ACGT" * 4).alias("seq"))
+    I.write_fasta(rows, path, I.score_header_multi(F.col("vec_id").cast("string"), F.col("p"), 2))
+    return I.read_fasta(s, path).select("title", "seq")
+
+
+def _transfac_trip(s, d):
+    path = scratch(s, "transfac")
+    I.write_transfac(M.motif_matrix(_seqs(s, d)), path)
+    return s.read.text(path).withColumnRenamed("value", "line")
 
 
 def _bed_trip(s, d):
@@ -81,14 +122,16 @@ def _route(s, d):
 
 
 def _pooled_stream(s, d):
-    """The pooled stream over the events table, drained into a table; the last windows stay open."""
+    """The pooled stream over the events table; each batch's changed windows land in a table."""
     path = f"{d}/events.parquet"
     folder, file = os.path.split(path)
     source = s.readStream.schema(s.read.parquet(path).schema).option("pathGlobFilter", file).parquet(folder)
-    out = scratch(s, "pooled")
+    out, marks = scratch(s, "pooled"), scratch(s, "pooled-marks")
     pooled = L.windowed_pool(source.selectExpr("cast(ts as timestamp) as ts", "event_type as genome", "value as p"), "1 day", "0 seconds")
-    pooled.writeStream.outputMode("complete").format("memory").queryName(name := f"pooled_{uuid.uuid4().hex}").option("checkpointLocation", out).trigger(availableNow=True).start().awaitTermination()
-    return s.table(name)
+    land = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(out)
+    pooled.writeStream.outputMode("update").foreachBatch(land).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    last = s.read.parquet(out).groupBy("start", "genome").agg(F.max_by(F.struct("score", "n"), "batch").alias("last"))
+    return last.select("start", "genome", "last.score", "last.n")
 
 
 QUERIES = {
@@ -98,12 +141,12 @@ QUERIES = {
     "contig_len": lambda s, d: I.contig_lengths(_gff_trip(s, d)).select(F.col("contig").cast("long").alias("contig"), "len"),
     "src_scores": lambda s, d: I.read_scores(s, _write(s, "scores", X.scores(s, d).withColumn("p", F.coalesce("p", F.lit(float("nan")))))).groupBy("model").agg(F.count("*").alias("n"), F.count("p").alias("known"), F.round(F.avg("p"), 9).alias("mean")),
     "src_contribs": _contrib_trip,
-    "src_taxdump": lambda s, d: I.one_name(_T(s, d, "part").selectExpr("p_size as taxid", "p_name as name", "if(p_partkey % 3 = 0, 'scientific name', 'synonym') as kind")),
-    "src_hits6": lambda s, d: I.first_hit(_T(s, d, "lineitem").selectExpr("l_orderkey as query", "l_partkey as subject", "l_linenumber", "l_extendedprice"), "query", ("l_linenumber", "subject", "l_extendedprice")).select("query", "subject"),
-    "snk_slices": lambda s, d: I.with_slices(X.reads(s, d).select("read_id"), 7, "read_id"),
-    "snk_fasta": lambda s, d: _T(s, d, "embeddings").select("vec_id", I.score_header_multi(F.col("vec_id").cast("string"), F.transform(F.slice("embedding", 1, 3), lambda x: F.bround(x.cast("double"), 2)), 2).alias("header")),
+    "src_taxdump": _taxdump_trip,
+    "src_hits6": _hits_trip,
+    "snk_slices": _slices_trip,
+    "snk_fasta": _scored_fasta_trip,
     "snk_bed": _bed_trip,
-    "snk_transfac": lambda s, d: I.transfac_text(M.motif_matrix(_seqs(s, d))),
+    "snk_transfac": _transfac_trip,
     "score_reads": lambda s, d: _round(_scored(s, d)),
     "kmer_features": lambda s, d: R.kmer_features(X.contigs(s, d).select(F.col("contig").alias("read_id"), "seq"), 3),
     "rf_baseline": _forest,
@@ -125,8 +168,11 @@ SQL = {
     "contig_len": _W("features") + " SELECT contig, \"end\" AS len FROM features WHERE type = 'gene'",
     "src_scores": _W("scores") + " SELECT model, count(*) AS n, count(p) AS known, round(avg(p), 9) AS mean FROM scores GROUP BY 1",
     "src_contribs": "SELECT 'f0' AS filter_id, l_orderkey AS read_id, count(*) AS n, round(sum(round(l_tax, 2) * l_linenumber), 6) AS total FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY l_orderkey",
-    "src_taxdump": "SELECT p_size AS taxid, p_name AS name FROM part QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY (p_partkey % 3 <> 0), p_name) = 1",
-    "src_hits6": "SELECT l_orderkey AS query, l_partkey AS subject FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) = 1",
+    "src_taxdump": "WITH n AS (SELECT p_size AS taxid, p_name AS name, p_size // 2 AS parent, count(*) OVER (PARTITION BY p_size) AS n_merged, row_number() OVER (PARTITION BY p_size ORDER BY (p_partkey % 3 <> 0), p_name) AS r FROM part) SELECT taxid, name, parent, n_merged FROM n WHERE r = 1",
+    "src_hits6": "SELECT l_orderkey AS query, l_partkey AS subject, l_linenumber AS line FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) = 1",
+    "src_fasta": _W("contigs") + " SELECT contig, len, md5(seq) AS digest FROM contigs WHERE len > 0",
+    "snk_fasta": "SELECT vec_id || ' | pp=' || array_to_string(list_transform(embedding, lambda x: printf('%.2f', round_even(x::DOUBLE, 2) + 0.0)), '; ') AS title, translate(md5(vec_id::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM embeddings",
+    "snk_transfac": _MM + ", f AS (SELECT DISTINCT filter_id AS f FROM mm) SELECT 'AC' || chr(9) || f AS line FROM f UNION ALL SELECT 'ID' || chr(9) || f FROM f UNION ALL SELECT unnest(['XX', 'XX', 'XX', '//', concat_ws(chr(9), 'PO', 'A', 'C', 'G', 'T')]) FROM f UNION ALL SELECT concat_ws(chr(9), printf('%02d', pos + 1), " + ", ".join(f"printf('%.2f', coalesce(max(cnt) FILTER (base = '{b}'), 0)::DOUBLE)" for b in "ACGT") + ") FROM mm GROUP BY filter_id, pos",
     "snk_slices": _W("reads") + " SELECT read_id, (ntile(7) OVER (ORDER BY read_id) - 1)::INT AS slice FROM reads",
     "snk_bed": _W("features") + ' SELECT contig, start, "end", type FROM features',
     "score_reads": _W("base_counts") + " SELECT read_id, genome, round(1 / (1 + exp(-(-0.2 + " + " + ".join(f"{w} * {b.lower()} / 250" for b, w in WEIGHTS.items()) + "))), 9) AS p FROM base_counts",

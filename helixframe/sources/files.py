@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.windows import running_sums
+
 GFF = "seqid string, source string, type string, start long, end long, score string, strand string, phase string, attrs string"
 HITS6 = "query string, subject string, pident double, length int, mismatch int, gapopen int, qstart int, qend int, sstart int, send int, evalue double, bitscore double"
 
@@ -27,21 +26,16 @@ def read_fasta(spark: SparkSession, path: str, name: str = "") -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str, min_len: int = 0, start: int = 0, end: int | None = None) -> DataFrame:
-    """``title, seq`` of four-line records, one record at a time from each file.
+    """``title, seq`` of four-line records, from splits of any size.
 
-    Files are streamed whole by one task each, as quality lines may begin with ``@``; many files
-    are read side by side.
+    Files are cut before each ``@`` at a line's start.  That is a record's start or, as quality may
+    begin with it, the rest of a quality line, which has no third line with a plus.
     """
-    blobs = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                lines = content.decode().splitlines()
-                yield pd.DataFrame({"title": [x[1:] for x in lines[::4]], "seq": lines[1::4]})
-
-    found = blobs.select("content").mapInPandas(records, "title string, seq string").where(F.length("seq") >= min_len)
-    return found.withColumn("seq", F.substring("seq", start + 1, (end if end is not None else 1 << 30) - start))
+    raw = spark.read.option("lineSep", "\n@").text(path)
+    lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
+    kept = raw.select(lines.alias("lines")).where((F.size("lines") > 2) & F.try_element_at("lines", F.lit(3)).startswith("+"))
+    found = kept.select(F.regexp_replace(F.element_at("lines", 1), "^@", "").alias("title"), F.element_at("lines", 2).alias("seq"))
+    return found.where(F.length("seq") >= min_len).withColumn("seq", F.substring("seq", start + 1, (end if end is not None else 1 << 30) - start))
 
 
 def read_gff3(spark: SparkSession, path: str) -> DataFrame:
@@ -89,30 +83,26 @@ def one_name(names: DataFrame) -> DataFrame:
 
 
 def read_hits6(spark: SparkSession, path: str) -> DataFrame:
-    """Twelve-column hits with ``file, line_no``: a number that rises along each file."""
-    return spark.read.schema(HITS6).csv(path, sep="\t").withColumns({"file": F.input_file_name(), "line_no": F.monotonically_increasing_id()})
+    """Twelve-column hits with ``file, block, line_no``, by which lines have the file's order."""
+    rows = spark.read.schema(HITS6).csv(path, sep="\t")
+    return rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"))
 
 
-def first_hit(hits: DataFrame, query: str = "query", order: tuple[str, ...] = ("file", "line_no")) -> DataFrame:
+def first_hit(hits: DataFrame, query: str = "query", order: tuple[str, ...] = ("file", "block", "line_no")) -> DataFrame:
     w = Window.partitionBy(query).orderBy(*order)
     return hits.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
 def with_slices(df: DataFrame, n: int, order: str) -> DataFrame:
-    """``slice`` from 0: contiguous by ``order`` and equal to within one row.
+    """``slice`` from 0: contiguous by the numeric ``order`` and equal to within one row.
 
-    Row numbers come from range partitions and their counts, so no task sees all rows.
+    Row numbers come from ranges of ``order`` and their counts, so no task sees all rows.
     """
-    ranged = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
-    counts = ranged.groupBy("__p").agg(F.count("*").alias("__c"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__b"), F.sum("__c").over(Window.partitionBy()).alias("__n"))
-    row = F.row_number().over(Window.partitionBy("__p").orderBy(order)) + F.col("__b") - 1
-    big, small = F.col("__n") % n, F.floor(F.col("__n") / n)
-    placed = ranged.join(F.broadcast(bases), "__p").withColumn("__row", row)
+    placed = running_sums(df.withColumn("__one", F.lit(1)), [], order, {"__row": "__one"})
+    big, small, row = F.col("__row_all") % n, F.floor(F.col("__row_all") / n), F.col("__row") - 1
     cut = big * (small + 1)
-    at = F.when(F.col("__row") < cut, F.floor(F.col("__row") / (small + 1))).otherwise(big + F.floor((F.col("__row") - cut) / F.greatest(small, F.lit(1))))
-    return placed.withColumn("slice", at.cast("int")).drop("__p", "__b", "__n", "__row")
+    at = F.when(row < cut, F.floor(row / (small + 1))).otherwise(big + F.floor((row - cut) / F.greatest(small, F.lit(1))))
+    return placed.withColumn("slice", at.cast("int")).drop("__one", "__row", "__row_all")
 
 
 def write_slices(df: DataFrame, path: str, n: int, order: str) -> None:
