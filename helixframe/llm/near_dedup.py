@@ -5,9 +5,11 @@ Proposed are pairs whose fingerprints differ in ``simhash.RADIUS`` bits at most
 tables miss none) and pairs that meet in one of ``BANDS`` bands of shingle minima, as texts that
 share 0.8 of their shingles do with a chance over 0.999.
 
-Texts with equal sets are one node.  First each bucket's least node is compared with all others;
-then, in buckets that still hold several components, all pairs between these.  So copies of one
-text cost one comparison each, and no proposed pair that could join two components is left out.
+Texts with equal sets are one node.  In buckets of ``FEW`` nodes or less all pairs are compared.  A
+larger bucket takes its hub, the node with most neighbours in all its buckets, and compares it with
+all others, then the next such node with those of other components, and so on until a round of
+hubs adds no link anywhere.  So a bucket costs as many comparisons as nodes for each round, and
+what may stay apart are two texts of a large bucket that link to each other but to no hub.
 
 Nulls and wordless texts form one group; repeated rows and copies share a node and so a group; an
 empty table gives an empty result; all columns of the input are kept as they are.
@@ -20,11 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash as S
 from ._components import connected_components
+from ._repeats import forget_words, word_symbols
+from ._runs import Hasher
 from ._shared import as_bytes, batch_of, keyed, materialise
 
 SHINGLE = 5
@@ -36,38 +40,80 @@ _RNG = np.random.default_rng(11)
 _FACTORS = _RNG.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RNG.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
 _EPS = 1e-9
-SENT = 2_000_000
+CHUNK = 1024
+#: The largest bucket whose pairs are all compared.
+FEW = 16
+#: Rows of at most four numbers that are sent to every task.
+SENT = 1_000_000
+
+
+def shingle_set(body: bytes, words_each: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of one text; A-Z in lower case, too few words are one shingle."""
+    symbols = word_symbols(np.frombuffer(body.lower(), np.uint8))
+    if not len(symbols):
+        return np.zeros(0, np.uint64)
+    return np.unique(Hasher(symbols).grams(min(words_each, len(symbols))))
 
 
 def describe(body: bytes, words_each: int) -> tuple[np.ndarray, int, list[int]]:
-    """Sorted distinct shingle hashes of one text, and their fingerprint and band keys."""
-    shingles = np.unique(np.concatenate([np.zeros(0, np.uint64), *S.shingle_hashes(body, words_each)]))
+    """One text's shingle set, and the fingerprint and band keys of it."""
+    shingles = shingle_set(body, words_each)
     count = np.zeros(S.BITS, np.int64)
     least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), S.CHUNK):
-        h = shingles[at : at + S.CHUNK]
+    for at in range(0, len(shingles), CHUNK):
+        h = shingles[at : at + CHUNK]
         count += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, S.BITS).sum(0, dtype=np.int64)
-        for i, (a, b) in enumerate(zip(_FACTORS, _SHIFTS, strict=True)):
-            least[i] = min(least[i], (h * a + b).min())
+        least = np.minimum(least, (h[:, None] * _FACTORS + _SHIFTS).min(0))
     fp = int(np.packbits(2 * count > len(shingles), bitorder="little").view(np.int64)[0])
     bands = [xxhash.xxh3_64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
     return shingles, fp, bands
 
 
 def described(docs: DataFrame, words_each: int) -> DataFrame:
-    """``dkey, tkey, doc_id, node, fp, bands, shingles, at``: ``at`` numbers the rows."""
-    fields = [(c, pa.int64()) for c in ("dkey", "tkey", "doc_id", "node", "fp")]
-    schema = pa.schema([*fields, ("bands", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
+    """``dkey, tkey, doc_id, node, n, fp, bands``: equal nodes are equal shingle sets of ``n``."""
+    fields = [(c, pa.int64()) for c in ("dkey", "tkey", "doc_id", "node")]
+    schema = pa.schema([*fields, ("n", pa.int32()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [describe(b.tobytes(), words_each) for b in as_bytes(batch.column("body"))]
+            found = [(_node(h), len(h), fp, bands) for h, fp, bands in (describe(b.tobytes(), words_each) for b in as_bytes(batch.column("body")))]
             own = [batch.column(c) for c in ("dkey", "tkey", "doc_id")]
-            nodes = [xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63) for h, *_ in found]
-            yield batch_of(schema, [*own, nodes, [f for _, f, _ in found], [b for *_, b in found], [h.view(np.int64) for h, *_ in found]])
+            yield batch_of(schema, [*own, *(list(zip(*found, strict=True)) or [()] * 4)])
+        forget_words()
+
+    ddl = "dkey long, tkey long, doc_id long, node long, n int, fp long, bands array<long>"
+    return materialise(keyed(docs).mapInArrow(run, ddl), "described")
+
+
+def _node(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
+def sent(few: DataFrame) -> DataFrame:
+    """``few`` to all tasks if it has at most ``SENT`` rows of a few numbers; shuffled above that."""
+    few = materialise(few, "few")
+    return F.broadcast(few) if few.count() <= SENT else few
+
+
+def distinct_nodes(marked: DataFrame) -> DataFrame:
+    """``node, of, n, fp, bands``: one row a node, with the keys of one of its texts."""
+    same = [F.first(c).alias(c) for c in ("n", "fp", "bands")]  # these follow from the node's set
+    return materialise(marked.groupBy("node").agg(F.min(F.struct("dkey", "tkey")).alias("of"), *same), "nodes")
 
-    ddl = "dkey long, tkey long, doc_id long, node long, fp long, bands array<long>, shingles array<long>"
-    return materialise(keyed(docs).mapInArrow(run, ddl).withColumn("at", F.monotonically_increasing_id()), "described")
+
+def sets_of(used: DataFrame, nodes: DataFrame, docs: DataFrame, words_each: int) -> DataFrame:
+    """``node, shingles`` of the nodes ``used``, spelled again from one text of each."""
+    wanted = sent(nodes.join(sent(used), "node", "left_semi").select("of.dkey", "of.tkey", "node"))
+    texts = keyed(docs).join(wanted, ["dkey", "tkey"]).groupBy("node").agg(F.first("body").alias("body"))
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(b.tobytes(), words_each).view(np.int64) for b in as_bytes(batch.column("body"))]
+            yield batch_of(schema, [batch.column("node"), sets])
+        forget_words()
+
+    return materialise(texts.select("node", "body").mapInArrow(run, "node long, shingles array<long>"), "sets")
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
@@ -76,7 +122,7 @@ def buckets(nodes: DataFrame) -> DataFrame:
     bands = F.transform("bands", lambda key, i: keys(F.xxhash64(i, key), False))
     masks = S.covering_masks(S.RADIUS)
     tables = [keys(F.xxhash64(F.lit(-1 - t), F.col("fp").bitwiseAND(F.lit(m))), True) for t, m in enumerate(masks)]
-    member = F.struct("node", "at", "n", "fp").alias("member")
+    member = F.struct("node", "n", "fp").alias("member")
     return nodes.select(member, F.explode(F.concat(bands, F.array(*tables))).alias("key")).select("key.bucket", "key.bits", "member")
 
 
@@ -86,73 +132,64 @@ def _proposed(a: Column, b: Column, bits: Column, similarity: float) -> Column:
     return (F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]) - _EPS) & (~bits | near)
 
 
-def _ends(a: Column, b: Column) -> list[Column]:
-    return [a["node"].alias("u"), b["node"].alias("v"), a["at"].alias("at_u"), b["at"].alias("at_v")]
-
-
-def sets_of(rows: DataFrame, marked: DataFrame) -> DataFrame:
-    """``at, shingles`` of all nodes in the buckets ``rows``; few enough nodes spare the sets a shuffle."""
-    used = materialise(rows.select(F.explode(F.array("hub.at", "member.at")).alias("at")).distinct(), "used")
-    used = F.broadcast(used) if used.count() <= SENT else used
-    return materialise(marked.select("at", "shingles").join(used, "at", "left_semi"), "sets")
-
-
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``u, v`` of the pairs whose shingle sets have the similarity."""
-    both = pairs.join(sets.select(F.col("at").alias("at_u"), F.col("shingles").alias("x")), "at_u")
-    both = both.join(sets.select(F.col("at").alias("at_v"), F.col("shingles").alias("y")), "at_v")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u")
+    both = both.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
     shared = F.size(F.array_intersect("x", "y"))
     counted = both.select("u", "v", shared.alias("shared"), (F.size("x") + F.size("y")).alias("sizes"))
     held = counted.where(F.col("shared") >= similarity * (F.col("sizes") - F.col("shared")) - _EPS)
     return materialise(held.select("u", "v"), "links")
 
 
-def links_of(marked: DataFrame, similarity: float) -> DataFrame:
-    """``u, root`` of nodes linked by exact similarity; marked is ``described``'s."""
-    nodes = marked.select("node", "at", F.size("shingles").alias("n"), "fp", "bands").groupBy("node").agg(
-        F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("n", "fp", "bands"))
-    )
-    w = Window.partitionBy("bucket")
-    hubs = buckets(nodes).withColumns({"hub": F.min("member").over(w), "last": F.max("member.node").over(w)})
-    rows = materialise(hubs.where("hub.node < last and member.node > hub.node").drop("last"), "buckets")
+def links_of(marked: DataFrame, docs: DataFrame, words_each: int, similarity: float) -> DataFrame:
+    """``u, root`` of nodes linked by exact similarity; marked is ``described``'s of ``docs``."""
+    nodes = distinct_nodes(marked)
+    each = buckets(nodes)
+    # a hot bucket shrinks to one row a task before it is dealt by its key
+    shared = each.groupBy("bucket", "bits").agg(F.count("*").alias("size")).where("size > 1")
+    rows = materialise(each.join(sent(shared), ["bucket", "bits"]), "buckets")
+    sets = sets_of(rows.select("member.node").distinct(), nodes, docs, words_each)
+    # what most buckets hold in common is likely the text that the others derive from
+    degree = rows.groupBy(F.col("member.node").alias("u")).agg(F.sum("size").alias("degree"))
+    ranked = rows.withColumn("u", F.col("member.node")).join(degree, "u")
+    ranked = materialise(ranked.select("bucket", "bits", "size", F.struct("degree", "member.node", "member.n", "member.fp").alias("member")), "ranked")
     member, hub = F.col("member"), F.col("hub")
-    stars = materialise(rows.where(_proposed(hub, member, F.col("bits"), similarity)).select(*_ends(hub, member)).distinct(), "pairs")
-    sets = sets_of(rows, marked)
-    roots = connected_components(alike(stars, sets, similarity))
-
-    # hubs are done with; of the rest, only members of different components can still add a link
-    rest = rows.select("bucket", "bits", "member", F.col("member.node").alias("u")).join(roots, "u", "left")
-    rest = rest.select("bucket", "bits", "member", F.coalesce("root", "u").alias("root"))
-    parts = rest.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    rest = materialise(rest.join(mixed.drop("parts"), "bucket"), "mixed")
-    small = rest.where("root <> main").select("bucket", F.col("member").alias("a"), F.col("root").alias("of"))
-    a, b = F.col("a"), F.col("member")
-    across = small.join(rest, "bucket").where((F.col("of") != F.col("root")) & ((F.col("root") == F.col("main")) | (a["node"] < b["node"])))
-    across = across.where(_proposed(a, b, F.col("bits"), similarity))
-    first, second = F.when(a["node"] < b["node"], a).otherwise(b), F.when(a["node"] < b["node"], b).otherwise(a)
-    pairs = materialise(across.select(*_ends(first, second)).distinct().join(stars, ["u", "v"], "left_anti"), "pairs")
-    if pairs.isEmpty():
-        return roots
-    more = alike(pairs, sets, similarity)
-    return connected_components(more.unionByName(roots.select("u", F.col("root").alias("v"))))
+    ends = lambda x, y: [F.least(x["node"], y["node"]).alias("u"), F.greatest(x["node"], y["node"]).alias("v")]
+
+    few, many = ranked.where(F.col("size") <= FEW), ranked.where(F.col("size") > FEW)
+    other = F.col("other")
+    pairs = few.join(few.select("bucket", member.alias("other")), "bucket").where(member["node"] < other["node"])
+    pairs = pairs.where(_proposed(member, other, F.col("bits"), similarity)).select(*ends(member, other))
+    hubs = many.groupBy("bucket").agg(F.max("member").alias("hub"))
+    stars = many.join(hubs, "bucket").where((member["node"] != hub["node"]) & _proposed(hub, member, F.col("bits"), similarity))
+    first = materialise(pairs.unionByName(stars.select(*ends(hub, member))).distinct(), "pairs")
+    roots = connected_components(alike(first, sets, similarity))
+    while True:
+        hubs = materialise(many.join(hubs.withColumnRenamed("hub", "last"), "bucket").where("member < last").groupBy("bucket").agg(F.max("member").alias("hub")), "hubs")
+        of = roots.select(F.col("u").alias("node"), "root")
+        hubs_of = hubs.withColumn("node", hub["node"]).join(of, "node", "left").select("bucket", "hub", F.coalesce("root", "node").alias("hub_root"))
+        left = many.join(hubs_of, "bucket").withColumn("node", member["node"]).join(of, "node", "left")
+        left = left.where((F.coalesce("root", "node") != F.col("hub_root")) & _proposed(hub, member, F.col("bits"), similarity))
+        more = alike(materialise(left.select(*ends(hub, member)).distinct(), "pairs"), sets, similarity)
+        if more.isEmpty():
+            return roots
+        roots = connected_components(more.unionByName(roots.select("u", F.col("root").alias("v"))))
 
 
 def groups(docs: DataFrame, words_each: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``dkey, tkey, doc_id, root`` for every document (see ``keyed``); equal roots are a group."""
     marked = described(docs, words_each)
-    roots = links_of(marked, similarity).withColumnRenamed("u", "node")
+    roots = links_of(marked, docs, words_each, similarity).withColumnRenamed("u", "node")
     return marked.join(roots, "node", "left").select("dkey", "tkey", "doc_id", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame, words_each: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group: that of the least doc_id (nulls last)."""
-    names = docs.columns
     found = groups(docs, words_each, similarity)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "dkey", "tkey")).alias("first"))
-    chosen = first.select(F.col("first.dkey").alias("__dkey"), F.col("first.tkey").alias("__tkey")).distinct()
-    body = F.coalesce(F.col("text"), F.lit(""))
-    dkey, tkey = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64(body)
-    tagged = docs.withColumns({"__dkey": dkey, "__tkey": tkey})
-    kept = tagged.join(chosen, ["__dkey", "__tkey"], "left_semi")
-    return kept.dropDuplicates(["__dkey", "__tkey"]).select(*names)
+    chosen = first.select("first.dkey", "first.tkey").distinct()
+    dkey, tkey = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    # all columns of the input travel in one, so that no name clashes
+    tagged = docs.select(dkey.alias("dkey"), tkey.alias("tkey"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return tagged.join(chosen, ["dkey", "tkey"], "left_semi").dropDuplicates(["dkey", "tkey"]).select("row.*")
