@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._runs import BYTE_SYMBOLS, Hasher, mix, runs
@@ -306,34 +306,13 @@ def joined_ranges(ranges: DataFrame) -> DataFrame:
     Repeated rows give equal ranges and one letter's text gives one for each run; both come out as
     few, so what is collected for a text is bounded by what it has apart.
     """
-    names = ["dkey", "tkey", "start", "n"]
-    schema = pa.schema([(x, pa.int64()) for x in names])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((4, 0), np.int64)
-        for batch in batches:
-            rows = np.concatenate([held, np.stack([as_numpy(batch.column(x)) for x in names])], axis=1)
-            dkey, tkey, start, n = rows
-            if not len(dkey):
-                continue
-            text = np.flatnonzero(np.concatenate(([True], (dkey[1:] != dkey[:-1]) | (tkey[1:] != tkey[:-1]))))
-            # furthest end so far within each text: ends are raised by a text's number times a great stride
-            stride = np.int64(start.max() + n.max() + 2)
-            of = np.repeat(np.arange(len(text)), np.diff(np.append(text, len(dkey))))
-            reach = np.maximum.accumulate(start + n + of * stride)
-            fresh = np.concatenate(([True], start[1:] + of[1:] * stride > reach[:-1]))
-            head = np.flatnonzero(fresh)
-            last = np.append(head[1:], len(dkey)) - 1
-            out = np.stack([dkey[head], tkey[head], start[head], reach[last] - of[last] * stride - start[head]])
-            held = out[:, -1:]  # may go on in the next batch
-            if out.shape[1] > 1:
-                yield batch_of(schema, list(out[:, :-1]))
-        if held.shape[1]:
-            yield batch_of(schema, list(held))
-
-    ddl = ", ".join(f"{x} long" for x in names)
-    near = ranges.select("dkey", "tkey", "start", F.col("n").cast("long").alias("n")).distinct()
-    return near.repartition("dkey", "tkey").sortWithinPartitions("dkey", "tkey", "start").mapInArrow(join, ddl)
+    text = Window.partitionBy("dkey", "tkey").orderBy("start")
+    end = F.col("start") + F.col("n")
+    apart = F.col("start") > F.max(end).over(text.rowsBetween(Window.unboundedPreceding, -1))
+    marked = ranges.withColumn("apart", F.coalesce(apart.cast("int"), F.lit(1)))
+    numbered = marked.withColumn("island", F.sum("apart").over(text.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = numbered.groupBy("dkey", "tkey", "island").agg(F.min("start").alias("start"), (F.max(end) - F.min("start")).alias("n"))
+    return islands.select("dkey", "tkey", "start", "n")
 
 
 def hashed_windows(rows: list[tuple]) -> list[tuple]:
