@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -20,10 +21,13 @@ WEIGHTS = {"A": -2.0, "C": 1.0, "G": 3.0, "T": -1.0}
 
 
 def scratch(spark, name: str) -> str:
-    """A new folder in the cluster's ``spark.checkpoint.dir``, which driver and executors share."""
+    """A new folder in ``spark.checkpoint.dir``; one of our own only where it is unset in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="helixframe-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
