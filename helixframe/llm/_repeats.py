@@ -332,7 +332,7 @@ def hashed_windows(rows: list[tuple]) -> list[tuple]:
 
 def ranges_of(rows: list[tuple], piece: np.ndarray, offset: np.ndarray, flag: np.ndarray) -> list[tuple]:
     """Flagged window starts (in order of piece and offset) as ranges of their documents."""
-    out, piece, offset = [], piece[flag], offset[flag]
+    out, piece, offset = [], piece[flag].astype(np.int64), offset[flag]
     at, size = consecutive(piece * (1 << 40) + offset)
     for x, n in zip(at, size, strict=True):
         row = rows[x >> 40]

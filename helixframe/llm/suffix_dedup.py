@@ -34,7 +34,9 @@ LENGTH = 400
 GRAM = 200
 STRIDE = 100
 SHARDS = 2
-BUNDLE_BYTES = 1 << 21
+BUNDLE_BYTES = 1 << 20
+#: Texts are hashed in slices of about this many bytes, which bounds the hasher's tables.
+SLICE_BYTES = 1 << 18
 
 
 def _stable_order(symbol: np.ndarray) -> np.ndarray:
@@ -70,19 +72,33 @@ def merge_transforms(shards: list[ShardTransform], rounds: int) -> tuple[np.ndar
     n = len(before)
     prefix = np.full(n, rounds, np.int32)
     prefix[:1] = 0
-    block = np.zeros(n, np.int64)
+    block = np.zeros(n, np.int32)
     symbol = np.empty_like(before)
     for depth in range(rounds):
         symbol[np.argsort(interleave, kind="stable")] = before
         move = _stable_order(symbol)
         interleave, ordered, block = interleave[move], symbol[move], block[move]
         edge = np.concatenate(([True], (ordered[1:] != ordered[:-1]) | (block[1:] != block[:-1])))
-        block = np.cumsum(edge)
+        block = np.cumsum(edge, dtype=np.int32)
         prefix[edge & (prefix == rounds)] = depth
         prefix[:1] = 0
     return interleave, prefix
 
 
+def circle_grams(texts: list[bytes], stride: int) -> np.ndarray:
+    """Hash of the ``stride`` bytes from every place of every text, read as a circle."""
+    ends = np.cumsum([len(t) for t in texts])
+    out, at = [], 0
+    while at < len(texts):
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES)) + 1
+        own, at = texts[at:upto], upto
+        sizes = np.array([len(t) for t in own])
+        hasher = Hasher(BYTE_SYMBOLS[np.frombuffer(b"".join(t + t[:stride] for t in own), np.uint8)])
+        start = np.arange(sizes.sum()) + np.repeat(np.arange(len(own)) * stride, sizes)
+        out.append(hasher.lane(0, start, start + stride))
+    return np.concatenate(out)
+
+
 def repeated_windows(texts: list[bytes], weights: np.ndarray, windows: np.ndarray, length: int = LENGTH, stride: int = STRIDE, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every position of the bundle: its text, its offset, and whether its window repeats.
 
@@ -90,22 +106,19 @@ def repeated_windows(texts: list[bytes], weights: np.ndarray, windows: np.ndarra
     for two or more equal ones.
     """
     rounds = length // stride
-    sizes = np.array([len(t) for t in texts])
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    piece = np.repeat(np.arange(len(texts)), sizes)
-    offset = np.arange(len(piece)) - starts[piece]
-    back = starts[piece] + (offset - stride) % sizes[piece]
-    circles = b"".join(t + t[:stride] for t in texts)
-    hasher = Hasher(BYTE_SYMBOLS[np.frombuffer(circles, np.uint8)])
-    at = np.arange(len(piece)) + piece * stride
-    symbol = np.unique(hasher.lane(0, at, at + stride), return_inverse=True)[1].astype(np.uint32)
+    symbol = np.unique(circle_grams(texts, stride), return_inverse=True)[1].astype(np.uint32)
+    sizes = np.array([len(t) for t in texts], np.int32)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int32)
+    piece = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    offset = np.arange(len(piece), dtype=np.int32) - starts[piece]
+    back = starts[piece] + (offset - np.int32(stride)) % sizes[piece]
     cuts = np.searchsorted(starts, len(piece) * np.arange(1, shards) / shards)
     bounds = [0, *np.append(starts, len(piece))[cuts], len(piece)]
     built = [
-        shard_transform(np.arange(a, b), symbol, back, rounds) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a
+        shard_transform(np.arange(a, b, dtype=np.int32), symbol, back, rounds) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a
     ]
     interleave, prefix = merge_transforms(built, rounds)
-    merged = np.empty(len(piece), np.int64)
+    merged = np.empty(len(piece), np.int32)
     merged[np.argsort(interleave, kind="stable")] = np.concatenate([s.order for s in built])
     head = np.flatnonzero(prefix < rounds)
     weight = np.where(offset < windows[piece], weights[piece], 0)
