@@ -49,6 +49,45 @@ def resolve_candidates(links: DataFrame, key: str, agrees: Column, order: Sequen
     return kept.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__n", "__ok", "__r")
 
 
+def species_agrees(species: Column, organism: Column) -> Column:
+    return F.coalesce(F.lower(organism).contains(F.lower(species)), F.lit(False))
+
+
+def strains_agree(genome: Column, strain: Column, organism: Column, infraspecific: Column) -> Column:
+    """Strain or organism of a candidate in our genome's name, or our strain in either; case and dashes aside."""
+    plain = lambda c: F.trim(F.lower(F.replace(F.coalesce(c, F.lit("")), F.lit("-"))))
+    g, s, o, i = plain(genome), plain(strain), plain(organism), plain(F.replace(infraspecific, F.lit("strain=")))
+    theirs = (i != "") & (g.contains(i) | g.contains(o))
+    return theirs | ((s != "") & (i.contains(s) | o.contains(s)))
+
+
+def one_of_each(df: DataFrame, key: str, order: Sequence[Column | str], agrees: Column | None = None, exempt: Column | None = None) -> DataFrame:
+    """Of rows that share ``key``, the first that agrees by ``order``.
+
+    Rows alone or without a key stay, and so do all rows of a key that has an ``exempt`` one.
+    """
+    w = Window.partitionBy(key)
+    flags = {"__n": F.count("*").over(w), "__ok": F.lit(True) if agrees is None else agrees, "__x": F.lit(False) if exempt is None else F.bool_or(F.coalesce(exempt, F.lit(False))).over(w)}
+    counted = df.where(F.col(key).isNotNull()).withColumns(flags)
+    ranked = counted.withColumn("__r", F.row_number().over(w.orderBy(F.desc("__ok"), *order)))
+    kept = ranked.where((F.col("__n") == 1) | F.col("__x") | (F.col("__ok") & (F.col("__r") == 1)))
+    return kept.drop("__n", "__ok", "__x", "__r").unionByName(df.where(F.col(key).isNull()))
+
+
+def resolve_duplicates(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """One row of each organism, then of each genome name, then of each species and strain.
+
+    Columns ``species, strain, genome, organism, infraspecific``; organisms' rows must agree in
+    species and strain, and names with a sub-strain (``substr.``) keep all their rows.
+    """
+    agrees = species_agrees(F.col("species"), F.col("organism")) & strains_agree(*map(F.col, ("genome", "strain", "organism", "infraspecific")))
+    sub = F.col("infraspecific").contains("substr.")
+    by_organism = one_of_each(df, "organism", order, agrees)
+    by_name = one_of_each(by_organism, "genome", order, exempt=sub)
+    both = F.when(F.col("strain") != "", F.trim(F.concat_ws(" ", "species", "strain")))
+    return one_of_each(by_name.withColumn("__both", both), "__both", order, exempt=sub).drop("__both")
+
+
 def extend_links(links: DataFrame, better: DataFrame, key: str, name: str, order: Sequence[Column | str]) -> DataFrame:
     """Replace links by the best row of ``better`` with the same name; ``extended`` tells which."""
     w = Window.partitionBy(name).orderBy(*order)
@@ -121,6 +160,12 @@ def temporal_update(old: DataFrame, new: DataFrame, key: str, label: str) -> Dat
     return both.select(key, F.coalesce("__n", "__o").alias(label), status.alias("status"))
 
 
+def temporal_test(old: DataFrame, new: DataFrame, key: str, label: str, stamp: str) -> DataFrame:
+    """Labelled rows of a later snapshot whose key the earlier one lacks, under its date."""
+    novel = new.where(F.col(label).isNotNull()).join(old.select(key), key, "left_anti")
+    return novel.select(key, label, F.lit(stamp).alias("snapshot"))
+
+
 def label_hits(hits: DataFrame, lists: Sequence[tuple[str, DataFrame]], key: str) -> DataFrame:
     """Label of the first list that has a hit's id."""
     every = None

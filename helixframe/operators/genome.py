@@ -61,21 +61,23 @@ def covered_bases(df: DataFrame, by: Sequence[str], within: Sequence[str]) -> Da
     return merge_intervals(df, by).groupBy(*within).agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
 
 
-def _keys(extended: bool):
+def _keys(features: DataFrame, extended: bool):
     named = F.col("type").isin("rRNA", "tRNA", "tmRNA", "ncRNA")
-    gene = F.coalesce("gene", "id") if extended else F.col("gene")
+    gene = F.coalesce(*(c for c in ("gene", "name", "id") if c in features.columns)) if extended else F.col("gene")
     cds = F.array(F.lit("CDS"), F.col("product")) if extended else F.array(F.lit("CDS"))
     return F.when(F.col("type") == "gene", F.array(gene)).when(F.col("type") == "CDS", cds).when(named, F.array(F.col("product")))
 
 
 def feature_keys(features: DataFrame, extended: bool = False) -> DataFrame:
-    return features.select("genome", F.explode(F.array_compact(_keys(extended))).alias("key")).distinct()
+    """``genome, key``: genes, products and ``CDS``; extended, a gene without one goes by name, else id."""
+    return features.select("genome", F.explode(F.array_compact(_keys(features, extended))).alias("key")).distinct()
 
 
 def feature_members(features: DataFrame, keys: DataFrame) -> DataFrame:
-    """``genome, key`` with each feature whose type, product, gene or id it is."""
+    """``genome, key`` with each feature whose type, product, gene, name or id it is."""
     named = F.col("type").isin("CDS", "rRNA", "tRNA", "tmRNA", "ncRNA")
-    candidates = F.array_distinct(F.array_compact(F.array("type", F.when(named, F.col("product")), F.when(F.col("type") == "gene", F.col("gene")), F.when(F.col("type") == "gene", F.col("id")))))
+    spelled = [F.when(F.col("type") == "gene", F.col(c)) for c in ("gene", "name", "id") if c in features.columns]
+    candidates = F.array_distinct(F.array_compact(F.array("type", F.when(named, F.col("product")), *spelled)))
     return features.withColumn("key", F.explode(candidates)).join(keys, ["genome", "key"])
 
 

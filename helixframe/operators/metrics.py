@@ -144,6 +144,13 @@ def mid_rank(by: Sequence[str], value: str) -> Column:
     return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
 
 
+def pooling_agreement(pooled: DataFrame) -> DataFrame:
+    """Spearman between the two poolings ``esz, sez`` of genomes, to 9 places; one row a genome is ranked."""
+    known = pooled.where("esz is not null and sez is not null").select(F.round("esz", 9).alias("esz"), F.round("sez", 9).alias("sez"))
+    ranked = known.select(mid_rank([], "esz").alias("ra"), mid_rank([], "sez").alias("rb"))
+    return ranked.agg(F.count("*").alias("genomes"), F.corr("ra", "rb").alias("spearman"))
+
+
 def compare_scores(df: DataFrame, by: Sequence[str], a: str, b: str, atol: float = 1e-6, rtol: float = 1e-5) -> DataFrame:
     """Two scores of each row: KS statistic, Spearman, differences and whether all are close."""
     gap = F.abs(F.col(a) - F.col(b))

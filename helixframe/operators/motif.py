@@ -114,6 +114,14 @@ def compare_motifs(a: DataFrame, b: DataFrame, shift: int, min_overlap: int) ->
     return found.where(F.col("cells") >= min_overlap * 4)
 
 
+def compare_both_strands(a: DataFrame, b: DataFrame, shift: int, min_overlap: int) -> DataFrame:
+    """``compare_motifs`` with ``a`` as it is (strand ``+``) and reverse-complemented (``-``)."""
+    last = F.max("pos").over(Window.partitionBy("filter_id"))
+    turned = a.withColumns({"pos": last - F.col("pos"), "base": F.translate("base", "ACGT", "TGCA")})
+    ways = [compare_motifs(x, b, shift, min_overlap).withColumn("strand", F.lit(s)) for x, s in ((a, "+"), (turned, "-"))]
+    return ways[0].unionByName(ways[1])
+
+
 def correlation_p(found: DataFrame, r: str = "pearson", n: str = "cells") -> DataFrame:
     """Adds the two-sided p of a correlation by Student's t (regularised incomplete beta)."""
 
@@ -138,8 +146,8 @@ def correlation_p_value(r: float, n: int) -> float:
 
 
 def best_match(found: DataFrame) -> DataFrame:
-    """Offset of the highest correlation of each pair, the least offset on ties."""
-    w = Window.partitionBy("a", "b").orderBy(F.desc_nulls_last("pearson"), "offset")
+    """Offset and strand of the smallest ``p`` (to 9 places) of each pair, the least shift on ties."""
+    w = Window.partitionBy("a", "b").orderBy(F.asc_nulls_last(F.round("p", 9)), F.abs("offset"), "offset", "strand")
     return found.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
@@ -181,10 +189,20 @@ def score_quartiles(cells: DataFrame) -> DataFrame:
     return cells.groupBy("filter_id", "cell").agg(*(F.percentile("score", F.lit(q)).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)))
 
 
-def nt_logo_table(nuc: DataFrame, pseudo: float = 1.0, gain: float = 255.0) -> DataFrame:
-    """Mean score by filter, place and base (``score, cnt``), and its value from 0 to 255."""
-    means = nuc.groupBy("filter_id", "pos", "base").agg((F.sum("score") / (F.count("*") + pseudo)).alias("mean"))
-    scaled = F.least(F.greatest(F.col("mean") * gain + 127.5, F.lit(0.0)), F.lit(255.0))
+def nt_logo_table(nuc: DataFrame, pseudo: float | dict[str, float] = 1.0, gain: float = 255.0, limits: tuple[float, float] | None = None) -> DataFrame:
+    """Mean ``score`` by filter, place and base, and its ``level`` from 0 to 255.
+
+    ``pseudo`` is one count for all bases or one for each; other letters are then left out.
+    Levels run between ``limits`` where they are given, else by ``gain`` around the middle.
+    """
+    count = F.lit(pseudo)
+    if isinstance(pseudo, dict):
+        nuc = nuc.where(F.col("base").isin(list(pseudo)))
+        count = F.create_map(*(F.lit(x) for pair in pseudo.items() for x in pair))[F.col("base")]
+    means = nuc.groupBy("filter_id", "pos", "base").agg(F.sum("score").alias("s"), F.count("*").alias("n"))
+    means = means.select("filter_id", "pos", "base", (F.col("s") / (F.col("n") + count)).alias("mean"))
+    level = F.col("mean") * gain + 127.5 if limits is None else (F.col("mean") - limits[0]) / (limits[1] - limits[0]) * 255
+    scaled = F.least(F.greatest(level, F.lit(0.0)), F.lit(255.0))
     return means.withColumn("level", F.floor(scaled).cast("int"))
 
 

@@ -12,15 +12,25 @@ def hash_order(key: str, seed: int | str) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
 
 
-def species_folds(species: DataFrame, k: int, test: float, seed: int, label: str = "label", key: str = "species") -> DataFrame:
-    """``fold`` of each species: 0 for test (a share of each label, rounded up), else 1 to ``k``."""
-    w = Window.partitionBy(label).orderBy(hash_order(key, seed))
+def species_folds(species: DataFrame, k: int, test: float, seed: int, label: str = "label", key: str = "species", pinned: Sequence = ()) -> DataFrame:
+    """``fold`` of each species: 0 for test (a share of each label, rounded up), else 1 to ``k``.
+
+    ``pinned`` species are test ones by hand and fill their label's share first.
+    """
+    by_hand = F.col(key).isin(list(pinned)) if pinned else F.lit(False)
+    w = Window.partitionBy(label).orderBy(*([by_hand.desc()] if pinned else []), hash_order(key, seed))
     ranked = species.withColumns({"__r": F.row_number().over(w), "__n": F.count("*").over(Window.partitionBy(label))})
-    tested = ranked.withColumn("__t", F.ceil(F.col("__n") * test)).withColumn("__test", F.col("__r") <= F.col("__t"))
+    tested = ranked.withColumn("__t", F.ceil(F.col("__n") * test)).withColumn("__test", (F.col("__r") <= F.col("__t")) | by_hand)
     fold = F.ntile(k).over(Window.partitionBy(label, "__test").orderBy("__r"))
     return tested.withColumn("fold", F.when(F.col("__test"), 0).otherwise(fold)).drop("__r", "__n", "__t", "__test")
 
 
+def fold_columns(folds: DataFrame, k: int) -> DataFrame:
+    """``fold1`` to ``foldk``: what a row is in each fold's run, train, val or test."""
+    part = lambda i: F.when(F.col("fold") == 0, "test").when(F.col("fold") == i, "val").otherwise("train")
+    return folds.withColumns({f"fold{i}": part(i) for i in range(1, k + 1)})
+
+
 def sample_one(df: DataFrame, by: Sequence[str], key: str, seed: int) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(hash_order(key, seed), key)
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
@@ -64,6 +74,11 @@ def read_quota(genomes: DataFrame, total: int, mode: str, by: Sequence[str], pai
     return genomes.withColumn("reads", F.greatest(share.cast("long"), F.lit(2 if paired else 1).cast("long")))
 
 
+def balanced_quota(genomes: DataFrame, total: int, mode: str, label: str, within: Sequence[str] = (), paired: bool = False) -> DataFrame:
+    """``read_quota`` with half of ``total`` for each of two labels, in each subset ``within``."""
+    return read_quota(genomes, total // 2, mode, [*within, label], paired)
+
+
 def fragment_params(genomes: DataFrame, mean: int = 600, std: int = 60, length: int = 250) -> DataFrame:
     size = F.col("size")
     return genomes.withColumns({

@@ -69,6 +69,11 @@ def kmer_features(reads: DataFrame, k: int) -> DataFrame:
     return each.groupBy("read_id", "kmer").agg(F.count("*").alias("n"))
 
 
+def label_features(features: DataFrame, labels: DataFrame, accession: str) -> DataFrame:
+    """Features with the ``label`` of their accession, null where it has none."""
+    return features.join(labels.select(accession, "label"), accession, "left")
+
+
 def train_forest(df: DataFrame, features: list[str], label: str = "label", trees: int = 20, seed: int = 1) -> PipelineModel:
     forest = RandomForestClassifier(labelCol=label, featuresCol="__x", numTrees=trees, seed=seed)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__x"), forest]).fit(df)
@@ -78,3 +83,13 @@ def predict_forest(model: PipelineModel, df: DataFrame, *keep: str) -> DataFrame
     from pyspark.ml.functions import vector_to_array
 
     return model.transform(df).select(*keep, vector_to_array("probability")[1].alias("p"), F.col("prediction").cast("int").alias("call"))
+
+
+def forest_by_fold(df: DataFrame, features: list[str], k: int, *keep: str) -> DataFrame:
+    """Each fold ``1..k`` predicted by a forest of the others; fold 0 (test) takes no part."""
+    out = None
+    for i in range(1, k + 1):
+        model = train_forest(df.where((F.col("fold") != 0) & (F.col("fold") != i)), features)
+        own = predict_forest(model, df.where(F.col("fold") == i), *keep, "fold")
+        out = own if out is None else out.unionByName(own)
+    return out

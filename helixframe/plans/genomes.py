@@ -76,6 +76,11 @@ def _feature_scores(s, d):
     return _round(G.feature_scores(_members(s, d), _intervals(s, d)))
 
 
+def _named_features(s, d):
+    """Features of which some lack a gene, and some a name too."""
+    return X.features(s, d).withColumns({"gene": F.expr("if(contig % 3 = 0, null, gene)"), "name": F.expr("if(contig % 2 = 0, concat('N', contig % 11), null)")})
+
+
 def _enriched(s, d):
     return G.enrichment_table(_placed(s, d), _members(s, d), X.contigs(s, d), M_LEN)
 
@@ -96,6 +101,10 @@ _BG = "bg AS (SELECT unnest(['A', 'C', 'G', 'T']) AS base, unnest([0.3, 0.2, 0.2
 _PWM = _MM + f", {_BG}, pw AS (SELECT filter_id, pos, base, coalesce(cnt, 0) AS cnt, bg FROM (SELECT DISTINCT filter_id, pos FROM mm) CROSS JOIN bg LEFT JOIN mm USING (filter_id, pos, base)), pwm AS (SELECT filter_id, pos, base, (cnt + bg) / (sum(cnt) OVER (PARTITION BY filter_id, pos) + 1.0) AS prob, bg FROM pw)"
 
 
+def _nuc(s, d):
+    return _seqs(s, d).select("filter_id", F.posexplode(F.split("motif", "")).alias("pos", "base"), (F.col("activation") / 8).alias("score"))
+
+
 def _pwm(s, d):
     return M.to_pwm(M.motif_matrix(_seqs(s, d)), BG)
 
@@ -166,6 +175,10 @@ QUERIES = {
     "mot_pwm": lambda s, d: _round(_pwm(s, d).select("filter_id", "pos", "base", "prob", "logodds")),
     "mot_ic": lambda s, d: _round(M.motif_ic(_pwm(s, d))),
     "mot_compare": lambda s, d: _round(M.compare_motifs(_pwm(s, d), _pwm(s, d), 3, 5)),
+    "mot_best": lambda s, d: _round(M.best_match(M.correlation_p(M.compare_both_strands(_pwm(s, d), _pwm(s, d), 3, 5))).select("a", "b", "strand", "offset", "cells", "pearson", "p")),
+    "mot_quartiles": lambda s, d: _round(M.score_quartiles(_cells(s, d))),
+    "mot_nt_scaled": lambda s, d: _round(M.nt_logo_table(_nuc(s, d), BG, limits=(0.0, 0.5))),
+    "feat_names_ext": lambda s, d: G.feature_keys(_named_features(s, d), True),
     "mot_rank": lambda s, d: _round(M.rank_filters(_contribs(s, d), _truth(s, d))),
     "mot_dist": lambda s, d: M.score_distribution(_cells(s, d).withColumn("score", F.round(F.col("score") * 100)), -10.0, 10.0, 20),
     "mot_nt_mean": lambda s, d: _round(M.nt_logo_table(_seqs(s, d).select("filter_id", F.posexplode(F.split("motif", "")).alias("pos", "base"), (F.col("activation") / 8).alias("score")))),
@@ -209,6 +222,14 @@ SQL = {
     "mot_compare": _PWM + """, x AS (SELECT p.filter_id AS a, q.filter_id AS b, o AS "offset", p.prob AS pa, q.prob AS pb FROM pwm p CROSS JOIN (SELECT unnest(range(-3, 4))::INT AS o) JOIN pwm q ON q.pos = p.pos + o AND q.base = p.base),
         r AS (SELECT *, rank() OVER (PARTITION BY a, b, "offset" ORDER BY pa) + (count(*) OVER (PARTITION BY a, b, "offset", pa) - 1) / 2 AS ra, rank() OVER (PARTITION BY a, b, "offset" ORDER BY pb) + (count(*) OVER (PARTITION BY a, b, "offset", pb) - 1) / 2 AS rb FROM x)
         SELECT a, b, "offset", count(*) AS cells, round(corr(pa, pb), 9) AS pearson, round(corr(ra, rb), 9) AS spearman FROM r GROUP BY ALL HAVING count(*) >= 20""",
+    "mot_best": _PWM + """, w AS (SELECT '+' AS strand, filter_id, pos, base, prob FROM pwm UNION ALL SELECT '-', filter_id, max(pos) OVER (PARTITION BY filter_id) - pos, translate(base, 'ACGT', 'TGCA'), prob FROM pwm),
+        x AS (SELECT p.filter_id AS a, q.filter_id AS b, strand, o AS "offset", p.prob AS pa, q.prob AS pb FROM w p CROSS JOIN (SELECT unnest(range(-3, 4))::INT AS o) JOIN pwm q ON q.pos = p.pos + o AND q.base = p.base),
+        r AS (SELECT a, b, strand, "offset", count(*) AS cells, corr(pa, pb) AS r FROM x GROUP BY ALL HAVING count(*) >= 20),
+        t AS (SELECT *, greatest(1 - abs(r) * list_sum(list_transform(range(0, (cells - 2) // 2), lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1)) / pow(4, k) * pow(greatest(1 - r * r, 0), k))), 0) AS p FROM r)
+        SELECT a, b, strand, "offset", cells, round(r, 9) AS pearson, round(p, 9) AS p FROM t QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY round(p, 9), abs("offset"), "offset", strand) = 1""",
+    "mot_quartiles": _CON + " SELECT filter_id, cell, " + ", ".join(f"round(quantile_cont(score, {q}), 9) AS q{int(q * 100)}" for q in (0.25, 0.5, 0.75)) + " FROM cells GROUP BY ALL",
+    "mot_nt_scaled": _SEQS + f", {_BG}, e AS (SELECT filter_id, (i - 1)::INT AS pos, substring(motif, i, 1) AS base, activation / 8 AS s FROM (SELECT *, unnest(range(1, 9)) AS i FROM seqs)), m AS (SELECT filter_id, pos, base, sum(s) / (count(*) + any_value(bg)) AS mean FROM e JOIN bg USING (base) GROUP BY ALL) SELECT filter_id, pos, base, round(mean, 9) AS mean, floor(least(greatest(mean / 0.5 * 255, 0), 255))::INT AS level FROM m",
+    "feat_names_ext": _W("features") + " SELECT DISTINCT genome, unnest(CASE type WHEN 'gene' THEN [coalesce(CASE WHEN contig % 3 <> 0 THEN gene END, CASE WHEN contig % 2 = 0 THEN 'N' || (contig % 11) END, id)] WHEN 'CDS' THEN ['CDS', product] ELSE [product] END) AS key FROM features",
     "mot_rank": _CON + """, t AS (SELECT count(*) AS reads, count(*) FILTER (label = 1) AS p FROM tru), f AS (SELECT filter_id, count(*) AS nz, sum(score) AS s, min(score) AS lo, max(score) AS hi, count(*) FILTER (score > 0 AND label = 1) AS u1, count(*) FILTER (score > 0 AND label <> 1) AS u0, count(*) FILTER (score < 0 AND label = 1) AS d1, count(*) FILTER (score < 0 AND label <> 1) AS d0 FROM con JOIN tru USING (read_id) WHERE score <> 0 GROUP BY 1),
         v AS (SELECT filter_id, s / nz AS mean_nonzero, s / reads AS mean, CASE WHEN nz < reads THEN least(lo, 0) ELSE lo END AS min, CASE WHEN nz < reads THEN greatest(hi, 0) ELSE hi END AS max, CASE WHEN s >= 0 THEN u1 ELSE d0 END AS tp, CASE WHEN s >= 0 THEN u0 ELSE d1 END AS fp, CASE WHEN s >= 0 THEN p ELSE reads - p END AS tt, CASE WHEN s >= 0 THEN reads - p ELSE p END AS oo, nz / reads AS share FROM f CROSS JOIN t)
         SELECT filter_id, round(mean_nonzero, 9) AS mean_nonzero, round(mean, 9) AS mean, round(min, 9) AS min, round(max, 9) AS max, tp, fp, tt - tp AS fn, oo - fp AS tn, round(share, 9) AS share, round(tp / tt, 9) AS sensitivity, round((oo - fp) / oo, 9) AS specificity, round((tp + oo - fp) / (tt + oo), 9) AS accuracy FROM v""",

@@ -6,9 +6,12 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from ..operators import aggregate as A
 from ..operators import motif as M
+from ..operators import sample as S
 from ..operators import score as R
 from ..sources import files as I
 from ..streaming import live as L
@@ -112,6 +115,17 @@ def _scored(s, d):
     return X.reads(s, d).select("read_id", "genome", R.linear_score(F.col("seq"), WEIGHTS, -0.2, X.LENGTH).alias("p"))
 
 
+def _linear_scorer():
+    """The linear model of ``_scored`` as a scorer of one-hot batches."""
+    weights = np.array([WEIGHTS[b] for b in R.BASES])
+    return lambda x: 1 / (1 + np.exp(0.2 - x.sum(1, dtype=np.float64) @ weights / X.LENGTH))
+
+
+def _folds(s, d):
+    folds = S.species_folds(X.labels(s, d), 3, 0.1, 1, key="contig").select("contig", "label", "fold")
+    return R.forest_by_fold(X.base_counts(s, d).join(folds, "contig"), ["a", "c", "g", "t"], 3, "read_id", "label")
+
+
 def _forest(s, d):
     rows = X.base_counts(s, d).join(X.labels(s, d), "contig")
     features = ["a", "c", "g", "t"]
@@ -152,6 +166,9 @@ QUERIES = {
     "snk_bed": _bed_trip,
     "snk_transfac": _transfac_trip,
     "score_reads": lambda s, d: _round(_scored(s, d)),
+    "score_reads_model": lambda s, d: _round(A.pool_replicates(R.score_reads(X.reads(s, d), _linear_scorer, X.LENGTH, replicates=2))),
+    "kmer_labels": lambda s, d: R.label_features(R.kmer_features(X.contigs(s, d).select(F.col("contig").alias("read_id"), "seq"), 3), X.labels(s, d).withColumnRenamed("contig", "read_id"), "read_id"),
+    "rf_folds": _folds,
     "kmer_features": lambda s, d: R.kmer_features(X.contigs(s, d).select(F.col("contig").alias("read_id"), "seq"), 3),
     "rf_baseline": _forest,
     "stream_filter": _route,
@@ -180,6 +197,8 @@ SQL = {
     "snk_slices": _W("reads") + " SELECT read_id, (ntile(7) OVER (ORDER BY read_id) - 1)::INT AS slice FROM reads",
     "snk_bed": _W("features") + ' SELECT contig, start, "end", type FROM features',
     "score_reads": _W("base_counts") + " SELECT read_id, genome, round(1 / (1 + exp(-(-0.2 + " + " + ".join(f"{w} * {b.lower()} / 250" for b, w in WEIGHTS.items()) + "))), 9) AS p FROM base_counts",
+    "score_reads_model": _W("base_counts") + " SELECT read_id, round(1 / (1 + exp(-(-0.2 + " + " + ".join(f"{w} * {b.lower()} / 250" for b, w in WEIGHTS.items()) + "))), 9) AS p, 0.0::DOUBLE AS p_std, 2 AS replicates FROM base_counts",
+    "kmer_labels": _W("contigs") + ", k AS (SELECT contig AS read_id, substring(seq, i, 3) AS kmer FROM (SELECT contig, seq, unnest(range(1, len - 1)) AS i FROM contigs)) SELECT read_id, kmer, count(*) AS n, any_value(quality) AS label FROM k LEFT JOIN labels ON doc_id = read_id WHERE NOT contains(kmer, 'N') GROUP BY read_id, kmer",
     "kmer_features": _W("contigs") + ", k AS (SELECT contig AS read_id, substring(seq, i, 3) AS kmer FROM (SELECT contig, seq, unnest(range(1, len - 1)) AS i FROM contigs)) SELECT read_id, kmer, count(*) AS n FROM k WHERE NOT contains(kmer, 'N') GROUP BY ALL",
     "stream_filter": _W("contigs") + f" SELECT contig, CASE WHEN {_G} / len > 0.2 THEN 'pos' ELSE 'neg' END AS call FROM contigs WHERE len > 0",
     "stream_genome": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type AS genome, round(avg(value), 9) AS score, count(value) AS n FROM events GROUP BY ALL",

@@ -43,6 +43,7 @@ QUERIES = {
     "agg_replicates": lambda s, d: _round(A.pool_replicates(_reps(s, d))),
     "agg_ensemble": lambda s, d: _round(A.ensemble(X.scores(s, d))),
     "agg_genome": lambda s, d: _round(A.pool_genomes(X.scores(s, d), T, CONF, BY)),
+    "agg_esz_sez_rho": lambda s, d: _round(M.pooling_agreement(A.compare_pooling(_gc(s, d).selectExpr("genome", "(p - 0.5) * 20 as z")))),
     "agg_esz_sez": lambda s, d: _round(A.compare_pooling(_gc(s, d).selectExpr("genome", "(p - 0.5) * 20 as z"))),
     "agg_vote": lambda s, d: A.majority_vote(_gc(s, d).selectExpr("contig", f"case when p > {T} then 1 when p <= {T} then 0 end as call"), "contig", "call"),
     "agg_concord": lambda s, d: _pairs(s, d)[0].join(_pairs(s, d)[1].withColumnRenamed("p", "q"), "read_id", "full").select(
@@ -96,6 +97,7 @@ SQL = {
     "agg_replicates": "SELECT user_id AS read_id, round(avg(value / 491.0::DOUBLE), 9) AS p, round(stddev_pop(value / 491.0::DOUBLE), 9) AS p_std, count(value) AS replicates FROM events GROUP BY 1",
     "agg_ensemble": _W("scores") + " SELECT read_id, round(avg(p), 9) AS p, count(p) AS models FROM scores GROUP BY 1",
     "agg_genome": _W("scores") + f" SELECT model, genome, round(avg(p) FILTER (abs(p - {T}) > {abs(CONF - T)}::DOUBLE), 9) AS score, count(p) FILTER (abs(p - {T}) > {abs(CONF - T)}::DOUBLE) AS used, count(*) AS reads FROM scores GROUP BY ALL",
+    "agg_esz_sez_rho": _W("scores") + ", z AS (SELECT genome, (p - 0.5) * 20 AS z FROM scores WHERE model = 'gc'), m AS (SELECT genome, round(avg(1 / (1 + exp(-z))), 9) AS esz, round(1 / (1 + exp(-avg(z))), 9) AS sez FROM z GROUP BY 1), r AS (SELECT rank() OVER (ORDER BY esz) + (count(*) OVER (PARTITION BY esz) - 1) / 2 AS ra, rank() OVER (ORDER BY sez) + (count(*) OVER (PARTITION BY sez) - 1) / 2 AS rb FROM m WHERE esz IS NOT NULL AND sez IS NOT NULL) SELECT count(*) AS genomes, round(corr(ra, rb), 9) AS spearman FROM r",
     "agg_esz_sez": _W("scores") + ", z AS (SELECT genome, (p - 0.5) * 20 AS z FROM scores WHERE model = 'gc') SELECT genome, round(avg(1 / (1 + exp(-z))), 9) AS esz, round(1 / (1 + exp(-avg(z))), 9) AS sez FROM z GROUP BY 1",
     "agg_vote": _W("scores") + f", k AS (SELECT contig, CASE WHEN p > {T} THEN 1 WHEN p <= {T} THEN 0 END AS c FROM scores WHERE model = 'gc') SELECT contig, CASE WHEN NOT bool_or(c IS NULL) THEN (count(*) FILTER (c = 1) * 2 >= count(*))::INT END AS vote FROM k GROUP BY 1",
     "agg_concord": _GC + f", x AS (SELECT read_id, (a.p > {T})::INT AS x, (b.p > {T})::INT AS y FROM gc a FULL JOIN (SELECT read_id - 1 AS read_id, p FROM gc) b USING (read_id)) SELECT read_id, CASE WHEN x IS NULL THEN y WHEN y IS NULL THEN x WHEN x = y THEN x END AS call FROM x",

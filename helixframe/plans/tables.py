@@ -13,6 +13,8 @@ from .measures import _RUNS, _round, _runs
 
 _T = X.table
 _W = X.with_tables
+#: Customers that are test ones by hand.
+PINNED = [3, 17, 40]
 LEVELS = ["5-LOW", "4-NOT SPECIFIED", "1-URGENT"]
 RULES = [("NPs", "o_orderstatus = 'F'", True), ("H1", "o_orderpriority = '5-LOW'", False), ("Ps1", "o_totalprice > 250000", True), ("H2", "o_orderstatus = 'P'", False)]
 HOSTS = [("human", "o_orderpriority = '1-URGENT'"), ("chordata", "o_orderstatus = 'P'"), ("metazoa", "o_totalprice > 250000")]
@@ -48,6 +50,21 @@ def _cands(s, d):
     return _T(s, d, "part").selectExpr("p_brand as name", "p_partkey as taxid", "if(p_size % 3 = 0, p_brand, p_type) as species", "if(p_size % 5 = 0, p_brand, p_name) as synonym")
 
 
+def _asm(s, d):
+    """Assemblies with names of both archives, from parts."""
+    return _T(s, d, "part").selectExpr(
+        "p_partkey", "p_brand", "p_retailprice", "element_at(split(p_name, ' '), -1) as species", "concat(p_name, ' ', p_size) as genome", "if(p_size % 4 = 0, '', concat(p_type, '-', p_size)) as strain",
+        "concat(upper(p_name), ' ', lower(p_type), if(p_size % 5 = 0, '', cast(p_size as string))) as organism",
+        "case when p_size % 3 = 0 then '' when p_size % 7 = 0 then concat('strain=substr. ', p_size) else concat('strain=', p_size, '-') end as infraspecific",
+    )
+
+
+_ASM = """asm AS (SELECT p_partkey, p_brand, p_retailprice, string_split(p_name, ' ')[-1] AS species, p_name || ' ' || p_size AS genome, CASE WHEN p_size % 4 = 0 THEN '' ELSE p_type || '-' || p_size END AS strain,
+ upper(p_name) || ' ' || lower(p_type) || CASE WHEN p_size % 5 = 0 THEN '' ELSE p_size::VARCHAR END AS organism, CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 7 = 0 THEN 'strain=substr. ' || p_size ELSE 'strain=' || p_size || '-' END AS infra FROM part),
+ pl AS (SELECT *, lower(replace(genome, '-', '')) AS g, lower(replace(strain, '-', '')) AS s, lower(replace(organism, '-', '')) AS o, trim(lower(replace(replace(infra, 'strain=', ''), '-', ''))) AS i FROM asm),
+ ok AS (SELECT *, contains(lower(organism), lower(species)) AND ((i <> '' AND (contains(g, i) OR contains(g, o))) OR (s <> '' AND (contains(i, s) OR contains(o, s)))) AS ok FROM pl)"""
+
+
 def _events(s, d):
     return _T(s, d, "orders").selectExpr("o_orderkey as acc", "o_custkey as species", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_totalprice")
 
@@ -79,6 +96,8 @@ QUERIES = {
     "set_expand": lambda s, d: A.expand_labels(_species(s, d)),
     "set_melt": lambda s, d: A.normalise_runs(_T(s, d, "part").selectExpr("p_partkey", "concat(if(p_size % 2 = 0, 'img', 'vhdb'), '_', p_size, '-', p_partkey, 'bp_', element_at(array('cnn', 'lstm', 'res18', 'x'), cast(p_size % 4 + 1 as int)), '_', p_size, 'bp') as file")),
     "smp_split": lambda s, d: S.species_folds(_cust(s, d), 9, 0.1, 5, "c_mktsegment", "c_custkey").select("c_custkey", "c_mktsegment", "fold"),
+    "smp_split_folds": lambda s, d: S.fold_columns(S.species_folds(_cust(s, d), 3, 0.1, 5, "c_mktsegment", "c_custkey", PINNED), 3).select("c_custkey", "c_mktsegment", "fold1", "fold2", "fold3"),
+    "quota_balanced": lambda s, d: S.balanced_quota(_genomes(s, d), 1_000_000, "size", "class", paired=True).withColumn("mode", F.lit("size")).unionByName(S.balanced_quota(_genomes(s, d), 1_000_000, "equal", "class").withColumn("mode", F.lit("equal"))).unionByName(S.read_quota(_genomes(s, d), 250, "coverage", ["class"]).withColumn("mode", F.lit("coverage"))),
     "smp_strain": lambda s, d: S.sample_one(_events(s, d), ["species", "o_orderstatus"], "acc", 3).select("species", "o_orderstatus", "acc"),
     "smp_inherit": lambda s, d: S.inherit_folds([_events(s, d).where(f"o_orderstatus = '{k}'").groupBy("species").agg(F.min(F.expr("cast(acc % 10 as int)")).alias("fold")) for k in "PFO"]),
     "smp_reservoir": lambda s, d: S.sample_k(X.reads(s, d).select("read_id"), 1000, 100),
@@ -93,11 +112,14 @@ QUERIES = {
     "cur_match": lambda s, d: C.resolve_candidates(_events(s, d), "species", F.expr("o_orderstatus = 'F'"), [F.desc("o_orderdate"), "acc"]).select("species", "acc"),
     "cur_extend": lambda s, d: C.extend_links(
         _events(s, d).selectExpr("acc", "species", "acc as assembly"), _events(s, d).where("o_orderstatus = 'P'").selectExpr("species", "acc as assembly", "o_totalprice"), "acc", "species", [F.desc("o_totalprice"), "assembly"]).select("acc", "species", "assembly", "extended"),
+    "cur_match_names": lambda s, d: C.resolve_candidates(_asm(s, d), "p_brand", C.species_agrees(F.col("species"), F.col("organism")) & C.strains_agree(*map(F.col, ("genome", "strain", "organism", "infraspecific"))), [F.desc("p_retailprice"), "p_partkey"]).select("p_brand", "p_partkey"),
+    "cur_duplicates": lambda s, d: C.resolve_duplicates(_asm(s, d), [F.desc("p_retailprice"), "p_partkey"]).select("p_partkey"),
     "tax_ancestor": lambda s, d: C.ancestor_at(_nodes(s, d).select("taxid"), _nodes(s, d), "family"),
     "tax_resolve": lambda s, d: C.resolve_names(_T(s, d, "part").selectExpr("p_brand as name").distinct(), _cands(s, d)).select("name", "taxid", "tier"),
     "lab_merge": lambda s, d: C.merge_evidence(_evidence(s, d), ["f", "o"]),
     "lab_tiers": lambda s, d: C.label_tiers(_T(s, d, "orders"), [("confirmed", "o_orderstatus = 'F' and o_totalprice > 200000"), ("plant", "o_orderpriority = '5-LOW'"), ("suspected", "o_orderstatus = 'P'")]).select("o_orderkey", "tier"),
     "lab_temporal": lambda s, d: C.temporal_update(*(_events(s, d).where(f"o_orderdate {op} timestamp '1996-01-01'").groupBy("species").agg(F.max("o_orderstatus").alias("label")) for op in ("<", ">=")), "species", "label"),
+    "lab_temporal_test": lambda s, d: C.temporal_test(*(_events(s, d).where(f"o_orderdate {op} timestamp '1993-01-01'").groupBy("species").agg(F.max("o_orderstatus").alias("label")) for op in ("<", ">=")), "species", "label", "1993-01-01"),
     "lab_blast": lambda s, d: C.label_hits(_T(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), [("a", _T(s, d, "part").where("p_size < 10").selectExpr("p_partkey as l_partkey")), ("b", _T(s, d, "part").where("p_size < 30").selectExpr("p_partkey as l_partkey"))], "l_partkey").groupBy("target").agg(F.count("*").alias("n"), F.sum("l_partkey").alias("ids")),
 }
 
@@ -123,6 +145,9 @@ SQL = {
     "set_expand": _SPECIES + " SELECT label, species, unnest(range(1, n_reads + 1)) AS i FROM sp",
     "set_melt": r"WITH f AS (SELECT p_partkey, (CASE WHEN p_size % 2 = 0 THEN 'img' ELSE 'vhdb' END) || '_' || p_size || '-' || p_partkey || 'bp_' || ['cnn', 'lstm', 'res18', 'x'][p_size % 4 + 1] || '_' || p_size || 'bp' AS file FROM part) SELECT *, array_to_string(regexp_extract_all(file, '(\d+-*\d*bp)', 1), '_') AS lengths, nullif(regexp_extract(file, '(cnn|lstm|res18)', 1), '') AS network, nullif(regexp_extract(file, '(img|vhdb)', 1), '') AS dataset FROM f",
     "smp_split": f"WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {_MD5.format(k='c_custkey', s=5)}) AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer), t AS (SELECT *, r <= ceil(n * 0.1) AS t FROM r) SELECT c_custkey, c_mktsegment, (CASE WHEN t THEN 0 ELSE ntile(9) OVER (PARTITION BY c_mktsegment, t ORDER BY r) END)::INT AS fold FROM t",
+    "smp_split_folds": f"WITH h AS (SELECT c_custkey, c_mktsegment, c_custkey IN ({', '.join(map(str, PINNED))}) AS pin FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY pin DESC, {_MD5.format(k='c_custkey', s=5)}) AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM h), t AS (SELECT *, r <= ceil(n * 0.1) OR pin AS t FROM r), f AS (SELECT *, CASE WHEN t THEN 0 ELSE ntile(3) OVER (PARTITION BY c_mktsegment, t ORDER BY r) END AS fold FROM t) SELECT c_custkey, c_mktsegment, "
+    + ", ".join(f"CASE fold WHEN 0 THEN 'test' WHEN {i} THEN 'val' ELSE 'train' END AS fold{i}" for i in (1, 2, 3)) + " FROM f",
+    "quota_balanced": _GENOMES + " SELECT genome, size, class, greatest(ceil(size / sum(size) OVER (PARTITION BY class) * 500000), 2)::BIGINT AS reads, 'size' AS mode FROM ge UNION ALL SELECT genome, size, class, greatest(round_even(500000 / count(*) OVER (PARTITION BY class), 0), 1)::BIGINT, 'equal' FROM ge UNION ALL SELECT genome, size, class, greatest(ceil(size / 250), 1)::BIGINT, 'coverage' FROM ge",
     "smp_strain": f"WITH {_E} SELECT species, o_orderstatus, acc FROM e QUALIFY row_number() OVER (PARTITION BY species, o_orderstatus ORDER BY {_MD5.format(k='acc', s=3)}, acc) = 1",
     "smp_inherit": f"WITH {_E}, f AS (SELECT species, o_orderstatus, min((acc % 10)::INT) AS fold FROM e GROUP BY ALL) SELECT species, arg_min(fold, list_position(['P', 'F', 'O'], o_orderstatus)) AS fold FROM f GROUP BY 1",
     "smp_reservoir": _READS + f" SELECT read_id FROM reads ORDER BY {_MD5.format(k='read_id', s=100)}, read_id LIMIT 1000",
@@ -136,10 +161,15 @@ SQL = {
     "cur_conflict": f"WITH {_E}, l AS (SELECT acc, species, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS label FROM e), m AS (SELECT *, coalesce(bool_or(label) OVER (PARTITION BY species) AND bool_or(NOT label) OVER (PARTITION BY species), false) AS mixed FROM l) SELECT acc, label, mixed FROM m WHERE NOT mixed OR coalesce(label, true)",
     "cur_match": f"WITH {_E}, n AS (SELECT *, count(*) OVER (PARTITION BY species) AS n FROM e) SELECT species, acc FROM n WHERE n = 1 OR o_orderstatus = 'F' QUALIFY row_number() OVER (PARTITION BY species ORDER BY o_orderdate DESC, acc) = 1",
     "cur_extend": f"WITH {_E}, b AS (SELECT species, acc AS fresh FROM e WHERE o_orderstatus = 'P' QUALIFY row_number() OVER (PARTITION BY species ORDER BY o_totalprice DESC, acc) = 1) SELECT acc, e.species, coalesce(fresh, acc) AS assembly, fresh IS NOT NULL AND fresh <> acc AS extended FROM e LEFT JOIN b ON e.species = b.species",
+    "cur_match_names": f"WITH {_ASM}, n AS (SELECT *, count(*) OVER (PARTITION BY p_brand) AS n FROM ok) SELECT p_brand, p_partkey FROM n WHERE n = 1 OR ok QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) = 1",
+    "cur_duplicates": f"""WITH {_ASM}, a AS (SELECT * FROM ok QUALIFY count(*) OVER (PARTITION BY organism) = 1 OR ok AND row_number() OVER (PARTITION BY organism ORDER BY ok DESC, p_retailprice DESC, p_partkey) = 1),
+        b AS (SELECT * FROM a QUALIFY bool_or(contains(infra, 'substr.')) OVER (PARTITION BY genome) OR row_number() OVER (PARTITION BY genome ORDER BY p_retailprice DESC, p_partkey) = 1)
+        SELECT p_partkey FROM b QUALIFY strain = '' OR bool_or(contains(infra, 'substr.')) OVER (PARTITION BY species, strain) OR row_number() OVER (PARTITION BY species, strain ORDER BY p_retailprice DESC, p_partkey) = 1""",
     "tax_ancestor": f"WITH RECURSIVE {_NODES}, up(taxid, a, depth) AS (SELECT taxid, taxid, 0 FROM nodes UNION ALL SELECT up.taxid, parent, depth + 1 FROM up JOIN nodes n ON n.taxid = up.a WHERE n.parent <> n.taxid), h AS (SELECT up.taxid, arg_min(a, depth) AS at_rank FROM up JOIN nodes n ON n.taxid = a WHERE rank = 'family' AND a <> 0 GROUP BY 1) SELECT nodes.taxid, at_rank FROM nodes LEFT JOIN h ON nodes.taxid = h.taxid",
     "tax_resolve": "WITH c AS (SELECT p_brand AS name, p_partkey AS taxid, CASE WHEN p_size % 3 = 0 THEN 1 WHEN p_size % 5 = 0 THEN 2 ELSE 4 END AS tier FROM part) SELECT name, taxid, tier FROM c QUALIFY tier = min(tier) OVER (PARTITION BY name) AND (tier < 4 OR row_number() OVER (PARTITION BY name ORDER BY tier, taxid) = 1)",
     "lab_merge": f"WITH {_EVID} SELECT species, bool_or(label = 'f') AS f, bool_or(label = 'o') AS o, coalesce(string_agg(source, '; ' ORDER BY seq_no, source) FILTER (label = 'f'), '') AS f_source, coalesce(string_agg(source, '; ' ORDER BY seq_no, source) FILTER (label = 'o'), '') AS o_source FROM ev GROUP BY 1",
     "lab_tiers": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 200000 THEN 'confirmed' WHEN o_orderpriority = '5-LOW' THEN 'plant' WHEN o_orderstatus = 'P' THEN 'suspected' ELSE 'rest' END AS tier FROM orders",
     "lab_temporal": "WITH a AS (SELECT o_custkey AS species, max(o_orderstatus) AS l FROM orders WHERE o_orderdate < timestamp '1996-01-01' GROUP BY 1), b AS (SELECT o_custkey AS species, max(o_orderstatus) AS l FROM orders WHERE o_orderdate >= timestamp '1996-01-01' GROUP BY 1) SELECT coalesce(a.species, b.species) AS species, coalesce(b.l, a.l) AS label, CASE WHEN a.l IS NULL THEN 'new' WHEN b.l IS NULL THEN 'kept' WHEN a.l = b.l THEN 'same' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.species = b.species",
+    "lab_temporal_test": "SELECT o_custkey AS species, max(o_orderstatus) AS label, '1993-01-01' AS snapshot FROM orders WHERE o_orderdate >= timestamp '1993-01-01' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < timestamp '1993-01-01') GROUP BY 1",
     "lab_blast": "WITH x AS (SELECT l_partkey, CASE WHEN p_size < 10 THEN 'a' WHEN p_size < 30 THEN 'b' END AS target FROM lineitem LEFT JOIN part ON l_partkey = p_partkey) SELECT target, count(*) AS n, sum(l_partkey)::BIGINT AS ids FROM x GROUP BY 1",
 }
