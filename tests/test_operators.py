@@ -149,3 +149,27 @@ def test_cycle_of_parents_raises(spark):
     nodes = spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 4)], "taxid long, parent long")
     with pytest.raises(ValueError, match="cycle"):
         curate.ancestors(nodes)
+
+
+def test_strains_agree_without_dashes_and_case(spark):
+    cases = [
+        ("Be coli K-12", "", "Be coli", "strain=K12", True), ("Be coli", "k-12", "Be coli K12", "", True),
+        ("Be coli", "", "Ce coli", "", False), ("Be coli", None, None, None, False), ("Be coli", "x1", "Be coli", "strain=y", True), ("Be", "x1", "Be coli", "strain=y", False),
+    ]
+    df = spark.createDataFrame(cases, "genome string, strain string, organism string, infra string, want boolean")
+    got = df.select(curate.strains_agree(*map(F.col, ("genome", "strain", "organism", "infra"))).alias("got"), "want").collect()
+    assert [bool(r.got) for r in got] == [r.want for r in got]
+
+
+def test_one_of_each_keeps_rows_alone_without_key_and_exempt(spark):
+    data = [(1, "a", True, False), (2, "a", True, False), (3, "b", False, False), (4, None, False, False), (5, None, False, False), (6, "c", True, True), (7, "c", False, False), (8, "d", False, False), (9, "d", True, False), (10, "e", False, False), (11, "e", None, False)]
+    df = spark.createDataFrame(data, "id long, k string, ok boolean, sub boolean")
+    got = curate.one_of_each(df, "k", ["id"], F.col("ok"), F.col("sub"))
+    assert [r[0] for r in rows(got)] == [1, 3, 4, 5, 6, 7, 9]
+
+
+def test_pinned_species_are_tested_beyond_their_share(spark):
+    folds = sample.species_folds(spark.range(20).selectExpr("id as species", "0 as label"), 3, 0.1, 1, pinned=[4, 9, 13])
+    assert [r[0] for r in rows(folds.where("fold = 0").select("species"))] == [4, 9, 13]
+    parts = rows(sample.fold_columns(folds, 3).where("fold = 2").select("fold1", "fold2", "fold3").distinct())
+    assert parts == [("train", "val", "train")]
