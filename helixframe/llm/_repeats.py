@@ -187,20 +187,20 @@ def whole_runs(candidates: DataFrame, found: DataFrame) -> DataFrame:
     return candidates.join(copied, ["kh", "r1", "r2"], "left_semi").select("dkey", "tkey", "start", F.col("n").cast("long").alias("n"))
 
 
-def pieces(spread: DataFrame, found: DataFrame, symbols: Symbols, length: int, as_text: bool) -> DataFrame:
-    """Different runs of mixed anchors, with what their windows are compared by.
+def pieces(spread: DataFrame, found: DataFrame, symbols: Symbols, length: int, as_text: bool, hot: bool) -> DataFrame:
+    """Different runs of mixed anchors that are ``hot`` or not, with what their windows are compared by.
 
-    ``spread`` is the keyed documents partitioned by ``dkey, tkey``.  Returns ``kh, hot, weight,
-    dkey, tkey, start, n, data``: the run's bytes, or two hashes per window for hot anchors and
-    where ``as_text`` is false.  ``weight`` is 2 for runs that have copies.
+    ``spread`` is the keyed documents partitioned by ``dkey, tkey``.  Returns ``kh, weight, dkey,
+    tkey, start, n, data``: the run's bytes, or two hashes per window for hot anchors and where
+    ``as_text`` is false.  ``weight`` is 2 for runs that have copies.
     """
-    wanted = found.where("fewest = 1 and different > 1").select(
-        "dkey", "tkey",
-        F.struct("kh", "start", "n", F.least("copies", F.lit(2)).cast("int").alias("weight"), (F.col("different") > CLASS_LIMIT).alias("hot")).alias("run"),
+    above = F.col("different") > CLASS_LIMIT
+    wanted = found.where("fewest = 1 and different > 1").where(above if hot else ~above).select(
+        "dkey", "tkey", F.struct("kh", "start", "n", F.least("copies", F.lit(2)).cast("int").alias("weight")).alias("run")
     )
     by_text = wanted.groupBy("dkey", "tkey").agg(F.collect_list("run").alias("runs"))
     schema = pa.schema([
-        ("kh", pa.int64()), ("hot", pa.bool_()), ("weight", pa.int32()), ("dkey", pa.int64()), ("tkey", pa.int64()),
+        ("kh", pa.int64()), ("weight", pa.int32()), ("dkey", pa.int64()), ("tkey", pa.int64()),
         ("start", pa.int64()), ("n", pa.int32()), ("data", pa.binary()),
     ])
 
@@ -212,18 +212,18 @@ def pieces(spread: DataFrame, found: DataFrame, symbols: Symbols, length: int, a
                 hashed = None
                 for run in own.as_py():
                     start, n = run["start"], run["n"]
-                    if as_text and not run["hot"]:
+                    if as_text and not hot:
                         data = body[start : start + n + length - 1].tobytes()
                     else:
                         hashed = symbols(body) if hashed is None else hashed
                         hasher = Hasher(hashed[start : start + n + length - 1])
                         at = np.arange(n)
                         data = np.concatenate([hasher.lane(0, at, at + length), hasher.lane(1, at, at + length)]).tobytes()
-                    rows.append((run["kh"], run["hot"], run["weight"], dkey, tkey, start, n, data))
+                    rows.append((run["kh"], run["weight"], dkey, tkey, start, n, data))
             if rows:
                 yield batch_of(schema, list(zip(*rows, strict=True)))
 
-    ddl = "kh long, hot boolean, weight int, dkey long, tkey long, start long, n int, data binary"
+    ddl = "kh long, weight int, dkey long, tkey long, start long, n int, data binary"
     # one text per key: rows with equal keys have equal texts, and lie in one sorted partition here
     texts = spread.join(by_text, ["dkey", "tkey"]).select("dkey", "tkey", "body", "runs").dropDuplicates(["dkey", "tkey"])
     return texts.mapInArrow(cut, ddl)
@@ -255,10 +255,7 @@ def by_anchor(parts: DataFrame, resolve: Callable, limit: int) -> DataFrame:
         if bundle:
             yield from out()
 
-    ordered = (
-        parts.where("not hot").select("kh", "weight", "dkey", "tkey", "start", "n", "data")
-        .repartition("kh").sortWithinPartitions("kh")
-    )
+    ordered = parts.repartition("kh").sortWithinPartitions("kh")
     return ordered.mapInArrow(run, "dkey long, tkey long, start long, n int")
 
 
@@ -273,7 +270,7 @@ def hot_windows(parts: DataFrame) -> DataFrame:
                 w = np.frombuffer(data, np.int64)
                 yield batch_of(schema, [w[:n], w[n:], np.full(n, dkey), np.full(n, tkey), start + np.arange(n), np.full(n, weight, np.int32)])
 
-    windows = parts.where("hot").select("weight", "dkey", "tkey", "start", "n", "data").mapInArrow(
+    windows = parts.select("weight", "dkey", "tkey", "start", "n", "data").mapInArrow(
         spell, ", ".join(f"{x} long" for x in names) + ", weight int"
     )
     counted = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("total")).where("total > 1")
@@ -292,10 +289,10 @@ def repeats_by_text(docs: DataFrame, symbols: Symbols, length: int, gram: int, r
     candidates = candidate_runs(docs, symbols, length, gram, bits)
     found = classes(candidates)
     spread = docs.repartition("dkey", "tkey")
-    parts = pieces(spread, found, symbols, length, as_text)
-    ranges = whole_runs(candidates, found).unionByName(by_anchor(parts, resolve, limit))
+    cut = lambda hot: pieces(spread, found, symbols, length, as_text, hot)
+    ranges = whole_runs(candidates, found).unionByName(by_anchor(cut(False), resolve, limit))
     if not found.where(F.col("different") > CLASS_LIMIT).isEmpty():
-        ranges = ranges.unionByName(hot_windows(parts))
+        ranges = ranges.unionByName(hot_windows(cut(True)))
     by_text = joined_ranges(ranges).groupBy("dkey", "tkey").agg(F.collect_list(F.struct("start", "n")).alias("repeats"))
     return spread.join(by_text, ["dkey", "tkey"], "left")
 
