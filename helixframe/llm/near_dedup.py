@@ -8,8 +8,8 @@ share 0.8 of their shingles do with a chance over 0.999.
 Texts with equal sets are one node.  In buckets of ``FEW`` nodes or less all pairs are compared.  A
 larger bucket takes its hub, the node with most neighbours in all its buckets, and compares it with
 all others, then the next such node with those of other components, and so on until a round of
-hubs adds no link anywhere.  So a bucket costs as many comparisons as nodes for each round, and
-what may stay apart are two texts of a large bucket that link to each other but to no hub.
+hubs adds no link anywhere.  Large buckets that then still hold several components are joined by
+their rarest shingles (:func:`rare_pairs`), which misses no pair, so hubs only save work.
 
 Nulls and wordless texts form one group; repeated rows and copies share a node and so a group; an
 empty table gives an empty result; all columns of the input are kept as they are.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash as S
@@ -142,6 +142,42 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return materialise(held.select("u", "v"), "links")
 
 
+def unsettled(many: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node, n, root`` of the large buckets that hold more than one component."""
+    placed = many.select("bucket", "member.node", "member.n").join(roots.withColumnRenamed("u", "node"), "node", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return materialise(placed.join(mixed, "bucket", "left_semi").select("node", "n", "root").distinct(), "unsettled")
+
+
+def rare_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``u, v``: candidates among ``nodes (node, n, root)`` of different roots, without loss.
+
+    Shingles are ordered from the rarest.  Sets that have the similarity share so many that the
+    first one they share lies among the first ``n - ceil(t * n) + 1`` of the larger set and the
+    first ``n - ceil(2 * t / (1 + t) * n) + 1`` of the smaller; only these are joined.
+    """
+    each = nodes.join(sets, "node").select("node", "n", "root", F.explode("shingles").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count("*").alias("times"))
+    order = Window.partitionBy("node").orderBy("times", "shingle")
+    ranked = each.join(common, "shingle").withColumn("place", F.row_number().over(order))
+    head = lambda share: F.col("place") <= F.col("n") - F.ceil(share * F.col("n") - _EPS) + 1
+    lead = head(2 * similarity / (1 + similarity)).alias("lead")
+    posts = materialise(ranked.where(head(similarity) & (F.col("times") > 1)).select("shingle", "node", "n", "root", "place", lead), "posts")
+    by_root = posts.groupBy("shingle", "root").agg(F.count("*").alias("size")).groupBy("shingle")
+    mixed = by_root.agg(F.count("*").alias("roots"), F.max_by("root", F.struct("size", "root")).alias("top")).where("roots > 1")
+    posts = posts.join(mixed.select("shingle", "top"), "shingle").withColumn("in_top", F.col("root") == F.col("top"))
+    # a shingle's largest component meets the others, never itself
+    sides = F.when(F.col("in_top"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    small, large = posts.where("lead").withColumn("side", F.explode(sides)).alias("a"), posts.alias("b")
+    sized = F.expr("a.root != b.root and (a.n < b.n or (a.n = b.n and a.node < b.node))") & (F.col("a.n") >= similarity * F.col("b.n") - _EPS)
+    # what both may share from the first shingle that they share on
+    rest = F.least(F.expr("a.n - a.place"), F.expr("b.n - b.place")) + 1
+    enough = rest >= similarity / (1 + similarity) * F.expr("a.n + b.n") - _EPS
+    met = small.join(large, F.expr("a.shingle = b.shingle and a.side = b.in_top") & sized & enough)
+    return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+
+
 def links_of(marked: DataFrame, docs: DataFrame, words_each: int, similarity: float) -> DataFrame:
     """``u, root`` of nodes linked by exact similarity; marked is ``described``'s of ``docs``."""
     nodes = distinct_nodes(marked)
@@ -173,8 +209,17 @@ def links_of(marked: DataFrame, docs: DataFrame, words_each: int, similarity: fl
         left = left.where((F.coalesce("root", "node") != F.col("hub_root")) & _proposed(hub, member, F.col("bits"), similarity))
         more = alike(materialise(left.select(*ends(hub, member)).distinct(), "pairs"), sets, similarity)
         if more.isEmpty():
-            return roots
-        roots = connected_components(more.unionByName(roots.select("u", F.col("root").alias("v"))))
+            break
+        roots = merged(roots, more)
+    left = unsettled(many, roots)
+    if left.isEmpty():
+        return roots
+    return merged(roots, alike(materialise(rare_pairs(left, sets, similarity), "pairs"), sets, similarity))
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``u, root`` of the components ``roots`` once ``links`` are added."""
+    return connected_components(links.unionByName(roots.select("u", F.col("root").alias("v"))))
 
 
 def groups(docs: DataFrame, words_each: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -412,6 +412,28 @@ def test_near_dedup_decides_on_exact_resemblance(spark):
     assert {frozenset(g) for g in found.values()} == resemblance_groups(texts)
 
 
+def test_near_dedup_rare_shingles_miss_no_pair(spark):
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 1 << 40, 60).tolist()
+    sets = [rng.choice(80, int(rng.integers(1, 40)), replace=False).tolist() for _ in range(60)]
+    for size in range(5, 20):  # a common passage, ends shared by two
+        end = rng.integers(0, 1 << 40, size).tolist()
+        sets += [passage + end, passage + end[1:], passage[2:] + end]
+    sets += [[x for x in s if x != s[0]] or [1] for s in sets[:40]] + [sets[0][:1], []]
+    sets = [sorted(set(map(int, s))) for s in sets]
+    roots = [i // 2 for i in range(len(sets))]
+    nodes = spark.createDataFrame([(i, len(s), r) for i, (s, r) in enumerate(zip(sets, roots))], "node long, n int, root long")
+    table = spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>")
+    pairs = near_dedup.rare_pairs(nodes, table, 0.8)
+    got = {(r.u, r.v) for r in near_dedup.alike(pairs, table, 0.8).collect()}
+    want = {
+        (i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
+        if roots[i] != roots[j] and sets[i] and sets[j] and len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]}) - 1e-9
+    }
+    assert got == want and len(want) > 20
+    assert near_dedup.rare_pairs(nodes.limit(0), table, 0.8).isEmpty()
+
+
 def test_near_dedup_uses_bands_of_every_text(spark):
     rng = random.Random(8)
     base, lone = passages(rng, 91), [" ".join(passages(rng, 60)) for _ in range(6)]
