@@ -143,3 +143,81 @@ def op10(docs, items, window=10):
                     hit[k : k + n] = [True] * n
         out.append((d, len(w), sum(hit), len(found), sha(",".join(sorted(map(str, found)))), any(hit)))
     return out
+
+
+def finite(v):
+    return v is not None and all(x is not None and np.isfinite(x) for x in v)
+
+
+def op11(rows, k=16):
+    """By component: ids with whitened values; n, deviation by row, explained."""
+    width = max((len(v) for _, v in rows if finite(v)), default=0)
+    kept = [(i, [int(np.floor(64 * float(c))) + 1000000 for c in v] + [1000000] * (width - len(v))) for i, v in rows if finite(v)]
+    fit = sorted({tuple(x) for _, x in kept})
+    n = len(fit)
+    sums = [sum(c) for c in zip(*fit, strict=True)]
+    z = np.array([[(n * a - s) / n for a, s in zip(x, sums, strict=True)] for x in fit])
+    values, vectors = np.linalg.eigh(z.T @ z / n)
+    values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
+    keep = values > 1e-12 * values[0]
+    values, vectors = values[keep], vectors[:, keep]
+    own = np.array([[(n * a - s) / n for a, s in zip(x, sums, strict=True)] for _, x in kept])
+    deviation = [sum((n * a - s) ** 2 for a, s in zip(x, sums, strict=True)) for _, x in kept]
+    return n, [i for i, _ in kept], deviation, own @ vectors / np.sqrt(values), values / (z**2).sum() * n
+
+
+def op12(turns):
+    """Nodes of the trie of rebuilt conversations: the columns of the query, in its order."""
+    by = defaultdict(list)
+    for c, t, role, text in turns:
+        if c is not None:
+            by[c].append((t is not None, t or 0, role or "", text or ""))
+    own = {c: [(r, x) for _, _, r, x in sorted(rows)] for c, rows in by.items()}
+    start = lambda c: c - int(np.fmod(c, 5))
+    h = {c: zlib.crc32(str(c).encode()) % 9 for c in own}
+    full = {c: tuple(own.get(start(c), [])[: h[c]] + own[c][h[c] :]) for c in own}
+    members = defaultdict(set)
+    for c, seq in full.items():
+        for d in range(len(seq) + 1):
+            members[seq[:d]].add(c)
+    children = defaultdict(list)
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+    leaves, saved = Counter(), Counter()
+    for node, own_members in members.items():
+        for d in range(len(node) + 1):
+            leaves[node[:d]] += not children[node]
+            saved[node[:d]] += (len(own_members) - 1) * len(node[-1][1].encode()) if node else 0
+    out = []
+    for node, m in members.items():
+        ends = sorted(c for c in m if full[c] == node)
+        parent = min(members[node[:-1]]) if node else None
+        out.append((min(m), len(node), parent, len(m), len(children[node]), leaves[node], saved[node], sha(",".join(map(str, ends)))))
+    return out
+
+
+def op13(rows, cosine=0.95):
+    width = max((len(v) for _, v in rows if finite(v)), default=0)
+    able = [i for i, (_, v) in enumerate(rows) if finite(v) and any(v)]
+    u = np.array([np.pad(np.array(rows[i][1], float), (0, width - len(rows[i][1]))) for i in able]).reshape(len(able), width)
+    u /= np.abs(u).max(1, keepdims=True, initial=0)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= cosine
+    np.fill_diagonal(near, False)
+    label = np.arange(len(able))
+    while True:
+        least = np.minimum(label, np.where(near, label[None, :], len(able)).min(1, initial=len(able)))
+        if np.array_equal(least, label):
+            break
+        label = least
+    ids = defaultdict(list)
+    for i, g in zip(able, label, strict=True):
+        if rows[i][0] is not None:
+            ids[g].append(rows[i][0])
+    of = {i: (int(n), min(ids[g], default=None)) for i, n, g in zip(able, near.sum(1), label, strict=True)}
+    out = []
+    for i, (vec_id, _) in enumerate(rows):
+        n, least = of.get(i, (0, vec_id))
+        out.append((vec_id, n, least, vec_id is not None and least == vec_id))
+    return out
