@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seq import signif
 from .joins import overlap
-from .windows import running_sums, value_ranges
+from .store import neighbour, ranged, running, same, stored
 
 DIGITS = 12
 
@@ -19,20 +19,21 @@ DIGITS = 12
 def genome_map(scored: DataFrame, contigs: DataFrame, shift: float = 0.5) -> DataFrame:
     """``genome, contig, start, end, score``: mean of covering scores less ``shift``, as runs.
 
-    Works on the elementary segments between fragment bounds; bases are never spelled out.
+    Works on the elementary segments between fragment bounds; bases are never spelled out.  A
+    contig's segments are spread over ranges of places, tied by their edges and counts.
     """
     key = ["genome", "contig"]
     frags = scored.join(contigs.select(*key, "len"), key).withColumns({"start": F.greatest("start", F.lit(0)), "end": F.least("end", "len")}).where("start < `end`")
     points = frags.select(*key, F.explode(F.array("start", "end")).alias("start"))
     bounds = points.unionByName(contigs.where("len > 0").select(*key, F.explode(F.array(F.lit(0).cast("long"), F.col("len").cast("long"))).alias("start"))).distinct()
-    order = Window.partitionBy(*key).orderBy("start")
-    segments = bounds.withColumn("end", F.lead("start").over(order)).where("`end` is not null")
-    covered = overlap(segments, frags.select(*key, "start", "end", "p"), key)
+    followed = neighbour(ranged(bounds, key, ["start"]), key, ["start"], "start", "__next", True)
+    segments = followed.where("__next is not null").withColumn("end", F.col("__next.value")).drop("__next")
+    covered = overlap(segments.drop("__range"), frags.select(*key, "start", "end", "p"), key)
     means = covered.groupBy(*key, "start", "end").agg((F.round(F.avg("p"), DIGITS) - shift).alias("score"))
-    scored_segments = segments.join(means, [*key, "start", "end"], "left")
-    changed = F.coalesce((~F.col("score").eqNullSafe(F.lag("score").over(order))).cast("int"), F.lit(1))
-    first = F.row_number().over(order) == 1
-    runs = scored_segments.withColumn("run", F.sum(F.when(first, 1).otherwise(changed)).over(order))
+    scored_segments = stored(segments.join(means, [*key, "start", "end"], "left"), "segments")
+    before = neighbour(scored_segments, key, ["start"], "score", "__before", False)
+    changed = F.when(F.col("__before").isNull(), 1).otherwise((~F.col("score").eqNullSafe(F.col("__before.value"))).cast("int"))
+    runs = running(before, key, ["start"], run=("sum", changed))
     return runs.groupBy(*key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("score").alias("score")).drop("run")
 
 
@@ -49,11 +50,16 @@ def nt_map(nuc_scores: DataFrame) -> DataFrame:
 
 
 def merge_intervals(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Union of overlapping and touching intervals."""
-    before = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    up_to = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
-    fresh = F.coalesce((F.col("start") > F.max("end").over(before)).cast("int"), F.lit(1))
-    islands = df.withColumn("__new", fresh).withColumn("__island", F.sum("__new").over(up_to))
+    """Union of overlapping and touching intervals.
+
+    A sweep over ranges of starts: an interval opens an island if it starts beyond every end before
+    it, in its range or carried over from earlier ones, so one contig's intervals spread over tasks.
+    """
+    order = ["start", "end"]
+    sweep = ranged(df.select(*by, *order).distinct(), by, order)
+    opened = running(sweep, by, order, past=True, __top=("max", F.col("end")))
+    fresh = F.coalesce((F.col("start") > F.col("__top")).cast("int"), F.lit(1))
+    islands = running(opened.withColumn("__new", fresh), by, order, __island=("sum", F.col("__new")))
     return islands.groupBy(*by, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")
 
 
@@ -196,16 +202,12 @@ def fisher(table: DataFrame) -> DataFrame:
 def bh_adjust(df: DataFrame, by: Sequence[str], p: str = "p") -> DataFrame:
     """Benjamini-Hochberg ``q`` within each group.
 
-    Worked out on distinct p: ranks from counts up to each, then the least ``p * n / rank`` at or
-    above each, within ranges of p and over the least of the ranges above.
+    Worked out on distinct p, stored once in ranges: ranks from counts up to each, then the least
+    ``p * n / rank`` at or above each, both tied over ranges.
     """
     counted = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("__c"))
-    ranked = running_sums(counted, by, p, {"__i": "__c"}).withColumn("__v", F.col(p) * F.col("__i_all") / F.col("__i"))
-    ranked = ranked.withColumn("__r", value_ranges(counted, p))
-    after = Window.partitionBy(*by, "__r").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    higher = Window.partitionBy(*by).orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, -1)
-    least = ranked.groupBy(*by, "__r").agg(F.min("__v").alias("__m"))
-    least = least.select(*by, "__r", F.min("__m").over(higher).alias("__above"))
-    q = F.least(F.min("__v").over(after), F.col("__above"), F.lit(1.0))
-    adjusted = ranked.join(least, [*by, "__r"]).select(*by, p, q.alias("q"))
-    return df.join(adjusted, [*by, p], "left")
+    ranked = running(ranged(counted, by, [p]), by, [p], whole=True, __i=("sum", F.col("__c")))
+    falling = ranked.withColumn("__range", -F.col("__range"))
+    least = running(falling, by, [F.desc(p)], __q=("min", F.col(p) * F.col("__i_all") / F.col("__i")))
+    adjusted = least.select(*by, p, F.least("__q", F.lit(1.0)).alias("q"))
+    return same(df, adjusted, [*by, p], "left")

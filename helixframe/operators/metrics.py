@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantile import exact_quantiles
+from .store import same, stored
 from .windows import running_sums
 
 EPS = 1e-7
@@ -75,9 +77,9 @@ def best_thresholds(df: DataFrame, by: Sequence[str]) -> DataFrame:
     points = curve(df, by).withColumns({
         "j": F.expr("round(tp / nullif(p_all, 0) - fp / nullif(n_all, 0), 12)"), "f1": F.expr("round(2 * tp / (tp + fp + p_all), 12)"),
     })
-    every = Window.partitionBy(*by, "criterion")
-    long = points.selectExpr(*by, "p", "stack(2, 'j', j, 'f1', f1) as (criterion, value)")
-    return long.withColumn("best", F.max("value").over(every)).where("value = best").drop("best")
+    long = stored(points.selectExpr(*by, "p", "stack(2, 'j', j, 'f1', f1) as (criterion, value)"), "points")
+    best = long.groupBy(*by, "criterion").agg(F.max("value").alias("value"))
+    return same(long, best, [*by, "criterion", "value"], "left_semi")
 
 
 def _loss(p: str, truth: str) -> Column:
@@ -152,22 +154,23 @@ def pooling_agreement(pooled: DataFrame) -> DataFrame:
 
 
 def compare_scores(df: DataFrame, by: Sequence[str], a: str, b: str, atol: float = 1e-6, rtol: float = 1e-5) -> DataFrame:
-    """Two scores of each row: KS statistic, Spearman, differences and whether all are close."""
+    """Two scores of each row: KS statistic, Spearman, differences and whether all are close.
+
+    The rows are stored once.  One running sum over the distinct values of both scores gives the
+    ranks of either and the steps between their distributions.
+    """
     gap = F.abs(F.col(a) - F.col(b))
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).alias("__a"), F.col(b).alias("__b"), gap.alias("__gap"))
-    ranked = both.join(_mid_ranks(both, by, "__a", "ra"), [*by, "__a"]).join(_mid_ranks(both, by, "__b", "rb"), [*by, "__b"])
+    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    both = stored(known.select(*by, F.col(a).alias("__a"), F.col(b).alias("__b"), gap.alias("__gap")), "scores")
+    values = both.select(*by, F.expr("stack(2, 1, __a, 0, __b) as (first, v)")).groupBy(*by, "v").agg(F.sum("first").alias("na"), F.sum(1 - F.col("first")).alias("nb"))
+    summed = stored(running_sums(values, by, "v", {"up_a": "na", "up_b": "nb"}), "steps")
+    ra, rb = (summed.where(f"n{x} > 0").select(*by, F.col("v").alias(f"__{x}"), (F.col(f"up_{x}") - (F.col(f"n{x}") - 1) / 2).alias(f"r{x}")) for x in "ab")
+    ranked = same(same(both, ra, [*by, "__a"]), rb, [*by, "__b"])
     gap = F.col("__gap")
     plain = ranked.groupBy(*by).agg(
-        F.corr("ra", "rb").alias("spearman"), F.max(gap).alias("max_diff"), F.avg(gap).alias("mean_diff"), F.percentile(gap, F.lit(0.5)).alias("median_diff"), F.stddev_pop(gap).alias("std_diff"),
+        F.corr("ra", "rb").alias("spearman"), F.max(gap).alias("max_diff"), F.avg(gap).alias("mean_diff"), F.stddev_pop(gap).alias("std_diff"),
         F.bool_and(gap <= atol + rtol * F.abs(F.col("__b"))).alias("all_close"),
     )
-    long = both.select(*by, F.expr("stack(2, 1, __a, 0, __b) as (first, v)")).groupBy(*by, "v").agg(F.sum("first").alias("na"), F.sum(1 - F.col("first")).alias("nb"))
-    summed = running_sums(long, by, "v", {"up_a": "na", "up_b": "nb"})
     step = F.abs(F.col("up_a") / F.col("up_a_all") - F.col("up_b") / F.col("up_b_all"))
-    return plain.join(summed.groupBy(*by).agg(F.max(step).alias("ks")), list(by))
-
-
-def _mid_ranks(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    """Mean rank of each distinct value of a group."""
-    counted = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
-    return running_sums(counted, by, value, {"__up": "__n"}).select(*by, value, (F.col("__up") - (F.col("__n") - 1) / 2).alias(name))
+    steps = summed.groupBy(*by).agg(F.max(step).alias("ks"))
+    return same(same(plain, exact_quantiles(both, by, "__gap", {"median_diff": 0.5}), by), steps, by)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.seq import revcomp
 from .aggregate import background as _background  # noqa: F401
 from .metrics import mid_rank
+from .quantile import exact_quantiles
 
 BASES = "ACGT"
 
@@ -186,7 +187,8 @@ def score_distribution(cells: DataFrame, lo: float, hi: float, bins: int = 100)
 
 
 def score_quartiles(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("filter_id", "cell").agg(*(F.percentile("score", F.lit(q)).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)))
+    """``q25, q50, q75`` of the scores of each filter and cell."""
+    return exact_quantiles(cells, ["filter_id", "cell"], "score", {f"q{int(q * 100)}": q for q in (0.25, 0.5, 0.75)})
 
 
 def nt_logo_table(nuc: DataFrame, pseudo: float | dict[str, float] = 1.0, gain: float = 255.0, limits: tuple[float, float] | None = None) -> DataFrame:

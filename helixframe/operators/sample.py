@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import row_numbers, same, stored
+
 
 def hash_order(key: str, seed: int | str) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
@@ -45,22 +47,59 @@ def inherit_folds(assigned: Sequence[DataFrame], key: str = "species") -> DataFr
     return every.groupBy(key).agg(F.min_by("fold", F.struct("priority", "fold")).alias("fold"))
 
 
+#: Hash digits told apart in one pass over the rows, and rows that are then picked out by themselves.
+DIGITS, FEW = 3, 4096
+
+
+def first_by_hash(df: DataFrame, k: int, seed: int | str, key: str, few: int = FEW) -> DataFrame:
+    """``df`` stored, with ``__in`` for exactly ``k`` rows: the first in hash order of ``key``.
+
+    The place of the kth row is found digit by digit: each pass counts the rows under every value of
+    the next ``DIGITS`` hash digits and goes on within the one that holds it.  The mark compares a
+    row with that place, so nothing is sorted and rows stay where they are.  Rows of equal key are
+    told apart by their place in the stored table.
+    """
+    row = F.lpad(F.lower(F.hex(F.monotonically_increasing_id())), 16, "0")
+    kept = stored(df.withColumn("__o", F.concat(F.coalesce(hash_order(key, seed), F.lit("g" * 32)), row)), "hashed")
+    prefix, left, cut = "", max(k, 0), None
+    while left:
+        under = kept.where(F.col("__o").startswith(prefix)) if prefix else kept
+        counts = {r.d: r.n for r in under.groupBy(F.substring("__o", len(prefix) + 1, DIGITS).alias("d")).agg(F.count("*").alias("n")).collect()}  # 16 ** DIGITS rows
+        if left >= sum(counts.values()):
+            cut = None if not prefix else prefix + "~"
+            break
+        for d in sorted(counts):
+            if left <= counts[d]:
+                prefix += d
+                break
+            left -= counts[d]
+        if counts[d] <= few:
+            near = kept.where(F.col("__o").startswith(prefix)).select("__o").orderBy("__o").limit(left).collect()  # few rows
+            cut = near[-1][0]
+            break
+    inside = F.lit(k > 0) if cut is None else F.col("__o") <= cut
+    return kept.withColumn("__in", inside).drop("__o")
+
+
 def sample_k(df: DataFrame, k: int, seed: int, key: str = "read_id") -> DataFrame:
     """Exactly ``k`` rows; tables that share keys give the same ones for the same seed."""
-    return df.orderBy(hash_order(key, seed), key).limit(k)
+    return first_by_hash(df, k, seed, key).where("__in").drop("__in")
 
 
 def shuffle(df: DataFrame, seed: int, within: Sequence[str], key: str) -> DataFrame:
-    """A new ordinal within each group, in hash order."""
-    return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(*within).orderBy(hash_order(key, seed), key)))
+    """A new ordinal within each group, in hash order; a group's rows are numbered by ranges of hashes."""
+    hashed = df.withColumn("__h", hash_order(key, seed))
+    return row_numbers(hashed, within, ["__h", key], "ordinal").drop("__h")
 
 
 def shift_dataset(train: DataFrame, test: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """Equal samples of both, labelled 0 and 1, the first 80 % of each for training."""
-    both = sample_k(train, n, seed, key).withColumn("label", F.lit(0)).unionByName(sample_k(test, n, seed, key).withColumn("label", F.lit(1)))
-    w = Window.partitionBy("label").orderBy(hash_order(key, seed + 1), key)
-    size = F.count("*").over(Window.partitionBy("label"))
-    return both.withColumn("part", F.when(F.row_number().over(w) <= F.ceil(size * F.lit(0.8)), "train").otherwise("val"))
+    parts = []
+    for label, df in enumerate((train, test)):
+        own = sample_k(df, n, seed, key)
+        marked = first_by_hash(own, -(-own.count() * 4 // 5), seed + 1, key)
+        parts.append(marked.withColumns({"label": F.lit(label), "part": F.when(F.col("__in"), "train").otherwise("val")}).drop("__in"))
+    return parts[0].unionByName(parts[1])
 
 
 def read_quota(genomes: DataFrame, total: int, mode: str, by: Sequence[str], paired: bool = False) -> DataFrame:
@@ -87,8 +126,11 @@ def fragment_params(genomes: DataFrame, mean: int = 600, std: int = 60, length:
 
 
 def clean_contigs(contigs: DataFrame, min_len: int) -> DataFrame:
-    """Contigs above ``min_len``; the longest of a genome that has none (first on ties)."""
-    w = Window.partitionBy("genome")
-    first = F.row_number().over(w.orderBy(F.desc("len"), "contig"))
-    marked = contigs.withColumns({"__m": F.max("len").over(w), "__r": first})
-    return marked.where((F.col("len") > min_len) | ((F.col("__m") <= min_len) & (F.col("__r") == 1))).drop("__m", "__r")
+    """Contigs above ``min_len``; the longest of a genome that has none (first on ties).
+
+    A genome's contigs meet in an aggregate only: it gives the one contig to keep, if any.
+    """
+    best = contigs.groupBy("genome").agg(F.max("len").alias("__m"), F.min_by("contig", F.struct(-F.col("len"), F.col("contig"))).alias("__c"))
+    sole = best.where(F.col("__m") <= min_len).select("genome", F.col("__c").alias("contig"))
+    short = same(contigs.where(F.col("len") <= min_len), sole, ["genome", "contig"], "left_semi")
+    return contigs.where(F.col("len") > min_len).unionByName(short)

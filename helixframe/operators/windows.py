@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import ranged, row_numbers, running
+
 
 def first_row(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """First row of each key by an explicit order."""
@@ -41,9 +42,12 @@ def best_sample(df: DataFrame, key: str, level: Column, row: str, seed: str) ->
 
 
 def factor_code(df: DataFrame, name: str, null_zero: bool) -> DataFrame:
-    """Dense rank of a name from 0, or from 1 with 0 for null.  Codes come from the distinct names."""
+    """Dense rank of a name from 0, or from 1 with 0 for null.
+
+    Codes number the distinct names by ranges of names, so no task sees all of them.
+    """
     distinct = df.select(name).where(F.col(name).isNotNull()).distinct()
-    codes = distinct.withColumn("code", F.dense_rank().over(Window.orderBy(name)) - (0 if null_zero else 1))
+    codes = row_numbers(distinct, [], [name], "code").withColumn("code", F.col("code") - (0 if null_zero else 1))
     out = df.join(codes, name, "left")
     return out.withColumn("code", F.coalesce("code", F.lit(0))) if null_zero else out
 
@@ -72,33 +76,15 @@ def seq_cycles(runs: DataFrame, by: Sequence[str], len1: str, len2: str, gap: Co
     return runs.withColumn("__n", n).where(F.col("__n") == size).withColumn("cycle", F.col(len1) + F.col(len2) + gap).drop("__n")
 
 
-def value_ranges(df: DataFrame, value: str, ranges: int = 64) -> Column:
-    """Number of the range that a numeric value lies in; bounds are approximate quantiles.
-
-    The bounds are literals, so the same row has the same number wherever it is computed again.
-    """
-    bounds = sorted(set(df.select(F.col(value).cast("double").alias(value)).approxQuantile(value, [i / ranges for i in range(1, ranges)], 0.005)))
-    x = F.col(value).cast("double")
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < x)) if bounds else F.lit(0)
-
-
 def running_sums(df: DataFrame, by: Sequence[str], value: str, sums: dict[str, str], desc: bool = False) -> DataFrame:
     """Sums of columns up to each row by ``value``, and over the group as ``<name>_all``.
 
-    ``sums`` maps new names to columns.  A task sees one range of a group's values; ranges are tied
-    by their totals, of which there are as many as ranges.  Values are distinct within a group.
+    ``sums`` maps new names to columns.  The rows are stored once in ranges of ``value``; a task sees
+    one range of a group, and ranges are tied by their totals, of which there are as many as ranges.
+    Values of any type with an order will do; they are distinct within a group.
     """
-    df = df.withColumn("__range", value_ranges(df, value))
     order = F.desc if desc else F.asc
-    parts = df.groupBy(*by, "__range").agg(*(F.sum(c).alias(f"__{n}") for n, c in sums.items()))
-    before = Window.partitionBy(*by).orderBy(order("__range")).rowsBetween(Window.unboundedPreceding, -1)
-    every, keys = Window.partitionBy(*by), [*by, "__range"]
-    bases = parts.select(
-        *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums),
-        *(F.sum(f"__{n}").over(every).alias(f"{n}_all") for n in sums),
-    )
-    within = Window.partitionBy(*keys).orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
-    summed = df.withColumns({n: F.sum(c).over(within) for n, c in sums.items()})
-    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
-    tied = summed.join(bases, same).withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums})
-    return tied.drop("__range", *(f"__k{i}" for i in range(len(keys))), *(f"__{n}" for n in sums))
+    parted = ranged(df, by, [value])
+    if desc:
+        parted = parted.withColumn("__range", -F.col("__range"))
+    return running(parted, by, [order(value)], whole=True, **{n: ("sum", F.col(c)) for n, c in sums.items()}).drop("__range")

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -13,6 +11,7 @@ from ..operators import aggregate as A
 from ..operators import motif as M
 from ..operators import sample as S
 from ..operators import score as R
+from ..operators.store import scratch
 from ..sources import files as I
 from ..streaming import live as L
 from . import fixtures as X
@@ -23,17 +22,6 @@ _T, _W = X.table, X.with_tables
 WEIGHTS = {"A": -2.0, "C": 1.0, "G": 3.0, "T": -1.0}
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder in ``spark.checkpoint.dir``; one of our own only where it is unset in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="helixframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _fasta_trip(s, d):
     """Contigs written as scored records and read back."""
     path = scratch(s, "fasta")

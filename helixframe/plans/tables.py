@@ -101,7 +101,7 @@ QUERIES = {
     "smp_strain": lambda s, d: S.sample_one(_events(s, d), ["species", "o_orderstatus"], "acc", 3).select("species", "o_orderstatus", "acc"),
     "smp_inherit": lambda s, d: S.inherit_folds([_events(s, d).where(f"o_orderstatus = '{k}'").groupBy("species").agg(F.min(F.expr("cast(acc % 10 as int)")).alias("fold")) for k in "PFO"]),
     "smp_reservoir": lambda s, d: S.sample_k(X.reads(s, d).select("read_id"), 1000, 100),
-    "smp_shuffle": lambda s, d: S.shuffle(_events(s, d).select("species", "acc"), 11, ["species"], "acc"),
+    "smp_shuffle": lambda s, d: S.shuffle(_events(s, d).select("species", "acc"), 11, ["species"], "acc").withColumn("ordinal", F.col("ordinal").cast("int")),
     "smp_shift": lambda s, d: S.shift_dataset(X.reads(s, d).where("contig % 2 = 0").select("read_id"), X.reads(s, d).where("contig % 2 = 1").select("read_id"), 500, 1, "read_id"),
     "quota_reads": lambda s, d: S.read_quota(_genomes(s, d), 1_000_000, "size", ["class"], True),
     "quota_fragsize": lambda s, d: S.fragment_params(X.contigs(s, d).select("contig", F.col("len").alias("size"))),
