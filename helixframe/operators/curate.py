@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import stored
+
 
 def filter_genomes(df: DataFrame, keep: dict[str, str], drop_empty: Sequence[str]) -> DataFrame:
     """Rows whose columns match patterns in any case and whose ``drop_empty`` are filled."""
@@ -117,13 +119,36 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     return pairs.where(F.col("ancestor") != 0)
 
 
+def nearest_at(nodes: DataFrame, rank: str) -> DataFrame:
+    """``taxid, at_rank``: each node's nearest ancestor of ``rank``, itself included; null where there is none.
+
+    Pointer jumping with one row a node: a node holds the place it has climbed to.  A round looks
+    there: it takes over that node's answer, or else its place, so the climbed stretch doubles.
+    Answered nodes and those at the top leave the round; rounds grow with the logarithm of the
+    depth.  Node 0 is the root above all and no one's answer.  Raises ``ValueError`` where parents
+    form a cycle without an answer.
+    """
+    wanted = (F.col("rank") == rank) & (F.col("taxid") != 0)
+    above = F.when((F.col("parent") != F.col("taxid")) & F.col("parent").isNotNull(), F.col("parent"))
+    state = nodes.select("taxid", F.when(wanted, F.col("taxid")).alias("at_rank"), F.when(~F.coalesce(wanted, F.lit(False)), above).alias("at"))
+    state = stored(state, "climb")
+    rounds, n = 0, None
+    while not state.where("at is not null").isEmpty():
+        n = state.count() if n is None else n
+        if rounds > n.bit_length() + 1:
+            raise ValueError("parents of nodes form a cycle")
+        there = state.select(F.col("taxid").alias("__t"), F.col("at_rank").alias("__hit"), F.col("at").alias("__at"))
+        climbing = state.where("at is not null").join(there, F.col("at") == F.col("__t"), "left").select("taxid", F.col("__hit").alias("at_rank"), F.col("__at").alias("at"))
+        state = stored(state.where("at is null").unionByName(climbing), "climb")
+        rounds += 1
+    return state.select("taxid", "at_rank")
+
+
 def ancestor_at(ids: DataFrame, nodes: DataFrame, rank: str, merged: DataFrame | None = None) -> DataFrame:
     """Nearest ancestor of each id with ``rank``; ids pass through ``merged (old, new)`` first."""
     if merged is not None:
         ids = ids.join(merged.select(F.col("old").alias("taxid"), "new"), "taxid", "left").select(F.coalesce("new", "taxid").alias("taxid"))
-    ranks = nodes.where(F.col("rank") == rank).select(F.col("taxid").alias("ancestor"))
-    hits = ancestors(nodes).join(ranks, "ancestor").groupBy("taxid").agg(F.min_by("ancestor", "depth").alias("at_rank"))
-    return ids.join(hits, "taxid", "left")
+    return ids.join(nearest_at(nodes, rank), "taxid", "left")
 
 
 def resolve_names(names: DataFrame, candidates: DataFrame) -> DataFrame:

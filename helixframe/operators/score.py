@@ -6,11 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.seq import revcomp, sigmoid
 
@@ -62,11 +65,106 @@ def linear_score(seq: Column, weights: dict[str, float], bias: float, length: in
     return sigmoid(sum((w * count(b) / length for b, w in weights.items()), F.lit(bias)))
 
 
+#: Letters of a sequence that are coded at a time.
+PIECE = 1 << 18
+#: k-mers up to this length are counted in one array a sequence, longer ones by piece.
+DENSE = 6
+#: Longest k-mer whose code fits a long.
+LONGEST = 31
+
+
+def rolling_codes(letters: np.ndarray, k: int, folded: bool = False) -> np.ndarray:
+    """Codes of two bits a letter (0 to 3) of all k-mers without other letters, in order.
+
+    ``folded`` codes a k-mer and its reverse complement alike, by the lesser of the two.
+    """
+    n = len(letters) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    other = np.concatenate([[0], np.cumsum(letters > 3)])
+    good = other[k:] == other[:-k]
+    code, back = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    two = np.minimum(letters, 3).astype(np.int64)
+    for j in range(k):
+        code = code << 2 | two[j : j + n]
+        if folded:
+            back |= (3 - two[j : j + n]) << 2 * j
+    return (np.minimum(code, back) if folded else code)[good]
+
+
+def kmer_codes(reads: DataFrame, k: int, folded: bool = False, piece: int = PIECE, key: str = "read_id") -> DataFrame:
+    """``key, code, n``: codes of each sequence's k-mers and how often it has them.
+
+    A sequence is coded in overlapping pieces, so memory follows the piece and the different codes,
+    not the sequence.  Nulls and sequences without a k-mer of A, C, G, T have no row.
+    """
+    if not 1 <= k <= LONGEST:
+        raise ValueError(f"k is from 1 to {LONGEST}")
+    letter = np.full(256, 4, np.uint8)
+    letter[[ord(b) for b in BASES]] = range(4)
+    source = reads.where("seq is not null").select(key, F.col("seq").cast("binary").alias("seq"))
+    first = to_arrow_schema(source.schema).field(0)
+    schema = pa.schema([first, ("code", pa.int64()), ("n", pa.int64())])
+
+    def counts(seq: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        total = np.zeros(4**k, np.int64) if k <= DENSE else None
+        for at in range(0, max(len(seq) - k + 1, 0), piece):
+            codes = rolling_codes(letter[seq[at : at + piece + k - 1]], k, folded)
+            if total is None:
+                yield np.unique(codes, return_counts=True)
+            else:
+                total += np.bincount(codes, minlength=len(total))
+        if total is not None:
+            code = np.flatnonzero(total)
+            yield code, total[code]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, codes, ns, held = [], [], [], 0
+            for i, seq in enumerate(batch.column(1)):
+                for code, n in counts(np.frombuffer(seq.as_buffer(), np.uint8)):
+                    rows.append(np.full(len(code), i))
+                    codes.append(code)
+                    ns.append(n)
+                    held += len(code)
+                    if held >= piece:
+                        yield table(batch, rows, codes, ns)
+                        rows, codes, ns, held = [], [], [], 0
+            if held:
+                yield table(batch, rows, codes, ns)
+
+    def table(batch: pa.RecordBatch, rows: list, codes: list, ns: list) -> pa.RecordBatch:
+        own = batch.column(0).take(pa.array(np.concatenate(rows)))
+        return pa.RecordBatch.from_arrays([own.cast(first.type), pa.array(np.concatenate(codes)), pa.array(np.concatenate(ns).astype(np.int64))], schema=schema)
+
+    kind = source.schema[0].dataType.simpleString()
+    each = source.mapInArrow(run, f"{key} {kind}, code long, n long")
+    return each.groupBy(key, "code").agg(F.sum("n").alias("n"))
+
+
+def kmer_text(code: Column, k: int) -> Column:
+    """Letters of a code of ``kmer_codes``."""
+    letter = lambda i: F.substring(F.lit(BASES), (F.shiftright(code, 2 * i).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1))
+    return F.concat(*(letter(i) for i in reversed(range(k))))
+
+
 def kmer_features(reads: DataFrame, k: int) -> DataFrame:
     """``read_id, kmer, n``: k-mers of A, C, G, T and how often each read has them."""
-    kmers = F.regexp_extract_all("seq", F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
-    each = reads.select("read_id", F.explode(kmers).alias("kmer")).where(F.col("kmer").rlike("^[ACGT]+$"))
-    return each.groupBy("read_id", "kmer").agg(F.count("*").alias("n"))
+    return kmer_codes(reads, k).select("read_id", kmer_text(F.col("code"), k).alias("kmer"), "n")
+
+
+def hashed_features(reads: DataFrame, k: int, size: int, key: str = "read_id") -> DataFrame:
+    """``key, features``: sparse vectors of each read's k-mer shares, both strands folded, hashed to ``size`` places.
+
+    Assembled from the long table of counts: codes that share a place are added up, and a read's
+    places, ``size`` at most, are collected in order.  Reads without a k-mer have no row.
+    """
+    place = F.pmod(F.xxhash64("code"), F.lit(size)).cast("int").alias("place")
+    cells = kmer_codes(reads, k, folded=True, key=key).groupBy(key, place).agg(F.sum("n").cast("double").alias("n"))
+    rows = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("cells"), F.sum("n").alias("total"))
+    of = F.map_from_entries("cells")
+    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(of, i) / F.col("total"), F.lit(0.0)))
+    return VectorAssembler(inputCols=["__v"], outputCol="features").transform(rows.select(key, array_to_vector(dense).alias("__v"))).drop("__v")
 
 
 def label_features(features: DataFrame, labels: DataFrame, accession: str) -> DataFrame:
@@ -80,8 +178,6 @@ def train_forest(df: DataFrame, features: list[str], label: str = "label", trees
 
 
 def predict_forest(model: PipelineModel, df: DataFrame, *keep: str) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
     return model.transform(df).select(*keep, vector_to_array("probability")[1].alias("p"), F.col("prediction").cast("int").alias("call"))
 
 

@@ -11,7 +11,7 @@ from ..operators import aggregate as A
 from ..operators import motif as M
 from ..operators import sample as S
 from ..operators import score as R
-from ..operators.store import scratch
+from ..operators.store import scratch, stored
 from ..sources import files as I
 from ..streaming import live as L
 from . import fixtures as X
@@ -120,6 +120,22 @@ def _forest(s, d):
     return R.predict_forest(R.train_forest(rows.where("contig % 5 <> 0"), features), rows, "read_id", "label")
 
 
+def _kmer_rows(s, d):
+    """Hashed k-mer vectors of labelled reads, stored: the forest reads them again for every tree level."""
+    reads = X.reads(s, d).join(X.labels(s, d).select("contig", "label"), "contig")
+    return stored(R.hashed_features(reads, 4, 256).join(reads.select("read_id", "contig", "label"), "read_id"), "kmer-vectors")
+
+
+def _kmer_forest(s, d):
+    rows = _kmer_rows(s, d)
+    return R.predict_forest(R.train_forest(rows.where("contig % 5 <> 0"), ["features"]), rows, "read_id", "label")
+
+
+def _kmer_folds(s, d):
+    folds = S.species_folds(X.labels(s, d), 3, 0.1, 1, key="contig").select("contig", "fold")
+    return R.forest_by_fold(_kmer_rows(s, d).join(folds, "contig"), ["features"], 3, "read_id", "label")
+
+
 def _route(s, d):
     path, out = scratch(s, "arriving"), scratch(s, "routed")
     I.write_fasta(X.contigs(s, d).where("len > 0"), path, F.concat(F.lit("c"), F.col("contig")))
@@ -140,6 +156,21 @@ def _pooled_stream(s, d):
     return last.select("start", "genome", "last.score", "last.n")
 
 
+def _running_stream(s, d):
+    """Running means as the events arrive in four parts by time; of the first part some come with the third, too late."""
+    events = _T(s, d, "events").selectExpr("cast(ts as timestamp) as ts", "event_type as genome", "value as p", "event_id")
+    first, last = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    part = F.floor((F.unix_micros("ts") - first) * 4 / (last - first + 1)).cast("int")
+    parted = events.withColumn("part", F.when((part == 0) & (F.col("event_id") % 10 == 3), 2).otherwise(part))
+    arriving, out, marks = scratch(s, "running-in"), scratch(s, "running"), scratch(s, "running-marks")
+    for i in range(4):
+        parted.where(F.col("part") == i).drop("part", "event_id").write.mode("append").parquet(arriving)
+        source = s.readStream.schema("ts timestamp, genome string, p double").parquet(arriving)
+        land = lambda df, batch: df.withColumn("part", F.lit(i)).write.mode("append").parquet(out)  # noqa: B023, E731
+        L.start_means(L.running_means(source, "0 seconds", 10**12), land, marks).awaitTermination()
+    return s.read.parquet(out).select("part", "genome", "score", "n")
+
+
 QUERIES = {
     "src_fasta": _fasta_trip,
     "src_fastq": _fastq_trip,
@@ -156,11 +187,15 @@ QUERIES = {
     "score_reads": lambda s, d: _round(_scored(s, d)),
     "score_reads_model": lambda s, d: _round(A.pool_replicates(R.score_reads(X.reads(s, d), _linear_scorer, X.LENGTH, replicates=2))),
     "kmer_labels": lambda s, d: R.label_features(R.kmer_features(X.contigs(s, d).select(F.col("contig").alias("read_id"), "seq"), 3), X.labels(s, d).withColumnRenamed("contig", "read_id"), "read_id"),
+    "kmer_folded": lambda s, d: R.kmer_codes(X.contigs(s, d).select(F.col("contig").alias("read_id"), "seq"), 8, folded=True).select("read_id", R.kmer_text(F.col("code"), 8).alias("kmer"), "n"),
+    "rf_kmer": _kmer_forest,
+    "rf_kmer_folds": _kmer_folds,
     "rf_folds": _folds,
     "kmer_features": lambda s, d: R.kmer_features(X.contigs(s, d).select(F.col("contig").alias("read_id"), "seq"), 3),
     "rf_baseline": _forest,
     "stream_filter": _route,
     "stream_genome": lambda s, d: _round(_pooled_stream(s, d)),
+    "stream_running": lambda s, d: _round(_running_stream(s, d)),
 }
 
 
@@ -187,7 +222,9 @@ SQL = {
     "score_reads": _W("base_counts") + " SELECT read_id, genome, round(1 / (1 + exp(-(-0.2 + " + " + ".join(f"{w} * {b.lower()} / 250" for b, w in WEIGHTS.items()) + "))), 9) AS p FROM base_counts",
     "score_reads_model": _W("base_counts") + " SELECT read_id, round(1 / (1 + exp(-(-0.2 + " + " + ".join(f"{w} * {b.lower()} / 250" for b, w in WEIGHTS.items()) + "))), 9) AS p, 0.0::DOUBLE AS p_std, 2 AS replicates FROM base_counts",
     "kmer_labels": _W("contigs") + ", k AS (SELECT contig AS read_id, substring(seq, i, 3) AS kmer FROM (SELECT contig, seq, unnest(range(1, len - 1)) AS i FROM contigs)) SELECT read_id, kmer, count(*) AS n, any_value(quality) AS label FROM k LEFT JOIN labels ON doc_id = read_id WHERE NOT contains(kmer, 'N') GROUP BY read_id, kmer",
+    "kmer_folded": _W("contigs") + ", k AS (SELECT contig AS read_id, substring(seq, i, 8) AS f FROM (SELECT contig, seq, unnest(range(1, len - 6)) AS i FROM contigs)) SELECT read_id, least(f, translate(reverse(f), 'ACGT', 'TGCA')) AS kmer, count(*) AS n FROM k WHERE NOT contains(f, 'N') GROUP BY ALL",
     "kmer_features": _W("contigs") + ", k AS (SELECT contig AS read_id, substring(seq, i, 3) AS kmer FROM (SELECT contig, seq, unnest(range(1, len - 1)) AS i FROM contigs)) SELECT read_id, kmer, count(*) AS n FROM k WHERE NOT contains(kmer, 'N') GROUP BY ALL",
     "stream_filter": _W("contigs") + f" SELECT contig, CASE WHEN {_G} / len > 0.2 THEN 'pos' ELSE 'neg' END AS call FROM contigs WHERE len > 0",
+    "stream_running": "WITH b AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events), e AS (SELECT event_type AS genome, event_id, value, floor((epoch_us(ts) - lo) * 4 / (hi - lo + 1))::INT AS part FROM events CROSS JOIN b), k AS (SELECT * FROM e WHERE NOT (part = 0 AND event_id % 10 = 3)) SELECT p.part, genome, round(avg(value), 9) AS score, count(value) AS n FROM (SELECT unnest(range(4))::INT AS part) p JOIN k ON k.part <= p.part GROUP BY ALL",
     "stream_genome": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type AS genome, round(avg(value), 9) AS score, count(value) AS n FROM events GROUP BY ALL",
 }

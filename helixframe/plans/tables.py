@@ -115,6 +115,9 @@ QUERIES = {
     "cur_match_names": lambda s, d: C.resolve_candidates(_asm(s, d), "p_brand", C.species_agrees(F.col("species"), F.col("organism")) & C.strains_agree(*map(F.col, ("genome", "strain", "organism", "infraspecific"))), [F.desc("p_retailprice"), "p_partkey"]).select("p_brand", "p_partkey"),
     "cur_duplicates": lambda s, d: C.resolve_duplicates(_asm(s, d), [F.desc("p_retailprice"), "p_partkey"]).select("p_partkey"),
     "tax_ancestor": lambda s, d: C.ancestor_at(_nodes(s, d).select("taxid"), _nodes(s, d), "family"),
+    "tax_merged": lambda s, d: C.ancestor_at(
+        _T(s, d, "part").selectExpr("explode(array(p_partkey, p_partkey + 1000000000)) as taxid"), _nodes(s, d), "family",
+        _T(s, d, "part").where("p_size % 2 = 1").selectExpr("p_partkey + 1000000000 as old", "p_partkey div 3 as new")),
     "tax_resolve": lambda s, d: C.resolve_names(_T(s, d, "part").selectExpr("p_brand as name").distinct(), _cands(s, d)).select("name", "taxid", "tier"),
     "lab_merge": lambda s, d: C.merge_evidence(_evidence(s, d), ["f", "o"]),
     "lab_tiers": lambda s, d: C.label_tiers(_T(s, d, "orders"), [("confirmed", "o_orderstatus = 'F' and o_totalprice > 200000"), ("plant", "o_orderpriority = '5-LOW'"), ("suspected", "o_orderstatus = 'P'")]).select("o_orderkey", "tier"),
@@ -166,6 +169,7 @@ SQL = {
         b AS (SELECT * FROM a QUALIFY bool_or(contains(infra, 'substr.')) OVER (PARTITION BY genome) OR row_number() OVER (PARTITION BY genome ORDER BY p_retailprice DESC, p_partkey) = 1)
         SELECT p_partkey FROM b QUALIFY strain = '' OR bool_or(contains(infra, 'substr.')) OVER (PARTITION BY species, strain) OR row_number() OVER (PARTITION BY species, strain ORDER BY p_retailprice DESC, p_partkey) = 1""",
     "tax_ancestor": f"WITH RECURSIVE {_NODES}, up(taxid, a, depth) AS (SELECT taxid, taxid, 0 FROM nodes UNION ALL SELECT up.taxid, parent, depth + 1 FROM up JOIN nodes n ON n.taxid = up.a WHERE n.parent <> n.taxid), h AS (SELECT up.taxid, arg_min(a, depth) AS at_rank FROM up JOIN nodes n ON n.taxid = a WHERE rank = 'family' AND a <> 0 GROUP BY 1) SELECT nodes.taxid, at_rank FROM nodes LEFT JOIN h ON nodes.taxid = h.taxid",
+    "tax_merged": f"WITH RECURSIVE {_NODES}, up(taxid, a, depth) AS (SELECT taxid, taxid, 0 FROM nodes UNION ALL SELECT up.taxid, parent, depth + 1 FROM up JOIN nodes n ON n.taxid = up.a WHERE n.parent <> n.taxid), h AS (SELECT up.taxid, arg_min(a, depth) AS at_rank FROM up JOIN nodes n ON n.taxid = a WHERE rank = 'family' AND a <> 0 GROUP BY 1), ids AS (SELECT p_partkey AS taxid FROM part UNION ALL SELECT CASE WHEN p_size % 2 = 1 THEN p_partkey // 3 ELSE p_partkey + 1000000000 END FROM part) SELECT ids.taxid, at_rank FROM ids LEFT JOIN h ON ids.taxid = h.taxid",
     "tax_resolve": "WITH c AS (SELECT p_brand AS name, p_partkey AS taxid, CASE WHEN p_size % 3 = 0 THEN 1 WHEN p_size % 5 = 0 THEN 2 ELSE 4 END AS tier FROM part) SELECT name, taxid, tier FROM c QUALIFY tier = min(tier) OVER (PARTITION BY name) AND (tier < 4 OR row_number() OVER (PARTITION BY name ORDER BY tier, taxid) = 1)",
     "lab_merge": f"WITH {_EVID} SELECT species, bool_or(label = 'f') AS f, bool_or(label = 'o') AS o, coalesce(string_agg(source, '; ' ORDER BY seq_no, source) FILTER (label = 'f'), '') AS f_source, coalesce(string_agg(source, '; ' ORDER BY seq_no, source) FILTER (label = 'o'), '') AS o_source FROM ev GROUP BY 1",
     "lab_tiers": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 200000 THEN 'confirmed' WHEN o_orderpriority = '5-LOW' THEN 'plant' WHEN o_orderstatus = 'P' THEN 'suspected' ELSE 'rest' END AS tier FROM orders",
