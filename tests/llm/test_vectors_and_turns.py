@@ -19,6 +19,14 @@ VECTORS = "vec_id long, embedding array<float>, label int, row long, x string"
 TURNS = "conv_id long, turn long, role string, text string, node string"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def many_parts(spark):
+    """Small tables too are spread over several parts."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def key(row):
     return tuple((x is not None, x) for x in row)
 
