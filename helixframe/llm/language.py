@@ -32,10 +32,63 @@ PER_LANGUAGE = 300
 STRENGTH = 5.0
 #: Trigrams of one text overlap; beyond this many its likelihood counts no further.
 EVIDENCE = 200
-_TAGS = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;")
+_MARK = re.compile(rb"(?i)<|&[a-z#0-9]+;")
+_HIDDEN = re.compile(rb"(?i)<(script|style)\b")
+_CLOSING = {name: re.compile(rb"(?i)</%s\s*>" % name) for name in (b"script", b"style")}
+_ROOT = re.compile(rb"(?i)<html")
+_LANG = re.compile(rb"""(?i)(?=\blang\s*=\s*["']?([a-z]{2,3}))""")
 _SPACE = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
 
+def without_tags(body: bytes) -> bytes:
+    """``body`` with a space for each script, style, comment, tag and entity.
+
+    One scan forwards: what closes a mark is searched for from the mark on, and once nothing of a
+    kind is left to close, that kind is not searched for again.  So time is linear in any page.
+    """
+    out, kept, at = [], 0, 0
+    open_ = {b"script", b"style", b"<!--", b"<"}
+
+    def closed(kind: bytes, end: int) -> int:
+        if end < 0:
+            open_.discard(kind)
+        return end
+
+    while mark := _MARK.search(body, at):
+        start, end = mark.span()
+        if end - start == 1:
+            end = -1
+            if (hidden := _HIDDEN.match(body, start)) and (name := hidden[1].lower()) in open_:
+                close = _CLOSING[name].search(body, hidden.end())
+                end = closed(name, close.end() if close else -1)
+            if end < 0 and b"<!--" in open_ and body.startswith(b"<!--", start):
+                end = closed(b"<!--", body.find(b"-->", start + 4))
+                end += 3 if end >= 0 else 0
+            if end < 0 and b"<" in open_:
+                end = closed(b"<", body.find(b">", start + 1)) + 1 or -1
+            if end < 0:
+                at = start + 1
+                continue
+        out.append(body[kept:start])
+        kept = at = end
+    return b" ".join([*out, body[kept:]])
+
+
+def declared_language(body: bytes) -> bytes:
+    """The last ``lang`` within the first ``html`` tag that has one, lowered; empty without any.
+
+    Later openings of a tag that is not closed in between see less of it, so each tag is read once.
+    """
+    at = 0
+    while root := _ROOT.search(body, at):
+        end = body.find(b">", root.end())
+        end = len(body) if end < 0 else end
+        if found := [m[1] for m in _LANG.finditer(body, root.end(), end)]:
+            return found[-1].lower()
+        at = end
+    return b""
+
+
 def grams(body: bytes) -> np.ndarray:
     """Buckets of the trigrams of a text's lowered letters."""
     letters = b" " + _SPACE.sub(b" ", body.lower()).strip() + b" "
@@ -76,28 +129,28 @@ def likelihoods(pages: DataFrame, languages: list[str], model: np.ndarray) -> Da
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]*)", 1), F.lit("")))
-    declared = F.lower(F.coalesce(F.regexp_extract("html", r"""(?is)<html[^>]*\blang\s*=\s*["']?([a-zA-Z]{2,3})""", 1), F.lit("")))
     rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.element_at(F.split(host, r"\."), -1).alias("suffix"), declared.alias("declared"),
+        F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.element_at(F.split(host, r"\."), -1).alias("suffix"),
         F.coalesce("html", F.lit("")).cast("binary").alias("body"),
     )
-    names = ["page_id", "host", "suffix", "declared"]
+    names = ["page_id", "host", "suffix"]
     doubles = pa.list_(pa.float64())
-    schema = pa.schema([("page_id", pa.int64()), *((n, pa.string()) for n in names[1:]), ("ll", doubles), ("soft", doubles)])
+    schema = pa.schema([("page_id", pa.int64()), *((n, pa.string()) for n in [*names[1:], "declared"]), ("ll", doubles), ("soft", doubles)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = shared.value
         for batch in batches:
-            lls, softs = [], []
-            for body in as_bytes(batch.column("body")):
-                ids, n = np.unique(grams(_TAGS.sub(b" ", body.tobytes())), return_counts=True)
+            said, lls, softs = [], [], []
+            for body in map(np.ndarray.tobytes, as_bytes(batch.column("body"))):
+                said.append(declared_language(body).decode())
+                ids, n = np.unique(grams(without_tags(body)), return_counts=True)
                 total = n.sum()
                 ll = logs[:, ids] @ n * (min(1.0, EVIDENCE / total) if total else 0.0)
                 best = ll.max(initial=-np.inf)
                 raised = np.exp(ll - best)
                 lls.append((ll - best).tolist())
                 softs.append((raised / raised.sum()).tolist())
-            yield batch_of(schema, [*(batch.column(c) for c in names), lls, softs])
+            yield batch_of(schema, [*(batch.column(c) for c in names), said, lls, softs])
 
     return rows.mapInArrow(run, "page_id long, host string, suffix string, declared string, ll array<double>, soft array<double>")
 
