@@ -36,8 +36,9 @@ def subreads(df: DataFrame, ks: list[int], seq: str = "seq") -> DataFrame:
 
 
 def random_subread(df: DataFrame, lo: int, hi: int, seed: int = 0, seq: str = "seq") -> DataFrame:
-    """A prefix of uniform length in ``[lo, hi]``, by a hash of read_id and so repeatable."""
-    k = F.lit(lo) + F.pmod(F.xxhash64("read_id", F.lit(seed)), F.lit(hi - lo + 1)).cast("int")
+    """A prefix of uniform length in ``[lo, hi]``, by an md5 of read_id and seed and so repeatable."""
+    drawn = F.conv(F.substring(F.md5(F.concat(F.col("read_id").cast("string"), F.lit(f"|{seed}"))), 1, 8), 16, 10).cast("long")
+    k = (F.lit(lo) + drawn % (hi - lo + 1)).cast("int")
     return df.withColumn("k", k).withColumn(seq, F.expr(f"left({seq}, k)"))
 
 

@@ -98,6 +98,31 @@ def extend_links(links: DataFrame, better: DataFrame, key: str, name: str, order
     return out.withColumn("assembly", F.coalesce("__new", "assembly")).drop("__new")
 
 
+def extend_by_names(selected: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``link, assembly, linked_by_project, linked_by_organism``: better assemblies for selected links.
+
+    ``selected (link, project, species, strain, organism, infraspecific)`` and ``candidates
+    (assembly, project, organism, infraspecific)``.  All candidates of the same organism name are
+    found; those of a project of the link's, or found by strain as well, are flagged.  Candidates
+    whose organism is a link's species and strain come besides, unless found by organism for any
+    link, if their infraspecific name lies within the link's (case, dashes and spaces aside);
+    sub-strains (``substr``) only if the two names are the same.
+    """
+    plain = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"strain=|-|\s+", ""))
+    theirs = candidates.select("assembly", "organism", F.col("project").alias("__p"), F.col("infraspecific").alias("__i"))
+    by_organism = selected.join(theirs, "organism").select("link", "assembly", F.coalesce(F.col("project") == F.col("__p"), F.lit(False)).alias("__same"))
+    strained = selected.where(F.coalesce(F.col("strain"), F.lit("")) != "").withColumn("organism", F.trim(F.concat_ws(" ", "species", "strain")))
+    by_strain = strained.join(theirs, "organism")
+    seen = by_strain.select("assembly").distinct().withColumn("__seen", F.lit(True))
+    first = by_organism.join(seen, "assembly", "left").select(
+        "link", "assembly", (F.col("__same") | F.coalesce("__seen", F.lit(False))).alias("linked_by_project"), F.lit(True).alias("linked_by_organism")
+    )
+    within = (F.coalesce(F.col("__i"), F.lit("")) != "") & plain(F.col("infraspecific")).contains(plain(F.col("__i")))
+    whole = ~plain(F.col("__i")).contains("substr") | (F.col("__i") == F.col("infraspecific"))
+    novel = by_strain.where(within & whole).join(by_organism.select("assembly"), "assembly", "left_anti")
+    return first.unionByName(novel.select("link", "assembly", F.lit(True).alias("linked_by_project"), F.lit(False).alias("linked_by_organism")))
+
+
 def ancestors(nodes: DataFrame) -> DataFrame:
     """``taxid, ancestor, depth`` for every node, itself included, by doubling the climbed path.
 

@@ -123,23 +123,43 @@ _MCC = (
 )
 
 
+def _class_cells(df: DataFrame, conf: float | None = None) -> DataFrame:
+    """``class, tp, fp, fn, rows, called`` of each class; rows whose best score is not above ``conf`` are not called."""
+    best = F.array_position("p", F.array_max("p")).cast("int") - 1
+    held = F.lit(True) if conf is None else F.array_max("p") > conf
+    called = df.select("label", F.when(held, best).alias("best"), F.explode(F.sequence(F.lit(0), F.size("p") - 1)).alias("class"))
+    mine, true = F.col("best") == F.col("class"), F.col("label") == F.col("class")
+    return called.groupBy("class").agg(
+        F.count_if(mine & true).alias("tp"), F.count_if(mine & ~true).alias("fp"), F.count_if(~mine & true).alias("fn"),
+        F.count("*").alias("rows"), F.count("best").alias("called"),
+    )
+
+
 def performance_multi(df: DataFrame, key: str) -> DataFrame:
     """Macro means of one-vs-rest precision, recall, AUROC and average precision, and multiclass MCC."""
-    best = df.withColumn("best", F.array_position("p", F.array_max("p")).cast("int") - 1)
-    called = best.select("label", "best", F.explode(F.sequence(F.lit(0), F.size("p") - 1)).alias("class"))
-    cells = called.groupBy("class").agg(
-        F.count_if((F.col("best") == F.col("class")) & (F.col("label") == F.col("class"))).alias("tp"),
-        F.count_if((F.col("best") == F.col("class")) & (F.col("label") != F.col("class"))).alias("fp"),
-        F.count_if((F.col("best") != F.col("class")) & (F.col("label") == F.col("class"))).alias("fn"),
-    )
-    rest = one_vs_rest(df, key)
-    per_class = cells.join(areas(rest, ["class"]), "class")
+    per_class = _class_cells(df).join(areas(one_vs_rest(df, key), ["class"]), "class")
     return per_class.agg(
         F.avg(F.expr("coalesce(try_divide(tp, tp + fp), 0)")).alias("precision"), F.avg(F.expr("coalesce(try_divide(tp, tp + fn), 0)")).alias("recall"),
         F.avg("auroc").alias("auroc"), F.avg("aupr").alias("aupr"), F.sum("tp").alias("correct"), F.expr(_MCC).alias("mcc"),
     )
 
 
+def performance_target(df: DataFrame, key: str, target: int, conf: float | None = None) -> DataFrame:
+    """One row for one class of score arrays: its precision, recall and average precision.
+
+    Rows whose best score is not above ``conf`` are undefined: they are left out of all but the
+    average precision, which ranks every row, and ``prediction_rate``, the share that is defined.
+    ``acc`` and ``mcc`` are those of all classes over the defined rows.
+    """
+    cells = _class_cells(df, conf)
+    every = cells.agg(F.expr("try_divide(sum(tp), max(called))").alias("acc"), F.expr(_MCC).alias("mcc"), F.expr("try_divide(max(called), max(rows))").alias("prediction_rate"))
+    own = cells.where(F.col("class") == target).select(
+        "class", "tp", "fp", "fn", F.expr("coalesce(try_divide(tp, tp + fp), 0)").alias("precision"), F.expr("coalesce(try_divide(tp, tp + fn), 0)").alias("recall")
+    )
+    rest = one_vs_rest(df, key).where(F.col("class") == target)
+    return own.join(average_precision(rest, ["class"]), "class", "left").join(F.broadcast(every))
+
+
 def mid_rank(by: Sequence[str], value: str) -> Column:
     """Mean rank of tied values within a group."""
     w = Window.partitionBy(*by).orderBy(value)

@@ -189,6 +189,16 @@ def best_match(found: DataFrame) -> DataFrame:
     return found.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
+def best_by_measure(found: DataFrame) -> DataFrame:
+    """``a, b, measure, strand, offset, cells, r, p``: each measure's own best offset and strand."""
+    out = None
+    for measure in ("pearson", "spearman"):
+        own = found.select("a", "b", "strand", "offset", "cells", F.lit(measure).alias("measure"), F.col(measure).alias("r"))
+        best = best_match(correlation_p(own, "r"))
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
 def rank_filters(contribs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per filter: means with and without zeros, range, and how well a positive score tells class 1.
 

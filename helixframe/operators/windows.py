@@ -59,6 +59,19 @@ def threshold_cross(cells: DataFrame, by: Sequence[str], x: str, y: str, value:
     return cells.withColumns({"cross_x": up & ~F.coalesce(last(y, x), F.lit(False)), "cross_y": up & ~F.coalesce(last(x, y), F.lit(False))})
 
 
+def threshold_lines(cells: DataFrame, by: Sequence[str], x: str, y: str, value: str, own: Column) -> DataFrame:
+    """Cells where a value passes its run's own threshold, up or down, against the cell before on either axis.
+
+    The threshold of a run (``by``) is the value of the cell that ``own`` marks (the greatest, if it
+    marks several); a cell without a known cell before it, and a run without a threshold, cross nothing.
+    """
+    marked = cells.groupBy(*by).agg(F.max(F.when(own, F.col(value))).alias("threshold"))
+    held = cells.join(marked, list(by)).withColumn("__up", F.col(value) >= F.col("threshold"))
+    last = lambda along, across: F.lag("__up").over(Window.partitionBy(*by, across).orderBy(along))
+    crossed = {f"cross_{n}": F.coalesce(F.col("__up") != last(a, b), F.lit(False)) for n, a, b in (("x", x, y), ("y", y, x))}
+    return held.withColumns(crossed).drop("__up")
+
+
 def paired_gain(runs: DataFrame, by: Sequence[str], kind: str, paired: str, single: str, metric: str) -> DataFrame:
     pick = lambda v: F.max(F.when(F.col(kind) == v, F.col(metric)))
     return runs.groupBy(*by).agg((pick(paired) - pick(single)).alias("gain"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import genome as G
 from ..operators import joins as J
 from ..operators import motif as M
+from ..sources.files import IUPAC
 from . import fixtures as X
 from .measures import _round
 from .sequences import _gc
@@ -111,7 +112,6 @@ def _pwm(s, d):
 
 def _weights(s, d):
     rows = [(f, i, b, float(b == x) * (i + 1)) for f, m in MOTIFS.items() for i, x in enumerate(m) for b in "ACGT"]
-    parts = X.table(s, d, "part").where("p_partkey < 1").limit(1)  # noqa: F841
     return s.createDataFrame(rows, "filter_id string, pos int, base string, w double")
 
 
@@ -120,6 +120,21 @@ def _line_weights(s, d):
     return X.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("filter_id"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("base")).agg(F.avg("l_discount").alias("w"))
 
 
+def _wide_seqs(s, d):
+    """Sub-sequences over all fifteen letters, with weights, from part names."""
+    return X.table(s, d, "part").select(F.col("p_size").alias("filter_id"), F.substring(F.translate(F.replace("p_name", F.lit(" ")), _ABC, WIDE), 1, M_LEN).alias("motif"), (F.col("p_retailprice") - 1000).alias("w"))
+
+
+_ABC = "abcdefghijklmnopqrstuvwxyz"
+#: Which of the fifteen letters each small letter stands for.
+WIDE = (IUPAC * 2)[:26]
+_WIDE = f"sq AS (SELECT p_size AS filter_id, left(translate(replace(p_name, ' ', ''), '{_ABC}', '{WIDE}'), {M_LEN}) AS motif, p_retailprice - 1000 AS w FROM part), mm AS (SELECT filter_id, (i - 1)::INT AS pos, substring(motif, i, 1) AS base, count(*)::DOUBLE AS cnt, sum(abs(w)) AS weighed FROM (SELECT *, unnest(range(1, length(motif) + 1)) AS i FROM sq) GROUP BY ALL)"
+
+
+def _logodds(s, d):
+    return _pwm(s, d).select("filter_id", "pos", "base", F.round("logodds", 9).alias("prob"))
+
+
 def _contribs(s, d):
     return X.table(s, d, "lineitem").groupBy(F.col("l_linenumber").alias("filter_id"), F.col("l_orderkey").alias("read_id")).agg(F.max(F.round(F.col("l_discount") - F.col("l_tax"), 4)).alias("score"))
 
@@ -165,7 +180,7 @@ QUERIES = {
     "hit_project": lambda s, d: _placed(s, d).select("contig", "filter_id", "strand", "start", "end"),
     "hit_dedup": lambda s, d: G.dedup_hits(_placed(s, d)),
     "enr_counts": _enriched,
-    "enr_fisher": lambda s, d: G.fisher(_enriched(s, d)).select("filter_id", "key", *(F.expr(f"cast(format_string('%.6e', {c}) as double)").alias(c) for c in ("p", "p_greater", "p_less")), F.round("odds_ratio", 9).alias("odds_ratio")),
+    "enr_fisher": lambda s, d: G.fisher(_enriched(s, d)).select("filter_id", "key", *(F.expr(f"cast(format_string('%.3e', {c}) as double)").alias(c) for c in ("p", "p_greater", "p_less")), F.round("odds_ratio", 9).alias("odds_ratio")),
     "enr_bh": lambda s, d: G.bh_adjust(X.table(s, d, "lineitem").selectExpr("l_linenumber as filter_id", "l_orderkey", "l_partkey", "round(l_extendedprice / 200000, 6) as p"), ["filter_id"]).groupBy("filter_id").agg(F.count_if(F.col("q") < 0.05).alias("n"), F.round(F.sum("q"), 6).alias("total")),
     "mot_scan": lambda s, d: _hits(s, d),
     "mot_center": lambda s, d: _round(M.center_weights(_line_weights(s, d), _line_weights(s, d).select("filter_id").distinct().withColumn("bias", F.lit(0.5)))[1]),
@@ -176,6 +191,8 @@ QUERIES = {
     "mot_ic": lambda s, d: _round(M.motif_ic(_pwm(s, d))),
     "mot_compare": lambda s, d: _round(M.compare_motifs(_pwm(s, d), _pwm(s, d), 3, 5)),
     "mot_best": lambda s, d: _round(M.best_match(M.correlation_p(M.compare_both_strands(_pwm(s, d), _pwm(s, d), 3, 5))).select("a", "b", "strand", "offset", "cells", "pearson", "p")),
+    "mot_best_measures": lambda s, d: _round(M.best_by_measure(M.compare_both_strands(_logodds(s, d), _logodds(s, d), 3, 5))),
+    "mot_counts_wide": lambda s, d: _round(M.motif_matrix(_wide_seqs(s, d)).join(M.motif_matrix(_wide_seqs(s, d), "w").withColumnRenamed("cnt", "weighed"), ["filter_id", "pos", "base"]).withColumn("weighed", F.round("weighed", 4))),
     "mot_quartiles": lambda s, d: _round(M.score_quartiles(_cells(s, d))),
     "mot_nt_scaled": lambda s, d: _round(M.nt_logo_table(_nuc(s, d), BG, limits=(0.0, 0.5))),
     "feat_names_ext": lambda s, d: G.feature_keys(_named_features(s, d), True),
@@ -227,6 +244,19 @@ SQL = {
         r AS (SELECT a, b, strand, "offset", count(*) AS cells, corr(pa, pb) AS r FROM x GROUP BY ALL HAVING count(*) >= 20),
         t AS (SELECT *, greatest(1 - abs(r) * list_sum(list_transform(range(0, (cells - 2) // 2), lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1)) / pow(4, k) * pow(greatest(1 - r * r, 0), k))), 0) AS p FROM r)
         SELECT a, b, strand, "offset", cells, round(r, 9) AS pearson, round(p, 9) AS p FROM t QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY round(p, 9), abs("offset"), "offset", strand) = 1""",
+    "mot_best_measures": _PWM + """, lo AS (SELECT filter_id, pos, base, round(log2(prob / bg), 9) AS prob FROM pwm), w AS (SELECT '+' AS strand, * FROM lo UNION ALL SELECT '-', filter_id, max(pos) OVER (PARTITION BY filter_id) - pos, translate(base, 'ACGT', 'TGCA'), prob FROM lo),
+        x AS (SELECT p.filter_id AS a, q.filter_id AS b, strand, o AS "offset", p.prob AS pa, q.prob AS pb FROM w p CROSS JOIN (SELECT unnest(range(-3, 4))::INT AS o) JOIN lo q ON q.pos = p.pos + o AND q.base = p.base),
+        k AS (SELECT *, rank() OVER (PARTITION BY a, b, strand, "offset" ORDER BY pa) + (count(*) OVER (PARTITION BY a, b, strand, "offset", pa) - 1) / 2 AS ra, rank() OVER (PARTITION BY a, b, strand, "offset" ORDER BY pb) + (count(*) OVER (PARTITION BY a, b, strand, "offset", pb) - 1) / 2 AS rb FROM x),
+        c AS (SELECT a, b, strand, "offset", count(*) AS cells, corr(pa, pb) AS pearson, corr(ra, rb) AS spearman FROM k GROUP BY ALL HAVING count(*) >= 20),
+        r AS (SELECT a, b, strand, "offset", cells, unnest(['pearson', 'spearman']) AS measure, unnest([pearson, spearman]) AS r FROM c),
+        t AS (SELECT *, greatest(1 - abs(r) * list_sum(list_transform(range(0, (cells - 2) // 2), lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1)) / pow(4, k) * pow(greatest(1 - r * r, 0), k))), 0) AS p FROM r)
+        SELECT a, b, measure, strand, "offset", cells, round(r, 9) AS r, round(p, 9) AS p FROM t QUALIFY row_number() OVER (PARTITION BY a, b, measure ORDER BY round(p, 9), abs("offset"), "offset", strand) = 1""",
+    "mot_counts_wide": f"WITH {_WIDE} SELECT filter_id, pos, base, cnt, round(weighed, 4) AS weighed FROM mm",
+    "enr_fisher": _ENR + """, lg AS (SELECT *, a + b AS rw, a + c AS cl, a + b + c + d AS n FROM enr),
+        tm AS (SELECT filter_id, key, a AS seen, x, exp(lgamma(rw + 1) - lgamma(x + 1) - lgamma(rw - x + 1) + lgamma(n - rw + 1) - lgamma(cl - x + 1) - lgamma(n - rw - cl + x + 1) - lgamma(n + 1) + lgamma(cl + 1) + lgamma(n - cl + 1)) AS p FROM (SELECT *, unnest(range(greatest(0, rw + cl - n)::BIGINT, least(rw, cl)::BIGINT + 1)) AS x FROM lg)),
+        ob AS (SELECT filter_id, key, p AS observed FROM tm WHERE x = seen),
+        su AS (SELECT filter_id, key, least(1, sum(p) FILTER (p <= observed * (1 + 1e-7))) AS p, least(1, sum(p) FILTER (x >= seen)) AS p_greater, least(1, sum(p) FILTER (x <= seen)) AS p_less FROM tm JOIN ob USING (filter_id, key) GROUP BY ALL)
+        SELECT filter_id, key, printf('%.3e', p)::DOUBLE AS p, printf('%.3e', p_greater)::DOUBLE AS p_greater, printf('%.3e', p_less)::DOUBLE AS p_less, round(a::DOUBLE * d / nullif(b::DOUBLE * c, 0), 9) AS odds_ratio FROM enr JOIN su USING (filter_id, key)""",
     "mot_quartiles": _CON + " SELECT filter_id, cell, " + ", ".join(f"round(quantile_cont(score, {q}), 9) AS q{int(q * 100)}" for q in (0.25, 0.5, 0.75)) + " FROM cells GROUP BY ALL",
     "mot_nt_scaled": _SEQS + f", {_BG}, e AS (SELECT filter_id, (i - 1)::INT AS pos, substring(motif, i, 1) AS base, activation / 8 AS s FROM (SELECT *, unnest(range(1, 9)) AS i FROM seqs)), m AS (SELECT filter_id, pos, base, sum(s) / (count(*) + any_value(bg)) AS mean FROM e JOIN bg USING (base) GROUP BY ALL) SELECT filter_id, pos, base, round(mean, 9) AS mean, floor(least(greatest(mean / 0.5 * 255, 0), 255))::INT AS level FROM m",
     "feat_names_ext": _W("features") + " SELECT DISTINCT genome, unnest(CASE type WHEN 'gene' THEN [coalesce(CASE WHEN contig % 3 <> 0 THEN gene END, CASE WHEN contig % 2 = 0 THEN 'N' || (contig % 11) END, id)] WHEN 'CDS' THEN ['CDS', product] ELSE [product] END) AS key FROM features",

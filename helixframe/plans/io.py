@@ -15,7 +15,7 @@ from ..operators.store import scratch, stored
 from ..sources import files as I
 from ..streaming import live as L
 from . import fixtures as X
-from .genomes import _MM, _seqs
+from .genomes import _MM, _WIDE, _seqs, _wide_seqs
 from .measures import _round
 
 _T, _W = X.table, X.with_tables
@@ -73,6 +73,18 @@ def _transfac_trip(s, d):
     return s.read.text(path).withColumnRenamed("value", "line")
 
 
+def _wide_transfac_trip(s, d):
+    path = scratch(s, "transfac")
+    I.write_transfac(M.motif_matrix(_wide_seqs(s, d)), path, I.IUPAC)
+    return s.read.text(path).withColumnRenamed("value", "line")
+
+
+def _transfac_sql(letters: str) -> str:
+    heads = ", ".join(f"'{b}'" for b in letters)
+    cells = ", ".join(f"printf('%.2f', coalesce(max(cnt) FILTER (base = '{b}'), 0)::DOUBLE)" for b in letters)
+    return f", f AS (SELECT DISTINCT filter_id AS f FROM mm) SELECT 'AC' || chr(9) || f AS line FROM f UNION ALL SELECT 'ID' || chr(9) || f FROM f UNION ALL SELECT unnest(['XX', 'XX', 'XX', '//', concat_ws(chr(9), 'PO', {heads})]) FROM f UNION ALL SELECT concat_ws(chr(9), printf('%02d', pos + 1), {cells}) FROM mm GROUP BY filter_id, pos"
+
+
 def _bed_trip(s, d):
     path = scratch(s, "bed")
     I.write_bed(X.features(s, d), path, ["contig", "start", "end", "type"])
@@ -184,6 +196,7 @@ QUERIES = {
     "snk_fasta": _scored_fasta_trip,
     "snk_bed": _bed_trip,
     "snk_transfac": _transfac_trip,
+    "snk_transfac_wide": _wide_transfac_trip,
     "score_reads": lambda s, d: _round(_scored(s, d)),
     "score_reads_model": lambda s, d: _round(A.pool_replicates(R.score_reads(X.reads(s, d), _linear_scorer, X.LENGTH, replicates=2))),
     "kmer_labels": lambda s, d: R.label_features(R.kmer_features(X.contigs(s, d).select(F.col("contig").alias("read_id"), "seq"), 3), X.labels(s, d).withColumnRenamed("contig", "read_id"), "read_id"),
@@ -217,6 +230,7 @@ SQL = {
     "src_fasta": _W("contigs") + " SELECT contig, len, md5(seq) AS digest FROM contigs WHERE len > 0",
     "snk_fasta": "SELECT vec_id || ' | pp=' || array_to_string(list_transform(embedding, lambda x: printf('%.2f', round_even(x::DOUBLE, 2) + 0.0)), '; ') AS title, translate(md5(vec_id::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM embeddings",
     "snk_transfac": _MM + ", f AS (SELECT DISTINCT filter_id AS f FROM mm) SELECT 'AC' || chr(9) || f AS line FROM f UNION ALL SELECT 'ID' || chr(9) || f FROM f UNION ALL SELECT unnest(['XX', 'XX', 'XX', '//', concat_ws(chr(9), 'PO', 'A', 'C', 'G', 'T')]) FROM f UNION ALL SELECT concat_ws(chr(9), printf('%02d', pos + 1), " + ", ".join(f"printf('%.2f', coalesce(max(cnt) FILTER (base = '{b}'), 0)::DOUBLE)" for b in "ACGT") + ") FROM mm GROUP BY filter_id, pos",
+    "snk_transfac_wide": f"WITH {_WIDE}" + _transfac_sql(I.IUPAC),
     "snk_slices": _W("reads") + " SELECT read_id, (ntile(7) OVER (ORDER BY read_id) - 1)::INT AS slice FROM reads",
     "snk_bed": _W("features") + ' SELECT contig, start, "end", type FROM features',
     "score_reads": _W("base_counts") + " SELECT read_id, genome, round(1 / (1 + exp(-(-0.2 + " + " + ".join(f"{w} * {b.lower()} / 250" for b, w in WEIGHTS.items()) + "))), 9) AS p FROM base_counts",

@@ -53,6 +53,8 @@ QUERIES = {
     "agg_metrics": lambda s, d: _round(M.rates(M.confusion(X.labelled(s, d), BY, F.col("p") > T)).drop("undef_pos", "undef_neg")),
     "agg_perf": lambda s, d: _round(M.performance(X.labelled(s, d), ["model"], T, CONF)),
     "agg_perf_multi": lambda s, d: _round(M.performance_multi(_softmaxed(s, d).withColumn("p", F.transform("p", lambda x: F.round(x, 9))), "vec_id")),
+    "agg_perf_target": lambda s, d: _round(M.performance_target(_softmaxed(s, d).withColumn("p", F.transform("p", lambda x: F.round(x, 9))), "vec_id", 3, 0.5)),
+    "agg_gene_share": lambda s, d: _round(A.short_contig_share(X.contigs(s, d), 2000)),
     "m_logloss": lambda s, d: _round(M.log_loss(X.labelled(s, d), BY)),
     "m_auroc": lambda s, d: _round(M.auroc(X.labelled(s, d), BY)),
     "m_aupr": lambda s, d: _round(M.average_precision(X.labelled(s, d), BY)),
@@ -109,6 +111,10 @@ SQL = {
     "agg_perf_multi": f"WITH {_SOFT}, r AS (SELECT vec_id, label AS truth, list_position(list_transform(p, lambda x: round(x, 9)), list_max(list_transform(p, lambda x: round(x, 9)))) - 1 AS best, unnest(range(10)) AS class, unnest(list_transform(p, lambda x: round(x, 9))) AS p FROM soft), ovr AS (SELECT class, p, (truth = class)::INT AS label FROM r)"
     + _CURVE.format(by="class", src="ovr")
     + ", cells AS (SELECT class, count(*) FILTER (best = class AND truth = class) AS tp, count(*) FILTER (best = class AND truth <> class) AS fp, count(*) FILTER (best <> class AND truth = class) AS fn FROM r GROUP BY 1) SELECT round(avg(coalesce(tp / nullif(tp + fp, 0), 0)), 9) AS precision, round(avg(coalesce(tp / nullif(tp + fn, 0), 0)), 9) AS recall, round(avg(auroc), 9) AS auroc, round(avg(aupr), 9) AS aupr, sum(tp)::BIGINT AS correct, round((sum(tp) * sum(tp + fn)::DOUBLE - sum((tp + fp)::DOUBLE * (tp + fn))) / nullif(sqrt((pow(sum(tp + fn), 2) - sum(pow(tp + fp, 2))) * (pow(sum(tp + fn), 2) - sum(pow(tp + fn, 2)))), 0), 9) AS mcc FROM cells JOIN au USING (class)",
+    "agg_perf_target": f"WITH {_SOFT}, r AS (SELECT vec_id, label AS truth, CASE WHEN list_max(list_transform(p, lambda x: round(x, 9))) > 0.5 THEN list_position(list_transform(p, lambda x: round(x, 9)), list_max(list_transform(p, lambda x: round(x, 9)))) - 1 END AS best, unnest(range(10)) AS class, unnest(list_transform(p, lambda x: round(x, 9))) AS p FROM soft), ovr AS (SELECT class, p, (truth = class)::INT AS label FROM r WHERE class = 3)"
+    + _CURVE.format(by="class", src="ovr")
+    + ", cells AS (SELECT class, count(*) FILTER (best = class AND truth = class) AS tp, count(*) FILTER (best = class AND truth <> class) AS fp, count(*) FILTER (best <> class AND truth = class) AS fn, count(*) AS n, count(best) AS called FROM r GROUP BY 1), ev AS (SELECT sum(tp) / max(called) AS acc, (sum(tp) * sum(tp + fn)::DOUBLE - sum((tp + fp)::DOUBLE * (tp + fn))) / nullif(sqrt((pow(sum(tp + fn), 2) - sum(pow(tp + fp, 2))) * (pow(sum(tp + fn), 2) - sum(pow(tp + fn, 2)))), 0) AS mcc, max(called) / max(n) AS prediction_rate FROM cells) SELECT class::INT AS class, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall, round(aupr, 9) AS aupr, round(acc, 9) AS acc, round(mcc, 9) AS mcc, round(prediction_rate, 9) AS prediction_rate FROM cells JOIN au USING (class) CROSS JOIN ev WHERE class = 3",
+    "agg_gene_share": _W("contigs") + " SELECT genome, round(sum(CASE WHEN len < 2000 THEN len ELSE 0 END) / nullif(sum(len), 0), 9) AS share FROM contigs GROUP BY 1",
     "m_logloss": _W("labelled") + f" SELECT model, genome, round({_LOSS}, 9) AS log_loss FROM labelled WHERE p IS NOT NULL GROUP BY ALL",
     "m_auroc": _curve("model, genome") + " SELECT model, genome, round(auroc, 9) AS auroc FROM au",
     "m_aupr": _curve("model, genome") + " SELECT model, genome, round(aupr, 9) AS aupr FROM au",

@@ -77,6 +77,7 @@ QUERIES = {
         _reps(s, d).groupBy("read_id").agg(F.avg("p").alias("p")).select("read_id", C.classify(F.col("p"), 0.2).alias("call")),
         _reps(s, d).groupBy("read_id").agg(F.round(F.stddev_pop("p"), 9).alias("p_std"), F.count("*").alias("replicates")).where("replicates > 1").drop("replicates"),
     ),
+    "jn_zip_check": lambda s, d: C.unmatched(X.reads(s, d).select("read_id"), _pairs(s, d)[1]),
     "jn_zip": lambda s, d: C.attach_scores(X.reads(s, d).select("read_id", "genome"), _gc(s, d).select("read_id", "p")),
 }
 
@@ -118,5 +119,7 @@ SQL = {
     "cls_route": f"WITH {_SOFT} SELECT label, CASE WHEN list_max(p) <= 0.5 THEN 'undefined' WHEN list_position(p, list_max(p)) - 1 IN (1, 3, 5) THEN 'positive' ELSE 'negative' END AS route, count(*) AS n FROM soft GROUP BY ALL",
     "cls_pair": _GC + f", m AS (SELECT a.read_id, (a.p + b.p) / 2 AS p FROM gc a JOIN gc b ON a.read_id = b.read_id - 1) SELECT read_id, mate, round(p, 9) AS p, {_call('t', True)} AS call FROM m CROSS JOIN (SELECT unnest([1, 2]) AS mate)",
     "cls_uncert": "WITH r AS (SELECT user_id AS read_id, value / 491.0::DOUBLE AS p FROM events), m AS (SELECT read_id, avg(p) AS p, round(stddev_pop(p), 9) AS sd, count(*) AS n FROM r GROUP BY 1) SELECT read_id, CASE WHEN p > 0.2 THEN 'pos' WHEN p <= 0.2 THEN 'neg' ELSE 'undef' END AS call, CASE WHEN n > 1 THEN sd END AS p_std FROM m",
+    "jn_zip_check": _GC + ", m AS (SELECT read_id - 1 AS read_id FROM gc) SELECT read_id, 'score' AS missing FROM reads WHERE read_id NOT IN (SELECT read_id FROM m) UNION ALL SELECT read_id, 'read' FROM m WHERE read_id NOT IN (SELECT read_id FROM reads)",
+    "seq_subread_rand": _READS + " SELECT read_id, k, left(seq, k) AS seq FROM (SELECT read_id, seq, (25 + ('0x' || left(md5(read_id || '|1'), 8))::BIGINT % 226)::INT AS k FROM reads)",
     "jn_zip": _GC + " SELECT r.read_id, genome, p FROM reads r JOIN gc USING (read_id)",
 }

@@ -65,6 +65,31 @@ _ASM = """asm AS (SELECT p_partkey, p_brand, p_retailprice, string_split(p_name,
  ok AS (SELECT *, contains(lower(organism), lower(species)) AND ((i <> '' AND (contains(g, i) OR contains(g, o))) OR (s <> '' AND (contains(i, s) OR contains(o, s)))) AS ok FROM pl)"""
 
 
+def _selected(s, d):
+    """Links of every third part, whose strain may name other parts' organism."""
+    return _T(s, d, "part").where("p_partkey % 3 = 0").selectExpr(
+        "p_partkey as link", "p_partkey % 11 as project", "p_brand as species", "if(p_size % 4 = 0, '', cast(p_size % 9 as string)) as strain",
+        "concat(p_brand, ' ', p_size % 5) as organism", "concat('strain=', p_partkey % 10, ' ', p_size % 4, '-A') as infraspecific",
+    )
+
+
+def _candidates(s, d):
+    return _T(s, d, "part").selectExpr(
+        "p_partkey as assembly", "p_partkey % 7 as project", "concat(p_brand, ' ', p_size % 13) as organism",
+        "case when p_partkey % 6 = 0 then '' when p_partkey % 5 = 0 then 'strain=substr. 1' else concat('strain=', p_size % 4, 'a') end as infraspecific",
+    )
+
+
+_LINKS = """sel AS (SELECT p_partkey AS link, p_partkey % 11 AS project, p_brand AS species, CASE WHEN p_size % 4 = 0 THEN '' ELSE (p_size % 9)::VARCHAR END AS strain, p_brand || ' ' || (p_size % 5) AS organism, 'strain=' || (p_partkey % 10) || ' ' || (p_size % 4) || '-A' AS infra FROM part WHERE p_partkey % 3 = 0),
+ cand AS (SELECT p_partkey AS assembly, p_partkey % 7 AS project, p_brand || ' ' || (p_size % 13) AS organism, CASE WHEN p_partkey % 6 = 0 THEN '' WHEN p_partkey % 5 = 0 THEN 'strain=substr. 1' ELSE 'strain=' || (p_size % 4) || 'a' END AS infra FROM part),
+ bo AS (SELECT link, assembly, s.project = c.project AS same FROM sel s JOIN cand c ON s.organism = c.organism), bs AS (SELECT link, assembly, s.infra AS ours, c.infra AS theirs FROM sel s JOIN cand c ON s.strain <> '' AND trim(s.species || ' ' || s.strain) = c.organism)"""
+_PLAIN = r"lower(regexp_replace({c}, 'strain=|-|\s+', '', 'g'))"
+
+
+def _cells(s, d):
+    return _round(_runs(s, d)).groupBy("genome", "model", "length").agg(F.max("acc").alias("v"))
+
+
 def _events(s, d):
     return _T(s, d, "orders").selectExpr("o_orderkey as acc", "o_custkey as species", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_totalprice")
 
@@ -112,6 +137,8 @@ QUERIES = {
     "cur_match": lambda s, d: C.resolve_candidates(_events(s, d), "species", F.expr("o_orderstatus = 'F'"), [F.desc("o_orderdate"), "acc"]).select("species", "acc"),
     "cur_extend": lambda s, d: C.extend_links(
         _events(s, d).selectExpr("acc", "species", "acc as assembly"), _events(s, d).where("o_orderstatus = 'P'").selectExpr("species", "acc as assembly", "o_totalprice"), "acc", "species", [F.desc("o_totalprice"), "assembly"]).select("acc", "species", "assembly", "extended"),
+    "cur_extend_strain": lambda s, d: C.extend_by_names(_selected(s, d), _candidates(s, d)),
+    "win_lag_own": lambda s, d: W.threshold_lines(_cells(s, d), ["genome"], "model", "length", "v", F.expr("model = 'gc' and length = 250")),
     "cur_match_names": lambda s, d: C.resolve_candidates(_asm(s, d), "p_brand", C.species_agrees(F.col("species"), F.col("organism")) & C.strains_agree(*map(F.col, ("genome", "strain", "organism", "infraspecific"))), [F.desc("p_retailprice"), "p_partkey"]).select("p_brand", "p_partkey"),
     "cur_duplicates": lambda s, d: C.resolve_duplicates(_asm(s, d), [F.desc("p_retailprice"), "p_partkey"]).select("p_partkey"),
     "tax_ancestor": lambda s, d: C.ancestor_at(_nodes(s, d).select("taxid"), _nodes(s, d), "family"),
@@ -164,6 +191,8 @@ SQL = {
     "cur_conflict": f"WITH {_E}, l AS (SELECT acc, species, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS label FROM e), m AS (SELECT *, coalesce(bool_or(label) OVER (PARTITION BY species) AND bool_or(NOT label) OVER (PARTITION BY species), false) AS mixed FROM l) SELECT acc, label, mixed FROM m WHERE NOT mixed OR coalesce(label, true)",
     "cur_match": f"WITH {_E}, n AS (SELECT *, count(*) OVER (PARTITION BY species) AS n FROM e) SELECT species, acc FROM n WHERE n = 1 OR o_orderstatus = 'F' QUALIFY row_number() OVER (PARTITION BY species ORDER BY o_orderdate DESC, acc) = 1",
     "cur_extend": f"WITH {_E}, b AS (SELECT species, acc AS fresh FROM e WHERE o_orderstatus = 'P' QUALIFY row_number() OVER (PARTITION BY species ORDER BY o_totalprice DESC, acc) = 1) SELECT acc, e.species, coalesce(fresh, acc) AS assembly, fresh IS NOT NULL AND fresh <> acc AS extended FROM e LEFT JOIN b ON e.species = b.species",
+    "cur_extend_strain": f"WITH {_LINKS} SELECT link, assembly, same OR assembly IN (SELECT assembly FROM bs) AS linked_by_project, true AS linked_by_organism FROM bo UNION ALL SELECT link, assembly, true, false FROM bs WHERE theirs <> '' AND contains({_PLAIN.format(c='ours')}, {_PLAIN.format(c='theirs')}) AND (NOT contains(theirs, 'substr') OR theirs = ours) AND assembly NOT IN (SELECT assembly FROM bo)",
+    "win_lag_own": _RUNS + ", c AS (SELECT genome, model, length, max(round(acc, 9)) AS v FROM runs GROUP BY ALL), t AS (SELECT *, max(v) FILTER (model = 'gc' AND length = 250) OVER (PARTITION BY genome) AS threshold FROM c), u AS (SELECT *, v >= threshold AS up FROM t) SELECT genome, model, length, v, threshold, coalesce(up <> lag(up) OVER (PARTITION BY genome, length ORDER BY model), false) AS cross_x, coalesce(up <> lag(up) OVER (PARTITION BY genome, model ORDER BY length), false) AS cross_y FROM u",
     "cur_match_names": f"WITH {_ASM}, n AS (SELECT *, count(*) OVER (PARTITION BY p_brand) AS n FROM ok) SELECT p_brand, p_partkey FROM n WHERE n = 1 OR ok QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) = 1",
     "cur_duplicates": f"""WITH {_ASM}, a AS (SELECT * FROM ok QUALIFY count(*) OVER (PARTITION BY organism) = 1 OR ok AND row_number() OVER (PARTITION BY organism ORDER BY ok DESC, p_retailprice DESC, p_partkey) = 1),
         b AS (SELECT * FROM a QUALIFY bool_or(contains(infra, 'substr.')) OVER (PARTITION BY genome) OR row_number() OVER (PARTITION BY genome ORDER BY p_retailprice DESC, p_partkey) = 1)
