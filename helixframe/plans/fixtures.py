@@ -33,7 +33,7 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fragments(spark, sf_dir).where("start >= 0").selectExpr(
+    return fragments(spark, sf_dir).selectExpr(
         "contig * 100000 + frag_id as read_id", "genome", "contig", "seq"
     )
 
@@ -79,7 +79,7 @@ SQL = {
         substring(repeat('N', lp) || seq || repeat('N', cov - len - lp), i * {SHIFT} + 1, {LENGTH}) AS seq
         FROM (SELECT *, unnest(range(n)) AS i FROM (SELECT *, (cov - len) // 2 AS lp FROM (SELECT *, {LENGTH} + {SHIFT} * (n - 1) AS cov
         FROM (SELECT *, greatest(1, (len - {LENGTH} + 2 * {SHIFT} - 1) // {SHIFT}) AS n FROM contigs)))))""",
-    "reads": "reads AS (SELECT contig * 100000 + frag_id AS read_id, genome, contig, seq FROM fragments WHERE start >= 0)",
+    "reads": "reads AS (SELECT contig * 100000 + frag_id AS read_id, genome, contig, seq FROM fragments)",
     "base_counts": "base_counts AS (SELECT read_id, genome, contig, "
     + ", ".join(f"length(seq) - length(replace(seq, '{b}', '')) AS {b.lower()}" for b in "ACGT")
     + " FROM reads)",

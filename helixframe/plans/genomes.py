@@ -169,7 +169,7 @@ QUERIES = {
     "jn_grid": lambda s, d: J.length_grid(X.table(s, d, "part").selectExpr("p_size as length").distinct()),
     "map_scores": lambda s, d: _round(_intervals(s, d)),
     "map_mean": lambda s, d: _round(G.genome_mean(_intervals(s, d))),
-    "map_nt": lambda s, d: G.nt_map(X.fragments(s, d).where("start >= 0").select("contig", "start", F.transform(F.split("seq", ""), lambda b: F.when(b == "A", 1.0).when(b == "C", 0.5).when(b == "N", 0.0).otherwise(-0.25)).alias("score"))).groupBy("contig").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"), F.round(F.sum(F.col("score") * (F.col("pos") % 7)), 6).alias("mixed")),
+    "map_nt": lambda s, d: G.nt_map(X.fragments(s, d).select("contig", "start", F.transform(F.split("seq", ""), lambda b: F.when(b == "A", 1.0).when(b == "C", 0.5).when(b == "N", 0.0).otherwise(-0.25)).alias("score"))).groupBy("contig").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"), F.round(F.sum(F.col("score") * (F.col("pos") % 7)), 6).alias("mixed")),
     "map_merge": lambda s, d: G.merge_intervals(X.features(s, d), ["genome", "contig", "type"]),
     "map_cover": lambda s, d: G.covered_bases(X.features(s, d), ["genome", "contig"], ["genome"]),
     "feat_names": lambda s, d: G.feature_keys(X.features(s, d)),
@@ -217,7 +217,7 @@ SQL = {
     "jn_grid": "WITH l AS (SELECT DISTINCT p_size AS length FROM part) SELECT a.length AS len1, b.length AS len2 FROM l a CROSS JOIN l b",
     "map_scores": _MAP + ' SELECT genome, contig, start, "end", round(score, 9) AS score FROM imap',
     "map_mean": _MAP + ' SELECT genome, round(sum(score * ("end" - start)) / sum("end" - start) + 0.5, 9) AS mean FROM imap WHERE score IS NOT NULL GROUP BY 1',
-    "map_nt": _W("fragments") + ", e AS (SELECT contig, start + i AS pos, CASE substring(seq, i + 1, 1) WHEN 'A' THEN 1.0 WHEN 'C' THEN 0.5 WHEN 'N' THEN 0.0 ELSE -0.25 END::DOUBLE AS s FROM (SELECT contig, start, seq, unnest(range(250)) AS i FROM fragments WHERE start >= 0)), m AS (SELECT contig, pos, avg(s) AS score FROM e GROUP BY ALL) SELECT contig, count(*) AS n, round(sum(score), 6) AS total, round(sum(score * (pos % 7)), 6) AS mixed FROM m GROUP BY 1",
+    "map_nt": _W("fragments") + ", e AS (SELECT contig, start + i AS pos, CASE substring(seq, i + 1, 1) WHEN 'A' THEN 1.0 WHEN 'C' THEN 0.5 WHEN 'N' THEN 0.0 ELSE -0.25 END::DOUBLE AS s FROM (SELECT contig, start, seq, unnest(range(250)) AS i FROM fragments)), m AS (SELECT contig, pos, avg(s) AS score FROM e GROUP BY ALL) SELECT contig, count(*) AS n, round(sum(score), 6) AS total, round(sum(score * (pos % 7)), 6) AS mixed FROM m GROUP BY 1",
     "map_merge": _W("features") + _MERGED.format(k="type", src="features") + " SELECT * FROM mg",
     "map_cover": _W("features") + ", f2 AS (SELECT genome, contig, 1 AS one, start, \"end\" FROM features)" + _MERGED.format(k="one", src="f2") + ' SELECT genome, sum("end" - start)::BIGINT AS bases FROM mg GROUP BY 1',
     "feat_names": _W("features") + _KEYS + " SELECT * FROM fk",

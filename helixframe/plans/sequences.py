@@ -27,12 +27,14 @@ _NAMES = "names AS (SELECT p_partkey, '[' || p_name || '] ' || (CASE WHEN p_size
 
 
 def _softmaxed(spark, d):
-    z = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 10)
-    return X.table(spark, d, "embeddings").select("vec_id", "label", S.softmax(z).alias("p"))
+    """Ten scores from whole vectors: of every tenth component the largest."""
+    largest = lambda j: F.array_max(F.filter("embedding", lambda x, i: i % 10 == j))
+    z = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: largest(j).cast("double") * 10)
+    return X.table(spark, d, "embeddings").select("vec_id", "label", z.alias("z")).select("vec_id", "label", S.softmax(F.col("z")).alias("p"))
 
 
 _SOFT = """soft AS (SELECT vec_id, label, [exp(x - list_max(z)) / list_sum([exp(y - list_max(z)) FOR y IN z]) FOR x IN z] AS p
- FROM (SELECT vec_id, label, [v::DOUBLE * 10 FOR v IN embedding[1:10]] AS z FROM embeddings))"""
+ FROM (SELECT vec_id, label, list_transform(range(1, 11), lambda j: list_max(embedding[j:len(embedding):10])::DOUBLE * 10) AS z FROM embeddings))"""
 
 
 def _pairs(spark, d):
