@@ -162,9 +162,25 @@ def hashed_features(reads: DataFrame, k: int, size: int, key: str = "read_id") -
     place = F.pmod(F.xxhash64("code"), F.lit(size)).cast("int").alias("place")
     cells = kmer_codes(reads, k, folded=True, key=key).groupBy(key, place).agg(F.sum("n").cast("double").alias("n"))
     rows = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("cells"), F.sum("n").alias("total"))
-    of = F.map_from_entries("cells")
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(of, i) / F.col("total"), F.lit(0.0)))
-    return VectorAssembler(inputCols=["__v"], outputCol="features").transform(rows.select(key, array_to_vector(dense).alias("__v"))).drop("__v")
+    of = rows.select(key, F.col("cells.place").alias("places"), F.transform("cells", lambda c: c["n"] / F.col("total")).alias("shares"))
+    first = to_arrow_schema(of.schema).field(0)
+    schema = pa.schema([first, ("dense", pa.list_(pa.float64()))])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, (1 << 20) // size)
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                places = part.column("places")
+                cells = np.zeros((part.num_rows, size))
+                row = np.repeat(np.arange(part.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
+                cells[row, places.flatten().to_numpy()] = part.column("shares").flatten().to_numpy()
+                dense = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * size), pa.array(cells.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(first.type), dense], schema=schema)
+
+    dense = of.mapInArrow(spread, f"{key} {of.schema[0].dataType.simpleString()}, dense array<double>")
+    # the assembler keeps a vector sparse where that is smaller
+    return VectorAssembler(inputCols=["__v"], outputCol="features").transform(dense.select(key, array_to_vector("dense").alias("__v"))).drop("__v")
 
 
 def label_features(features: DataFrame, labels: DataFrame, accession: str) -> DataFrame:
