@@ -1,4 +1,12 @@
-"""A training-corpus pipeline of five stages, each applying one operator to what is left."""
+"""A training-corpus pipeline of five stages, each applying one operator to what is left.
+
+Null texts count as empty, null ids are ids of their own, and an empty text is a document like any
+other: it is scored, may be a near copy of other empty texts, has no words or secrets, and packs as
+its end id alone.  Repeated rows are near copies of each other, of which one stays; of near copies
+the row of the least id stays, nulls last.  Texts are handled whole, however long.  All stages but
+the last keep the columns of their input, whatever their names, in order, and an empty table gives
+an empty result with the same columns.
+"""
 
 from __future__ import annotations
 

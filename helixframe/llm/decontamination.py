@@ -13,7 +13,8 @@ What is left are the exact places of the phrase.  ``slop`` also reports places w
 terms stand within that many words of their offsets (proximity matches).
 
 The benchmark is read in blocks of about ``BLOCK_BYTES`` of text, dealt by item; each block's windows
-are broadcast and looked up in the one index, and a document's matches are put together at the end.
+are broadcast, looked up in the one index, and let go before the next block is read.  Their matches
+are tables, which are put together by document at the end.
 
 Words are lower-cased in A-Z and cut at ASCII characters that are no letters or digits.  Null
 texts and items have no words and match nothing; an item shorter than a window is one window;
@@ -30,7 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,18 +145,17 @@ class Phrases:
         return [i for i in listed.tolist() if has[self.phrase(i)].all()]
 
 
-def _blocks(texts: DataFrame, size: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The benchmark's items in parts of about ``size`` bytes, one at a time in the driver."""
+def _blocks(texts: DataFrame, size: int) -> list[DataFrame]:
+    """The benchmark's items in parts of about ``size`` bytes."""
     total = texts.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
     n = max(1, -(-total // size))
-    for block in range(n):
-        own = texts.where(F.pmod(F.xxhash64("item_id", "body"), F.lit(n)) == block)
-        yield [(r.item_id, bytes(r.body)) for r in own.collect()]
+    return [texts.where(F.pmod(F.xxhash64("item_id", "body"), F.lit(n)) == block) for block in range(n)] if n > 1 else [texts]
 
 
-def _look_up(index: DataFrame, phrases: Phrases, window: int, slop: int) -> DataFrame:
-    """``segment, place, doc_id, n_words, hits, items, near`` of every document in the index."""
+def _look_up(index: DataFrame, items: DataFrame, window: int, slop: int) -> tuple[DataFrame, Broadcast]:
+    """``segment, place, doc_id, n_words, hits, items, near`` of every document in the index, and what was sent for it."""
     spark = index.sparkSession
+    phrases = Phrases([(r.item_id, bytes(r.body)) for r in items.collect()], window)  # a block of items
     shared = spark.sparkContext.broadcast(phrases)
     struct = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([
@@ -207,7 +207,7 @@ def _look_up(index: DataFrame, phrases: Phrases, window: int, slop: int) -> Data
     wanted = spark.createDataFrame([(bytearray(t),) for t in phrases.terms], "term binary")
     lists = index.where("term is not null").join(F.broadcast(wanted), "term", "left_semi").select("segment", "term", "places")
     own = lists.unionByName(index.where("term is null").select("segment", "term", "places"))
-    return own.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, f"segment long, place long, {FOUND}")
+    return own.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, f"segment long, place long, {FOUND}"), shared
 
 
 FOUND = "doc_id long, n_words long, hits array<struct<start: long, end: long>>, items array<long>, near array<long>"
@@ -241,9 +241,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     """
     texts = benchmark.where("text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("binary").alias("body"))
     index = build_index(docs, window)
-    found = [_look_up(index, Phrases(items, window), window, slop) for items in _blocks(texts, BLOCK_BYTES)]
-    every = reduce(DataFrame.unionByName, found)
-    one = every if len(found) == 1 else _together(every)
+    blocks = _blocks(texts, BLOCK_BYTES)
+    if len(blocks) == 1:
+        one, _ = _look_up(index, blocks[0], window, slop)
+    else:  # one block at a time to a table, and what was sent for it is let go: the driver holds one
+        found = []
+        for i, items in enumerate(blocks):
+            part, sent = _look_up(index, items, window, slop)
+            hit = (F.size("hits") > 0) | (F.size("near") > 0)
+            found.append(materialise(part.where(hit) if i else part, "block"))  # the first has every document
+            sent.destroy()
+        one = _together(reduce(DataFrame.unionByName, found))
     tidy = F.array_except("near", "items")
     return one.select("doc_id", "n_words", "hits", "items", tidy.alias("near"))
 

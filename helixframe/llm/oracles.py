@@ -67,10 +67,39 @@ WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_FALL},
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
  FROM d LEFT JOIN c ON d.k = c.k LEFT JOIN t ON d.k = t.k"""
 
+#: CRC-32 of a string's ASCII characters, bit by bit with the usual reflected polynomial 0xEDB88320.
+_STEP = "xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END)"
+_BYTE = f"list_reduce(list_prepend(xor(a, x), list_transform(range(8), lambda i: 0::UBIGINT)), lambda y, z: {_STEP})"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)), lambda a, x: {_BYTE}), 4294967295::UBIGINT)"
+OP12 = f"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+ h AS (SELECT conv_id, conv_id - conv_id % 5 AS base, ({_CRC} % 9)::BIGINT AS h FROM (SELECT DISTINCT conv_id FROM o)),
+ r AS (SELECT h.conv_id AS c, o.pos AS p, role, text FROM h JOIN o ON o.conv_id = h.base AND o.pos <= h.h UNION ALL SELECT h.conv_id, h.h + o.pos, role, text FROM h JOIN o ON o.conv_id = h.conv_id AND o.pos > h.h),
+ d AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY p) AS d, role, text FROM r),
+ w AS (SELECT c, list({{'r': role, 't': text}} ORDER BY d) AS w FROM d GROUP BY c),
+ f AS (SELECT h.conv_id AS c, coalesce(w.w, []) AS w FROM h LEFT JOIN w ON w.c = h.conv_id),
+ m AS (SELECT c, d, len(w) = d AS ends, CASE WHEN d > 0 THEN octet_length(encode(w[d].t)) ELSE 0 END AS bytes, md5(w[1 : d]::VARCHAR) || d AS n, md5(w[1 : d - 1]::VARCHAR) || (d - 1) AS up FROM (SELECT c, w, unnest(range(len(w) + 1)) AS d FROM f)),
+ n AS (SELECT n, any_value(up) AS up, min(c) AS conv_id, any_value(d)::BIGINT AS depth, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS gain, coalesce(string_agg(CASE WHEN ends THEN c::VARCHAR END, ',' ORDER BY c), '') AS ends FROM m GROUP BY n),
+ k AS (SELECT up, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY up),
+ s AS (SELECT top, count(*) FILTER (k.up IS NULL) AS n_leaves, sum(gain)::BIGINT AS saved_tokens FROM (SELECT DISTINCT a.n AS top, b.n FROM m a JOIN m b ON a.c = b.c AND b.d >= a.d) x JOIN n ON n.n = x.n LEFT JOIN k ON k.up = x.n GROUP BY top)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(n.ends) AS ends_sha256
+ FROM n JOIN s ON s.top = n.n LEFT JOIN k ON k.up = n.n LEFT JOIN n q ON q.n = n.up AND n.depth > 0"""
+
+OP13 = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ ok AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+ l AS MATERIALIZED (SELECT a.r AS u, b.r AS w FROM ok a JOIN ok b ON a.r <> b.r AND list_cosine_similarity(a.e, b.e) >= 0.95),
+ reach AS (SELECT DISTINCT u, u AS w FROM l UNION SELECT reach.u, l.w FROM reach JOIN l ON l.u = reach.w),
+ g AS (SELECT u, min(vec_id) AS least FROM reach JOIN v ON v.r = reach.w GROUP BY u),
+ n AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(least, vec_id) AS component_id, coalesce(coalesce(least, vec_id) = vec_id, false) AS kept FROM v LEFT JOIN g ON g.u = v.r LEFT JOIN n ON n.u = v.r"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_dedup": OP1,
     "op3_dual_tree": OP3,
     "op4_substring_dedup": OP4,
     "op9_secrets": OP9,
     "op10_decontamination": OP10,
+    "op12_prefix_trie": OP12,
+    "op13_metric_join": OP13,
 }

@@ -140,8 +140,9 @@ def subtree_totals(tree: DataFrame, values: list[str]) -> DataFrame:
         tree.select("node", "parent", F.col("depth").cast("long").alias("depth"), (F.col("depth") - 1).cast("long").alias("pdepth"), *values, F.col("n_children").alias("k")),
         "alive",
     )
-    size, slow, rounds = alive.count(), False, []
-    while alive.where("parent is not null").limit(1).count():
+    left = [F.count("*"), F.count("parent")]
+    (size, below), slow, rounds = alive.agg(*left).first(), False, []
+    while below:
         leaf = F.col("k") == 0
         inner = alive.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(
             *(F.sum(F.when(leaf, F.col(v)).otherwise(0)).alias(f"raked_{v}") for v in values),
@@ -171,7 +172,7 @@ def subtree_totals(tree: DataFrame, values: list[str]) -> DataFrame:
             *((F.col(v) + F.coalesce(f"add_{v}", F.lit(0))).alias(v) for v in values), "k",
         )
         alive = materialise(alive, "alive")
-        before, size = size, alive.count()
+        before, (size, below) = size, alive.agg(*left).first()
         slow = 8 * size > 7 * before
     totals = alive.select("node", *values)
     for leaves, spliced in reversed(rounds):

@@ -461,6 +461,41 @@ def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
             assert all(row[c] == c for c in names if c not in ("text", "doc_id", "n_chars")) and row.n_chars == len(row.text)
 
 
+def test_pipeline_of_edge_rows_and_of_none(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for rows in (docs.limit(0), spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "word " * 30_000, None, None, 150_000)], docs.schema)):
+        held, empty = rows, rows.isEmpty()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            held = stage(spark, held, SF)
+            assert held.columns == docs.columns and held.isEmpty() == empty, name
+        assert {r.doc_id for r in held.collect()} == (set() if empty else {1, 2})
+        assert corpus_pipeline.STAGES[-1][1](spark, held, SF).isEmpty() == empty
+
+
+def test_op10_blocks_hold_one_at_a_time(spark, docs, texts, monkeypatch):
+    """Many blocks give the rows of one, and each block's broadcast is gone before the next."""
+    items = [(i, " ".join(t.split()[:40])) for i, (_, t) in enumerate(texts) if t and len(t.split()) > 12] + [(900, None), (901, "x")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    look, alive, most = decontamination._look_up, [], []
+
+    def watched(*args):
+        part, sent = look(*args)
+        destroy = sent.destroy
+        sent.destroy = lambda: (alive.remove(1), destroy())
+        alive.append(1)
+        most.append(len(alive))
+        return part, sent
+
+    tidy = lambda df: sorted((tuple(r) for r in df.select("doc_id", "n_words", F.to_json("hits"), F.to_json("items"), F.to_json("near")).collect()), key=key)
+    one = tidy(decontamination.matches(docs, bench, 5, 2))
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(decontamination, "_look_up", watched)
+    assert tidy(decontamination.matches(docs, bench, 5, 2)) == one
+    assert len(most) > 3 and set(most) == {1} and not alive
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
@@ -490,18 +525,18 @@ def test_pipeline_stages(spark):
 def test_extra_columns_and_registration():
     from helixframe.llm import queries
 
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
-@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op3_dual_tree", "op4_substring_dedup", "op9_secrets", "op10_decontamination"])
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op3_dual_tree", "op4_substring_dedup", "op9_secrets", "op10_decontamination", "op12_prefix_trie", "op13_metric_join"])
 def test_sql_gives_the_same_rows(spark, name):
     import duckdb
 
     from helixframe.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark"):
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df, result = queries.QUERIES[name](spark, SF), con.execute(queries.ORACLE_SQL[name])
     names = [c[0] for c in result.description]
