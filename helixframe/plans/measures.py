@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
 from ..operators import metrics as M
+from ..operators.store import stored
 from . import fixtures as X
 from .sequences import _GC, _SOFT, _gc, _pairs, _reps, _softmaxed
 
@@ -27,6 +28,11 @@ def _runs(s, d):
     )
 
 
+def _class_scores(s, d):
+    """Rounded score vectors, stored: metrics read them once for each class and curve."""
+    return stored(_softmaxed(s, d).withColumn("p", F.transform("p", lambda x: F.round(x, 9))), "class-scores")
+
+
 _RUNS = _W("scores") + ", runs AS (SELECT model, genome, (read_id % 5 * 50 + 50)::INT AS length, avg(p) AS acc, max(p) AS top, min(p) AS low FROM scores GROUP BY ALL)"
 
 
@@ -52,8 +58,8 @@ QUERIES = {
     "agg_confusion": lambda s, d: M.confusion(X.labelled(s, d), BY, F.col("p") > T),
     "agg_metrics": lambda s, d: _round(M.rates(M.confusion(X.labelled(s, d), BY, F.col("p") > T)).drop("undef_pos", "undef_neg")),
     "agg_perf": lambda s, d: _round(M.performance(X.labelled(s, d), ["model"], T, CONF)),
-    "agg_perf_multi": lambda s, d: _round(M.performance_multi(_softmaxed(s, d).withColumn("p", F.transform("p", lambda x: F.round(x, 9))), "vec_id")),
-    "agg_perf_target": lambda s, d: _round(M.performance_target(_softmaxed(s, d).withColumn("p", F.transform("p", lambda x: F.round(x, 9))), "vec_id", 3, 0.5)),
+    "agg_perf_multi": lambda s, d: _round(M.performance_multi(_class_scores(s, d), "vec_id")),
+    "agg_perf_target": lambda s, d: _round(M.performance_target(_class_scores(s, d), "vec_id", 3, 0.5)),
     "agg_gene_share": lambda s, d: _round(A.short_contig_share(X.contigs(s, d), 2000)),
     "m_logloss": lambda s, d: _round(M.log_loss(X.labelled(s, d), BY)),
     "m_auroc": lambda s, d: _round(M.auroc(X.labelled(s, d), BY)),
