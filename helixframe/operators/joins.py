@@ -81,6 +81,8 @@ def overlap(a: DataFrame, b: DataFrame, on: Sequence[str], min_frac: tuple[int,
     own = [sorted(r[0] for r in s.select("__own").distinct().collect()) for s in sides]  # levels: 32 at most
     met = None
     for held, other, strict in ((0, 1, False), (1, 0, True)):
+        if met is not None and not any(x > y for x in own[held] for y in own[other]):
+            continue  # no interval of the other side is shorter
         shared = F.filter(F.array(*map(F.lit, own[held])).cast("array<int>"), lambda x: x > F.col("__own") if strict else x >= F.col("__own"))  # noqa: B023
         long = binned(sides[held], F.array("__own"), base)
         short = binned(sides[other], shared, base)

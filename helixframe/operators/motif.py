@@ -26,27 +26,36 @@ def one_hot_weights(motif: str) -> np.ndarray:
 SCAN = 1 << 20
 
 
-def scan_letters(letters: np.ndarray, first: np.ndarray, weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Places of ``first`` with an activation above 0, the activations, and cells that were not looked at.
-
-    ``weights`` is (4, length).  Before each column, a place goes whose score so far plus the best
-    that the columns left can add is not above the bias; the sum's order is that of a full scan, and
-    the bound has room for its rounding.
+def scan_letters(letters: np.ndarray, inside: np.ndarray, weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places with an activation above 0, the activations, and cells that were not looked at.
+
+    ``weights`` is (4, length) and ``inside`` tells where a motif may start.  A place can go once its
+    score so far plus the best that the columns left can add is not above the bias.  Columns are added
+    to all places at once until three quarters can go; from there only to those that are left, and
+    fewer with each column.  The sum's order is that of a full scan, and the bound has room for its
+    rounding.
     """
-    m = weights.shape[1]
+    m, n = weights.shape[1], len(inside)
     padded = np.vstack([weights, np.zeros(m)])
     best = np.append(np.cumsum(padded.max(0)[::-1])[::-1], 0.0)
     slack = 1e-9 * (abs(bias) + np.abs(weights).sum())
-    at, value, skipped = first, np.full(len(first), -bias), 0
+    value, at, skipped = np.full(n, -bias), None, 0
     for j in range(m):
-        if best[j] < np.inf:
-            still = value + best[j] > -slack
-            if not still.all():
-                at, value = at[still], value[still]
-        skipped += len(first) - len(at)
-        value = value + padded[letters[at + j], j]
-    hit = value > 0
-    return at[hit], value[hit], skipped
+        if at is None and padded[:, :j].min(0).sum() - bias + best[j] <= -slack:
+            left = (value + best[j] > -slack) & inside
+            if 4 * np.count_nonzero(left) < n:
+                at = np.flatnonzero(left)
+                value = value[at]
+        elif at is not None:
+            left = value + best[j] > -slack
+            at, value = at[left], value[left]
+        if at is None:
+            value += padded[:, j][letters[j : j + n]]
+        else:
+            skipped += n - len(at)
+            value += padded[:, j][letters[at + j]]
+    hit = value > 0 if at is not None else (value > 0) & inside
+    return (np.flatnonzero(hit) if at is None else at[hit]), value[hit], skipped
 
 
 def motif_scan(reads: DataFrame, bank: dict[str, np.ndarray], bias: float, keys: Sequence[str], skipped: Accumulator | None = None) -> DataFrame:
@@ -77,9 +86,11 @@ def motif_scan(reads: DataFrame, bank: dict[str, np.ndarray], bias: float, keys:
         for batch in batches:
             for rows, edge, letters in blocks(batch["seq"]):
                 of_letter = np.repeat(np.arange(len(rows)), np.diff(edge))
+                place, end = np.arange(len(letters)), edge[1:][of_letter]
                 found: list[tuple] = []
                 for f, (_, _, weights) in enumerate(filters):
-                    inside = np.flatnonzero(np.arange(len(letters)) + weights.shape[1] <= edge[1:][of_letter])
+                    m = weights.shape[1]
+                    inside = place[: max(len(letters) - m + 1, 0)] + m <= end[: max(len(letters) - m + 1, 0)]
                     at, value, spared = scan_letters(letters, inside, weights, bias)
                     if skipped is not None:
                         skipped.add(spared)

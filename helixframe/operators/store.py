@@ -52,6 +52,16 @@ _TOTAL = {"sum": F.sum, "max": F.max, "min": F.min}
 _TIE = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest, "min": F.least}
 
 
+def _spread(totals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Of rows by group and range, those of groups in several ranges, for every task.
+
+    Ranges are contiguous, so a range has two such groups at most, its first and its last: the rows
+    are no more than twice the ranges, whatever the table.
+    """
+    ranges = F.count("*").over(Window.partitionBy(*by))
+    return totals.withColumn("__ranges", ranges).where("__ranges > 1").drop("__ranges")
+
+
 def running(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], past: bool = False, whole: bool = False, **values: tuple[str, Column]) -> DataFrame:
     """Adds running aggregates of a ``ranged`` table: within ranges, and over earlier ranges' totals.
 
@@ -59,14 +69,18 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], pas
     only over the rows before it (``past``).  ``whole`` adds ``<name>_all`` over the group.
     """
     keys = [*by, "__range"]
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if past else 0)
+    part = Window.partitionBy(*keys)
+    inside = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if past else 0)
     earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*keys).agg(*(_TOTAL[k](c).alias(f"__{n}") for n, (k, c) in values.items()))
-    every = [_TOTAL[k](f"__{n}").over(Window.partitionBy(*by)).alias(f"{n}_all") for n, (k, _) in values.items()] if whole else []
+    totals = _spread(df.groupBy(*keys).agg(*(_TOTAL[k](c).alias(f"__{n}") for n, (k, c) in values.items())), by)
+    every = [_TOTAL[k](f"__{n}").over(Window.partitionBy(*by)).alias(f"__{n}_all") for n, (k, _) in values.items()] if whole else []
     before = totals.select(*keys, *(_TOTAL[k](f"__{n}").over(earlier).alias(f"__{n}") for n, (k, _) in values.items()), *every)
-    local = df.withColumns({n: _TOTAL[k](c).over(inside) for n, (k, c) in values.items()})
-    tied = same(local, before, keys)
-    return tied.withColumns({n: _TIE[k](F.col(n), F.col(f"__{n}")) for n, (k, _) in values.items()}).drop(*(f"__{n}" for n in values))
+    local = {n: _TOTAL[k](c).over(inside) for n, (k, c) in values.items()}
+    local |= {f"{n}_all": _TOTAL[k](c).over(part) for n, (k, c) in values.items()} if whole else {}
+    tied = same(df.withColumns(local), F.broadcast(before), keys, "left")
+    ties = {n: _TIE[k](F.col(n), F.col(f"__{n}")) for n, (k, _) in values.items()}
+    ties |= {f"{n}_all": F.coalesce(f"__{n}_all", f"{n}_all") for n in values} if whole else {}
+    return tied.withColumns(ties).drop(*(f"__{n}" for n in values), *(f"__{n}_all" for n in values))
 
 
 def neighbour(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str, ahead: bool) -> DataFrame:
@@ -80,10 +94,10 @@ def neighbour(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str
     edge = F.min_by if ahead else F.max_by
     beyond = Window.partitionBy(*by).orderBy("__range")
     step = F.lead if ahead else F.lag
-    edges = df.groupBy(*keys).agg(edge(boxed, F.struct(*order)).alias("__edge"))
+    edges = _spread(df.groupBy(*keys).agg(edge(boxed, F.struct(*order)).alias("__edge")), by)
     edges = edges.select(*keys, step("__edge").over(beyond).alias("__edge"))
     local = df.withColumn(name, step(boxed).over(inside))
-    return same(local, edges, keys).withColumn(name, F.coalesce(name, "__edge")).drop("__edge")
+    return same(local, F.broadcast(edges), keys, "left").withColumn(name, F.coalesce(name, "__edge")).drop("__edge")
 
 
 def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
