@@ -24,11 +24,12 @@ def genome_map(scored: DataFrame, contigs: DataFrame, shift: float = 0.5) -> Dat
     """
     key = ["genome", "contig"]
     frags = scored.join(contigs.select(*key, "len"), key).withColumns({"start": F.greatest("start", F.lit(0)), "end": F.least("end", "len")}).where("start < `end`")
+    frags = stored(frags.select(*key, "start", "end", "p"), "covering")
     points = frags.select(*key, F.explode(F.array("start", "end")).alias("start"))
     bounds = points.unionByName(contigs.where("len > 0").select(*key, F.explode(F.array(F.lit(0).cast("long"), F.col("len").cast("long"))).alias("start"))).distinct()
     followed = neighbour(ranged(bounds, key, ["start"]), key, ["start"], "start", "__next", True)
-    segments = followed.where("__next is not null").withColumn("end", F.col("__next.value")).drop("__next")
-    covered = overlap(segments.drop("__range"), frags.select(*key, "start", "end", "p"), key)
+    segments = stored(followed.where("__next is not null").withColumn("end", F.col("__next.value")).drop("__next"), "bounds")
+    covered = overlap(segments.drop("__range"), frags, key, tables=True)
     means = covered.groupBy(*key, "start", "end").agg((F.round(F.avg("p"), DIGITS) - shift).alias("score"))
     scored_segments = stored(segments.join(means, [*key, "start", "end"], "left"), "segments")
     before = neighbour(scored_segments, key, ["start"], "score", "__before", False)
@@ -128,7 +129,7 @@ def enrichment_table(hits: DataFrame, members: DataFrame, contigs: DataFrame, m:
     places = merged.groupBy("key").agg(F.sum(F.col("end") - F.col("start")).alias("len"), F.count("*").alias("n"))
     places = places.withColumn("inside", 2 * (F.col("len") + F.col("n") + m * F.col("n") - 2 * (m // 3) * F.col("n")))
     total = contigs.agg(F.sum(F.greatest(2 * (F.col("len") - m + 1), F.lit(0))).alias("total"))
-    within = overlap(hits, merged, ["genome", "contig"], (1, 3)).groupBy("filter_id", "key").agg(F.count("*").alias("a"))
+    within = overlap(hits, merged, ["genome", "contig"], (1, 3), tables=True).groupBy("filter_id", "key").agg(F.count("*").alias("a"))
     every = hits.groupBy("filter_id").agg(F.count("*").alias("hits"))
     grid = every.crossJoin(places).join(within, ["filter_id", "key"], "left").crossJoin(total)
     a = F.coalesce("a", F.lit(0))

@@ -64,7 +64,7 @@ def binned(df: DataFrame, levels: Column, base: int) -> DataFrame:
     return spread.withColumn("__bin", F.explode(F.expr(f"sequence(shiftright(start, {base} + 2 * __level), shiftright(`end` - 1, {base} + 2 * __level))")))
 
 
-def overlap(a: DataFrame, b: DataFrame, on: Sequence[str], min_frac: tuple[int, int] | None = None, base: int = BIN_BITS) -> DataFrame:
+def overlap(a: DataFrame, b: DataFrame, on: Sequence[str], min_frac: tuple[int, int] | None = None, base: int = BIN_BITS, tables: bool = False) -> DataFrame:
     """Pairs of overlapping half-open intervals, with ``ov``; ``b``'s bounds come as ``b_start, b_end``.
 
     Bins are hierarchical: an interval has one level, by its length.  A pair meets at the higher of
@@ -72,12 +72,14 @@ def overlap(a: DataFrame, b: DataFrame, on: Sequence[str], min_frac: tuple[int,
     other, and in bins of the other's higher levels: rows grow with intervals and levels, not with
     lengths.  Of the bins where a pair meets, it is kept in the one where the later of its starts
     lies, so each pair comes once and none needs a range join.  ``min_frac`` ``(m, n)`` keeps pairs
-    that cover at least m / n of the first interval.
+    that cover at least m / n of the first interval.  Both sides are stored once, unless they are
+    ``tables`` that are cheap to read again.
     """
     sides = []
     for df, name in ((a, "overlap-a"), (b, "overlap-b")):
         bounds = df.where("start < `end`").withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
-        sides.append(stored(bounds.withColumn("__own", _level(F.col("end") - F.col("start"), base)), name))
+        levelled = bounds.withColumn("__own", _level(F.col("end") - F.col("start"), base))
+        sides.append(levelled if tables else stored(levelled, name))
     own = [sorted(r[0] for r in s.select("__own").distinct().collect()) for s in sides]  # levels: 32 at most
     met = None
     for held, other, strict in ((0, 1, False), (1, 0, True)):
