@@ -77,9 +77,9 @@ def overlap(a: DataFrame, b: DataFrame, on: Sequence[str], min_frac: tuple[int,
     """
     sides = []
     for df, name in ((a, "overlap-a"), (b, "overlap-b")):
-        bounds = df.where("start < `end`").withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
-        levelled = bounds.withColumn("__own", _level(F.col("end") - F.col("start"), base))
-        sides.append(levelled if tables else stored(levelled, name))
+        kept = df if tables else stored(df, name)
+        bounds = kept.where("start < `end`").withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
+        sides.append(bounds.withColumn("__own", _level(F.col("end") - F.col("start"), base)))
     own = [sorted(r[0] for r in s.select("__own").distinct().collect()) for s in sides]  # levels: 32 at most
     met = None
     for held, other, strict in ((0, 1, False), (1, 0, True)):
