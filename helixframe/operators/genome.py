@@ -14,25 +14,31 @@ from .joins import overlap
 from .store import neighbour, ranged, running, same, stored
 
 DIGITS = 12
+#: Running sums of scores.
+SUM = "decimal(38,18)"
 
 
 def genome_map(scored: DataFrame, contigs: DataFrame, shift: float = 0.5) -> DataFrame:
     """``genome, contig, start, end, score``: mean of covering scores less ``shift``, as runs.
 
-    Works on the elementary segments between fragment bounds; bases are never spelled out.  A
-    contig's segments are spread over ranges of places, tied by their edges and counts.
+    A sweep over fragment bounds: what starts and ends at each place is summed up first, then running
+    sums give the covering scores, so the work does not grow with the depth of cover and bases are
+    never spelled out.  A contig's places are spread over ranges, tied by their edges and totals.
+    Sums are decimal with 18 places, so what was added is taken off exactly.  Fragments without a
+    finite score count as bounds only.
     """
     key = ["genome", "contig"]
     frags = scored.join(contigs.select(*key, "len"), key).withColumns({"start": F.greatest("start", F.lit(0)), "end": F.least("end", "len")}).where("start < `end`")
-    frags = stored(frags.select(*key, "start", "end", "p"), "covering")
-    points = frags.select(*key, F.explode(F.array("start", "end")).alias("start"))
-    bounds = points.unionByName(contigs.where("len > 0").select(*key, F.explode(F.array(F.lit(0).cast("long"), F.col("len").cast("long"))).alias("start"))).distinct()
-    followed = neighbour(ranged(bounds, key, ["start"]), key, ["start"], "start", "__next", True)
-    segments = stored(followed.where("__next is not null").withColumn("end", F.col("__next.value")).drop("__next"), "bounds")
-    covered = overlap(segments.drop("__range"), frags, key, tables=True)
-    means = covered.groupBy(*key, "start", "end").agg((F.round(F.avg("p"), DIGITS) - shift).alias("score"))
-    scored_segments = stored(segments.join(means, [*key, "start", "end"], "left"), "segments")
-    before = neighbour(scored_segments, key, ["start"], "score", "__before", False)
+    at = lambda place, sign: F.struct(F.col(place).cast("long").alias("start"), (sign * F.col("__p")).alias("sum"), (sign * F.col("__p").isNotNull().cast("long")).alias("depth"))
+    changes = frags.withColumn("__p", F.col("p").try_cast(SUM)).select(*key, F.inline(F.array(at("start", 1), at("end", -1))))
+    ends = contigs.where("len > 0").select(*key, F.explode(F.array(F.lit(0), F.col("len")).cast("array<long>")).alias("start"))
+    changes = changes.select(*key, "start", F.col("sum").cast(SUM).alias("sum"), "depth").unionByName(ends.withColumns({"sum": F.lit(0).cast(SUM), "depth": F.lit(0).cast("long")}))
+    places = changes.groupBy(*key, "start").agg(F.coalesce(F.sum("sum"), F.lit(0)).cast(SUM).alias("sum"), F.sum("depth").alias("depth"))
+    swept = neighbour(ranged(places, key, ["start"]), key, ["start"], "start", "__next", True)
+    swept = running(swept, key, ["start"], covering=("sum", F.col("sum")), covers=("sum", F.col("depth"))).where("__next is not null")
+    mean = F.round(F.when(F.col("covers") > 0, F.col("covering").cast("double") / F.col("covers")), DIGITS) - shift
+    segments = stored(swept.select(*key, "__range", "start", F.col("__next.value").alias("end"), mean.alias("score")), "segments")
+    before = neighbour(segments, key, ["start"], "score", "__before", False)
     changed = F.when(F.col("__before").isNull(), 1).otherwise((~F.col("score").eqNullSafe(F.col("__before.value"))).cast("int"))
     runs = running(before, key, ["start"], run=("sum", changed))
     return runs.groupBy(*key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("score").alias("score")).drop("run")

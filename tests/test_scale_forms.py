@@ -285,3 +285,32 @@ def test_adjusted_p_over_ranges(spark):
         own = sorted(p for g, p in data if g == r.g and p is not None)
         want = None if r.p is None else min(1.0, min(p * len(own) / sum(x <= p for x in own) for p in own if p >= r.p))
         assert r.q == want or r.q == pytest.approx(want)
+
+
+def test_maps_of_deep_cover_are_exact_sweeps(spark):
+    """Many fragments over few places, null and non-finite scores among them, over many ranges of one contig."""
+    rng = np.random.default_rng(3)
+    size, n = 400, 3000
+    first = rng.integers(-20, size, n)
+    frags = [("g", "c", int(a), int(a + rng.integers(1, 60)), float(p)) for a, p in zip(first, rng.random(n), strict=True)]
+    frags += [("g", "c", 5, 30, None), ("g", "c", 7, 40, float("nan")), ("g", "c", 9, 50, float("inf"))] + [frags[0]] * 50
+    df = spark.createDataFrame(frags, "genome string, contig string, start long, end long, p double").repartition(5)
+    contigs = spark.createDataFrame([("g", "c", size), ("g", "bare", 9), ("g", "none", 0), ("h", "c", 3)], "genome string, contig string, len long")
+    got = genome.genome_map(df, contigs)
+    assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    by_contig = {}
+    for r in got.collect():
+        by_contig.setdefault((r.genome, r.contig), []).append((r.start, r.end, r.score))
+    assert by_contig[("g", "bare")] == [(0, 9, None)] and by_contig[("h", "c")] == [(0, 3, None)] and ("g", "none") not in by_contig
+    found = [None] * size
+    for a, b, score in by_contig[("g", "c")]:
+        found[a:b] = [score] * (b - a)
+    for x in range(size):
+        own = [p for _, _, a, b, p in frags if a <= x < b and p is not None and np.isfinite(p)]
+        assert found[x] == pytest.approx(sum(own) / len(own) - 0.5, abs=2e-12) if own else found[x] is None
+
+
+def test_map_runs_join_equal_neighbours(spark):
+    frags = spark.createDataFrame([("g", "c", a, a + 20, 0.75) for a in range(0, 100, 10)], "genome string, contig string, start long, end long, p double")
+    contigs = spark.createDataFrame([("g", "c", 200)], "genome string, contig string, len long")
+    assert sorted((r.start, r.end, r.score) for r in genome.genome_map(frags, contigs).collect()) == [(0, 110, 0.25), (110, 200, None)]
