@@ -1,6 +1,7 @@
 """Plain versions of the queries' contracts, for small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -145,6 +146,114 @@ def op10(docs, items, window=10):
     return out
 
 
+MASK = (1 << 64) - 1
+
+
+def mixed(h):
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 & MASK
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB & MASK
+    return h ^ h >> 31
+
+
+def bucket_of(gram, buckets):
+    """A polynomial modulo 2**64 over one random symbol for each byte, mixed."""
+    symbols = [mixed((c + 1) * 0x632BE59BD9B4E019 & MASK) for c in gram]
+    return mixed(sum(s * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, s in enumerate(symbols)) & MASK) % buckets
+
+
+def op7_bag(text, buckets):
+    """Share of each bucket: a word's 3- to 5-grams, its ends marked, weigh the root of its number."""
+    words = Counter(re.findall(rb"[a-z0-9\x80-\xff]+", (text or "").encode().lower()))
+    found = Counter()
+    for word, times in words.items():
+        line = b"<" + word + b">"
+        for n in (3, 4, 5):
+            for i in range(len(line) - n + 1):
+                found[bucket_of(line[i : i + n], buckets)] += times**0.5
+    total = sum(found.values())
+    return {b: x / total for b, x in found.items()}
+
+
+def op7_score(text, gram, bias):
+    mean = sum(share * float(gram[b]) for b, share in op7_bag(text, len(gram)).items())
+    return 1 / (1 + math.exp(-min(30, max(-30, mean + bias))))
+
+
+def op7_known(bags, labels, least=3, errors=4.0):
+    """Buckets whose share of toxic texts is ``errors`` standard errors off that of all texts."""
+    rate = sum(labels) / len(labels)
+    known = []
+    for b in sorted({b for bag in bags for b in bag}):
+        own = [y for bag, y in zip(bags, labels, strict=True) if b in bag]
+        spread = math.sqrt(len(own) * rate * (1 - rate))
+        if len(own) >= least and spread > 0 and abs(sum(own) - len(own) * rate) >= errors * spread:
+            known.append(b)
+    return known
+
+
+def op7_train(bags, labels, known, dim, scale, rate, batch, epochs, least_batches, seed):
+    """AdaGrad text by text in double precision: each bucket's part in the log odds, and the bias."""
+    rng = np.random.default_rng(seed)
+    vectors = dict(zip(known, rng.normal(0, 0.003, (len(known), dim)), strict=True))
+    weight, bias = rng.normal(0, 0.1, (dim, 2)), np.zeros(2)
+    seen, seen_w, seen_b = dict.fromkeys(known, 1e-6), np.full((dim, 2), 1e-6), np.full(2, 1e-6)
+    batches = max(1, len(bags) // batch)
+    for _ in range(max(epochs, -(-least_batches // batches))):
+        for some in np.array_split(rng.permutation(len(bags)), batches):
+            grads, grad_w, grad_b = defaultdict(lambda: np.zeros(dim)), np.zeros((dim, 2)), np.zeros(2)
+            for t in some:
+                own = {b: scale * x for b, x in bags[t].items() if b in vectors}
+                hidden = sum((x * vectors[b] for b, x in own.items()), np.zeros(dim))
+                z = np.exp(hidden @ weight + bias)
+                error = z / z.sum() - np.eye(2)[labels[t]]
+                grad_w, grad_b = grad_w + np.outer(hidden, error), grad_b + error
+                for b, x in own.items():
+                    grads[b] += x * (weight @ error)
+            for b, g in grads.items():
+                seen[b] += (g**2).mean()
+                vectors[b] = vectors[b] - rate * g / math.sqrt(seen[b])
+            seen_w, seen_b = seen_w + grad_w**2, seen_b + grad_b**2
+            weight, bias = weight - rate * grad_w / np.sqrt(seen_w), bias - rate * grad_b / np.sqrt(seen_b)
+    return {b: scale * float(v @ (weight[:, 1] - weight[:, 0])) for b, v in vectors.items()}, float(bias[1] - bias[0])
+
+
+def op8_grams(body, buckets):
+    letters = b" " + re.sub(rb"[^a-z\x80-\xff]+", b" ", body.lower()).strip() + b" "
+    return Counter(bucket_of(letters[i : i + 3], buckets) for i in range(len(letters) - 2)) if len(letters) > 3 else Counter()
+
+
+def op8_fit(docs, buckets):
+    """Languages in order, with the log share of each bucket they have, and of one they have not.
+
+    ``docs`` are (doc_id, language, text), all of them learned from: repeats once, by the least text.
+    """
+    one = {}
+    for d, lang, text in docs:
+        if lang is not None and text is not None:
+            one[d, lang] = min(one.get((d, lang), text.encode()), text.encode())
+    counts = defaultdict(Counter)
+    for (_, lang), body in one.items():
+        counts[lang] += op8_grams(body, buckets)
+    model = {}
+    for lang, own in sorted(counts.items()):
+        total = sum(own.values()) + 0.5 * buckets
+        model[lang] = {b: math.log((n + 0.5) / total) for b, n in own.items()}, math.log(0.5 / total)
+    return model
+
+
+def op8_likelihoods(html, model, buckets, evidence):
+    """Log likelihoods of the text less the highest, and their posterior."""
+    body = re.sub(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;", b" ", (html or "").encode())
+    grams = op8_grams(body, buckets)
+    total = sum(grams.values())
+    weight = min(1.0, evidence / total) if total else 0.0
+    ll = [weight * sum(n * own.get(b, none) for b, n in grams.items()) for own, none in model.values()]
+    raised = [math.exp(x - max(ll)) for x in ll]
+    return [x - max(ll) for x in ll], [x / sum(raised) for x in raised]
+
+
 def finite(v):
     return v is not None and all(x is not None and np.isfinite(x) for x in v)
 

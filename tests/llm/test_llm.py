@@ -4,6 +4,7 @@ import math
 import os
 import random
 import sys
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -263,6 +264,26 @@ def test_op7(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_op7_against_a_plain_version(spark, texts):
+    rng = random.Random(4)
+    bad, good = ["idiot", "moron", "stupid"], ["".join(rng.choice("aeioulnrt") for _ in range(rng.randint(2, 8))) for _ in range(80)]
+    rows = [(i, " ".join(rng.choice(good) for _ in range(25)) + (" " + rng.choice(bad) + " IDIOT" if i % 3 == 0 else "")) for i in range(90)]
+    docs = spark.createDataFrame([*rows, (0, "~ a repeated id, later in byte order")], "doc_id long, text string").repartition(4)
+    marked = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows] + [(3, 0)], "doc_id long, toxic int")
+    buckets = 1 << 12
+    model = toxicity.fit(docs, marked, buckets=buckets)
+    learned = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    bags, labels = [brute.op7_bag(t, buckets) for _, t in learned], [int(i % 3 == 0) for i, _ in learned]
+    known = brute.op7_known(bags, labels)
+    gram, bias = brute.op7_train(bags, labels, known, toxicity.DIM, toxicity.SCALE, toxicity.RATE, toxicity.BATCH, toxicity.EPOCHS, toxicity.LEAST_BATCHES, 7)
+    assert known and set(np.flatnonzero(model.gram)) == set(known)
+    largest = max(map(abs, gram.values()))
+    assert all(abs(model.gram[b] - x) < 0.02 * largest for b, x in gram.items()) and model.bias == pytest.approx(bias, rel=0.02)
+    every = [*rows, *((1000 + i, t) for i, (_, t) in enumerate(texts)), (2000, "stupid " * 9999 + "x")]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(every, "doc_id long, text string").repartition(3), model).collect()}
+    assert got == {d: pytest.approx(brute.op7_score(t, model.gram, model.bias), abs=1e-6) for d, t in every}
+
+
 def brute_language(rows, k, strength=5.0):
     """``rows`` are (page_id, host, suffix, declared, ll, soft)."""
     words = len({r[3] for r in rows})
@@ -306,6 +327,25 @@ def test_op8(spark):
     assert guess.where("text_lang = truth").count() / guess.count() > 0.95
 
 
+def test_op8_against_a_plain_version(spark, texts):
+    docs, pages = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "pages"))
+    named = [(r.doc_id, r.lang, r.text) for r in docs.select("doc_id", "lang", "text").collect()]
+    odd = [(-1 - i, f"http://x.org/{i}", t) for i, (_, t) in enumerate(texts)] + [(-1000, "", "<html lang=fr><p>wrong</p><style>p{}</style>the and of")]
+    pages = pages.select("page_id", "url", "html").limit(150).union(spark.createDataFrame(odd, "page_id long, url string, html string")).cache()
+    languages, model = language.fit(docs.unionByName(docs.limit(20)), per_language=1000)
+    plain = brute.op8_fit(named, language.BUCKETS)
+    assert languages == list(plain)
+    for row, (own, none) in zip(model, plain.values(), strict=True):
+        want = np.full(language.BUCKETS, none)
+        want[list(own)] = list(own.values())
+        assert np.allclose(row, want, rtol=1e-9)
+    found = {r.page_id: (r.ll, r.soft) for r in language.likelihoods(pages, languages, model).collect()}
+    for r in pages.collect():
+        ll, soft = brute.op8_likelihoods(r.html, plain, language.BUCKETS, language.EVIDENCE)
+        assert found[r.page_id] == (pytest.approx(ll, abs=1e-6), pytest.approx(soft, abs=1e-6))
+    pages.unpersist()
+
+
 def test_op9_edges(spark, docs, texts, empty):
     ledger = secrets.new_ledger(spark)
     secrets.scan_unseen(docs, ledger)
