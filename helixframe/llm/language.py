@@ -30,8 +30,6 @@ BUCKETS = 1 << 16
 GRAM = 3
 PER_LANGUAGE = 300
 STRENGTH = 5.0
-#: Trigrams of one text overlap; beyond this many its likelihood counts no further.
-EVIDENCE = 200
 _MARK = re.compile(rb"(?i)<|&[a-z#0-9]+;")
 _HIDDEN = re.compile(rb"(?i)<(script|style)\b")
 _CLOSING = {name: re.compile(rb"(?i)</%s\s*>" % name) for name in (b"script", b"style")}
@@ -144,8 +142,7 @@ def likelihoods(pages: DataFrame, languages: list[str], model: np.ndarray) -> Da
             for body in map(np.ndarray.tobytes, as_bytes(batch.column("body"))):
                 said.append(declared_language(body).decode())
                 ids, n = np.unique(grams(without_tags(body)), return_counts=True)
-                total = n.sum()
-                ll = logs[:, ids] @ n * (min(1.0, EVIDENCE / total) if total else 0.0)
+                ll = logs[:, ids] @ n.astype(np.float64)
                 best = ll.max(initial=-np.inf)
                 raised = np.exp(ll - best)
                 lls.append((ll - best).tolist())

@@ -243,13 +243,11 @@ def op8_fit(docs, buckets):
     return model
 
 
-def op8_likelihoods(html, model, buckets, evidence):
+def op8_likelihoods(html, model, buckets):
     """Log likelihoods of the text less the highest, and their posterior."""
     body = re.sub(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;", b" ", (html or "").encode())
     grams = op8_grams(body, buckets)
-    total = sum(grams.values())
-    weight = min(1.0, evidence / total) if total else 0.0
-    ll = [weight * sum(n * own.get(b, none) for b, n in grams.items()) for own, none in model.values()]
+    ll = [sum(n * own.get(b, none) for b, n in grams.items()) for own, none in model.values()]
     raised = [math.exp(x - max(ll)) for x in ll]
     return [x - max(ll) for x in ll], [x / sum(raised) for x in raised]
 

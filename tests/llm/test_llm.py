@@ -341,11 +341,28 @@ def test_op8_against_a_plain_version(spark, texts):
         assert np.allclose(row, want, rtol=1e-9)
     found = {r.page_id: (r.ll, r.soft) for r in language.likelihoods(pages, languages, model).collect()}
     for r in pages.collect():
-        ll, soft = brute.op8_likelihoods(r.html, plain, language.BUCKETS, language.EVIDENCE)
+        ll, soft = brute.op8_likelihoods(r.html, plain, language.BUCKETS)
         assert found[r.page_id] == (pytest.approx(ll, abs=1e-6), pytest.approx(soft, abs=1e-6))
     pages.unpersist()
 
 
+def test_op8_held_out_with_wrong_markup(spark):
+    """Half the documents are learned from; of the others' pages, three in ten declare a wrong language and four in ten none."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").where("lang is not null and text is not null")
+    draw = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(n))
+    languages, model = language.fit(docs.where(draw("half", 2) == 0))
+    names = F.array(*map(F.lit, languages))
+    other = F.element_at(names, (F.pmod(F.array_position(names, F.col("lang")), F.lit(len(languages))) + 1).cast("int"))
+    held = docs.where(draw("half", 2) == 1).withColumn("d", draw("markup", 10)).select(
+        F.col("doc_id").alias("page_id"), F.concat(F.lit("http://h"), draw("host", 20), F.lit(".org/")).alias("url"), F.col("lang").alias("truth"), (F.col("d") < 3).alias("wrong"),
+        F.concat(F.when(F.col("d") < 3, F.concat(F.lit("<html lang="), other, F.lit(">"))).when(F.col("d") < 6, F.concat(F.lit("<html lang="), F.col("lang"), F.lit(">"))).otherwise("<html>"), F.col("text")).alias("html"),
+    )
+    rows = language.identify(held, languages, model).join(held.select("page_id", "truth", "wrong"), "page_id").collect()
+    for some in (rows, [r for r in rows if r.wrong]):
+        assert some and sum(r.lang == r.truth for r in some) / len(some) > 0.95
+        assert sum(r.text_lang == r.truth for r in some) / len(some) > 0.95
+
+
 def test_op9_edges(spark, docs, texts, empty):
     ledger = secrets.new_ledger(spark)
     secrets.scan_unseen(docs, ledger)
