@@ -1,15 +1,16 @@
 """Exact top-k inner-product search by dual-tree traversal of cover trees.
 
-The top level of the tree is shared: a bounded sample of pivots parts queries and data alike into
-cells with known covering radii.  A cell is split into chunks of bounded size, so a hot cell
-spreads over tasks.  Data stay in their chunk; queries are sent to the chunks that may still hold
-one of their best.  There one cover tree over the chunk, built once, and one over each block of
+The top level of the tree is shared: a sample of pivots, which grows with the table up to a bound,
+parts queries and data alike into cells.  A cell that is too large for one task is split into
+chunks: shells by distance from its pivot, each with its own covering radius, and a shell that is
+still too large by hash.  Data stay in their chunk; queries are sent to the chunks that may still
+hold one of their best.  There one cover tree over the chunk, built once, and one over each block of
 arriving queries are traversed together: a pair of nodes is skipped if its bound
 
     <q, d> + |q| R_d + |d| R_q + R_q R_d        (centres q, d; covering radii R)
 
 is below the worst kth score of the queries under the first node.  Queries first meet their own
-cell; the kth scores found there prune whole cells for them before anything is sent.
+cell; the kth scores found there prune whole chunks for them before anything is sent.
 
 Vectors that are null, or hold null or non-finite components, take no part; shorter vectors count
 as padded with zeros; ties go to smaller ids; repeated rows are separate candidates, and a query
@@ -29,8 +30,12 @@ from pyspark.sql import functions as F
 from ._shared import as_numpy, batch_of, materialise
 
 SCALE = 1024
-PIVOTS = 64
 CHUNK = 1 << 15
+#: One pivot for half a chunk's rows; at the upper bound cells grow and shells part them.
+PIVOTS, MOST_PIVOTS = 64, 4096
+#: Shells to a doubling of the distance.
+SHELLS = 4
+ROUTED = 1024
 QUERY_BLOCK = 2048
 LEAF = 512
 
@@ -147,42 +152,84 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & ~bad
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = PIVOTS) -> DataFrame:
-    """``query_id, rank, vec_id, score`` over ``vectors (vec_id long, v array<long>)``."""
+def sampled(tagged: DataFrame, n: int, wanted: int) -> list[list[int]]:
+    """About ``wanted`` of ``n`` rows' vectors, by a hash of id and vector: equal vectors count as often as they occur."""
+    drawn = F.xxhash64("vec_id", "v")
+    rows = tagged
+    if n > 8 * wanted:  # so that few rows are sorted
+        rows = tagged.where(drawn < int(-(2**63) + 2**64 * (4 * wanted / n)))
+    return [r.v for r in rows.select("v", drawn.alias("drawn")).orderBy("drawn", "v").limit(wanted).collect()]
+
+
+def chunks_of(groups: list, size: int) -> list[tuple[int, int, int, int, float]]:
+    """``cell, shell, first part, parts, radius`` of ``groups (cell, shell, n, radius)``: neighbouring shells share a part while it holds at most ``size`` rows."""
+    out, part, held, cell, members = [], 0, 0, None, []
+
+    def close() -> None:
+        nonlocal part, held, members
+        if members:
+            parts = math.ceil(held / size)
+            radius = max(r.radius for r in members) * (1 + 1e-9)
+            out.extend((cell, r.shell, part, parts, radius) for r in members)
+            part += parts
+        held, members = 0, []
+
+    for row in sorted(groups, key=lambda r: (r.cell, r.shell)):
+        if row.cell != cell:
+            close()
+            cell, part = row.cell, 0
+        elif held + row.n > size:
+            close()
+        members.append(row)
+        held += row.n
+    close()
+    return out
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int | None = None) -> DataFrame:
+    """``query_id, rank, vec_id, score`` over ``vectors (vec_id long, v array<long>)``.
+
+    ``pivots`` is one for half a chunk's rows unless given, and within ``PIVOTS`` and ``MOST_PIVOTS``.
+    """
     spark = vectors.sparkSession
     tagged = vectors.select("vec_id", "v", is_query.alias("q"))
     largest = F.max(F.array_max(F.transform("v", F.abs)))
-    dim, top = tagged.agg(F.max(F.size("v")), largest).first()
+    dim, top, n = tagged.agg(F.max(F.size("v")), largest, F.count("*")).first()
     dim, kind = dim or 1, "<i4" if (top or 0) < 1 << 31 else "<i8"
-    sample = tagged.select("v").orderBy(F.xxhash64("v"), "v").limit(pivots).collect()
-    centres = np.array([r.v + [0] * (dim - len(r.v)) for r in sample], np.int64).reshape(-1, dim)
+    pivots = pivots or min(max(PIVOTS, math.ceil(2 * n / CHUNK)), MOST_PIVOTS)
+    centres = np.array([v + [0] * (dim - len(v)) for v in sampled(tagged, n, pivots)], np.int64).reshape(-1, dim)
     centres = np.unique(centres, axis=0) if len(centres) else np.zeros((1, dim), np.int64)
-    shared = spark.sparkContext.broadcast(centres)  # PIVOTS vectors
-    placed_as = pa.schema([("vec_id", pa.int64()), ("q", pa.bool_()), ("cell", pa.int32()), ("away", pa.float64()), ("vec", pa.binary())])
+    shared = spark.sparkContext.broadcast(centres)  # MOST_PIVOTS vectors at most
+    placed_as = pa.schema([("vec_id", pa.int64()), ("q", pa.bool_()), ("cell", pa.int32()), ("shell", pa.int32()), ("away", pa.float64()), ("vec", pa.binary())])
 
     def matrix(column: pa.Array) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim).astype(np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot = shared.value.astype(np.float64)
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in (whole.slice(i, ROUTED) for i in range(0, whole.num_rows, ROUTED)):
                 rows = [x + [0] * (dim - len(x)) for x in batch.column("v").to_pylist()]
                 v = np.array(rows, kind).reshape(-1, dim)
                 f = v.astype(np.float64)
                 cell = np.argmin((pivot**2).sum(1)[None, :] - 2 * f @ pivot.T, axis=1)
                 away = np.linalg.norm(f - pivot[cell], axis=1)
-                yield batch_of(placed_as, [batch.column("vec_id"), batch.column("q"), cell.astype(np.int32), away, [x.tobytes() for x in v]])
+                shell = np.floor(SHELLS * np.log2(away + 1)).astype(np.int32)
+                yield batch_of(placed_as, [batch.column("vec_id"), batch.column("q"), cell.astype(np.int32), shell, away, [x.tobytes() for x in v]])
 
-    placed = tagged.mapInArrow(place, "vec_id long, q boolean, cell int, away double, vec binary")
+    placed = tagged.mapInArrow(place, "vec_id long, q boolean, cell int, shell int, away double, vec binary")
     placed = materialise(placed.withColumn("row", F.monotonically_increasing_id()), "cells")
-    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()  # PIVOTS rows
-    parts = {r.cell: math.ceil(r.n / CHUNK) for r in stats}
-    radii = {r.cell: r.radius * (1 + 1e-9) for r in stats}
-    split = F.create_map(*(F.lit(x) for kv in parts.items() for x in kv)) if parts else F.create_map(F.lit(0), F.lit(1))
+    groups = placed.groupBy("cell", "shell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()  # some shells a pivot
+    chunks = chunks_of(groups, CHUNK)
+    where = spark.createDataFrame(chunks, "cell int, shell int, first int, parts int, radius double")
+    listed = sorted({(cell, first, parts, radius) for cell, _, first, parts, radius in chunks})  # chunks of one radius in a row
+    of_cell, first_part, n_parts = (np.array([x[i] for x in listed], np.int32) for i in range(3))
+    radii = np.array([x[3] for x in listed])
+    step = max(1, min(ROUTED, (1 << 22) // max(1, len(listed))))
     none = F.lit(float("-inf"))
     # a data row's kth score is null; so it comes before the queries of its chunk
-    data = placed.select("cell", F.pmod(F.xxhash64("row"), split[F.col("cell")]).cast("int").alias("part"), "row", "vec_id", "vec", F.lit(None).cast("double").alias("worst"))
+    part = (F.col("first") + F.pmod(F.xxhash64("row"), "parts")).cast("int").alias("part")
+    data = placed.join(F.broadcast(where), ["cell", "shell"]).select("cell", part, "row", "vec_id", "vec", F.lit(None).cast("double").alias("worst"))
     queries = placed.where("q").select("cell", "row", "vec_id", "vec")
     names, ddl = ["cell", "part", "row", "vec_id", "vec", "worst"], "cell int, part int, row long, vec_id long, vec binary, worst double"
     routed_as = pa.schema([("cell", pa.int32()), ("part", pa.int32()), ("row", pa.int64()), ("vec_id", pa.int64()), ("vec", pa.binary()), ("worst", pa.float64())])
@@ -191,19 +238,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = PIVOT
     def route(at_home: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pivot = shared.value.astype(np.float64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                cells, worst = as_numpy(batch.column("cell")), as_numpy(batch.column("worst"))
-                f = matrix(batch.column("vec")).astype(np.float64)
-                norm = np.linalg.norm(f, axis=1)
-                for cell, n in parts.items():
-                    limit = f @ pivot[cell] + norm * radii[cell]
-                    go = cells == cell if at_home else (cells != cell) & (limit + 1e-9 * np.abs(limit) + 1e-6 >= worst)
-                    own = batch.filter(pa.array(go))
-                    for part in range(n if own.num_rows else 0):
-                        m = own.num_rows
-                        yield batch_of(routed_as, [np.full(m, cell, np.int32), np.full(m, part, np.int32), *(own.column(c) for c in names[2:])])
+            for whole in batches:
+                for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                    cells, worst = as_numpy(batch.column("cell")), as_numpy(batch.column("worst"))
+                    go = cells[:, None] == of_cell[None, :]
+                    if not at_home:
+                        f = matrix(batch.column("vec")).astype(np.float64)
+                        limit = (f @ pivot.T)[:, of_cell] + np.linalg.norm(f, axis=1)[:, None] * radii[None, :]
+                        go = ~go & (limit + 1e-9 * np.abs(limit) + 1e-6 >= worst[:, None])
+                    of, to = np.nonzero(go)
+                    for i in range(0, len(of), ROUTED):
+                        times = n_parts[to[i : i + ROUTED]]
+                        group = np.repeat(to[i : i + ROUTED], times)
+                        part = first_part[group] + np.arange(len(group)) - np.repeat(np.cumsum(times) - times, times)
+                        sent = batch.take(pa.array(np.repeat(of[i : i + ROUTED], times)))
+                        yield batch_of(routed_as, [of_cell[group], part.astype(np.int32), *(sent.column(c) for c in names[2:])])
 
         return run
 

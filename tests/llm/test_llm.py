@@ -1,5 +1,6 @@
 """Each numbered operator against a plain version: edge rows, the small tables, and its parts."""
 
+import collections
 import math
 import os
 import random
@@ -171,6 +172,27 @@ def test_op3_edges(spark):
     assert dual_tree.top_k(prepared.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_op3_large_cells_become_shells(spark, monkeypatch):
+    """Cells of several shells, a shell of equal vectors that only a hash can part, few pivots and many."""
+    monkeypatch.setattr(dual_tree, "CHUNK", 40)
+    rng = np.random.default_rng(8)
+    centre = rng.normal(0, 20, (5, 4))
+    rows = [(i, (centre[i % 5] + rng.normal(0, 0.1 + i % 7, 4)).tolist()) for i in range(400)] + [(400 + i, [3.0, 1.0, 2.0, 1.0]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    prepared = df.select("vec_id", dual_tree.quantised(F.col("embedding")).alias("v"))
+    expected = brute.op3([(r.vec_id, r.embedding) for r in df.collect()], lambda i: i % 20 == 0)
+    for pivots in (1, 3, None):
+        same(dual_tree.top_k(prepared, F.col("vec_id") % 20 == 0, pivots=pivots), expected)
+
+
+def test_op3_chunks_cover_all_rows():
+    Group = collections.namedtuple("Group", "cell shell n radius")
+    groups = [Group(0, 3, 10, 5.0), Group(0, 1, 4, 1.0), Group(0, 2, 5, 2.0), Group(2, 7, 95, 9.0)]
+    found = [(c, s, first, parts) for c, s, first, parts, _ in dual_tree.chunks_of(groups, 10)]
+    assert found == [(0, 1, 0, 1), (0, 2, 0, 1), (0, 3, 1, 1), (2, 7, 0, 10)]
+    assert dual_tree.chunks_of([], 10) == []
+
+
 def test_op3_prunes_and_stays_exact(monkeypatch):
     monkeypatch.setattr(dual_tree, "LEAF", 8)
     rng = np.random.default_rng(6)
