@@ -1,10 +1,11 @@
 """Exact top-k inner-product search by dual-tree traversal of cover trees.
 
-The top level of the tree is shared: a sample of pivots, which grows with the table up to a bound,
-parts queries and data alike into cells.  A cell that is too large for one task is split into
-chunks: shells by distance from its pivot, each with its own covering radius, and a shell that is
-still too large by hash.  Data stay in their chunk; queries are sent to the chunks that may still
-hold one of their best.  There one cover tree over the chunk, built once, and one over each block of
+The top two levels of the tree are shared: a sample of pivots, which grows with the table up to a
+bound, parts queries and data alike into small cells, and these into shells by distance from the
+pivot, each with its own covering radius.  Neighbouring shells and cells are packed into chunks of
+a task's size; a shell that is larger spreads over tasks by hash.  Data stay in their chunk; a query is
+sent once to each chunk of which any shell may still hold one of its best.
+There one cover tree over the chunk, built once, and one over each block of
 arriving queries are traversed together: a pair of nodes is skipped if its bound
 
     <q, d> + |q| R_d + |d| R_q + R_q R_d        (centres q, d; covering radii R)
@@ -31,8 +32,10 @@ from ._shared import as_numpy, batch_of, materialise
 
 SCALE = 1024
 CHUNK = 1 << 15
-#: One pivot for half a chunk's rows; at the upper bound cells grow and shells part them.
-PIVOTS, MOST_PIVOTS = 64, 4096
+#: Small tables are dealt to about so many chunks all the same.
+TASKS = 64
+#: A pivot for so many rows; at the upper bound cells grow with the table.
+CELL, PIVOTS, MOST_PIVOTS = 256, 64, 4096
 #: Shells to a doubling of the distance.
 SHELLS = 4
 ROUTED = 1024
@@ -161,42 +164,41 @@ def sampled(tagged: DataFrame, n: int, wanted: int) -> list[list[int]]:
     return [r.v for r in rows.select("v", drawn.alias("drawn")).orderBy("drawn", "v").limit(wanted).collect()]
 
 
-def chunks_of(groups: list, size: int) -> list[tuple[int, int, int, int, float]]:
-    """``cell, shell, first part, parts, radius`` of ``groups (cell, shell, n, radius)``: neighbouring shells share a part while it holds at most ``size`` rows."""
-    out, part, held, cell, members = [], 0, 0, None, []
-
-    def close() -> None:
-        nonlocal part, held, members
-        if members:
-            parts = math.ceil(held / size)
-            radius = max(r.radius for r in members) * (1 + 1e-9)
-            out.extend((cell, r.shell, part, parts, radius) for r in members)
-            part += parts
-        held, members = 0, []
-
-    for row in sorted(groups, key=lambda r: (r.cell, r.shell)):
-        if row.cell != cell:
-            close()
-            cell, part = row.cell, 0
-        elif held + row.n > size:
-            close()
-        members.append(row)
+def neighbours_first(centres: np.ndarray) -> np.ndarray:
+    """Each pivot's place in an order that keeps near ones together: by the nearest of a few, then by distance from it."""
+    f = centres.astype(np.float64)
+    few = f[:: math.isqrt(max(1, len(f) - 1)) + 1]
+    square = (f**2).sum(1)[:, None] + (few**2).sum(1)[None, :] - 2 * f @ few.T
+    place = np.empty(len(f), np.int64)
+    place[np.lexsort((square.min(1), square.argmin(1)))] = np.arange(len(f))
+    return place
+
+
+def chunks_of(groups: list, place: np.ndarray, size: int) -> list[tuple[int, int, int, int, float]]:
+    """``cell, shell, chunk, parts, radius`` of ``groups (cell, shell, n, radius)``.
+
+    Neighbours share a chunk while it holds at most ``size`` rows; one that holds more has a chunk of several parts.
+    """
+    out, chunk, held = [], -1, size
+    for row in sorted(groups, key=lambda r: (place[r.cell], r.shell)):
+        if held + row.n > size:
+            chunk, held = chunk + 1, 0
         held += row.n
-    close()
+        out.append((row.cell, row.shell, chunk, math.ceil(row.n / size) if row.n > size else 1, row.radius * (1 + 1e-9)))
     return out
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score`` over ``vectors (vec_id long, v array<long>)``.
 
-    ``pivots`` is one for half a chunk's rows unless given, and within ``PIVOTS`` and ``MOST_PIVOTS``.
+    ``pivots`` is one for ``CELL`` rows unless given, and within ``PIVOTS`` and ``MOST_PIVOTS``.
     """
     spark = vectors.sparkSession
     tagged = vectors.select("vec_id", "v", is_query.alias("q"))
     largest = F.max(F.array_max(F.transform("v", F.abs)))
     dim, top, n = tagged.agg(F.max(F.size("v")), largest, F.count("*")).first()
     dim, kind = dim or 1, "<i4" if (top or 0) < 1 << 31 else "<i8"
-    pivots = pivots or min(max(PIVOTS, math.ceil(2 * n / CHUNK)), MOST_PIVOTS)
+    pivots = pivots or min(max(PIVOTS, math.ceil(n / CELL)), MOST_PIVOTS)
     centres = np.array([v + [0] * (dim - len(v)) for v in sampled(tagged, n, pivots)], np.int64).reshape(-1, dim)
     centres = np.unique(centres, axis=0) if len(centres) else np.zeros((1, dim), np.int64)
     shared = spark.sparkContext.broadcast(centres)  # MOST_PIVOTS vectors at most
@@ -220,19 +222,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int | None
     placed = tagged.mapInArrow(place, "vec_id long, q boolean, cell int, shell int, away double, vec binary")
     placed = materialise(placed.withColumn("row", F.monotonically_increasing_id()), "cells")
     groups = placed.groupBy("cell", "shell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()  # some shells a pivot
-    chunks = chunks_of(groups, CHUNK)
-    where = spark.createDataFrame(chunks, "cell int, shell int, first int, parts int, radius double")
-    listed = sorted({(cell, first, parts, radius) for cell, _, first, parts, radius in chunks})  # chunks of one radius in a row
-    of_cell, first_part, n_parts = (np.array([x[i] for x in listed], np.int32) for i in range(3))
-    radii = np.array([x[3] for x in listed])
-    step = max(1, min(ROUTED, (1 << 22) // max(1, len(listed))))
+    chunks = chunks_of(groups, neighbours_first(centres), min(CHUNK, max(1, math.ceil(n / TASKS))))
+    where = spark.createDataFrame(chunks, "own_cell int, shell int, chunk int, parts int, radius double").drop("radius")
+    of_cell, of_chunk, n_parts = (np.array([x[i] for x in chunks], np.int32) for i in (0, 2, 3))
+    radii, at = np.array([x[4] for x in chunks]), np.flatnonzero(np.diff(of_chunk, prepend=-1))  # where each chunk begins
+    step = max(1, min(ROUTED, (1 << 22) // max(1, len(chunks))))
     none = F.lit(float("-inf"))
     # a data row's kth score is null; so it comes before the queries of its chunk
-    part = (F.col("first") + F.pmod(F.xxhash64("row"), "parts")).cast("int").alias("part")
-    data = placed.join(F.broadcast(where), ["cell", "shell"]).select("cell", part, "row", "vec_id", "vec", F.lit(None).cast("double").alias("worst"))
+    part = F.pmod(F.xxhash64("row"), "parts").cast("int").alias("part")
+    kept = placed.withColumnRenamed("cell", "own_cell").join(F.broadcast(where), ["own_cell", "shell"])  # a row for some shells a pivot
+    data = kept.select("chunk", part, "row", "vec_id", "vec", F.lit(None).cast("double").alias("worst"))
     queries = placed.where("q").select("cell", "row", "vec_id", "vec")
-    names, ddl = ["cell", "part", "row", "vec_id", "vec", "worst"], "cell int, part int, row long, vec_id long, vec binary, worst double"
-    routed_as = pa.schema([("cell", pa.int32()), ("part", pa.int32()), ("row", pa.int64()), ("vec_id", pa.int64()), ("vec", pa.binary()), ("worst", pa.float64())])
+    names, ddl = ["chunk", "part", "row", "vec_id", "vec", "worst"], "chunk int, part int, row long, vec_id long, vec binary, worst double"
+    routed_as = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("row", pa.int64()), ("vec_id", pa.int64()), ("vec", pa.binary()), ("worst", pa.float64())])
     found_as = pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def route(at_home: bool):
@@ -241,18 +243,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int | None
             for whole in batches:
                 for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
                     cells, worst = as_numpy(batch.column("cell")), as_numpy(batch.column("worst"))
-                    go = cells[:, None] == of_cell[None, :]
+                    go = np.logical_or.reduceat(cells[:, None] == of_cell[None, :], at, axis=1)
                     if not at_home:
                         f = matrix(batch.column("vec")).astype(np.float64)
                         limit = (f @ pivot.T)[:, of_cell] + np.linalg.norm(f, axis=1)[:, None] * radii[None, :]
-                        go = ~go & (limit + 1e-9 * np.abs(limit) + 1e-6 >= worst[:, None])
+                        go = ~go & np.logical_or.reduceat(limit + 1e-9 * np.abs(limit) + 1e-6 >= worst[:, None], at, axis=1)
                     of, to = np.nonzero(go)
                     for i in range(0, len(of), ROUTED):
-                        times = n_parts[to[i : i + ROUTED]]
-                        group = np.repeat(to[i : i + ROUTED], times)
-                        part = first_part[group] + np.arange(len(group)) - np.repeat(np.cumsum(times) - times, times)
+                        times = n_parts[at[to[i : i + ROUTED]]]
+                        chunk = np.repeat(to[i : i + ROUTED], times).astype(np.int32)
+                        part = np.arange(len(chunk)) - np.repeat(np.cumsum(times) - times, times)
                         sent = batch.take(pa.array(np.repeat(of[i : i + ROUTED], times)))
-                        yield batch_of(routed_as, [of_cell[group], part.astype(np.int32), *(sent.column(c) for c in names[2:])])
+                        yield batch_of(routed_as, [chunk, part.astype(np.int32), *(sent.column(c) for c in names[2:])])
 
         return run
 
@@ -276,7 +278,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int | None
             waiting.clear()
 
         for batch in batches:
-            chunk = as_numpy(batch.column("cell")).astype(np.int64) << 32 | as_numpy(batch.column("part"))
+            chunk = as_numpy(batch.column("chunk")).astype(np.int64) << 32 | as_numpy(batch.column("part"))
             row, vec_id, worst = (as_numpy(batch.column(c)) for c in ("row", "vec_id", "worst"))
             is_data = np.array(batch.column("worst").is_null())
             change = np.flatnonzero((chunk[1:] != chunk[:-1]) | (is_data[1:] != is_data[:-1])) + 1
@@ -298,8 +300,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int | None
         yield from ask()
 
     def compared(asked: DataFrame, at_home: bool) -> DataFrame:
-        sent = asked.withColumn("part", F.lit(0)).select(*names).mapInArrow(route(at_home), ddl)
-        met = data.select(*names).unionByName(sent).repartition("cell", "part").sortWithinPartitions("cell", "part", F.asc_nulls_first("worst"))
+        sent = asked.select("cell", *names[2:]).mapInArrow(route(at_home), ddl)
+        met = data.select(*names).unionByName(sent).repartition("chunk", "part").sortWithinPartitions("chunk", "part", F.asc_nulls_first("worst"))
         return met.mapInArrow(meet, "row long, query_id long, vec_id long, score long")
 
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")

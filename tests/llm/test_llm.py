@@ -187,10 +187,12 @@ def test_op3_large_cells_become_shells(spark, monkeypatch):
 
 def test_op3_chunks_cover_all_rows():
     Group = collections.namedtuple("Group", "cell shell n radius")
-    groups = [Group(0, 3, 10, 5.0), Group(0, 1, 4, 1.0), Group(0, 2, 5, 2.0), Group(2, 7, 95, 9.0)]
-    found = [(c, s, first, parts) for c, s, first, parts, _ in dual_tree.chunks_of(groups, 10)]
-    assert found == [(0, 1, 0, 1), (0, 2, 0, 1), (0, 3, 1, 1), (2, 7, 0, 10)]
-    assert dual_tree.chunks_of([], 10) == []
+    groups = [Group(0, 3, 10, 5.0), Group(0, 1, 4, 1.0), Group(0, 2, 5, 2.0), Group(2, 7, 95, 9.0), Group(1, 1, 6, 3.0)]
+    found = [(c, s, chunk, parts) for c, s, chunk, parts, _ in dual_tree.chunks_of(groups, np.array([1, 0, 2]), 10)]
+    assert found == [(1, 1, 0, 1), (0, 1, 0, 1), (0, 2, 1, 1), (0, 3, 2, 1), (2, 7, 3, 10)]
+    assert dual_tree.chunks_of([], np.array([0]), 10) == []
+    near = dual_tree.neighbours_first(np.array([[0], [100], [1], [101], [2]]))
+    assert sorted(near) == [0, 1, 2, 3, 4] and abs(near[1] - near[3]) == 1
 
 
 def test_op3_prunes_and_stays_exact(monkeypatch):
