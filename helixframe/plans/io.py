@@ -27,7 +27,7 @@ def _fasta_trip(s, d):
     path = scratch(s, "fasta")
     gc = F.expr("(length(seq) - length(replace(seq, 'G', ''))) / 1000.0D")
     I.write_fasta(X.contigs(s, d).where("len > 0"), path, I.score_header(F.concat(F.lit("c"), F.col("contig")), gc))
-    title = F.regexp_extract("title", r"^c(\d+) \| pp=\d\.\d{3}$", 1)
+    title = F.regexp_extract("title", r"^c(\d+) \| pp=\d+\.\d{3}$", 1)
     return I.read_fasta(s, path, "all").select(title.cast("long").alias("contig"), F.length("seq").cast("long").alias("len"), F.md5("seq").alias("digest"))
 
 
