@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -73,23 +74,34 @@ DENSE = 6
 LONGEST = 31
 
 
-def rolling_codes(letters: np.ndarray, k: int, folded: bool = False) -> np.ndarray:
-    """Codes of two bits a letter (0 to 3) of all k-mers without other letters, in order.
+def code_windows(letters: np.ndarray, k: int, folded: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A code of two bits a letter (0 to 3) for each place where a k-mer may start, and whether it has no other letter.
 
     ``folded`` codes a k-mer and its reverse complement alike, by the lesser of the two.
     """
     n = len(letters) - k + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     other = np.concatenate([[0], np.cumsum(letters > 3)])
-    good = other[k:] == other[:-k]
     code, back = np.zeros(n, np.int64), np.zeros(n, np.int64)
     two = np.minimum(letters, 3).astype(np.int64)
     for j in range(k):
         code = code << 2 | two[j : j + n]
         if folded:
             back |= (3 - two[j : j + n]) << 2 * j
-    return (np.minimum(code, back) if folded else code)[good]
+    return np.minimum(code, back) if folded else code, other[k:] == other[:-k]
+
+
+def rolling_codes(letters: np.ndarray, k: int, folded: bool = False) -> np.ndarray:
+    """Codes of all k-mers without other letters, in order."""
+    code, good = code_windows(letters, k, folded)
+    return code[good]
+
+
+def _letter_codes() -> np.ndarray:
+    letter = np.full(256, 4, np.uint8)
+    letter[[ord(b) for b in BASES]] = range(4)
+    return letter
 
 
 def kmer_codes(reads: DataFrame, k: int, folded: bool = False, piece: int = PIECE, key: str = "read_id") -> DataFrame:
@@ -100,8 +112,7 @@ def kmer_codes(reads: DataFrame, k: int, folded: bool = False, piece: int = PIEC
     """
     if not 1 <= k <= LONGEST:
         raise ValueError(f"k is from 1 to {LONGEST}")
-    letter = np.full(256, 4, np.uint8)
-    letter[[ord(b) for b in BASES]] = range(4)
+    letter = _letter_codes()
     source = reads.where("seq is not null").select(key, F.col("seq").cast("binary").alias("seq"))
     first = to_arrow_schema(source.schema).field(0)
     schema = pa.schema([first, ("code", pa.int64()), ("n", pa.int64())])
@@ -153,14 +164,65 @@ def kmer_features(reads: DataFrame, k: int) -> DataFrame:
     return kmer_codes(reads, k).select("read_id", kmer_text(F.col("code"), k).alias("kmer"), "n")
 
 
-def hashed_features(reads: DataFrame, k: int, size: int, key: str = "read_id") -> DataFrame:
-    """``key, features``: sparse vectors of each read's k-mer shares, both strands folded, hashed to ``size`` places.
+def hashed_features(reads: DataFrame, k: int, size: int, key: str = "read_id", keep: Sequence[str] = ()) -> DataFrame:
+    """``key, *keep, features``: sparse vectors of each read's k-mer shares, both strands folded, hashed to ``size`` places.
 
-    Assembled from the long table of counts: codes that share a place are added up, and a read's
-    places, ``size`` at most, are collected in order.  Reads without a k-mer have no row.
+    k-mers up to ``DENSE`` have a table of their places, so a read's vector is made where the read is
+    and no count is shuffled; longer ones go through the long table of counts, and keys must be
+    unique.  Reads without a k-mer have no row.
     """
-    place = F.pmod(F.xxhash64("code"), F.lit(size)).cast("int").alias("place")
-    cells = kmer_codes(reads, k, folded=True, key=key).groupBy(key, place).agg(F.sum("n").cast("double").alias("n"))
+    dense = _dense_shares(reads, k, size, key, keep) if k <= DENSE else _shuffled_shares(reads, k, size, key, keep)
+    # the assembler keeps a vector sparse where that is smaller
+    return VectorAssembler(inputCols=["__v"], outputCol="features").transform(dense.select(key, *keep, array_to_vector("dense").alias("__v"))).drop("__v")
+
+
+def _place(size: int) -> Column:
+    return F.pmod(F.xxhash64("code"), F.lit(size)).cast("int").alias("place")
+
+
+def _dense_shares(reads: DataFrame, k: int, size: int, key: str, keep: Sequence[str]) -> DataFrame:
+    """``key, *keep, dense`` by blocks of sequences, each with at most ``PIECE`` letters looked at together."""
+    table = reads.sparkSession.range(4**k).withColumnRenamed("id", "code").select("code", _place(size)).collect()  # 4 ** DENSE at most
+    places = np.array([r["place"] for r in sorted(table)])
+    letter = _letter_codes()
+    source = reads.where("seq is not null").select(key, *keep, F.col("seq").cast("binary").alias("seq"))
+    fields = list(to_arrow_schema(source.schema))[:-1]
+    schema = pa.schema([*fields, ("dense", pa.list_(pa.float64()))])
+    step = max(1, (1 << 20) // size)
+
+    def shares(seqs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Counts by row and place, and each row's k-mers."""
+        letters = letter[np.frombuffer(b"".join(seqs.to_pylist()), np.uint8)]
+        edge = np.concatenate([[0], np.cumsum(pc.binary_length(seqs).to_numpy(zero_copy_only=False))])
+        cells = np.zeros((len(seqs), size))
+        for at in range(0, len(letters) - k + 1, PIECE):
+            code, good = code_windows(letters[at : at + PIECE + k - 1], k, True)
+            start = at + np.arange(len(code))
+            row = np.searchsorted(edge, start, "right") - 1
+            good &= start + k <= edge[row + 1]
+            first, last = row[0], row[-1] + 1
+            own = (row[good] - first) * size + places[code[good]]
+            cells[first:last] += np.bincount(own, minlength=(last - first) * size).reshape(-1, size)
+        return cells, cells.sum(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                cells, total = shares(part.column(len(fields)))
+                some = np.flatnonzero(total)
+                flat = (cells[some] / total[some, None]).ravel()
+                dense = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * size), pa.array(flat))
+                own = part.take(pa.array(some)).columns[: len(fields)]
+                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(own, fields, strict=True)), dense], schema=schema)
+
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema[:-1])
+    return source.mapInArrow(run, f"{ddl}, dense array<double>")
+
+
+def _shuffled_shares(reads: DataFrame, k: int, size: int, key: str, keep: Sequence[str]) -> DataFrame:
+    """As ``_dense_shares``: codes that share a place are added up, and a read's places, ``size`` at most, are collected."""
+    cells = kmer_codes(reads, k, folded=True, key=key).groupBy(key, _place(size)).agg(F.sum("n").cast("double").alias("n"))
     rows = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("cells"), F.sum("n").alias("total"))
     of = rows.select(key, F.col("cells.place").alias("places"), F.transform("cells", lambda c: c["n"] / F.col("total")).alias("shares"))
     first = to_arrow_schema(of.schema).field(0)
@@ -179,8 +241,7 @@ def hashed_features(reads: DataFrame, k: int, size: int, key: str = "read_id") -
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(first.type), dense], schema=schema)
 
     dense = of.mapInArrow(spread, f"{key} {of.schema[0].dataType.simpleString()}, dense array<double>")
-    # the assembler keeps a vector sparse where that is smaller
-    return VectorAssembler(inputCols=["__v"], outputCol="features").transform(dense.select(key, array_to_vector("dense").alias("__v"))).drop("__v")
+    return dense.join(reads.select(key, *keep), key) if keep else dense
 
 
 def label_features(features: DataFrame, labels: DataFrame, accession: str) -> DataFrame:

@@ -133,9 +133,9 @@ def _forest(s, d):
 
 
 def _kmer_rows(s, d):
-    """Hashed k-mer vectors of labelled reads, stored: the forest reads them again for every tree level."""
+    """Hashed k-mer vectors of labelled reads, stored: forests read them several times."""
     reads = X.reads(s, d).join(X.labels(s, d).select("contig", "label"), "contig")
-    return stored(R.hashed_features(reads, 4, 256).join(reads.select("read_id", "contig", "label"), "read_id"), "kmer-vectors")
+    return stored(R.hashed_features(reads, 4, 256, keep=("contig", "label")), "kmer-vectors")
 
 
 def _kmer_forest(s, d):

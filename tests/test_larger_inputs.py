@@ -1,12 +1,15 @@
 """What only larger or odder tables show: titles, forms of results and plans that must not grow beyond their input."""
 
+import glob
 import random
 import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.plans import catalog
+from helixframe.functions import seq
+from helixframe.operators import score
+from helixframe.plans import catalog, sequences
 
 SF = "/root/testdata/sf0.001"
 QUERIES = catalog.queries()
@@ -29,3 +32,58 @@ def test_fasta_titles_of_long_contigs(spark, tables):
     texts = {1: "g" * 12_345 + "a", 2: "acg", 3: ""}
     replace(spark, tables, "documents", spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long"))
     assert sorted(tuple(r)[:2] for r in QUERIES["src_fasta"](spark, str(tables)).collect()) == [(1, 12_346), (2, 3)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("piece", (7, 1 << 18))
+def test_short_kmers_make_vectors_without_a_shuffle(spark, monkeypatch, piece):
+    monkeypatch.setattr(score, "PIECE", piece)
+    rng = random.Random(3)
+    data = [(i, f"k{i}", "".join(rng.choices("ACGTNacx", [9, 9, 9, 9, 1, 1, 1, 1], k=rng.randrange(0, 90)))) for i in range(60)] + [(60, "k", None), (61, "k", "ACG")]
+    df = spark.createDataFrame(data, "read_id long, mark string, seq string")
+    got = score.hashed_features(df, 4, 32, keep=("mark",))
+    assert "Exchange" not in plan(got)
+    monkeypatch.setattr(score, "DENSE", 3)
+    want = score.hashed_features(df, 4, 32, keep=("mark",))
+    spelled = lambda x: sorted((r.read_id, r.mark, tuple(r.features.toArray())) for r in x.collect())
+    assert spelled(got) == spelled(want) and got.count() > 40
+
+
+def test_one_hot_text(spark):
+    df = spark.createDataFrame([("ACGTN",), ("acxg",), ("",), ("A" * 9,), ("é\n😀T",), (None,)], "seq string")
+    arrays = F.array_join(F.transform(seq.flatten_one_hot(seq.one_hot(F.col("seq"), 6)), lambda x: x.cast("string")), "")
+    json = F.to_json(seq.one_hot(F.col("seq"), 6))
+    text = F.concat(F.lit("["), F.rtrim(seq.one_hot_text(F.col("seq"), 6, *sequences._JSON), F.lit(",")), F.lit("]"))
+    for a, b, c, d in df.select(arrays, seq.one_hot_text(F.col("seq"), 6), json, text).collect():
+        assert a == b and c == d
+    assert "lambda" not in plan(QUERIES["seq_flatten"](spark, SF)) + plan(QUERIES["seq_encode"](spark, SF))
+
+
+def test_largest_prefixes_sort_no_reads(spark):
+    df = spark.createDataFrame([("a", "ACGT"), ("a", "AT"), ("a", "ATAA"), ("b", "C"), ("b", "")], "genome string, seq string")
+    got = {(r.genome, r.k): (r.n, r.seq) for r in seq.subreads(seq.largest_read(df, "genome"), [1, 3]).collect()}
+    assert got == {("a", 1): (3, "A"), ("a", 3): (3, "ATA"), ("b", 1): (2, "C"), ("b", 3): (2, "C")}
+    shown = plan(QUERIES["seq_subread"](spark, SF))
+    assert "SortAggregate" not in shown and "Sort [" not in shown
+
+
+def folders(spark, name):
+    return set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/{name}-*"))
+
+
+def test_fastq_is_written_compressed(spark):
+    old = folders(spark, "fastq")
+    QUERIES["src_fastq"](spark, SF)
+    (new,) = folders(spark, "fastq") - old
+    parts = glob.glob(f"{new}/part-*")
+    assert parts and all(x.endswith(".gz") for x in parts)
+
+
+@pytest.mark.parametrize("name", ("rf_baseline", "rf_folds"))
+def test_forests_read_stored_counts(spark, name):
+    old = folders(spark, "base-counts")
+    shown = plan(QUERIES[name](spark, SF))
+    assert folders(spark, "base-counts") - old and "documents" not in shown
