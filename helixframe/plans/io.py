@@ -107,7 +107,7 @@ def _contrib_trip(s, d):
 
 def _fastq_trip(s, d):
     path = scratch(s, "fastq")
-    X.reads(s, d).select(F.concat(F.lit("@r"), "read_id", F.lit("\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("@"), F.length("seq")))).write.text(path)
+    X.reads(s, d).select(F.concat(F.lit("@r"), "read_id", F.lit("\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("@"), F.length("seq")))).write.text(path, compression="gzip")
     return I.read_fastq(s, f"{path}/part-*", 200, 10, 60).select(F.substring("title", 2, 20).cast("long").alias("read_id"), "seq")
 
 
