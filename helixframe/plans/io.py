@@ -121,13 +121,18 @@ def _linear_scorer():
     return lambda x: 1 / (1 + np.exp(0.2 - x.sum(1, dtype=np.float64) @ weights / X.LENGTH))
 
 
+def _count_rows(s, d, of):
+    """Base counts of the reads of some contigs, stored: forests read them several times."""
+    return stored(X.base_counts(s, d).join(of, "contig"), "base-counts")
+
+
 def _folds(s, d):
     folds = S.species_folds(X.labels(s, d), 3, 0.1, 1, key="contig").select("contig", "label", "fold")
-    return R.forest_by_fold(X.base_counts(s, d).join(folds, "contig"), ["a", "c", "g", "t"], 3, "read_id", "label")
+    return R.forest_by_fold(_count_rows(s, d, folds), ["a", "c", "g", "t"], 3, "read_id", "label")
 
 
 def _forest(s, d):
-    rows = X.base_counts(s, d).join(X.labels(s, d), "contig")
+    rows = _count_rows(s, d, X.labels(s, d))
     features = ["a", "c", "g", "t"]
     return R.predict_forest(R.train_forest(rows.where("contig % 5 <> 0"), features), rows, "read_id", "label")
 
