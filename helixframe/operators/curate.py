@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import dealt, stored
 
 
 def filter_genomes(df: DataFrame, keep: dict[str, str], drop_empty: Sequence[str]) -> DataFrame:
@@ -110,19 +110,34 @@ def extend_by_names(selected: DataFrame, candidates: DataFrame) -> DataFrame:
     """
     plain = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"strain=|-|\s+", ""))
     theirs = candidates.select("assembly", "organism", F.col("project").alias("__p"), F.col("infraspecific").alias("__i"))
-    by_organism = selected.join(theirs, "organism").select("link", "assembly", F.coalesce(F.col("project") == F.col("__p"), F.lit(False)).alias("__same"))
     strained = selected.where(F.coalesce(F.col("strain"), F.lit("")) != "").withColumn("organism", F.trim(F.concat_ws(" ", "species", "strain")))
-    by_strain = strained.join(theirs, "organism")
-    seen = by_strain.select("assembly").distinct().withColumn("__seen", F.lit(True))
-    first = by_organism.join(seen, "assembly", "left").select(
-        "link", "assembly", (F.col("__same") | F.coalesce("__seen", F.lit(False))).alias("linked_by_project"), F.lit(True).alias("linked_by_organism")
+    # what is known of an assembly by its rows: links are only joined where they come out
+    linked = theirs.join(selected.select("organism").distinct(), "organism", "left_semi").select("assembly").distinct()
+    seen = theirs.join(strained.select("organism").distinct(), "organism", "left_semi").select("assembly").distinct()
+    known = theirs.join(seen.withColumn("__seen", F.lit(True)), "assembly", "left")
+    first = _salted(selected.select("link", "organism", "project"), known, ["organism"]).select(
+        "link", "assembly", (F.coalesce(F.col("project") == F.col("__p"), F.lit(False)) | F.coalesce("__seen", F.lit(False))).alias("linked_by_project"), F.lit(True).alias("linked_by_organism")
     )
     within = (F.coalesce(F.col("__i"), F.lit("")) != "") & plain(F.col("infraspecific")).contains(plain(F.col("__i")))
     whole = ~plain(F.col("__i")).contains("substr") | (F.col("__i") == F.col("infraspecific"))
-    novel = by_strain.where(within & whole).join(by_organism.select("assembly"), "assembly", "left_anti")
+    fresh = theirs.join(linked, "assembly", "left_anti")
+    names = strained.select("organism", "infraspecific").distinct().join(fresh.select("organism", "__i").distinct(), "organism").where(within & whole)
+    named = strained.select("link", "organism", "infraspecific").join(names, ["organism", "infraspecific"])
+    novel = _salted(named, fresh.select("assembly", "organism", "__i"), ["organism", "__i"])
     return first.unionByName(novel.select("link", "assembly", F.lit(True).alias("linked_by_project"), F.lit(False).alias("linked_by_organism")))
 
 
+#: Parts over which the second side of a join on few keys is spread.
+SALT = 16
+
+
+def _salted(few: DataFrame, many: DataFrame, on: list[str]) -> DataFrame:
+    """Join on keys that many rows share: each key of ``many`` is dealt over ``SALT`` parts, each of which meets all of ``few``."""
+    every = few.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALT)))))
+    parted = many.withColumn("__salt", F.pmod(F.xxhash64("assembly"), F.lit(SALT)).cast("int"))
+    return dealt(every, *on, "__salt").join(dealt(parted, *on, "__salt"), [*on, "__salt"]).drop("__salt")
+
+
 def ancestors(nodes: DataFrame) -> DataFrame:
     """``taxid, ancestor, depth`` for every node, itself included, by doubling the climbed path.
 

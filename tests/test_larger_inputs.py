@@ -2,13 +2,14 @@
 
 import glob
 import random
+import re
 import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import seq
-from helixframe.operators import score
+from helixframe.operators import curate, score
 from helixframe.plans import catalog, sequences
 
 SF = "/root/testdata/sf0.001"
@@ -87,3 +88,30 @@ def test_forests_read_stored_counts(spark, name):
     old = folders(spark, "base-counts")
     shown = plan(QUERIES[name](spark, SF))
     assert folders(spark, "base-counts") - old and "documents" not in shown
+
+
+def test_links_join_only_where_they_come_out(spark):
+    """Flags of assemblies come from linear joins; the rows are those of the plain rule."""
+    rng = random.Random(8)
+    infra = ["", None, "strain=1 a", "1A", "strain=substr. 1", "substr1", "strain=21-a"]
+    sel = [(i, rng.choice([1, 2, None]), rng.choice("st"), rng.choice(["", None, "1", "2"]), rng.choice(["s 1", "s 3", "t 4", None]), rng.choice(infra)) for i in range(40)]
+    cand = [(rng.randrange(50), rng.choice([1, 2, None]), rng.choice(["s 1", "s 2", "t 1", "t 4", None]), rng.choice(infra)) for _ in range(60)]
+    text = "link long, project long, species string, strain string, organism string, infraspecific string"
+    got = curate.extend_by_names(spark.createDataFrame(sel, text), spark.createDataFrame(cand, "assembly long, project long, organism string, infraspecific string"))
+    plain = lambda x: re.sub(r"strain=|-|\s+", "", x or "").lower()
+    by_name = [(s, c) for s in sel for c in cand if s[4] is not None and s[4] == c[2]]
+    by_strain = [(s, c) for s in sel for c in cand if s[3] and f"{s[2]} {s[3]}" == c[2]]
+    seen, linked = {c[0] for _, c in by_strain}, {c[0] for _, c in by_name}
+    want = [(s[0], c[0], (s[1] is not None and s[1] == c[1]) or c[0] in seen, True) for s, c in by_name]
+    within = lambda s, c: c[3] and plain(c[3]) in plain(s[5]) and ("substr" not in plain(c[3]) or c[3] == s[5])
+    want += [(s[0], c[0], True, False) for s, c in by_strain if within(s, c) and c[0] not in linked]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and any(not w[3] for w in want)
+    logical = got._jdf.queryExecution().optimizedPlan().toString()
+    assert logical.count("LeftSemi") >= 2
+
+
+@pytest.mark.parametrize("name", ("jn_zip_check", "src_hits6", "cur_extend_strain"))
+def test_keys_that_compress_well_stay_in_many_tasks(spark, name):
+    """Adaptive plans must not join the parts whose rows are far larger than their bytes."""
+    shown = plan(QUERIES[name](spark, SF))
+    assert "REPARTITION_BY_NUM" in shown
