@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import dealt
+
 
 def classify(p: Column, t: float, conf: float | None = None) -> Column:
     """pos / neg / undef.  With ``conf`` both bounds are strict; without it neg is ``<= t``."""
@@ -43,6 +45,7 @@ def attach_scores(reads: DataFrame, scores: DataFrame, on: str = "read_id") -> D
 
 def unmatched(reads: DataFrame, scores: DataFrame, on: str = "read_id") -> DataFrame:
     """Keys that only one side has, with the side that lacks them."""
-    no_score = reads.select(on).join(scores.select(on), on, "left_anti").withColumn("missing", F.lit("score"))
-    no_read = scores.select(on).join(reads.select(on), on, "left_anti").withColumn("missing", F.lit("read"))
+    reads, scores = dealt(reads.select(on), on), dealt(scores.select(on), on)
+    no_score = reads.join(scores, on, "left_anti").withColumn("missing", F.lit("score"))
+    no_read = scores.join(reads, on, "left_anti").withColumn("missing", F.lit("read"))
     return no_score.unionByName(no_read)
