@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.store import dealt
 from ..operators.windows import running_sums
 
 GFF = "seqid string, source string, type string, start long, end long, score string, strand string, phase string, attrs string"
@@ -90,7 +91,7 @@ def read_hits6(spark: SparkSession, path: str) -> DataFrame:
 
 def first_hit(hits: DataFrame, query: str = "query", order: tuple[str, ...] = ("file", "block", "line_no")) -> DataFrame:
     w = Window.partitionBy(query).orderBy(*order)
-    return hits.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    return dealt(hits, query).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
 def with_slices(df: DataFrame, n: int, order: str) -> DataFrame:
