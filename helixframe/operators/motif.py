@@ -6,9 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.seq import revcomp
 from .aggregate import background as _background  # noqa: F401
@@ -23,7 +26,7 @@ def one_hot_weights(motif: str) -> np.ndarray:
 
 
 #: Letters that are scanned at a time.
-SCAN = 1 << 20
+SCAN = 1 << 17
 
 
 def scan_letters(letters: np.ndarray, inside: np.ndarray, weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, int]:
@@ -66,27 +69,33 @@ def motif_scan(reads: DataFrame, bank: dict[str, np.ndarray], bias: float, keys:
     counts the cells that bounds spared.
     """
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reads.select(*keys).schema)
+    # other letters than ASCII have several bytes: each is one place
+    seq = F.regexp_replace("seq", r"[^\x00-\x7F]", "N")
+    source = reads.select(*keys, F.when(F.col("seq").rlike(r"[^\x00-\x7F]"), seq).otherwise(F.col("seq")).cast("binary").alias("seq"))
+    kept = list(to_arrow_schema(reads.select(*keys).schema))
+    schema = pa.schema([*kept, ("filter_id", pa.string()), ("strand", pa.string()), ("pos", pa.int64()), ("activation", pa.float64())])
     code = np.full(256, 4, np.int8)
     code[[ord(b) for b in BASES]] = range(4)
 
-    def blocks(seqs: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Row numbers, starts and ends of sequences in joined letters; a block closes once it has ``SCAN``."""
-        raw, rows, size = [], [], 0
-        for i, seq in enumerate(seqs):
-            raw.append(np.frombuffer((seq or "").encode("latin-1", "replace"), np.uint8))
-            rows.append(i)
-            size += len(raw[-1])
-            if size >= SCAN or i == len(seqs) - 1:
-                yield np.array(rows), np.cumsum([0, *map(len, raw)]), code[np.concatenate(raw)]
-                raw, rows, size = [], [], 0
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(seqs: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """First row, starts and ends of sequences in joined letters; a block closes once it has ``SCAN``."""
+        sizes = np.nan_to_num(pc.binary_length(seqs).to_numpy(zero_copy_only=False)).astype(np.int64)
+        ends = np.cumsum(sizes)
+        first = 0
+        while first < len(sizes):
+            before = ends[first] - sizes[first]
+            last = min(int(np.searchsorted(ends, before + SCAN)) + 1, len(sizes))
+            raw = b"".join(x or b"" for x in seqs.slice(first, last - first).to_pylist())
+            yield first, np.concatenate([[0], ends[first:last] - before]), code[np.frombuffer(raw, np.uint8)]
+            first = last
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = [(name, strand, np.vstack([w if strand == "+" else w[::-1, ::-1]]).T) for name, w in bank.items() for strand in "+-"]
-        names, strands = np.array([x[0] for x in filters], object), np.array([x[1] for x in filters], object)
+        names, strands = pa.array([x[0] for x in filters], pa.string()), pa.array([x[1] for x in filters], pa.string())
         for batch in batches:
-            for rows, edge, letters in blocks(batch["seq"]):
-                of_letter = np.repeat(np.arange(len(rows)), np.diff(edge))
-                place, end = np.arange(len(letters)), edge[1:][of_letter]
+            for first, edge, letters in blocks(batch.column(len(kept))):
+                end = np.repeat(edge[1:].astype(np.int64), np.diff(edge))
+                place = np.arange(len(letters))
                 found: list[tuple] = []
                 for f, (_, _, weights) in enumerate(filters):
                     m = weights.shape[1]
@@ -96,11 +105,12 @@ def motif_scan(reads: DataFrame, bank: dict[str, np.ndarray], bias: float, keys:
                         skipped.add(spared)
                     found.append((at, np.full(len(at), f), value))
                 at, of, value = (np.concatenate(x) for x in zip(*found, strict=True))
-                row = of_letter[at]
-                own = batch[list(keys)].iloc[rows[row]].reset_index(drop=True)
-                yield own.assign(filter_id=names[of], strand=strands[of], pos=at - edge[row], activation=value)
+                row = np.searchsorted(edge, at, "right") - 1
+                own = [batch.column(i).take(pa.array(first + row)) for i in range(len(kept))]
+                columns = [*(c.cast(f.type) for c, f in zip(own, kept, strict=True)), names.take(pa.array(of)), strands.take(pa.array(of)), pa.array(at - edge[row]), pa.array(value)]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return reads.select(*keys, "seq").mapInPandas(scan, f"{fields}, filter_id string, strand string, pos long, activation double")
+    return source.mapInArrow(scan, f"{fields}, filter_id string, strand string, pos long, activation double")
 
 
 def center_weights(weights: DataFrame, bias: DataFrame) -> tuple[DataFrame, DataFrame]:

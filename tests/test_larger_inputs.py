@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import seq
-from helixframe.operators import curate, score
+from helixframe.operators import curate, motif, score
 from helixframe.plans import catalog, sequences
 
 SF = "/root/testdata/sf0.001"
@@ -115,3 +115,14 @@ def test_keys_that_compress_well_stay_in_many_tasks(spark, name):
     """Adaptive plans must not join the parts whose rows are far larger than their bytes."""
     shown = plan(QUERIES[name](spark, SF))
     assert "REPARTITION_BY_NUM" in shown
+
+
+@pytest.mark.parametrize("scan", (5, 1 << 17))
+def test_motif_scan_by_small_arrow_blocks(spark, monkeypatch, scan):
+    monkeypatch.setattr(motif, "SCAN", scan)
+    texts = ["ACGTACGT", None, "", "éACG😀TTACGA", "ACG", "GACGTT" * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "read long, seq string").coalesce(1)
+    got = motif.motif_scan(df, {"f": motif.one_hot_weights("ACG")}, 2.5, ["read"])
+    assert "MapInArrow" in plan(got) and "MapInPandas" not in plan(got)
+    want = [(i, "f", s, p, 0.5) for i, t in enumerate(texts) for s, m in (("+", "ACG"), ("-", "CGT")) for p in range(len(t or "")) if t[p : p + 3] == m]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
