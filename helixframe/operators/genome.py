@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.seq import signif
 from .joins import overlap
@@ -50,10 +54,104 @@ def genome_mean(intervals: DataFrame, shift: float = 0.5) -> DataFrame:
     return known.groupBy("genome").agg((F.sum(F.col("score") * size) / F.sum(size) + shift).alias("mean"))
 
 
-def nt_map(nuc_scores: DataFrame) -> DataFrame:
-    """``contig, pos, score``: mean of per-base scores over fragments."""
-    each = nuc_scores.select("contig", "start", F.posexplode("score").alias("i", "s"))
-    return each.groupBy("contig", (F.col("start") + F.col("i")).alias("pos")).agg(F.avg("s").alias("score"))
+#: Places of a contig whose per-base sums travel as one row.
+NT_BLOCK = 1 << 10
+
+
+def block_sums(contig: pa.Array, start: pa.Array, sums: pa.ListArray, counts: pa.ListArray) -> tuple:
+    """Contigs, starts (null for null), sums and counts of rows of bases, added up within blocks of ``NT_BLOCK``.
+
+    A count of -1 is a place that no row covers.  Rows without a start have one place, which is null.
+    """
+    code = contig.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    known, at = start.is_valid().to_numpy(zero_copy_only=False), start.fill_null(0).to_numpy()
+    size = pc.list_value_length(sums).to_numpy().astype(np.int64)
+    first = at // NT_BLOCK
+    n = np.where(known, (at + size - 1) // NT_BLOCK, first) - first + 1
+    row = np.repeat(np.arange(len(at)), n)
+    block = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    code, known = code[row], known[row]
+    low = np.where(known, np.maximum(at[row], block * NT_BLOCK), 0)
+    high = np.where(known, np.minimum((at + size)[row], (block + 1) * NT_BLOCK), 1)
+    bases = np.where(known, high - low, size[row])
+    order = np.lexsort((block, known, code))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = np.any([np.diff(x[order]) != 0 for x in (block, known, code)], axis=0)
+    head, group = np.flatnonzero(fresh), np.empty(len(order), np.int64)
+    group[order] = np.cumsum(fresh) - 1
+    lowest = np.minimum.reduceat(low[order], head)
+    edge = np.append(0, np.cumsum(np.maximum.reduceat(high[order], head) - lowest))
+    to = edge[group] + low - lowest[group]
+    slot = np.repeat(to - np.cumsum(bases) + bases, bases) + np.arange(bases.sum())
+    if not known.all():
+        slot = np.where(np.repeat(known, bases), slot, np.repeat(to, bases))
+    count = counts.flatten().to_numpy()
+    total = np.bincount(slot, sums.flatten().to_numpy(), edge[-1])
+    often = np.bincount(slot, np.maximum(count, 0), edge[-1]).astype(np.int32)
+    often[np.bincount(slot[count >= 0], minlength=edge[-1]) == 0] = -1
+    edge = pa.array(edge, pa.int32())
+    starts = pa.array(lowest, pa.int64(), mask=~known[order][head])
+    return contig.take(pa.array(row[order][head])), starts, pa.ListArray.from_arrays(edge, pa.array(total)), pa.ListArray.from_arrays(edge, pa.array(often))
+
+
+def nt_map(nuc_scores: DataFrame, scorer: Callable[[pa.Array], pa.ListArray] | None = None) -> DataFrame:
+    """``contig, pos, score``: mean of per-base scores over fragments.
+
+    Fragments have arrays ``score``, or letters ``seq`` of which ``scorer`` makes the arrays in the task.
+
+    Each task adds up its fragments in blocks of places before anything is shuffled, so what travels is
+    a sum and a count a base, as arrays, whatever the depth of cover; blocks of several tasks or batches
+    are added up where they meet, and only there is a base a row.
+    """
+    values = F.col("score").cast("array<double>") if scorer is None else F.col("seq")
+    rows = nuc_scores.select("contig", F.col("start").cast("long").alias("start"), values.alias("score"))
+    kind = rows.schema["contig"].dataType
+    own = to_arrow_type(kind)
+    summed = pa.schema([("contig", own), ("start", pa.int64()), ("sums", pa.list_(pa.float64())), ("counts", pa.list_(pa.int32()))])
+    flat = pa.schema([("contig", own), ("pos", pa.int64()), ("score", pa.float64())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = batch.column("score") if scorer is None else scorer(batch.column("score"))
+            some = pc.fill_null(pc.greater(pc.list_value_length(each), 0), False)
+            batch, each = batch.filter(some), each.filter(some)
+            if batch.num_rows:
+                sizes = pc.list_value_length(each)
+                edge = pa.array(np.append(0, np.cumsum(sizes.to_numpy())), pa.int32())
+                values = each.flatten()
+                counts = pa.ListArray.from_arrays(edge, values.is_valid().cast(pa.int32()))
+                sums = pa.ListArray.from_arrays(edge, values.fill_null(0.0))
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(block_sums(batch.column("contig"), batch.column("start"), sums, counts), summed, strict=True)], schema=summed)
+
+    def spelled(contig: pa.Array, start: pa.Array, sums: pa.ListArray, counts: pa.ListArray) -> pa.RecordBatch:
+        size = pc.list_value_length(sums).to_numpy().astype(np.int64)
+        row, count = np.repeat(np.arange(len(size)), size), counts.flatten().to_numpy()
+        place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        pos = pc.add(start.take(pa.array(row)), pa.array(place))
+        score = pa.array(sums.flatten().to_numpy() / np.maximum(count, 1), mask=count < 1)
+        return pa.RecordBatch.from_arrays([contig.take(pa.array(row)).cast(own), pos, score], schema=flat).filter(pa.array(count >= 0))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches([], summed)  # a batch's last block may go on in the next
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.select(summed.names).cast(summed)
+            last = batch.slice(batch.num_rows - 1)
+            block = lambda start: pc.floor(pc.divide(start.cast(pa.float64()), float(NT_BLOCK)))
+            every = pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks().to_batches()[0]
+            got = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(block_sums(*every.columns), summed, strict=True)], schema=summed)
+            same_as = lambda x, y: np.array([v == y for v in x.to_pylist()], bool)
+            ends = same_as(got.column("contig"), last.column("contig")[0].as_py()) & same_as(block(got.column("start")), block(last.column("start"))[0].as_py())
+            held = pa.Table.from_batches([got.filter(pa.array(ends))])
+            yield spelled(*got.filter(pa.array(~ends)).columns)
+        for batch in held.to_batches():
+            yield spelled(*batch.columns)
+
+    ddl = f"contig {kind.simpleString()}, start long, sums array<double>, counts array<int>"
+    blocks = rows.mapInArrow(add, ddl).withColumn("block", F.floor(F.col("start") / NT_BLOCK))
+    met = blocks.repartition("contig", "block").sortWithinPartitions("contig", "block")
+    return met.mapInArrow(meet, f"contig {kind.simpleString()}, pos long, score double")
 
 
 def merge_intervals(df: DataFrame, by: Sequence[str]) -> DataFrame:

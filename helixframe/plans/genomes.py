@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..operators import genome as G
@@ -53,6 +56,19 @@ def _intervals(s, d):
     return G.genome_map(frags, X.contigs(s, d))
 
 
+#: Scores of bases by byte.
+_BASE_SCORES = np.full(256, -0.25)
+_BASE_SCORES[[ord(b) for b in "ACN"]] = 1.0, 0.5, 0.0
+
+
+def _base_scores(seq: pa.Array) -> pa.Array:
+    """A score for each base of fragments, which have one byte a base."""
+    size = pc.fill_null(pc.binary_length(seq), 0).to_numpy()
+    edge = pa.array(np.append(0, np.cumsum(size)), pa.int32())
+    letters = np.frombuffer("".join(seq.drop_null().to_pylist()).encode(), np.uint8)
+    return pa.ListArray.from_arrays(edge, pa.array(_BASE_SCORES[letters]), mask=seq.is_null())
+
+
 _MAP = _W("fragments", "features") + """, fr AS (SELECT genome, contig, greatest(start, 0) AS start, least("end", len) AS "end", (length(f.seq) - length(replace(f.seq, 'G', '')) + length(f.seq) - length(replace(f.seq, 'C', ''))) / 250.0::DOUBLE AS p FROM fragments f JOIN (SELECT genome, contig, len FROM contigs) USING (genome, contig) WHERE len > 0),
  pts AS (SELECT genome, contig, unnest([start, "end"]) AS x FROM fr UNION SELECT genome, contig, unnest([0, len]) FROM contigs WHERE len > 0),
  seg AS (SELECT * FROM (SELECT genome, contig, x AS start, lead(x) OVER (PARTITION BY genome, contig ORDER BY x) AS "end" FROM pts) WHERE "end" IS NOT NULL),
@@ -169,7 +185,7 @@ QUERIES = {
     "jn_grid": lambda s, d: J.length_grid(X.table(s, d, "part").selectExpr("p_size as length").distinct()),
     "map_scores": lambda s, d: _round(_intervals(s, d)),
     "map_mean": lambda s, d: _round(G.genome_mean(_intervals(s, d))),
-    "map_nt": lambda s, d: G.nt_map(X.fragments(s, d).select("contig", "start", F.transform(F.split("seq", ""), lambda b: F.when(b == "A", 1.0).when(b == "C", 0.5).when(b == "N", 0.0).otherwise(-0.25)).alias("score"))).groupBy("contig").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"), F.round(F.sum(F.col("score") * (F.col("pos") % 7)), 6).alias("mixed")),
+    "map_nt": lambda s, d: G.nt_map(X.fragments(s, d), _base_scores).groupBy("contig").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"), F.round(F.sum(F.col("score") * (F.col("pos") % 7)), 6).alias("mixed")),
     "map_merge": lambda s, d: G.merge_intervals(X.features(s, d), ["genome", "contig", "type"]),
     "map_cover": lambda s, d: G.covered_bases(X.features(s, d), ["genome", "contig"], ["genome"]),
     "feat_names": lambda s, d: G.feature_keys(X.features(s, d)),
