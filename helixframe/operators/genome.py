@@ -15,37 +15,67 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.seq import signif
 from .joins import overlap
-from .store import neighbour, ranged, running, same, stored
+from .store import ranged, running, same, stored
 
 DIGITS = 12
 #: Running sums of scores.
 SUM = "decimal(38,18)"
 
 
-def genome_map(scored: DataFrame, contigs: DataFrame, shift: float = 0.5) -> DataFrame:
+#: log2 of the places of a contig that one task sweeps.
+SWEEP_BITS = 20
+
+
+def genome_map(scored: DataFrame, contigs: DataFrame, shift: float = 0.5, bits: int = SWEEP_BITS) -> DataFrame:
     """``genome, contig, start, end, score``: mean of covering scores less ``shift``, as runs.
 
-    A sweep over fragment bounds: what starts and ends at each place is summed up first, then running
-    sums give the covering scores, so the work does not grow with the depth of cover and bases are
-    never spelled out.  A contig's places are spread over ranges, tied by their edges and totals.
-    Sums are decimal with 18 places, so what was added is taken off exactly.  Fragments without a
-    finite score count as bounds only.
+    A sweep over fragment bounds: running sums of what starts and ends at each place give the covering
+    scores, so the work does not grow with the depth of cover and bases are never spelled out.  Blocks of
+    ``2 ** bits`` places are swept apart, each with what covers its first place, so a contig of any length
+    spreads over tasks, and bounds are shuffled and sorted once.  Runs are joined over blocks only where
+    contigs have several.  Sums are decimal with 18 places, so what was added is taken off exactly.
+    Fragments without a finite score count as bounds only, and so do ends beyond a contig's.
     """
     key = ["genome", "contig"]
-    frags = scored.join(contigs.select(*key, "len"), key).withColumns({"start": F.greatest("start", F.lit(0)), "end": F.least("end", "len")}).where("start < `end`")
-    at = lambda place, sign: F.struct(F.col(place).cast("long").alias("start"), (sign * F.col("__p")).alias("sum"), (sign * F.col("__p").isNotNull().cast("long")).alias("depth"))
-    changes = frags.withColumn("__p", F.col("p").try_cast(SUM)).select(*key, F.inline(F.array(at("start", 1), at("end", -1))))
-    ends = contigs.where("len > 0").select(*key, F.explode(F.array(F.lit(0), F.col("len")).cast("array<long>")).alias("start"))
-    changes = changes.select(*key, "start", F.col("sum").cast(SUM).alias("sum"), "depth").unionByName(ends.withColumns({"sum": F.lit(0).cast(SUM), "depth": F.lit(0).cast("long")}))
-    places = changes.groupBy(*key, "start").agg(F.coalesce(F.sum("sum"), F.lit(0)).cast(SUM).alias("sum"), F.sum("depth").alias("depth"))
-    swept = neighbour(ranged(places, key, ["start"]), key, ["start"], "start", "__next", True)
-    swept = running(swept, key, ["start"], covering=("sum", F.col("sum")), covers=("sum", F.col("depth"))).where("__next is not null")
+    within = lambda c: F.shiftright(c, bits)
+    whole = F.lit(1 << bits).cast("long")
+    frags = stored(scored.where("genome is not null and contig is not null").select(*key, F.greatest("start", F.lit(0)).cast("long").alias("start"), F.col("end").cast("long").alias("end"), "p").where("start < `end`"), "fragments")
+    lens = stored(contigs.where("len > 0").select(*key, F.col("len").cast("long").alias("len")), "lengths")
+    at = lambda place, sign: F.struct(F.col(place).alias("start"), (sign * F.col("__p")).cast(SUM).alias("sum"), (sign * F.col("__p").isNotNull().cast("long")).alias("depth"))
+
+    def bounds(some: DataFrame) -> DataFrame:
+        each = some.withColumn("__p", F.col("p").try_cast(SUM)).select(*key, F.inline(F.array(at("start", 1), at("end", -1))))
+        return each.withColumn("block", within("start"))
+
+    edges = lens.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), within(F.col("len") - 1)))).withColumns({"start": F.col("block") * whole, "sum": F.lit(None).cast(SUM), "depth": F.lit(0).cast("long")})
+    changes = bounds(frags).withColumn("len", F.lit(None).cast("long")).unionByName(edges)
+    long = lens.where(F.col("len") > whole).select(*key).distinct()
+    several = not long.isEmpty()
+    if several:
+        own = bounds(frags.join(long, key, "left_semi")).unionByName(edges.drop("len").join(long, key, "left_semi"))
+        totals = own.groupBy(*key, "block").agg(F.sum("sum").alias("sum"), F.sum("depth").alias("depth"))
+        before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        carried = totals.select(*key, "block", (F.col("block") * whole).alias("start"), F.sum("sum").over(before).cast(SUM).alias("sum"), F.sum("depth").over(before).alias("depth"), F.lit(None).cast("long").alias("len"))
+        changes = changes.unionByName(carried)
+    block = Window.partitionBy(*key, "block").orderBy("start")
+    so_far = block.rowsBetween(Window.unboundedPreceding, 0)
+    swept = changes.withColumns({"covering": F.sum("sum").over(so_far), "covers": F.sum("depth").over(so_far), "until": F.max("len").over(so_far), "next": F.lead("start").over(block)})
+    # bounds of equal place: only after the last of them the sums hold
+    swept = swept.where("until is not null").withColumn("until", F.least("until", (F.col("block") + 1) * whole)).where("start < until and (next is null or next > start)")
     mean = F.round(F.when(F.col("covers") > 0, F.col("covering").cast("double") / F.col("covers")), DIGITS) - shift
-    segments = stored(swept.select(*key, "__range", "start", F.col("__next.value").alias("end"), mean.alias("score")), "segments")
-    before = neighbour(segments, key, ["start"], "score", "__before", False)
-    changed = F.when(F.col("__before").isNull(), 1).otherwise((~F.col("score").eqNullSafe(F.col("__before.value"))).cast("int"))
-    runs = running(before, key, ["start"], run=("sum", changed))
-    return runs.groupBy(*key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("score").alias("score")).drop("run")
+    segments = swept.select(*key, "block", "start", "until", mean.alias("score"))
+    before = segments.withColumn("last", F.lag(F.struct("score")).over(block))
+    runs = before.where(F.col("last").isNull() | ~F.col("last.score").eqNullSafe(F.col("score")))
+    runs = runs.select(*key, "block", "start", F.coalesce(F.lead("start").over(block), "until").alias("end"), "score")
+    if not several:
+        return runs.drop("block")
+    runs = stored(runs, "runs")
+    touches = (F.col("start") % whole == 0) & (F.col("block") > 0) | (F.col("end") % whole == 0)
+    contig = Window.partitionBy(*key).orderBy("start")
+    edge = runs.where(touches).withColumn("last", F.lag(F.struct("end", "score")).over(contig))
+    goes_on = F.col("last").isNotNull() & (F.col("last.end") == F.col("start")) & F.col("last.score").eqNullSafe(F.col("score"))
+    edge = edge.withColumn("run", F.sum((~goes_on).cast("int")).over(contig)).groupBy(*key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("score").alias("score"))
+    return runs.where(~touches).drop("block").unionByName(edge.drop("run"))
 
 
 def genome_mean(intervals: DataFrame, shift: float = 0.5) -> DataFrame:

@@ -143,3 +143,28 @@ def test_per_base_scores_travel_in_blocks(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert rows == sorted(map(str, map(tuple, want.collect()))) and len(rows) > 6000
+
+
+def test_maps_sort_bounds_once_and_join_runs_over_blocks(spark):
+    """Blocks of 16 places give the runs of whole contigs; short contigs' bounds are shuffled once, with no join."""
+    rng = random.Random(9)
+    lens = {"a": 100, "b": 64, "c": 16, "d": 1, "e": 33, "none": 0}
+    frags = [("g", c, a, a + rng.choice([0, 1, 5, 16, 40]), rng.choice([None, 0.25, 0.5])) for c in [*lens, "lost"] for a in (rng.randrange(-20, 110) for _ in range(12))]
+    df = spark.createDataFrame([*frags, (None, "a", 0, 9, 0.1)], "genome string, contig string, start long, end long, p double")
+    contigs = spark.createDataFrame([("g", c, n) for c, n in [*lens.items(), ("e", 20)]], "genome string, contig string, len long")
+    want = []
+    for c, n in lens.items():
+        runs = []
+        for i in range(n):
+            own = [p for _, k, a, b, p in frags if k == c and a <= i < b and p is not None]
+            score = round(sum(own) / len(own), 12) - 0.5 if own else None
+            if runs and runs[-1][2] == score:
+                runs[-1][1] = i + 1
+            else:
+                runs.append([i, i + 1, score])
+        want += [(c, *r) for r in runs]
+    spelled = lambda x: sorted(map(str, ((r.contig, r.start, r.end, r.score) for r in x.collect())))
+    for bits in (0, 4, 20):
+        assert spelled(genome.genome_map(df, contigs, bits=bits)) == sorted(map(str, want))
+    got = plan(genome.genome_map(df, contigs))
+    assert got.count("Exchange ") == 1 and "Join" not in got
