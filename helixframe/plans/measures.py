@@ -40,6 +40,11 @@ def _hosts(s, d):
     return X.table(s, d, "orders").selectExpr("o_custkey", "o_orderstatus = 'F' as conf", "o_totalprice > 150000 as big", "o_orderpriority", "o_orderdate")
 
 
+def _concordant(first, second):
+    calls = [(F.col(c) > T).cast("int") for c in ("p", "q")]
+    return first.join(second.withColumnRenamed("p", "q"), "read_id", "full").select("read_id", A.concordant(*calls).alias("call"))
+
+
 FLAGS = {
     "n_all": "true", "n_conf": "conf", "n_big": "big", "n_both": "conf and big", "n_neither": "not conf and not big",
     "n_urgent": "o_orderpriority = '1-URGENT'", "n_urgent_conf": "conf and o_orderpriority = '1-URGENT'", "n_recent": "o_orderdate >= timestamp '1997-01-01'",
@@ -52,9 +57,7 @@ QUERIES = {
     "agg_esz_sez_rho": lambda s, d: _round(M.pooling_agreement(A.compare_pooling(_gc(s, d).selectExpr("genome", "(p - 0.5) * 20 as z")))),
     "agg_esz_sez": lambda s, d: _round(A.compare_pooling(_gc(s, d).selectExpr("genome", "(p - 0.5) * 20 as z"))),
     "agg_vote": lambda s, d: A.majority_vote(_gc(s, d).selectExpr("contig", f"case when p > {T} then 1 when p <= {T} then 0 end as call"), "contig", "call"),
-    "agg_concord": lambda s, d: _pairs(s, d)[0].join(_pairs(s, d)[1].withColumnRenamed("p", "q"), "read_id", "full").select(
-        "read_id", A.concordant((F.col("p") > T).cast("int"), (F.col("q") > T).cast("int")).alias("call")
-    ),
+    "agg_concord": lambda s, d: _concordant(*_pairs(s, d)),
     "agg_confusion": lambda s, d: M.confusion(X.labelled(s, d), BY, F.col("p") > T),
     "agg_metrics": lambda s, d: _round(M.rates(M.confusion(X.labelled(s, d), BY, F.col("p") > T)).drop("undef_pos", "undef_neg")),
     "agg_perf": lambda s, d: _round(M.performance(X.labelled(s, d), ["model"], T, CONF)),

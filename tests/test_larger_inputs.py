@@ -168,3 +168,9 @@ def test_maps_sort_bounds_once_and_join_runs_over_blocks(spark):
         assert spelled(genome.genome_map(df, contigs, bits=bits)) == sorted(map(str, want))
     got = plan(genome.genome_map(df, contigs))
     assert got.count("Exchange ") == 1 and "Join" not in got
+
+
+@pytest.mark.parametrize("name", ("agg_concord", "cls_pair"))
+def test_scores_of_mates_are_made_once(spark, name):
+    """Both sides of a join of mates read stored scores: no read is cut or counted twice."""
+    assert "replace(" not in plan(QUERIES[name](spark, SF))
