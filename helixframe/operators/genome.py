@@ -9,23 +9,109 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.seq import signif
 from .joins import overlap
-from .store import ranged, running, same, stored
+from .store import dealt, ranged, running, same, stored
 
 DIGITS = 12
-#: Running sums of scores.
-SUM = "decimal(38,18)"
+#: Scores are added up as whole numbers: what is before the point, and twice so many bits behind it.
+PARTS = ("whole", "high", "low")
+PART_BITS = 31
+#: Scores beyond this are no scores.
+LARGEST = 2.0**62
 
 
 #: log2 of the places of a contig that one task sweeps.
 SWEEP_BITS = 20
 
 
+def _parts(p: Column) -> dict[str, Column]:
+    """``p`` in three longs, which add up without rounding."""
+    finite = F.coalesce(F.when(F.abs(p) < LARGEST, p), F.lit(0.0))
+    behind = (finite - F.floor(finite)) * 2.0**PART_BITS
+    return {"whole": F.floor(finite), "high": F.floor(behind), "low": F.floor((behind - F.floor(behind)) * 2.0**PART_BITS)}
+
+
+def sweep(batches: Iterator[pa.RecordBatch], bits: int, shift: float) -> Iterator[pa.RecordBatch]:
+    """Runs of equal mean score of blocks, from their changes by place: ``genome, contig, block, start, end, score``.
+
+    Rows come by block and start.  Of what goes on in the next batch two rows are held, whatever the depth
+    of cover: the last place with the sums up to it, and the last run.
+    """
+    key = ["genome", "contig", "block"]
+    sums = [*PARTS, "depth"]
+    # more than a place or run of the batch before goes no further
+    held, run = None, None
+
+    def firsts(rows: pa.Table) -> np.ndarray:
+        """Which rows have another key than the row before."""
+        fresh = np.ones(rows.num_rows, bool)
+        codes = [rows.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False) for c in key]
+        fresh[1:] = np.any([np.diff(c) != 0 for c in codes], axis=0)
+        return fresh
+
+    def within(x: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Running sums of groups, of which sums over other groups are taken off again."""
+        total = np.cumsum(x)
+        return total - np.repeat(total[head] - x[head], size)
+
+    def segments(rows: pa.Table, final: bool) -> tuple[pa.Table, pa.Table]:
+        opens, start = firsts(rows), rows.column("start").to_numpy()
+        fresh = opens.copy()
+        fresh[1:] |= np.diff(start) != 0
+        head = np.flatnonzero(fresh)
+        start, group = start[head], np.flatnonzero(opens[head])
+        size = np.diff(np.append(group, len(head)))
+        total = {c: within(np.add.reduceat(rows.column(c).to_numpy(), head), group, size) for c in sums}
+        length = np.repeat(np.maximum.reduceat(np.maximum.reduceat(rows.column("len").to_numpy(), head), group), size)
+        until = np.minimum(length, (rows.column("block").to_numpy()[head] + 1) << bits)
+        follows = np.append(start[1:], 0)
+        follows[np.append(group[1:], len(head)) - 1] = np.iinfo(np.int64).max
+        end = np.minimum(follows, until)
+        covered = total["depth"] > 0
+        mean = (total["whole"] + (total["high"] + total["low"] * 2.0**-PART_BITS) * 2.0**-PART_BITS) / np.maximum(total["depth"], 1)
+        # half away from zero; beyond 2 ** 52 a double has no more digits
+        far = mean * 10.0**DIGITS
+        mean = np.where(np.abs(far) < 2.0**52, np.trunc(far + np.copysign(0.5, far)) / 10.0**DIGITS, mean)
+        there = start < end
+        there[-1] &= final
+        keys = rows.select(key).take(pa.array(head))
+        last = len(head) - 1
+        columns = [*(c.slice(last) for c in keys.columns), pa.array(start[last:]), *(pa.array(total[c][last:]) for c in sums), pa.array(length[last:])]
+        left = pa.table([c.cast(f.type) for c, f in zip(columns, rows.schema, strict=True)], schema=rows.schema)
+        found = {"start": pa.array(start), "end": pa.array(end), "score": pa.array(mean - shift, mask=~covered)}
+        every = pa.table([*keys.columns, *found.values()], names=[*key, *found])
+        return every.filter(pa.array(there)), left
+
+    def runs(rows: pa.Table) -> pa.Table:
+        score, known = rows.column("score").fill_null(0.0).to_numpy(), rows.column("score").is_valid().to_numpy()
+        fresh = firsts(rows)
+        fresh[1:] |= (np.diff(score) != 0) | (known[1:] != known[:-1])
+        head = np.flatnonzero(fresh)
+        end = rows.column("end").to_numpy()[np.append(head[1:], rows.num_rows) - 1]
+        return rows.take(pa.array(head)).set_column(rows.schema.get_field_index("end"), "end", pa.array(end))
+
+    def closed(some: pa.Table, final: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal run
+        some = some if run is None else pa.concat_tables([run, some])
+        if some.num_rows:
+            some = runs(some)
+            run = some.slice(some.num_rows - 1)
+            yield from (some if final else some.slice(0, some.num_rows - 1)).combine_chunks().to_batches()
+
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.Table.from_batches([batch])
+            some, held = segments(rows if held is None else pa.concat_tables([held, rows]).combine_chunks(), False)
+            yield from closed(some, False)
+    if held is not None:
+        yield from closed(segments(held, True)[0], True)
+
+
 def genome_map(scored: DataFrame, contigs: DataFrame, shift: float = 0.5, bits: int = SWEEP_BITS) -> DataFrame:
     """``genome, contig, start, end, score``: mean of covering scores less ``shift``, as runs.
 
@@ -33,40 +119,39 @@ def genome_map(scored: DataFrame, contigs: DataFrame, shift: float = 0.5, bits:
     scores, so the work does not grow with the depth of cover and bases are never spelled out.  Blocks of
     ``2 ** bits`` places are swept apart, each with what covers its first place, so a contig of any length
     spreads over tasks, and bounds are shuffled and sorted once.  Runs are joined over blocks only where
-    contigs have several.  Sums are decimal with 18 places, so what was added is taken off exactly.
-    Fragments without a finite score count as bounds only, and so do ends beyond a contig's.
+    contigs have several.  Sums are of whole numbers, to 62 bits behind the point, so what was added is
+    taken off exactly.  Fragments without a finite score count as bounds only, and so do ends beyond a
+    contig's.
     """
     key = ["genome", "contig"]
     within = lambda c: F.shiftright(c, bits)
     whole = F.lit(1 << bits).cast("long")
-    frags = stored(scored.where("genome is not null and contig is not null").select(*key, F.greatest("start", F.lit(0)).cast("long").alias("start"), F.col("end").cast("long").alias("end"), "p").where("start < `end`"), "fragments")
+    zero, sums = F.lit(0).cast("long"), [*PARTS, "depth"]
     lens = stored(contigs.where("len > 0").select(*key, F.col("len").cast("long").alias("len")), "lengths")
-    at = lambda place, sign: F.struct(F.col(place).alias("start"), (sign * F.col("__p")).cast(SUM).alias("sum"), (sign * F.col("__p").isNotNull().cast("long")).alias("depth"))
-
-    def bounds(some: DataFrame) -> DataFrame:
-        each = some.withColumn("__p", F.col("p").try_cast(SUM)).select(*key, F.inline(F.array(at("start", 1), at("end", -1))))
-        return each.withColumn("block", within("start"))
-
-    edges = lens.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), within(F.col("len") - 1)))).withColumns({"start": F.col("block") * whole, "sum": F.lit(None).cast(SUM), "depth": F.lit(0).cast("long")})
-    changes = bounds(frags).withColumn("len", F.lit(None).cast("long")).unionByName(edges)
     long = lens.where(F.col("len") > whole).select(*key).distinct()
     several = not long.isEmpty()
+    frags = scored.where("genome is not null and contig is not null").select(*key, F.greatest("start", F.lit(0)).cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("p").cast("double").alias("p")).where("start < `end`")
+    frags = stored(frags, "fragments") if several else frags
+
+    def bounds(some: DataFrame) -> DataFrame:
+        counted = F.when(F.abs("p") < LARGEST, 1).otherwise(0).cast("long")
+        each = some.withColumns({**_parts(F.col("p")), "depth": counted})
+        at = lambda place, sign: F.struct(F.col(place).alias("start"), *((sign * F.col(c)).alias(c) for c in sums))
+        each = each.select(*key, F.inline(F.array(at("start", 1), at("end", -1))))
+        return each.select(*key, within("start").alias("block"), "start", *sums, F.lit(-1).cast("long").alias("len"))
+
+    blocks = lens.withColumn("block", F.explode(F.sequence(zero, within(F.col("len") - 1))))
+    edges = blocks.select(*key, "block", (F.col("block") * whole).alias("start"), *(zero.alias(c) for c in sums), "len")
+    changes = bounds(frags).unionByName(edges)
     if several:
-        own = bounds(frags.join(long, key, "left_semi")).unionByName(edges.drop("len").join(long, key, "left_semi"))
-        totals = own.groupBy(*key, "block").agg(F.sum("sum").alias("sum"), F.sum("depth").alias("depth"))
+        own = bounds(frags.join(long, key, "left_semi")).unionByName(edges.join(long, key, "left_semi"))
+        totals = own.groupBy(*key, "block").agg(*(F.sum(c).alias(c) for c in sums))
         before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        carried = totals.select(*key, "block", (F.col("block") * whole).alias("start"), F.sum("sum").over(before).cast(SUM).alias("sum"), F.sum("depth").over(before).alias("depth"), F.lit(None).cast("long").alias("len"))
+        carried = totals.select(*key, "block", (F.col("block") * whole).alias("start"), *(F.coalesce(F.sum(c).over(before), zero).alias(c) for c in sums), F.lit(-1).cast("long").alias("len"))
         changes = changes.unionByName(carried)
-    block = Window.partitionBy(*key, "block").orderBy("start")
-    so_far = block.rowsBetween(Window.unboundedPreceding, 0)
-    swept = changes.withColumns({"covering": F.sum("sum").over(so_far), "covers": F.sum("depth").over(so_far), "until": F.max("len").over(so_far), "next": F.lead("start").over(block)})
-    # bounds of equal place: only after the last of them the sums hold
-    swept = swept.where("until is not null").withColumn("until", F.least("until", (F.col("block") + 1) * whole)).where("start < until and (next is null or next > start)")
-    mean = F.round(F.when(F.col("covers") > 0, F.col("covering").cast("double") / F.col("covers")), DIGITS) - shift
-    segments = swept.select(*key, "block", "start", "until", mean.alias("score"))
-    before = segments.withColumn("last", F.lag(F.struct("score")).over(block))
-    runs = before.where(F.col("last").isNull() | ~F.col("last.score").eqNullSafe(F.col("score")))
-    runs = runs.select(*key, "block", "start", F.coalesce(F.lead("start").over(block), "until").alias("end"), "score")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in changes.select(*key).schema)
+    ordered = dealt(changes, *key, "block").sortWithinPartitions(*key, "block", "start")
+    runs = ordered.mapInArrow(lambda batches: sweep(batches, bits, shift), f"{fields}, block long, start long, end long, score double")
     if not several:
         return runs.drop("block")
     runs = stored(runs, "runs")

@@ -86,7 +86,8 @@ def overlap(a: DataFrame, b: DataFrame, on: Sequence[str], min_frac: tuple[int,
         if met is not None and not any(x > y for x in own[held] for y in own[other]):
             continue  # no interval of the other side is shorter
         shared = F.filter(F.array(*map(F.lit, own[held])).cast("array<int>"), lambda x: x > F.col("__own") if strict else x >= F.col("__own"))  # noqa: B023
-        long = binned(sides[held], F.array("__own"), base)
+        least = min(own[other], default=0)  # none of the other side is shorter than that
+        long = binned(sides[held].where(F.col("__own") > least if strict else F.col("__own") >= least), F.array("__own"), base)
         short = binned(sides[other], shared, base)
         left, right = (long, short) if held == 0 else (short, long)
         right = right.withColumnsRenamed({"start": "b_start", "end": "b_end"}).drop("__own")

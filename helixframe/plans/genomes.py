@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import genome as G
 from ..operators import joins as J
 from ..operators import motif as M
+from ..operators.store import stored
 from ..sources.files import IUPAC
 from . import fixtures as X
 from .measures import _round
@@ -52,8 +53,7 @@ _HIT = 'a.start < b."end" AND b.start < a."end"'
 
 
 def _intervals(s, d):
-    frags = X.fragments(s, d).selectExpr("genome", "contig", "start", "end", "(length(seq) - length(replace(seq, 'G', '')) + length(seq) - length(replace(seq, 'C', ''))) / 250.0D as p")
-    return G.genome_map(frags, X.contigs(s, d))
+    return G.genome_map(X.fragment_shares(s, d, "GC"), X.contigs(s, d))
 
 
 #: Scores of bases by byte.
@@ -85,7 +85,7 @@ _FS = _KEYS + f""", fs AS (SELECT k.genome, k.key, round(sum(score * ov) / sum(o
 
 
 def _members(s, d):
-    f = X.features(s, d)
+    f = stored(X.features(s, d), "features")  # texts are read for their lengths once
     return G.feature_members(f, G.feature_keys(f))
 
 

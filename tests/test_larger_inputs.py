@@ -5,12 +5,14 @@ import random
 import re
 import shutil
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import seq
-from helixframe.operators import curate, genome, motif, score
-from helixframe.plans import catalog, sequences
+from helixframe.operators import curate, fragment, genome, motif, score
+from helixframe.plans import catalog, fixtures, genomes, sequences
 
 SF = "/root/testdata/sf0.001"
 QUERIES = catalog.queries()
@@ -174,3 +176,60 @@ def test_maps_sort_bounds_once_and_join_runs_over_blocks(spark):
 def test_scores_of_mates_are_made_once(spark, name):
     """Both sides of a join of mates read stored scores: no read is cut or counted twice."""
     assert "replace(" not in plan(QUERIES[name](spark, SF))
+
+
+def test_maps_spell_no_fragments(spark):
+    """Windows are counted along contigs, and what needs lengths only spells no contig."""
+    got = plan(genomes._intervals(spark, SF))
+    assert "rpad(" not in got and "MapInArrow" in got
+    assert "ArrowEvalPython" not in plan(fixtures.features(spark, SF)) + plan(fixtures.contigs(spark, SF).select("len"))
+    got = QUERIES["map_scores"](spark, SF)
+    assert "decimal" not in plan(got) and got.count()
+
+
+@pytest.mark.parametrize("piece", (1, 3, 1024))
+def test_counts_of_windows_are_those_of_their_texts(spark, monkeypatch, piece):
+    monkeypatch.setattr(fragment, "PIECE", piece)
+    monkeypatch.setattr(fragment, "COUNT", 50)
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("ACGTN", k=n)) for n in (0, 1, 9, 10, 11, 14, 37, 200)] + [None]
+    df = spark.createDataFrame([("g", i, t, None if t is None else len(t)) for i, t in enumerate(texts)], "genome string, contig long, seq string, len long").coalesce(1)
+    want = [(*r[:5], None if r.seq is None else sum(b in "GC" for b in r.seq)) for r in fragment.fragment(df, 10, 4).collect()]
+    got = fragment.fragment_counts(df, "GC", 10, 4)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) > 60
+    with pytest.raises(ValueError):
+        fragment.fragment_counts(df, "AN")
+
+
+@pytest.mark.parametrize("records", (1, 2, 5))
+def test_sweeps_go_on_over_arrow_batches(spark, records):
+    """Sums, ties of places and runs go on from batch to batch, of scores of any size."""
+    rng = random.Random(records)
+    frags = [("g", rng.choice("ab"), a, a + rng.choice([1, 5, 40, 3000]), rng.choice([None, 0.25, 0.5, 1 / 3, -7.25, 3e9])) for a in (rng.randrange(-20, 60) * 7 for _ in range(80))]
+    df = spark.createDataFrame(frags, "genome string, contig string, start long, end long, p double").repartition(3)
+    contigs = spark.createDataFrame([("g", "a", 4000), ("g", "b", 350), ("g", "bare", 9), (None, "a", 5)], "genome string, contig string, len long")
+    spelled = lambda bits: sorted(map(str, ((r.genome, r.contig, r.start, r.end, r.score) for r in genome.genome_map(df, contigs, bits=bits).collect())))
+    want = spelled(20)
+    scores = {}
+    for c, n in (("a", 4000), ("b", 350)):
+        for x in range(n):
+            own = [p for _, k, a, b, p in frags if k == c and a <= x < b and p is not None]
+            scores[c, x] = sum(own) / len(own) - 0.5 if own else None
+    for r in genome.genome_map(df, contigs).where("genome is not null and contig <> 'bare'").collect():
+        for x in range(r.start, r.end):
+            assert scores[r.contig, x] == pytest.approx(r.score, rel=1e-12, abs=2e-12) if r.score is not None else scores[r.contig, x] is None
+            del scores[r.contig, x]
+    assert not scores
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+    try:
+        assert spelled(20) == spelled(5) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_spelling_of_characters_of_several_bytes():
+    texts = ["abcé😀Z-x", None, "", "héllo", "ß", "Zz"]
+    want = [None if t is None else "".join(fixtures.CODE[fixtures.ALPHA.index(c)] if c in fixtures.ALPHA else "N" for c in t) for t in texts]
+    for some, right in ((texts, want), (texts[3:], want[3:]), ([None], [None]), ([], [])):
+        assert fixtures.spell(pa.array(some, pa.string())).to_pylist() == right
+    assert fixtures.spell(pa.array(texts).slice(2)).to_pylist() == want[2:]
