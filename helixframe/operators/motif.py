@@ -29,27 +29,63 @@ def one_hot_weights(motif: str) -> np.ndarray:
 SCAN = 1 << 17
 
 
-def scan_letters(letters: np.ndarray, inside: np.ndarray, weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Places with an activation above 0, the activations, and cells that were not looked at.
+#: Columns of a filter whose letters are looked up together.
+JOINT = 6
+
+
+def joint_scores(weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each joint code of the first ``JOINT`` columns: its score, whether it may go on, and cells that bounds spare.
+
+    Columns are added one after the other, so sums are those of a full scan to the last bit.
+    """
+    padded = np.vstack([weights, np.zeros(weights.shape[1])])
+    best = np.append(np.cumsum(padded.max(0)[::-1])[::-1], 0.0)
+    slack = 1e-9 * (abs(bias) + np.abs(weights).sum())
+    q = min(weights.shape[1], JOINT)
+    value, alive, looked = np.array([-bias]), np.ones(1, bool), np.zeros(1, np.int64)
+    for j in range(q):
+        alive = alive & (value + best[j] > -slack)
+        looked = np.repeat(looked + alive, len(padded))
+        value, alive = (value[:, None] + padded[:, j]).ravel(), np.repeat(alive, len(padded))
+    return value, alive & (value + best[q] > -slack), q - looked
+
+
+def joint_codes(letters: np.ndarray, q: int) -> np.ndarray:
+    """The letters of ``q`` places from each place as one number."""
+    n = max(len(letters) - q + 1, 0)
+    codes = np.zeros(n, np.intp)
+    for j in range(q):
+        codes *= len(BASES) + 1
+        codes += letters[j : j + n]
+    return codes
+
+
+def scan_letters(letters: np.ndarray, inside: np.ndarray, weights: np.ndarray, bias: float, codes: np.ndarray, joint: tuple[np.ndarray, np.ndarray, np.ndarray], count: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places with an activation above 0, the activations, and (``count``) cells that were not looked at.
 
     ``weights`` is (4, length) and ``inside`` tells where a motif may start.  A place can go once its
-    score so far plus the best that the columns left can add is not above the bias.  Columns are added
-    to all places at once until three quarters can go; from there only to those that are left, and
-    fewer with each column.  The sum's order is that of a full scan, and the bound has room for its
-    rounding.
+    score so far plus the best that the columns left can add is not above the bias.  The first columns
+    are one lookup (``joint_scores`` by ``joint_codes``); the others are added to all places at once
+    until three quarters can go, from there only to those that are left, and fewer with each column.
+    The sum's order is that of a full scan, and the bound has room for its rounding.
     """
     m, n = weights.shape[1], len(inside)
     padded = np.vstack([weights, np.zeros(m)])
     best = np.append(np.cumsum(padded.max(0)[::-1])[::-1], 0.0)
     slack = 1e-9 * (abs(bias) + np.abs(weights).sum())
-    value, at, skipped = np.full(n, -bias), None, 0
-    for j in range(m):
-        if at is None and padded[:, :j].min(0).sum() - bias + best[j] <= -slack:
+    score, may, spared = joint
+    codes = codes[:n]
+    skipped = int(spared[codes].sum()) if count else 0
+    left = may[codes] & inside
+    at = np.flatnonzero(left) if 4 * np.count_nonzero(left) < n else None
+    value = score[codes if at is None else codes[at]]
+    for j in range(min(m, JOINT), m):
+        if at is None:
             left = (value + best[j] > -slack) & inside
             if 4 * np.count_nonzero(left) < n:
                 at = np.flatnonzero(left)
                 value = value[at]
-        elif at is not None:
+        else:
             left = value + best[j] > -slack
             at, value = at[left], value[left]
         if at is None:
@@ -91,16 +127,19 @@ def motif_scan(reads: DataFrame, bank: dict[str, np.ndarray], bias: float, keys:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = [(name, strand, np.vstack([w if strand == "+" else w[::-1, ::-1]]).T) for name, w in bank.items() for strand in "+-"]
+        joints = [joint_scores(weights, bias) for _, _, weights in filters]
         names, strands = pa.array([x[0] for x in filters], pa.string()), pa.array([x[1] for x in filters], pa.string())
         for batch in batches:
             for first, edge, letters in blocks(batch.column(len(kept))):
                 end = np.repeat(edge[1:].astype(np.int64), np.diff(edge))
                 place = np.arange(len(letters))
                 found: list[tuple] = []
+                codes = {q: joint_codes(letters, q) for q in {min(w.shape[1], JOINT) for _, _, w in filters}}
+                # of motifs of equal length
+                insides = {m: place[: max(len(letters) - m + 1, 0)] + m <= end[: max(len(letters) - m + 1, 0)] for m in {w.shape[1] for _, _, w in filters}}
                 for f, (_, _, weights) in enumerate(filters):
                     m = weights.shape[1]
-                    inside = place[: max(len(letters) - m + 1, 0)] + m <= end[: max(len(letters) - m + 1, 0)]
-                    at, value, spared = scan_letters(letters, inside, weights, bias)
+                    at, value, spared = scan_letters(letters, insides[m], weights, bias, codes[min(m, JOINT)], joints[f], skipped is not None)
                     if skipped is not None:
                         skipped.add(spared)
                     found.append((at, np.full(len(at), f), value))

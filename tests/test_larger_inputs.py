@@ -233,3 +233,17 @@ def test_spelling_of_characters_of_several_bytes():
     for some, right in ((texts, want), (texts[3:], want[3:]), ([None], [None]), ([], [])):
         assert fixtures.spell(pa.array(some, pa.string())).to_pylist() == right
     assert fixtures.spell(pa.array(texts).slice(2)).to_pylist() == want[2:]
+
+
+def test_scans_look_first_columns_up_together(spark):
+    """Most places go by one lookup: of places that cannot reach the bias no column is added by itself."""
+    weights = np.random.default_rng(1).normal(size=(4, 9))
+    value, may, spared = motif.joint_scores(weights, 8.0)
+    assert len(value) == 5**motif.JOINT and may.mean() < 0.1 and spared[~may].max() > 0
+    letters = np.random.default_rng(2).integers(0, 5, 5000).astype(np.int8)
+    codes = motif.joint_codes(letters, motif.JOINT)
+    for at in (0, 17, 4000):
+        right = -8.0
+        for j in range(motif.JOINT):
+            right += np.append(weights[:, j], 0.0)[letters[at + j]]
+        assert value[codes[at]] == right
