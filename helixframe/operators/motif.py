@@ -33,6 +33,14 @@ SCAN = 1 << 17
 JOINT = 6
 
 
+def rounding_of(weights: np.ndarray, bias: float) -> float:
+    """How far rounding may bring a sum over its bound: nothing where all sums are of whole 1024ths."""
+    fine = np.append(weights.ravel(), bias) * 1024.0
+    if np.all(fine == np.rint(fine)) and np.abs(fine).sum() < 2.0**52:
+        return 0.0
+    return 1e-9 * (abs(bias) + np.abs(weights).sum())
+
+
 def joint_scores(weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each joint code of the first ``JOINT`` columns: its score, whether it may go on, and cells that bounds spare.
 
@@ -40,7 +48,7 @@ def joint_scores(weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarr
     """
     padded = np.vstack([weights, np.zeros(weights.shape[1])])
     best = np.append(np.cumsum(padded.max(0)[::-1])[::-1], 0.0)
-    slack = 1e-9 * (abs(bias) + np.abs(weights).sum())
+    slack = rounding_of(weights, bias)
     q = min(weights.shape[1], JOINT)
     value, alive, looked = np.array([-bias]), np.ones(1, bool), np.zeros(1, np.int64)
     for j in range(q):
@@ -51,12 +59,16 @@ def joint_scores(weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarr
 
 
 def joint_codes(letters: np.ndarray, q: int) -> np.ndarray:
-    """The letters of ``q`` places from each place as one number."""
-    n = max(len(letters) - q + 1, 0)
+    """The letters of ``q`` places from each place as one number; a byte holds those of three."""
+    n, kinds = max(len(letters) - q + 1, 0), len(BASES) + 1
     codes = np.zeros(n, np.intp)
-    for j in range(q):
-        codes *= len(BASES) + 1
-        codes += letters[j : j + n]
+    for first in range(0, q, 3):
+        few = np.zeros(n, np.int8)
+        for j in range(first, min(first + 3, q)):
+            few *= kinds
+            few += letters[j : j + n]
+        codes *= kinds ** min(3, q - first)
+        codes += few
     return codes
 
 
@@ -72,7 +84,7 @@ def scan_letters(letters: np.ndarray, inside: np.ndarray, weights: np.ndarray, b
     m, n = weights.shape[1], len(inside)
     padded = np.vstack([weights, np.zeros(m)])
     best = np.append(np.cumsum(padded.max(0)[::-1])[::-1], 0.0)
-    slack = 1e-9 * (abs(bias) + np.abs(weights).sum())
+    slack = rounding_of(weights, bias)
     score, may, spared = joint
     codes = codes[:n]
     skipped = int(spared[codes].sum()) if count else 0
@@ -110,8 +122,10 @@ def motif_scan(reads: DataFrame, bank: dict[str, np.ndarray], bias: float, keys:
     source = reads.select(*keys, F.when(F.col("seq").rlike(r"[^\x00-\x7F]"), seq).otherwise(F.col("seq")).cast("binary").alias("seq"))
     kept = list(to_arrow_schema(reads.select(*keys).schema))
     schema = pa.schema([*kept, ("filter_id", pa.string()), ("strand", pa.string()), ("pos", pa.int64()), ("activation", pa.float64())])
-    code = np.full(256, 4, np.int8)
-    code[[ord(b) for b in BASES]] = range(4)
+    code = bytearray(b"\4" * 256)
+    for i, base in enumerate(BASES):
+        code[ord(base)] = i
+    code = bytes(code)
 
     def blocks(seqs: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """First row, starts and ends of sequences in joined letters; a block closes once it has ``SCAN``."""
@@ -122,7 +136,7 @@ def motif_scan(reads: DataFrame, bank: dict[str, np.ndarray], bias: float, keys:
             before = ends[first] - sizes[first]
             last = min(int(np.searchsorted(ends, before + SCAN)) + 1, len(sizes))
             raw = b"".join(x or b"" for x in seqs.slice(first, last - first).to_pylist())
-            yield first, np.concatenate([[0], ends[first:last] - before]), code[np.frombuffer(raw, np.uint8)]
+            yield first, np.concatenate([[0], ends[first:last] - before]), np.frombuffer(raw.translate(code), np.int8)
             first = last
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
