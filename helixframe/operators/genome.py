@@ -9,9 +9,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from ..functions.seq import signif
 from .joins import overlap
@@ -29,128 +29,175 @@ LARGEST = 2.0**62
 SWEEP_BITS = 20
 
 
-def _parts(p: Column) -> dict[str, Column]:
-    """``p`` in three longs, which add up without rounding."""
-    finite = F.coalesce(F.when(F.abs(p) < LARGEST, p), F.lit(0.0))
-    behind = (finite - F.floor(finite)) * 2.0**PART_BITS
-    return {"whole": F.floor(finite), "high": F.floor(behind), "low": F.floor((behind - F.floor(behind)) * 2.0**PART_BITS)}
+#: log2 of the places whose changes travel as one row.
+CHUNK_BITS = 10
+#: Changes that are swept at a time.
+SWEPT = 1 << 20
+
+
+def gather(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple]:
+    """Contigs' changes of fragments ``genome, contig, start, end, p``, added up by place: a row a batch and chunk of places.
+
+    A score is three whole numbers, which add up without rounding: what is before the point, and twice
+    ``PART_BITS`` bits behind it.  Fragments without a finite score change nothing.
+    """
+    chunk_bits = min(bits, CHUNK_BITS)
+    for batch in batches:
+        p = batch.column("p").to_numpy(zero_copy_only=False)
+        counted = np.abs(p) < LARGEST
+        batch, p = batch.filter(pa.array(counted)), p[counted]
+        if not batch.num_rows:
+            continue
+        whole = np.floor(p)
+        behind = (p - whole) * 2.0**PART_BITS
+        high = np.floor(behind)
+        parts = [x.astype(np.int64) for x in (whole, high, np.floor((behind - high) * 2.0**PART_BITS), np.ones(len(p)))]
+        code = [batch.column(c).dictionary_encode().indices.to_numpy().astype(np.int64) for c in ("genome", "contig")]
+        code = np.tile(code[0] * (code[1].max() + 1) + code[1], 2)
+        place = np.concatenate([batch.column("start").to_numpy(), batch.column("end").to_numpy()])
+        order = np.lexsort((place, code))
+        row, code, place = (order % len(p)), code[order], place[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (np.diff(code) != 0) | (np.diff(place) != 0)
+        head = np.flatnonzero(fresh)
+        sums = [np.add.reduceat(np.concatenate([x, -x])[order], head) for x in parts]
+        row, code, place = row[head], code[head], place[head]
+        opens = np.ones(len(head), bool)
+        opens[1:] = (np.diff(code) != 0) | (np.diff(place >> chunk_bits) != 0)
+        first = np.flatnonzero(opens)
+        edge = pa.array(np.append(first, len(head)), pa.int32())
+        own = batch.select(["genome", "contig"]).take(pa.array(row[first])).columns
+        chunk = place[first] >> chunk_bits
+        lists = [pa.ListArray.from_arrays(edge, pa.array(x)) for x in (place, *sums)]
+        yield [*own, pa.array(chunk >> (bits - chunk_bits)), pa.array(chunk), pa.array(np.full(len(first), -1)), *lists]
+
+
+def _slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``batch`` whose lists in ``column`` have ``limit`` values together, or one row."""
+    ends, at = np.cumsum(pc.list_value_length(batch.column(column)).to_numpy().astype(np.int64)), 0
+    while at < batch.num_rows:
+        to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")), at + 1)
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def sweep(batches: Iterator[pa.RecordBatch], bits: int, shift: float) -> Iterator[pa.RecordBatch]:
-    """Runs of equal mean score of blocks, from their changes by place: ``genome, contig, block, start, end, score``.
+    """Runs of equal mean score of blocks, from their changes: ``genome, contig, block, start, end, score``.
 
-    Rows come by block and start.  Of what goes on in the next batch two rows are held, whatever the depth
-    of cover: the last place with the sums up to it, and the last run.
+    Rows come by contig and chunk.  Of what goes on in the next batch two rows are held, whatever the depth
+    of cover: the last chunk with the sums up to it, and the last run.
     """
-    key = ["genome", "contig", "block"]
-    sums = [*PARTS, "depth"]
-    # more than a place or run of the batch before goes no further
-    held, run = None, None
+    key, sums = ["genome", "contig", "block"], [*PARTS, "depth"]
+    chunk_bits = min(bits, CHUNK_BITS)
 
-    def firsts(rows: pa.Table) -> np.ndarray:
+    def firsts(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
         """Which rows have another key than the row before."""
         fresh = np.ones(rows.num_rows, bool)
-        codes = [rows.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False) for c in key]
+        codes = [rows.column(c).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False) for c in key]
         fresh[1:] = np.any([np.diff(c) != 0 for c in codes], axis=0)
         return fresh
 
-    def within(x: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Running sums of groups, of which sums over other groups are taken off again."""
-        total = np.cumsum(x)
-        return total - np.repeat(total[head] - x[head], size)
-
-    def segments(rows: pa.Table, final: bool) -> tuple[pa.Table, pa.Table]:
-        opens, start = firsts(rows), rows.column("start").to_numpy()
-        fresh = opens.copy()
-        fresh[1:] |= np.diff(start) != 0
-        head = np.flatnonzero(fresh)
-        start, group = start[head], np.flatnonzero(opens[head])
-        size = np.diff(np.append(group, len(head)))
-        total = {c: within(np.add.reduceat(rows.column(c).to_numpy(), head), group, size) for c in sums}
-        length = np.repeat(np.maximum.reduceat(np.maximum.reduceat(rows.column("len").to_numpy(), head), group), size)
-        until = np.minimum(length, (rows.column("block").to_numpy()[head] + 1) << bits)
-        follows = np.append(start[1:], 0)
-        follows[np.append(group[1:], len(head)) - 1] = np.iinfo(np.int64).max
-        end = np.minimum(follows, until)
-        covered = total["depth"] > 0
-        mean = (total["whole"] + (total["high"] + total["low"] * 2.0**-PART_BITS) * 2.0**-PART_BITS) / np.maximum(total["depth"], 1)
+    def segments(rows: pa.RecordBatch, final: bool) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
+        opens = firsts(rows)
+        group = (np.cumsum(opens) - 1)[np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column("place")).to_numpy())]
+        start = rows.column("place").flatten().to_numpy()
+        order = np.lexsort((start, group))
+        group, start = group[order], start[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (np.diff(group) != 0) | (np.diff(start) != 0)
+        at = np.flatnonzero(fresh)
+        group, start = group[at], start[at]
+        change = {c: np.add.reduceat(rows.column(c).flatten().to_numpy()[order], at) for c in sums}
+        head = np.flatnonzero(np.diff(group, prepend=-1))
+        size = np.diff(np.append(head, len(group)))
+        total = {c: np.cumsum(x) for c, x in change.items()}
+        # sums of other groups are taken off again
+        total = {c: x - np.repeat(x[head] - change[c][head], size) for c, x in total.items()}
+        first = np.flatnonzero(opens)
+        length = np.maximum.reduceat(rows.column("len").to_numpy(), first)
+        until = np.minimum(length, (rows.column("block").to_numpy()[first] + 1) << bits)[group]
+        end = np.append(start[1:], 0)
+        end[head + size - 1] = np.iinfo(np.int64).max
+        n, left = len(group), None
+        if not final:
+            chunk = rows.column("chunk")[rows.num_rows - 1].as_py()
+            low = chunk << chunk_bits
+            n = head[-1] + int(np.searchsorted(start[head[-1] :], low))
+            before = {c: x[n - 1] if n > head[-1] else 0 for c, x in total.items()}
+            if n > head[-1]:
+                end[n - 1] = low
+            lists = [np.append(low, start[n:]), *(np.append(before[c], change[c][n:]) for c in sums)]
+            own = rows.select([*key, "chunk"]).slice(rows.num_rows - 1).columns
+            left = pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip([*own, pa.array(length[-1:]), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in lists)], rows.schema, strict=True)], schema=rows.schema)
+        end = np.minimum(end, until)[:n]
+        start, group, depth = start[:n], group[:n], total["depth"][:n]
+        mean = (total["whole"][:n] + (total["high"][:n] + total["low"][:n] * 2.0**-PART_BITS) * 2.0**-PART_BITS) / np.maximum(depth, 1)
         # half away from zero; beyond 2 ** 52 a double has no more digits
         far = mean * 10.0**DIGITS
         mean = np.where(np.abs(far) < 2.0**52, np.trunc(far + np.copysign(0.5, far)) / 10.0**DIGITS, mean)
-        there = start < end
-        there[-1] &= final
-        keys = rows.select(key).take(pa.array(head))
-        last = len(head) - 1
-        columns = [*(c.slice(last) for c in keys.columns), pa.array(start[last:]), *(pa.array(total[c][last:]) for c in sums), pa.array(length[last:])]
-        left = pa.table([c.cast(f.type) for c, f in zip(columns, rows.schema, strict=True)], schema=rows.schema)
-        found = {"start": pa.array(start), "end": pa.array(end), "score": pa.array(mean - shift, mask=~covered)}
-        every = pa.table([*keys.columns, *found.values()], names=[*key, *found])
-        return every.filter(pa.array(there)), left
-
-    def runs(rows: pa.Table) -> pa.Table:
-        score, known = rows.column("score").fill_null(0.0).to_numpy(), rows.column("score").is_valid().to_numpy()
+        there = np.flatnonzero(start < end)
+        keys = rows.select(key).take(pa.array(first[group[there]])).columns
+        return pa.RecordBatch.from_arrays([*keys, pa.array(start[there]), pa.array(end[there]), pa.array((mean - shift)[there], mask=depth[there] <= 0)], names=[*key, "start", "end", "score"]), left
+
+    def runs(rows: pa.RecordBatch) -> pa.RecordBatch:
+        score, known = rows.column("score").fill_null(0.0).to_numpy(), rows.column("score").is_valid().to_numpy(zero_copy_only=False)
         fresh = firsts(rows)
         fresh[1:] |= (np.diff(score) != 0) | (known[1:] != known[:-1])
         head = np.flatnonzero(fresh)
         end = rows.column("end").to_numpy()[np.append(head[1:], rows.num_rows) - 1]
-        return rows.take(pa.array(head)).set_column(rows.schema.get_field_index("end"), "end", pa.array(end))
+        rows = rows.take(pa.array(head))
+        return pa.RecordBatch.from_arrays([pa.array(end) if c == "end" else rows.column(c) for c in rows.schema.names], schema=rows.schema)
 
-    def closed(some: pa.Table, final: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal run
-        some = some if run is None else pa.concat_tables([run, some])
+    joined = lambda a, b: b if a is None else pa.Table.from_batches([a, b]).combine_chunks().to_batches()[0]
+    held, run = None, None
+    for part in (x for batch in batches for x in _slices(batch, "place", SWEPT)):
+        part = pa.RecordBatch.from_arrays(part.columns, names=part.schema.names)
+        some, held = segments(joined(held, part), False)
         if some.num_rows:
-            some = runs(some)
+            some = runs(joined(run, some))
             run = some.slice(some.num_rows - 1)
-            yield from (some if final else some.slice(0, some.num_rows - 1)).combine_chunks().to_batches()
-
-    for batch in batches:
-        if batch.num_rows:
-            rows = pa.Table.from_batches([batch])
-            some, held = segments(rows if held is None else pa.concat_tables([held, rows]).combine_chunks(), False)
-            yield from closed(some, False)
+            yield some.slice(0, some.num_rows - 1)
     if held is not None:
-        yield from closed(segments(held, True)[0], True)
+        some, _ = segments(held, True)
+        if some.num_rows:
+            run = runs(joined(run, some))
+        if run is not None:
+            yield run
 
 
 def genome_map(scored: DataFrame, contigs: DataFrame, shift: float = 0.5, bits: int = SWEEP_BITS) -> DataFrame:
     """``genome, contig, start, end, score``: mean of covering scores less ``shift``, as runs.
 
     A sweep over fragment bounds: running sums of what starts and ends at each place give the covering
-    scores, so the work does not grow with the depth of cover and bases are never spelled out.  Blocks of
-    ``2 ** bits`` places are swept apart, each with what covers its first place, so a contig of any length
-    spreads over tasks, and bounds are shuffled and sorted once.  Runs are joined over blocks only where
-    contigs have several.  Sums are of whole numbers, to 62 bits behind the point, so what was added is
-    taken off exactly.  Fragments without a finite score count as bounds only, and so do ends beyond a
-    contig's.
+    scores, so the work does not grow with the depth of cover and bases are never spelled out.  Each task
+    adds up its fragments' bounds by place before anything is shuffled, and a row has a chunk of places.
+    Blocks of ``2 ** bits`` places are swept apart, each with what covers its first place, so a contig of
+    any length spreads over tasks.  Runs are joined over blocks only where contigs have several.  Sums are
+    of whole numbers, to 62 bits behind the point, so what was added is taken off exactly.  Fragments
+    without a finite score change nothing, and ends beyond a contig's are not looked at.
     """
-    key = ["genome", "contig"]
-    within = lambda c: F.shiftright(c, bits)
-    whole = F.lit(1 << bits).cast("long")
-    zero, sums = F.lit(0).cast("long"), [*PARTS, "depth"]
+    key, sums = ["genome", "contig"], [*PARTS, "depth"]
+    whole, zero = F.lit(1 << bits).cast("long"), F.lit(0).cast("long")
+    chunks = bits - min(bits, CHUNK_BITS)
     lens = stored(contigs.where("len > 0").select(*key, F.col("len").cast("long").alias("len")), "lengths")
     long = lens.where(F.col("len") > whole).select(*key).distinct()
     several = not long.isEmpty()
     frags = scored.where("genome is not null and contig is not null").select(*key, F.greatest("start", F.lit(0)).cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("p").cast("double").alias("p")).where("start < `end`")
-    frags = stored(frags, "fragments") if several else frags
-
-    def bounds(some: DataFrame) -> DataFrame:
-        counted = F.when(F.abs("p") < LARGEST, 1).otherwise(0).cast("long")
-        each = some.withColumns({**_parts(F.col("p")), "depth": counted})
-        at = lambda place, sign: F.struct(F.col(place).alias("start"), *((sign * F.col(c)).alias(c) for c in sums))
-        each = each.select(*key, F.inline(F.array(at("start", 1), at("end", -1))))
-        return each.select(*key, within("start").alias("block"), "start", *sums, F.lit(-1).cast("long").alias("len"))
-
-    blocks = lens.withColumn("block", F.explode(F.sequence(zero, within(F.col("len") - 1))))
-    edges = blocks.select(*key, "block", (F.col("block") * whole).alias("start"), *(zero.alias(c) for c in sums), "len")
-    changes = bounds(frags).unionByName(edges)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frags.select(*key).schema)
+    schema = pa.schema([*to_arrow_schema(frags.select(*key).schema), *((c, pa.int64()) for c in ("block", "chunk", "len")), *((c, pa.list_(pa.int64())) for c in ("place", *sums))])
+    added = lambda batches: (pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(x, schema, strict=True)], schema=schema) for x in gather(batches, bits))
+    changes = frags.mapInArrow(added, f"{fields}, block long, chunk long, len long, " + ", ".join(f"{c} array<long>" for c in ("place", *sums)))
+    blocks = lens.withColumn("block", F.explode(F.sequence(zero, F.shiftright(F.col("len") - 1, bits))))
+    at = lambda rows, values: rows.select(*key, "block", F.shiftleft("block", chunks).alias("chunk"), "len", F.array(F.col("block") * whole).alias("place"), *(F.array(v).alias(c) for c, v in zip(sums, values, strict=True)))
+    edges = at(blocks, [zero] * len(sums))
     if several:
-        own = bounds(frags.join(long, key, "left_semi")).unionByName(edges.join(long, key, "left_semi"))
-        totals = own.groupBy(*key, "block").agg(*(F.sum(c).alias(c) for c in sums))
+        changes = stored(changes, "changes")
+        own = changes.unionByName(edges).join(long, key, "left_semi")
+        totals = own.groupBy(*key, "block").agg(*(F.sum(F.aggregate(c, zero, lambda x, y: x + y)).alias(c) for c in sums))
         before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        carried = totals.select(*key, "block", (F.col("block") * whole).alias("start"), *(F.coalesce(F.sum(c).over(before), zero).alias(c) for c in sums), F.lit(-1).cast("long").alias("len"))
-        changes = changes.unionByName(carried)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in changes.select(*key).schema)
-    ordered = dealt(changes, *key, "block").sortWithinPartitions(*key, "block", "start")
+        totals = totals.select(*key, "block", F.lit(-1).cast("long").alias("len"), *(F.coalesce(F.sum(c).over(before), zero).alias(c) for c in sums))
+        changes = changes.unionByName(at(totals, [F.col(c) for c in sums]))
+    ordered = dealt(changes.unionByName(edges), *key, "block").sortWithinPartitions("contig", "genome", "chunk")
     runs = ordered.mapInArrow(lambda batches: sweep(batches, bits, shift), f"{fields}, block long, start long, end long, score double")
     if not several:
         return runs.drop("block")
