@@ -390,7 +390,7 @@ def enrichment_table(hits: DataFrame, members: DataFrame, contigs: DataFrame, m:
     Of ``2 (len + n + m n - 2 (m div 3) n)`` places within ``n`` merged features of ``len`` bases,
     ``a`` have a hit; a hit counts if a third of it lies within.
     """
-    hits = stored(hits, "hits")
+    hits = stored(hits.select("genome", "contig", "filter_id", "start", "end"), "hits")
     merged = stored(merge_intervals(members.select("genome", "contig", "key", "start", "end"), ["genome", "contig", "key"]), "merged")
     places = merged.groupBy("key").agg(F.sum(F.col("end") - F.col("start")).alias("len"), F.count("*").alias("n"))
     places = places.withColumn("inside", 2 * (F.col("len") + F.col("n") + m * F.col("n") - 2 * (m // 3) * F.col("n")))

@@ -31,6 +31,8 @@ SCAN = 1 << 17
 
 #: Columns of a filter whose letters are looked up together.
 JOINT = 6
+#: Filters that are looked up together.
+LOT = 64
 
 
 def rounding_of(weights: np.ndarray, bias: float) -> float:
@@ -72,24 +74,24 @@ def joint_codes(letters: np.ndarray, q: int) -> np.ndarray:
     return codes
 
 
-def scan_letters(letters: np.ndarray, inside: np.ndarray, weights: np.ndarray, bias: float, codes: np.ndarray, joint: tuple[np.ndarray, np.ndarray, np.ndarray], count: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+def scan_letters(letters: np.ndarray, inside: np.ndarray, weights: np.ndarray, bias: float, codes: np.ndarray, joint: tuple[np.ndarray, np.ndarray, np.ndarray], may: np.ndarray, count: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
     """Places with an activation above 0, the activations, and (``count``) cells that were not looked at.
 
     ``weights`` is (4, length) and ``inside`` tells where a motif may start.  A place can go once its
     score so far plus the best that the columns left can add is not above the bias.  The first columns
-    are one lookup (``joint_scores`` by ``joint_codes``); the others are added to all places at once
-    until three quarters can go, from there only to those that are left, and fewer with each column.
+    are one lookup (``joint_scores`` by ``joint_codes``), which leaves the places ``may``; the others are
+    added to all places at once until three quarters can go, from there only to those that are left, and
+    fewer with each column.
     The sum's order is that of a full scan, and the bound has room for its rounding.
     """
     m, n = weights.shape[1], len(inside)
     padded = np.vstack([weights, np.zeros(m)])
     best = np.append(np.cumsum(padded.max(0)[::-1])[::-1], 0.0)
     slack = rounding_of(weights, bias)
-    score, may, spared = joint
+    score, _, spared = joint
     codes = codes[:n]
     skipped = int(spared[codes].sum()) if count else 0
-    left = may[codes] & inside
-    at = np.flatnonzero(left) if 4 * np.count_nonzero(left) < n else None
+    at = may if 4 * len(may) < n else None
     value = score[codes if at is None else codes[at]]
     for j in range(min(m, JOINT), m):
         if at is None:
@@ -142,6 +144,12 @@ def motif_scan(reads: DataFrame, bank: dict[str, np.ndarray], bias: float, keys:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = [(name, strand, np.vstack([w if strand == "+" else w[::-1, ::-1]]).T) for name, w in bank.items() for strand in "+-"]
         joints = [joint_scores(weights, bias) for _, _, weights in filters]
+        lots = []  # filters of equal length whose lookups are bits of one table
+        for m in {weights.shape[1] for _, _, weights in filters}:
+            own = [f for f, (_, _, weights) in enumerate(filters) if weights.shape[1] == m]
+            for some in (own[i : i + LOT] for i in range(0, len(own), LOT)):
+                bits = [np.uint64(1 << i) for i in range(len(some))]
+                lots.append((m, list(zip(some, bits, strict=True)), sum(joints[f][1] * b for f, b in zip(some, bits, strict=True))))
         names, strands = pa.array([x[0] for x in filters], pa.string()), pa.array([x[1] for x in filters], pa.string())
         for batch in batches:
             for first, edge, letters in blocks(batch.column(len(kept))):
@@ -149,14 +157,17 @@ def motif_scan(reads: DataFrame, bank: dict[str, np.ndarray], bias: float, keys:
                 place = np.arange(len(letters))
                 found: list[tuple] = []
                 codes = {q: joint_codes(letters, q) for q in {min(w.shape[1], JOINT) for _, _, w in filters}}
-                # of motifs of equal length
-                insides = {m: place[: max(len(letters) - m + 1, 0)] + m <= end[: max(len(letters) - m + 1, 0)] for m in {w.shape[1] for _, _, w in filters}}
-                for f, (_, _, weights) in enumerate(filters):
-                    m = weights.shape[1]
-                    at, value, spared = scan_letters(letters, insides[m], weights, bias, codes[min(m, JOINT)], joints[f], skipped is not None)
-                    if skipped is not None:
-                        skipped.add(spared)
-                    found.append((at, np.full(len(at), f), value))
+                for m, lot, table in lots:
+                    n = max(len(letters) - m + 1, 0)
+                    inside, own = place[:n] + m <= end[:n], codes[min(m, JOINT)]
+                    bits = table[own[:n]]
+                    some = np.flatnonzero((bits != 0) & inside)
+                    bits = bits[some]
+                    for f, bit in lot:
+                        at, value, spared = scan_letters(letters, inside, filters[f][2], bias, own, joints[f], some[bits & bit != 0], skipped is not None)
+                        if skipped is not None:
+                            skipped.add(spared)
+                        found.append((at, np.full(len(at), f), value))
                 at, of, value = (np.concatenate(x) for x in zip(*found, strict=True))
                 row = np.searchsorted(edge, at, "right") - 1
                 own = [batch.column(i).take(pa.array(first + row)) for i in range(len(kept))]

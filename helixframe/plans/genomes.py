@@ -52,8 +52,13 @@ _OV = 'least(a."end", b."end") - greatest(a.start, b.start)'
 _HIT = 'a.start < b."end" AND b.start < a."end"'
 
 
-def _intervals(s, d):
-    return G.genome_map(X.fragment_shares(s, d, "GC"), X.contigs(s, d))
+def _lengths(s, d):
+    """Lengths of contigs, for which texts are read once."""
+    return stored(X.contigs(s, d).select("genome", "contig", "len"), "lengths")
+
+
+def _intervals(s, d, lengths=None):
+    return G.genome_map(X.fragment_shares(s, d, "GC"), X.contigs(s, d) if lengths is None else lengths)
 
 
 #: Scores of bases by byte.
@@ -84,13 +89,14 @@ _FS = _KEYS + f""", fs AS (SELECT k.genome, k.key, round(sum(score * ov) / sum(o
  (SELECT a.genome, a.key, score, {_OV} AS ov FROM fm a JOIN imap b ON a.genome = b.genome AND a.contig = b.contig AND {_HIT}) o USING (genome, key) GROUP BY ALL)"""
 
 
-def _members(s, d):
-    f = stored(X.features(s, d), "features")  # texts are read for their lengths once
+def _members(s, d, lengths=None):
+    f = X.features(s, d, _lengths(s, d) if lengths is None else lengths)
     return G.feature_members(f, G.feature_keys(f))
 
 
 def _feature_scores(s, d):
-    return _round(G.feature_scores(_members(s, d), _intervals(s, d)))
+    lengths = _lengths(s, d)
+    return _round(G.feature_scores(_members(s, d, lengths), _intervals(s, d, lengths)))
 
 
 def _named_features(s, d):
@@ -99,7 +105,8 @@ def _named_features(s, d):
 
 
 def _enriched(s, d):
-    return G.enrichment_table(_placed(s, d), _members(s, d), X.contigs(s, d), M_LEN)
+    lengths = _lengths(s, d)
+    return G.enrichment_table(_placed(s, d), _members(s, d, lengths), lengths, M_LEN)
 
 
 _ENR = _PLACED + _KEYS + _MERGED.format(k="key", src="fm") + f""", pl AS (SELECT key, (2 * (sum("end" - start) + count(*) + {M_LEN} * count(*) - 2 * {M_LEN // 3} * count(*)))::BIGINT AS inside FROM mg GROUP BY 1),

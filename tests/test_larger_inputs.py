@@ -247,3 +247,27 @@ def test_scans_look_first_columns_up_together(spark):
         for j in range(motif.JOINT):
             right += np.append(weights[:, j], 0.0)[letters[at + j]]
         assert value[codes[at]] == right
+
+
+@pytest.mark.parametrize("lot", (1, 2, 64))
+def test_scans_in_lots_of_filters_of_several_lengths(spark, monkeypatch, lot):
+    monkeypatch.setattr(motif, "LOT", lot)
+    rng = random.Random(lot)
+    bank = {m: motif.one_hot_weights(m) for m in ("ACG", "GA", "TTACGTTA", "CCATGGA", "T")}
+    texts = ["".join(rng.choices("ACGTN", k=n)) for n in (0, 1, 2, 7, 8, 30, 400)]
+    texts += ["TTACGTTACCATGGA", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "read long, seq string").coalesce(1)
+    for bias in (0.5, 1.5, 6.5):
+        want = []
+        for i, t in enumerate(texts):
+            for f, w in bank.items():
+                for s, v in (("+", w), ("-", w[::-1, ::-1])):
+                    for p in range(len(t or "") - len(v) + 1):
+                        x = sum(v[j]["ACGT".index(t[p + j])] if t[p + j] in "ACGT" else 0.0 for j in range(len(v))) - bias
+                        want += [(i, f, s, p, x)] if x > 0 else []
+        assert sorted(map(tuple, motif.motif_scan(df, bank, bias, ["read"]).collect())) == sorted(want) and want
+
+
+@pytest.mark.parametrize("name", ("feat_score", "rank_genes", "enr_counts", "enr_fisher"))
+def test_texts_are_not_read_for_lengths_again(spark, name):
+    assert "documents.parquet" not in plan(QUERIES[name](spark, SF)).replace("...", "")
