@@ -88,6 +88,23 @@ def test_hot_anchor_path(docs, texts, monkeypatch):
     same(substring_dedup.digest(substring_dedup.remove_repeats(docs, bits=16)), brute.op4(texts))
 
 
+def test_copies_of_one_run_stay_in_their_tasks(spark):
+    """A run with most of the rows is not dealt to one task; rarer copies and single runs are told apart as before."""
+    run = "cast(case when id < 40000 then 1 when id < 44000 then id div 2 else id end as long)"
+    rows = spark.range(0, 46_000, 1, 8).selectExpr(
+        f"{run} % 3000 as kh", f"{run} as r1", f"{run} as r2", "id as dkey", "id as tkey", "id as start", "1 as n"
+    )
+    candidates = _repeats.materialise(rows.repartition(8), "runs")
+    found = _repeats.classes(candidates)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the copied runs are too many to broadcast
+    try:
+        got = _repeats.whole_runs(candidates, found).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(r.start for r in got) == list(range(44_000))
+    assert max(collections.Counter(r.task for r in got if r.start < 40_000).values()) < 20_000
+
+
 def test_merged_transform_orders_all_suffixes():
     """The interleave of shard transforms is the order of all circular suffixes, prefixes included."""
     rng = np.random.default_rng(2)
