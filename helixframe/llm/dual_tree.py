@@ -41,10 +41,20 @@ SHELLS = 4
 ROUTED = 1024
 QUERY_BLOCK = 2048
 LEAF = 512
+#: Centres of a node's net, and how much smaller than the node a part is that is parted again.
+NET, NARROW = 32, 0.75
+#: Queries and rows that are compared at a time.
+BLOCK, ROWS = 512, 4096
+#: No score yet.
+NONE = -(2**63) + 1
 
 
 class CoverTree:
-    """Nodes with a centre, a covering radius and a range of ``order``; radii halve downwards."""
+    """Nodes with a centre, a covering radius and a range of ``order``; a node's parts shrink by ``NARROW`` or are leaves.
+
+    So no branch is deeper than some levels a doubling of the radius, and points that no net of ``NET`` centres covers
+    more closely, as those without clusters in many dimensions, stay one leaf of any size.
+    """
 
     def __init__(self, points: np.ndarray):
         self.points = points
@@ -53,7 +63,7 @@ class CoverTree:
         if len(points):
             self._node(0, len(points), 0)
 
-    def _node(self, a: int, b: int, centre: int) -> int:
+    def _node(self, a: int, b: int, centre: int, split: bool = True) -> int:
         own = self.order[a:b]
         distance = np.linalg.norm(self.points[own] - self.points[centre], axis=1)
         n = len(self.first)
@@ -62,32 +72,32 @@ class CoverTree:
         self.centre.append(self.points[centre])
         self.radius.append(float(distance.max()) * (1 + 1e-9))
         self.children.append([])
-        if b - a <= LEAF or self.radius[n] == 0:
+        if not split or b - a <= LEAF or self.radius[n] == 0:
             return n
         # a net of half the radius: each point joins the first centre that covers it, else is one
-        left, at, centres = own, a, []
-        new = centre
-        near = np.full(len(left), -1)
-        free = np.ones(len(left), bool)
-        while free.any():
-            if len(centres) == 32:  # the rest stays together under one node
-                near[free] = len(centres)
-                centres.append(left[np.flatnonzero(free)[0]])
-                break
-            distance = np.linalg.norm(self.points[left] - self.points[new], axis=1)
-            mine = free & ((distance <= self.radius[n] / 2) | (left == new))
+        centres, new = [], centre
+        near = np.full(b - a, -1)
+        free = np.ones(b - a, bool)
+        away = np.empty((NET, b - a))
+        while free.any() and len(centres) < NET:
+            away[len(centres)] = distance = np.linalg.norm(self.points[own] - self.points[new], axis=1)
+            mine = free & ((distance <= self.radius[n] / 2) | (own == new))
             near[mine] = len(centres)
             centres.append(new)
             free &= ~mine
             if free.any():
-                new = left[free][np.argmax(distance[free])]
-        if len(centres) == 1:
+                new = own[free][np.argmax(distance[free])]
+        if free.any():  # so many centres do not cover all: the rest join the nearest
+            near[free] = away[:, free].argmin(0)
+        sizes, own_radius = np.bincount(near, minlength=len(centres)), np.zeros(len(centres))
+        np.maximum.at(own_radius, near, away[near, np.arange(b - a)])
+        narrow = own_radius <= NARROW * self.radius[n]
+        if sizes[narrow].sum() * 2 < b - a:  # parts as wide as the whole rule nothing out
             return n
-        by_centre = np.argsort(near, kind="stable")
-        self.order[a:b] = left[by_centre]
-        for child, size in enumerate(np.bincount(near, minlength=len(centres))):
+        self.order[a:b], at = own[np.argsort(near, kind="stable")], a
+        for child, size in enumerate(sizes):
             if size:
-                self.children[n].append(self._node(at, at + size, int(centres[child])))
+                self.children[n].append(self._node(at, at + size, int(centres[child]), bool(narrow[child])))
                 at += size
         return n
 
@@ -108,7 +118,7 @@ def search(queries: np.ndarray, own: np.ndarray, worst: np.ndarray, data: np.nda
     """
     q_tree, d_tree = CoverTree(queries.astype(np.float64)), tree or CoverTree(data.astype(np.float64))
     worst = worst.copy()
-    best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries)
+    best, names = np.full((len(queries), k), NONE), np.full((len(queries), k), 2**63 - 1)
     q_norm = [float(np.linalg.norm(c)) for c in q_tree.centre]
     d_norm = [float(np.linalg.norm(c)) for c in d_tree.centre]
 
@@ -117,17 +127,23 @@ def search(queries: np.ndarray, own: np.ndarray, worst: np.ndarray, data: np.nda
         slack = q_norm[a] * d_tree.radius[b] + d_norm[b] * q_tree.radius[a] + q_tree.radius[a] * d_tree.radius[b]
         return value + slack + 1e-9 * (abs(value) + slack) + 1e-6
 
-    def compare(a: int, b: int) -> None:
-        of, to = q_tree.order[q_tree.first[a] : q_tree.end[a]], d_tree.order[d_tree.first[b] : d_tree.end[b]]
+    def compare(of: np.ndarray, to: np.ndarray) -> None:
         score = _exact_products(queries[of], data[to])
         possible = (score >= worst[of][:, None]) & (own[of][:, None] != rows[to][None, :])
-        for i in np.flatnonzero(possible.any(1)):
-            q, hit = of[i], possible[i]
-            scores, found = np.concatenate([best[q][0], score[i, hit]]), np.concatenate([best[q][1], ids[to[hit]]])
-            top = np.lexsort((found, -scores))[:k]
-            best[q] = scores[top], found[top]
-            if len(top) == k:
-                worst[q] = max(worst[q], scores[top[-1]])
+        many = np.flatnonzero(possible.sum(1) > 4 * k)
+        if len(many):  # so that few are sorted: no more than k and ties
+            kth = np.partition(np.where(possible[many], score[many], NONE), -k, axis=1)[:, -k]
+            possible[many] &= score[many] >= kth[:, None]
+        i, j = np.nonzero(possible)
+        hit = np.unique(of[i])
+        asked = np.concatenate([np.repeat(hit, k), of[i]])
+        scores, found = np.concatenate([best[hit].ravel(), score[i, j]]), np.concatenate([names[hit].ravel(), ids[to[j]]])
+        top = np.lexsort((found, -scores, asked))
+        first = np.searchsorted(asked[top], hit)
+        top = top[(first[:, None] + np.arange(k)[None, :]).ravel()].reshape(-1, k)  # a query has k rows at least
+        best[hit], names[hit] = scores[top], found[top]
+        full = best[hit, -1] != NONE
+        worst[hit[full]] = np.maximum(worst[hit[full]], best[hit[full], -1])
 
     stack = [(0, 0, bound(0, 0))] if len(queries) and len(data) else []
     while stack:
@@ -139,10 +155,14 @@ def search(queries: np.ndarray, own: np.ndarray, worst: np.ndarray, data: np.nda
         elif d_tree.children[b]:
             pairs = [(a, c) for c in d_tree.children[b]]
         else:
-            compare(a, b)
+            of, to = q_tree.order[q_tree.first[a] : q_tree.end[a]], d_tree.order[d_tree.first[b] : d_tree.end[b]]
+            for i in range(0, len(of), BLOCK):
+                for j in range(0, len(to), ROWS):
+                    compare(of[i : i + BLOCK], to[j : j + ROWS])
             continue
         stack += sorted(((x, y, bound(x, y)) for x, y in pairs), key=lambda p: p[2])
-    return [(q, int(i), int(s)) for q, (scores, found) in enumerate(best) for s, i in zip(scores, found, strict=True)]
+    q, place = np.nonzero(best != NONE)
+    return list(zip(q.tolist(), names[q, place].tolist(), best[q, place].tolist(), strict=True))
 
 
 def quantised(embedding: Column, scale: int = SCALE) -> Column:

@@ -223,6 +223,22 @@ def test_op3_prunes_and_stays_exact(monkeypatch):
         assert [(s, i) for a, i, s in found if a == q] == want
 
 
+def test_op3_vectors_without_clusters_stay_together(monkeypatch):
+    """A tree that no net covers closely is a leaf, not a node a vector; leaves are compared in blocks, ties and all."""
+    rng = np.random.default_rng(7)
+    assert len(dual_tree.CoverTree(rng.normal(0, 1000, (5000, 64))).first) < 100
+    monkeypatch.setattr(dual_tree, "BLOCK", 7)
+    monkeypatch.setattr(dual_tree, "ROWS", 90)
+    data = np.concatenate([rng.normal(0, 30, (900, 16)), np.repeat(rng.normal(0, 30, (3, 16)), 100, axis=0), np.zeros((50, 16))]).astype(np.int64)
+    ids = rng.permutation(len(data))
+    of = np.r_[0:20, 900:905, 1000:1003, 1200:1204]
+    found = dual_tree.search(data[of], of, np.full(len(of), -np.inf), data, np.arange(len(data)), ids, 10)
+    for q, row in enumerate(of):
+        score = data @ data[row]
+        want = [(int(score[i]), int(ids[i])) for i in np.lexsort((ids, -score)) if i != row][:10]
+        assert [(s, i) for a, i, s in found if a == q] == want
+
+
 def test_op4_edges(docs, texts, empty):
     same(substring_dedup.digest(substring_dedup.remove_repeats(docs, bits=16)), brute.op4(texts))
     same(substring_dedup.digest(substring_dedup.remove_repeats(docs, bits=6)), brute.op4(texts))
