@@ -10,13 +10,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.seq import revcomp, sigmoid
+from .fragment import _pieces
 
 BASES = "ACGT"
 
@@ -172,18 +175,29 @@ def hashed_features(reads: DataFrame, k: int, size: int, key: str = "read_id", k
     unique.  Reads without a k-mer have no row.
     """
     dense = _dense_shares(reads, k, size, key, keep) if k <= DENSE else _shuffled_shares(reads, k, size, key, keep)
-    # the assembler keeps a vector sparse where that is smaller
-    return VectorAssembler(inputCols=["__v"], outputCol="features").transform(dense.select(key, *keep, array_to_vector("dense").alias("__v"))).drop("__v")
+    return _vectors(dense.select(key, *keep, "dense"), size)
+
+
+def _vectors(rows: DataFrame, size: int) -> DataFrame:
+    """``dense`` as the vector ``features``, kept sparse by the assembler where that is smaller."""
+    vectors = rows.select(*(c for c in rows.columns if c != "dense"), array_to_vector("dense").alias("__v"))
+    known = VectorSizeHint(inputCol="__v", size=size, handleInvalid="optimistic").transform(vectors)  # else the first row is computed to learn it
+    return VectorAssembler(inputCols=["__v"], outputCol="features").transform(known).drop("__v")
 
 
 def _place(size: int) -> Column:
     return F.pmod(F.xxhash64("code"), F.lit(size)).cast("int").alias("place")
 
 
+def _places(spark: SparkSession, k: int, size: int) -> np.ndarray:
+    """The place of each code."""
+    table = spark.range(4**k).withColumnRenamed("id", "code").select("code", _place(size)).collect()  # 4 ** DENSE at most
+    return np.array([r["place"] for r in sorted(table)])
+
+
 def _dense_shares(reads: DataFrame, k: int, size: int, key: str, keep: Sequence[str]) -> DataFrame:
     """``key, *keep, dense`` by blocks of sequences, each with at most ``PIECE`` letters looked at together."""
-    table = reads.sparkSession.range(4**k).withColumnRenamed("id", "code").select("code", _place(size)).collect()  # 4 ** DENSE at most
-    places = np.array([r["place"] for r in sorted(table)])
+    places = _places(reads.sparkSession, k, size)
     letter = _letter_codes()
     source = reads.where("seq is not null").select(key, *keep, F.col("seq").cast("binary").alias("seq"))
     fields = list(to_arrow_schema(source.schema))[:-1]
@@ -244,14 +258,94 @@ def _shuffled_shares(reads: DataFrame, k: int, size: int, key: str, keep: Sequen
     return dense.join(reads.select(key, *keep), key) if keep else dense
 
 
+def _vector_array(cells: np.ndarray, kind: pa.StructType) -> pa.StructArray:
+    """Rows as ML vectors, sparse where that is smaller, by the rule of ``Vector.compressed``."""
+    n, size = cells.shape
+    sparse = 1.5 * (np.count_nonzero(cells, axis=1) + 1) < size
+    held = (cells != 0) | ~sparse[:, None]
+    row, column = np.nonzero(held)
+    edges = lambda count: pa.array(np.append(0, np.cumsum(count)).astype(np.int32))
+    indices = pa.ListArray.from_arrays(edges(held.sum(1) * sparse), pa.array(column[sparse[row]].astype(np.int32)), mask=pa.array(~sparse))
+    parts = {
+        "type": pa.array((~sparse).astype(np.int8)), "size": pa.array(np.full(n, size, np.int32), mask=~sparse),
+        "indices": indices, "values": pa.ListArray.from_arrays(edges(held.sum(1)), pa.array(cells[held])),
+    }
+    return pa.StructArray.from_arrays([parts[f.name].cast(f.type) for f in kind], fields=list(kind))
+
+
+#: Windows that are counted together; a piece's are in any case.
+WINDOWS = 2048
+
+
+def window_shares(contigs: DataFrame, k: int, size: int, length: int, shift: int, keep: Sequence[str] = ()) -> DataFrame:
+    """``contig, *keep, frag_id, features``: vectors as of ``hashed_features`` for the windows of ``fragment``.
+
+    k-mers, of ``DENSE`` letters at most, are coded once along each piece of a contig, and a window's counts are
+    the difference of two places, so windows that overlap are never spelled out.  Windows without a k-mer have no row.
+    """
+    if not 1 <= k <= DENSE:
+        raise ValueError(f"k is from 1 to {DENSE}")
+    places = _places(contigs.sparkSession, k, size)
+    used, column = np.unique(places, return_inverse=True)  # only these are counted
+    together = max(1, min(WINDOWS, (1 << 20) // size))
+    letter, width = _letter_codes(), len(used)
+    source = _pieces(contigs, length, shift, keep).where("piece is not null").drop("genome")
+    n = 1 + len(keep)
+    fields = list(to_arrow_schema(source.schema))[:n]
+    out = StructType([*source.schema[:n].fields, StructField("frag_id", LongType()), StructField("features", VectorUDT())])
+    schema = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows = (as_long(batch, "last") - as_long(batch, "first") + 1).cumsum()
+            at = 0
+            while at < batch.num_rows:
+                to = max(int(np.searchsorted(windows, (windows[at - 1] if at else 0) + together, "right")), at + 1)
+                yield counted(batch.slice(at, to - at))
+                at = to
+
+    def as_long(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        letters = letter[np.frombuffer(b"".join(batch.column("piece").to_pylist()), np.uint8)]
+        sizes = pc.binary_length(batch.column("piece")).to_numpy(zero_copy_only=False).astype(np.int64)
+        lp, low, first, last = (as_long(batch, c) for c in ("lp", "low", "first", "last"))
+        many = last - first + 1
+        row = np.repeat(np.arange(len(many)), many)
+        frag = np.arange(len(row)) - np.repeat(np.cumsum(many) - many - first, many)
+        start = frag * shift - lp[row] - low[row]
+        edge = (np.cumsum(sizes) - sizes)[row]
+        a, b = (np.clip(x, 0, sizes[row]) for x in (start, start + length))
+        ends = edge + a, edge + np.maximum(b - k + 1, a)  # k-mers begin from the first and before the last
+        bounds, at = np.unique(np.concatenate(ends), return_inverse=True)
+        code, good = code_windows(letters, k, True)
+        marks = np.zeros(len(letters) + 1, np.int64)
+        marks[bounds] = 1
+        part = np.cumsum(marks)[: len(code)]  # bounds at or before a place
+        here = np.bincount(part[good] * width + column[code[good]], minlength=(len(bounds) + 1) * width).reshape(-1, width)
+        before = np.cumsum(here[:-1], axis=0)
+        cells = before[at[len(row) :]] - before[at[: len(row)]]
+        total = cells.sum(1)
+        some = np.flatnonzero(total)
+        wide = np.zeros((len(some), size))
+        wide[:, used] = cells[some] / total[some, None]
+        own = [batch.column(i).take(pa.array(row[some])).cast(f.type) for i, f in enumerate(fields)]
+        return pa.RecordBatch.from_arrays([*own, pa.array(frag[some]), _vector_array(wide, schema.field("features").type)], schema=schema)
+
+    return source.mapInArrow(run, out)
+
+
 def label_features(features: DataFrame, labels: DataFrame, accession: str) -> DataFrame:
     """Features with the ``label`` of their accession, null where it has none."""
     return features.join(labels.select(accession, "label"), accession, "left")
 
 
 def train_forest(df: DataFrame, features: list[str], label: str = "label", trees: int = 20, seed: int = 1) -> PipelineModel:
-    forest = RandomForestClassifier(labelCol=label, featuresCol="__x", numTrees=trees, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__x"), forest]).fit(df)
+    """A forest of ``features``; one that is a vector is taken as it is."""
+    ready = len(features) == 1 and isinstance(df.schema[features[0]].dataType, VectorUDT)
+    forest = RandomForestClassifier(labelCol=label, featuresCol=features[0] if ready else "__x", numTrees=trees, seed=seed)
+    return Pipeline(stages=[forest] if ready else [VectorAssembler(inputCols=features, outputCol="__x"), forest]).fit(df)
 
 
 def predict_forest(model: PipelineModel, df: DataFrame, *keep: str) -> DataFrame:

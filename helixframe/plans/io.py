@@ -137,20 +137,21 @@ def _forest(s, d):
     return R.predict_forest(R.train_forest(rows.where("contig % 5 <> 0"), features), rows, "read_id", "label")
 
 
-def _kmer_rows(s, d):
-    """Hashed k-mer vectors of labelled reads, stored: forests read them several times."""
-    reads = X.reads(s, d).join(X.labels(s, d).select("contig", "label"), "contig")
-    return stored(R.hashed_features(reads, 4, 256, keep=("contig", "label")), "kmer-vectors")
+def _kmer_rows(s, d, of):
+    """Hashed k-mer vectors of the reads of some contigs, stored: forests read them several times."""
+    keep = [c for c in of.columns if c != "contig"]
+    reads = R.window_shares(X.contigs(s, d, of), 4, 256, X.LENGTH, X.SHIFT, keep)
+    return stored(reads.select((F.col("contig") * 100000 + F.col("frag_id")).alias("read_id"), "contig", *keep, "features"), "kmer-vectors")
 
 
 def _kmer_forest(s, d):
-    rows = _kmer_rows(s, d)
+    rows = _kmer_rows(s, d, X.labels(s, d).select("contig", "label"))
     return R.predict_forest(R.train_forest(rows.where("contig % 5 <> 0"), ["features"]), rows, "read_id", "label")
 
 
 def _kmer_folds(s, d):
-    folds = S.species_folds(X.labels(s, d), 3, 0.1, 1, key="contig").select("contig", "fold")
-    return R.forest_by_fold(_kmer_rows(s, d).join(folds, "contig"), ["features"], 3, "read_id", "label")
+    folds = S.species_folds(X.labels(s, d), 3, 0.1, 1, key="contig").select("contig", "label", "fold")
+    return R.forest_by_fold(_kmer_rows(s, d, folds), ["features"], 3, "read_id", "label")
 
 
 def _route(s, d):

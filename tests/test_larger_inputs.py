@@ -55,6 +55,37 @@ def test_short_kmers_make_vectors_without_a_shuffle(spark, monkeypatch, piece):
     assert spelled(got) == spelled(want) and got.count() > 40
 
 
+@pytest.mark.parametrize("some", (5, 2048))
+def test_vectors_of_windows_are_those_of_reads(spark, monkeypatch, some):
+    """Of every window of ``fragment``, short pieces and long, odd letters and nulls; windows without a k-mer have none."""
+    monkeypatch.setattr(score, "WINDOWS", some)
+    monkeypatch.setattr(fragment, "PIECE", 8)
+    rng = random.Random(6)
+    data = [("g", i, "".join(rng.choices("ACGTNac", [9, 9, 9, 9, 3, 1, 1], k=rng.randrange(0, 400))), i % 3) for i in range(40)] + [("g", 40, None, 1), ("g", 41, "N" * 90, 2), ("g", 42, "ACG", 0)]
+    df = spark.createDataFrame(data, "genome string, contig long, seq string, label int").withColumn("len", F.length("seq").cast("long"))
+    got = score.window_shares(df, 4, 32, 40, 10, ["label"])
+    assert "Exchange" not in plan(got)
+    reads = fragment.fragment(df, 40, 10).join(df.select("contig", "label"), "contig")
+    want = score.hashed_features(reads.withColumn("read_id", F.col("contig") * 1000 + F.col("frag_id")), 4, 32, keep=("label",))
+    spelled = lambda x: sorted((r.read_id, r.label, tuple(r.features.toArray())) for r in x.collect())
+    assert spelled(got.withColumn("read_id", F.col("contig") * 1000 + F.col("frag_id"))) == spelled(want) and got.count() > 300
+    assert not score.window_shares(df.limit(0), 4, 32, 40, 10).count()
+
+
+@pytest.mark.parametrize("name", ("rf_kmer", "rf_kmer_folds"))
+def test_contigs_meet_labels_before_they_are_spelled(spark, monkeypatch, name):
+    """No read is joined or shuffled, nor is any made of a contig without a label."""
+    seen = []
+    monkeypatch.setattr(score, "window_shares", lambda contigs, *a: seen.append(contigs) or shares(contigs, *a))
+    QUERIES[name](spark, SF)
+    (contigs,) = seen
+    shown = plan(contigs)
+    assert shown.index("ArrowEvalPython") < shown.index("Join") and contigs.count() == spark.read.parquet(f"{SF}/labels.parquet").count()
+
+
+shares = score.window_shares
+
+
 def test_one_hot_text(spark):
     df = spark.createDataFrame([("ACGTN",), ("acxg",), ("",), ("A" * 9,), ("é\n😀T",), (None,)], "seq string")
     arrays = F.array_join(F.transform(seq.flatten_one_hot(seq.one_hot(F.col("seq"), 6)), lambda x: x.cast("string")), "")
